@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkwell.llm import exact_dedup
+from sparkwell.llm import exact_dedup, secrets
 
 
 def queries() -> dict:
     return {
+        "op2_secret_scans": secrets.op2_secret_scans,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     }
 
