@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkwell.llm import exact_dedup, packing, secrets
+from sparkwell.llm import exact_dedup, packing, pii, secrets
 
 
 def queries() -> dict:
     return {
         "op2_secret_scans": secrets.op2_secret_scans,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_pii": pii.op4_pii,
         "op8_packing": packing.op8_packing,
     }
 
