@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkwell.llm import exact_dedup, packing, pii, secrets
+from sparkwell.llm import exact_dedup, packing, pii, secrets, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_secret_scans": secrets.op2_secret_scans,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_pii": pii.op4_pii,
