@@ -36,6 +36,8 @@ TOXIC_FROM = 0.7
 #: Bounds of the training sample: rows of each label, and code points of a text in it.
 SAMPLE_PER_LABEL, SAMPLE_CHARS = 2500, 6000
 EPOCHS, BATCH, SEED = 4, 256, 7
+#: Small samples are gone through again until so many batches are done.
+LEAST_STEPS, MOST_EPOCHS = 200, 40
 #: Words whose inputs a worker remembers, and windows it scores at once.
 MEMORY, AT_ONCE = 150_000, 4096
 
@@ -229,7 +231,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         squares[name][own] += (total * total).mean(1)
         getattr(net, name)[own] -= rate * total / np.sqrt(squares[name][own])[:, None]
 
-    for epoch in range(epochs):
+    batch = min(BATCH, max(32, len(owner) // 20))
+    for epoch in range(MOST_EPOCHS):
+        if epoch >= epochs and step >= LEAST_STEPS:
+            break
         if epoch == 0:
             chosen = np.arange(len(owner))
         else:  # each text's highest window, and one more of texts with label 0
@@ -239,9 +244,9 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             other = first + (r.random(len(first)) * (last - first)).astype(np.int64)
             chosen = np.concatenate([best, other[np.asarray(labels) == 0]])
         r.shuffle(chosen)
-        for k in range(0, len(chosen), BATCH):
+        for k in range(0, len(chosen), batch):
             step += 1
-            rows = chosen[k:k + BATCH]
+            rows = chosen[k:k + batch]
             here, small = np.unique(ids[rows], return_inverse=True)
             small = small.reshape(len(rows), WINDOW)
             real = here[here > 0] - 1
