@@ -1,20 +1,48 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage gets what the one before it kept, written as Parquet and read again. All but the last
+return the columns of documents; the last returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwell.llm import exact_dedup
+from sparkwell.llm import exact_dedup, near_dedup, packing, pii, toxicity
 from sparkwell.llm.common import materialize, table
 
 
-def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the network learns from the labels of its own input."""
+    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first(docs)
 
 
-STAGES = [("exact_dedup", stage_exact_dedup)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return near_dedup.keep_one(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
 
-#: Not expressible in SQL (learned scores, sampling, tokens); tests hold it against brute force.
+#: Not expressible in SQL (a trained network, sampling, token ids); tests hold it against brute force.
 ORACLE_SQL = None
 
 
@@ -23,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
+            docs = materialize(docs, f"pipeline-{name.replace(' ', '-')}")
     return docs

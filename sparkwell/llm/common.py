@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +50,37 @@ def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: Keys are broadcast (8 bytes each) up to this count, beyond it rows are found by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """docs with _file and _row, the place of each row; docs that don't come from files are first written to the shared folder."""
+    at = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    try:
+        return docs.withColumns(at)
+    except AnalysisException:
+        return materialize(docs, "located").withColumns(at)
+
+
+def only_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of a located table whose place is in places (_file, _row, each once), with the other columns of places."""
+    if places.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(places), ["_file", "_row"])
+    return rows.join(places, ["_file", "_row"])
+
+
+def connected(edges: DataFrame, what: str = "components") -> DataFrame:
+    """node and label, the smallest node of its component, of the nodes of edges (a, b); each round is written to the shared folder."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), what)
+    while True:
+        near = both.join(labels.withColumnsRenamed({"node": "b", "label": "other"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        after = materialize(lower.join(jump, "label").select("node", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved")), what)
+        if after.where("moved").isEmpty():
+            return after.select("node", "label")
+        labels = after.select("node", "label")

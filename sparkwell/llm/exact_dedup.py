@@ -19,9 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from sparkwell.llm.common import materialize, scratch, table, text_of
+from sparkwell.llm.common import located, materialize, scratch, table, text_of
 
 #: The characters that equality leaves out: space and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -47,16 +46,6 @@ def sha256_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with the columns _file and _row; docs that don't come from files are first written to the shared folder."""
-    at = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
-    keep = docs.select("doc_id", "text")
-    try:
-        return docs.select("doc_id", "text", at["_file"].alias("_file"), at["_row"].alias("_row"))
-    except AnalysisException:
-        return materialize(keep, "dedup-input").select("doc_id", "text", at["_file"].alias("_file"), at["_row"].alias("_row"))
-
-
 def _better() -> Column:
     """Orders rows: the largest stays. Most code points, then the smallest doc_id (null last); ties: the last place."""
     return F.struct(F.col("_len"), (F.col("doc_id").isNotNull()).alias("_has"), (-F.col("doc_id")).alias("_neg"))
@@ -90,7 +79,7 @@ def dedup(docs: DataFrame, digest=sha256_digest, state_dir: str | None = None) -
     same folder adds its rows to the state (None: a new folder, for these rows alone).
     """
     spark = docs.sparkSession
-    rows = located(docs)
+    rows = located(docs.select("doc_id", "text"))
     text = text_of()
     root = state_dir or scratch(spark, "dedup-state")
     records = rows.select(
@@ -141,17 +130,10 @@ def _verified(spark: SparkSession, rows: DataFrame, records: DataFrame, groups:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text an earlier or longer row already has; the columns stay.
-
-    docs must come from files (it is written first if not), because rows are found again by file and place.
-    """
-    try:
-        place = docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    except AnalysisException:
-        docs = materialize(docs, "dedup-docs")
-        place = docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    dropped = dedup(docs).where(~F.col("kept")).select("_file", "_row")
-    return place.join(dropped, ["_file", "_row"], "left_anti").select(*docs.columns)
+    """docs without the rows whose text another row keeps; the columns stay."""
+    rows = located(docs)
+    dropped = dedup(rows.drop("_file", "_row")).where(~F.col("kept")).select("_file", "_row")
+    return rows.join(dropped, ["_file", "_row"], "left_anti").select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkwell.llm import exact_dedup, packing, pii, secrets, toxicity
+from sparkwell.llm import exact_dedup, near_dedup, packing, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_pii": pii.op4_pii,
         "op8_packing": packing.op8_packing,
+        "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     }
 
 
