@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkwell.llm import exact_dedup, near_dedup, packing, pii, secrets, spotsigs, toxicity
+from sparkwell.llm import exact_dedup, near_dedup, packing, pieces, pii, secrets, spotsigs, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_secret_scans": secrets.op2_secret_scans,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_pii": pii.op4_pii,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op7_spotsigs": spotsigs.op7_spotsigs,
         "op8_packing": packing.op8_packing,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
