@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkwell.llm import exact_dedup, near_dedup, packing, pieces, pii, secrets, spotsigs, toxicity
+from sparkwell.llm import exact_dedup, html_text, near_dedup, packing, pieces, pii, secrets, spotsigs, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_pii": pii.op4_pii,
         "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op6_html_extraction": html_text.op6_html_extraction,
         "op7_spotsigs": spotsigs.op7_spotsigs,
         "op8_packing": packing.op8_packing,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
