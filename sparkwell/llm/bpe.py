@@ -17,39 +17,56 @@ from sparkwell.llm.common import vocabulary_path
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Entries of the memory of words; it is emptied when full.
-MEMORY = 400_000
+MEMORY = 700_000
 
 # Letters and numbers (Unicode classes L and N) and white space up to U+00FF.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _PLAIN = bytes(i for i in range(256) if i in b"\t\n\r" or 32 <= i < 127 or i > 160 and i != 173)
+_STOPS = {",", ".", ";", ":", "!", "?"}
 #: White space on both sides of a cut.
 _MEETS = re.compile("[\\t\\n\\r ] (?:[\\t\\n\\r ]|$)")
 
 
-class _Memory(dict):
+# Byte-level vocabularies write a byte as a printable character: itself if printable, else the next one from U+0100.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINTABLE} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
+class _Words(dict):
+    """Ids of a word: one match of the pattern."""
+
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.merge = tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
-        self[word] = ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids = self.ids(word)
         return ids
 
+    def ids(self, word: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(word.encode().decode("latin-1").translate(_BYTES))])
+
 
 class _Chunks(dict):
     """Ids of a chunk with the space before it."""
 
-    def __init__(self, words: _Memory):
+    def __init__(self, words: _Words):
         super().__init__()
         self.words = words
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
-        self[chunk] = ids = b"".join(map(self.words.__getitem__, _WORD.findall(f" {chunk}")))
+        if chunk.isalpha():
+            ids = self.words.ids(f" {chunk}")
+        elif chunk[-1:] in _STOPS and chunk[:-1].isalpha():
+            ids = self[chunk[:-1]] + self.words[chunk[-1]]
+        else:
+            ids = b"".join(map(self.words.__getitem__, _WORD.findall(f" {chunk}")))
+        self[chunk] = ids
         return ids
 
 
@@ -61,7 +78,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words = _Memory(self.tokenizer)
+        self.words = _Words(self.tokenizer)
         self.chunks = _Chunks(self.words)
 
     def encode(self, text: str) -> bytes:
