@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to function) and SQL (name to DuckDB text).
-MODULES: list[str] = []
+MODULES: list[str] = ["operators.records"]
 
 
 def _gather(what: str) -> dict:
