@@ -1,8 +1,8 @@
 """Every query of the library (without the llm subpackage) against its DuckDB SQL."""
 
 import pytest
-from compare import database, rows_of_duckdb, rows_of_spark
-from conftest import SMALL
+from compare import SMALL, database, rows_of_duckdb, rows_of_spark
+
 
 from sparkwell import catalog
 
