@@ -22,5 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secret_scans": secrets.ORACLE_SQL,
         "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     }

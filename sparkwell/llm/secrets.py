@@ -99,3 +99,29 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         F.col("shared").alias("n_shared"), F.col("owner_specific").alias("n_owner_specific"), F.col("live").alias("n_live"), "most_owners", "most_repositories",
     )
+
+
+def _found(kind: str, pattern: str, group: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"select rid, owner, repo, '{kind}' as kind, {KINDS.index(kind)} as rank, regexp_extract_all(t, {p}, 0) as hits, regexp_extract_all(t, {p}, {group}) as vals, regexp_split_to_array(t, {p}) as gaps from d"
+
+
+ORACLE_SQL = f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, coalesce(source, '') as owner, concat_ws('/', source, lang) as repo from documents),
+k as ({_found("assign", ASSIGN, 2)} union all {_found("access", ACCESS, 0)} union all {_found("hex", HEX, 0)} union all {_found("vendor", VENDOR, 0)}),
+s as (select *, unnest(range(1, len(hits) + 1)) as i from k where len(hits) > 0),
+p as (select rid, owner, repo, kind, rank, vals[i] as v, length(hits[i]) as n,
+             cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) as bigint) as a from s),
+c as (select *, a || ':' || (a + n) as place, sha256(v) as hash,
+             length(v) >= {LIVE_LENGTH} and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') and len(list_distinct(string_split(v, ''))) >= {LIVE_ALPHABET} as live
+      from p where kind <> 'assign' or length(v) >= {MIN_ASSIGN}),
+f as (select hash, count(distinct owner) as owners, count(distinct (owner, repo)) as repositories from c group by hash),
+g as (select rid, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+             string_agg(kind || ':' || place, ',' order by a, rank) filter (where kind <> 'vendor') as base, string_agg(kind || ':' || place, ',' order by a, rank) as spans,
+             count(*) filter (where owners >= {SHARED_OWNERS}) as n_shared, count(*) filter (where owners = 1) as n_owner_specific, count(*) filter (where owners = 1 and live) as n_live,
+             max(owners) as most_owners, max(repositories) as most_repositories
+      from c join f using (hash) group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_shared, 0) as n_shared, coalesce(n_owner_specific, 0) as n_owner_specific, coalesce(n_live, 0) as n_live, coalesce(most_owners, 0) as most_owners, coalesce(most_repositories, 0) as most_repositories
+from d left join g using (rid)
+"""
