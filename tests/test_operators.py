@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkwell.operators import records, retrieval, sequences, statistics
+from sparkwell.operators import more, records, retrieval, sequences, statistics
 from sparkwell.sources import corpus
 from sparkwell.streaming import sessions
 
@@ -121,3 +121,15 @@ def test_sessions_on_a_stream_match_the_table(spark, tmp_path):
     streamed = sessions.replay(spark, str(tmp_path / "e.parquet"), lambda e: sessions.sessions(e, "user_id", "1 hour", late="0 seconds"))
     want = {(r.user_id, r.n) for r in sessions.sessions(df, "user_id", "1 hour").where("user_id < 9").collect()}
     assert {(r.user_id, r.n) for r in streamed.where("user_id < 9").collect()} == want
+
+
+def test_cardinals_count_up():
+    want = {0: "zero", 21: "twenty one", 100: "one hundred", 1999: "one thousand nine hundred ninety nine", 250000: "two lakh fifty thousand", 12345678: "one crore twenty three lakh forty five thousand six hundred seventy eight"}
+    assert {n: more.cardinal(n) for n in want} == want
+    assert len({more.cardinal(n) for n in range(20000)}) == 20000
+
+
+def test_assembly_places_each_document_once(spark):
+    df = lambda *rows: spark.createDataFrame([("q", *r) for r in rows], "item_id string, doc_id long, rank long")
+    got = more.assemble(df((1, 1)), df((1, 1), (2, 2), (3, 3)), df((3, 1), (4, 2), (5, 3), (6, 4)), 3)
+    assert sorted((r.position, r.doc_id, r.section) for r in got.collect()) == [(1, 1, 0), (2, 2, 1), (3, 3, 1), (4, 4, 2), (5, 5, 2)]
