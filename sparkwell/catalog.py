@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to function) and SQL (name to DuckDB text).
-MODULES: list[str] = ["operators.records", "functions.text", "operators.statistics", "operators.retrieval", "sources.corpus", "operators.sequences", "streaming.sessions", "operators.more"]
+MODULES: list[str] = ["operators.records", "functions.text", "operators.statistics", "operators.retrieval", "sources.corpus", "operators.sequences", "streaming.sessions", "operators.more", "operators.projections"]
 
 
 def _gather(what: str) -> dict:
