@@ -57,8 +57,8 @@ BROADCAST_KEYS = 200_000
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with _file and _row, the place of each row; docs that don't come from files are first written to the shared folder."""
-    at = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    """docs with __sw_file and __sw_row, the place of each row; docs that don't come from files are first written to the shared folder."""
+    at = {"__sw_file": F.col("_metadata.file_path"), "__sw_row": F.col("_metadata.row_index")}
     try:
         return docs.withColumns(at)
     except AnalysisException:
@@ -66,10 +66,10 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def only_places(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """The rows of a located table whose place is in places (_file, _row, each once), with the other columns of places."""
+    """The rows of a located table whose place is in places (__sw_file, __sw_row, each once), with the other columns of places."""
     if places.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        return rows.join(F.broadcast(places), ["_file", "_row"])
-    return rows.join(places, ["_file", "_row"])
+        return rows.join(F.broadcast(places), ["__sw_file", "__sw_row"])
+    return rows.join(places, ["__sw_file", "__sw_row"])
 
 
 def connected(edges: DataFrame, what: str = "components") -> DataFrame:

@@ -73,7 +73,7 @@ def run_state(spark: SparkSession, records_path: str, schema, checkpoint: str, o
 
 
 def dedup(docs: DataFrame, digest=sha256_digest, state_dir: str | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, _file, _row.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, __sw_file, __sw_row.
 
     state_dir: where records, streaming checkpoint and state output stay; a further call with the
     same folder adds its rows to the state (None: a new folder, for these rows alone).
@@ -83,14 +83,14 @@ def dedup(docs: DataFrame, digest=sha256_digest, state_dir: str | None = None) -
     text = text_of()
     root = state_dir or scratch(spark, "dedup-state")
     records = rows.select(
-        "doc_id", "_file", "_row", digest(normalized(text)).alias("_digest"), F.length(text).cast("long").alias("_len"),
+        "doc_id", "__sw_file", "__sw_row", digest(normalized(text)).alias("_digest"), F.length(text).cast("long").alias("_len"),
         *([] if digest is sha256_digest else [sha256_digest(normalized(text)).alias("_sha")]),
-    ).withColumns({"_best": _better(), "_loc": F.struct("_file", "_row", "doc_id")})
+    ).withColumns({"_best": _better(), "_loc": F.struct("__sw_file", "__sw_row", "doc_id")})
     records.write.mode("append").parquet(f"{root}/records")
     records = spark.read.schema(records.schema).parquet(f"{root}/records")
     run_state(spark, f"{root}/records", records.schema, f"{root}/checkpoint", f"{root}/groups")
     if state_dir is None and records.isEmpty():
-        groups = spark.createDataFrame([], "_digest string, _top struct<_best:struct<_len:bigint,_has:boolean,_neg:bigint>,_loc:struct<_file:string,_row:bigint,doc_id:bigint>>, _n bigint")
+        groups = spark.createDataFrame([], "_digest string, _top struct<_best:struct<_len:bigint,_has:boolean,_neg:bigint>,_loc:struct<__sw_file:string,__sw_row:bigint,doc_id:bigint>>, _n bigint")
     else:
         changed = spark.read.parquet(f"{root}/groups")
         last = W.partitionBy("_digest").orderBy(F.desc("_batch"))
@@ -114,30 +114,30 @@ def _verified(spark: SparkSession, rows: DataFrame, records: DataFrame, groups:
     clash = texts.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_digest")
     clash = materialize(clash, "dedup-clash")
     sha = F.col("_digest") if digest is sha256_digest else F.col("_sha")
-    row = records.select("doc_id", "_file", "_row", "_digest", sha.alias("text_sha256"), "_best", "_loc")
+    row = records.select("doc_id", "__sw_file", "__sw_row", "_digest", sha.alias("text_sha256"), "_best", "_loc")
     done = row.join(groups, "_digest")
     if not clash.isEmpty():
         # different texts under one digest: their rows are grouped by the text itself
         done = done.join(clash, "_digest", "left_anti")
-        part = body.join(clash, "_digest", "left_semi").select("_file", "_row", "_text")
-        part = part.join(row, ["_file", "_row"])
+        part = body.join(clash, "_digest", "left_semi").select("__sw_file", "__sw_row", "_text")
+        part = part.join(row, ["__sw_file", "__sw_row"])
         best = part.groupBy("_digest", "_text").agg(F.max(F.struct("_best", "_loc")).alias("_top"), F.count(F.lit(1)).alias("_n"))
         done = done.unionByName(part.join(best, ["_digest", "_text"]).drop("_text"))
-    kept = (F.col("_top._loc._file") == F.col("_file")) & (F.col("_top._loc._row") == F.col("_row"))
+    kept = (F.col("_top._loc.__sw_file") == F.col("__sw_file")) & (F.col("_top._loc.__sw_row") == F.col("__sw_row"))
     return done.select(
-        "doc_id", F.col("_top._loc.doc_id").alias("keep_id"), F.col("_n").alias("group_size"), kept.alias("kept"), "text_sha256", "_file", "_row",
+        "doc_id", F.col("_top._loc.doc_id").alias("keep_id"), F.col("_n").alias("group_size"), kept.alias("kept"), "text_sha256", "__sw_file", "__sw_row",
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row keeps; the columns stay."""
     rows = located(docs)
-    dropped = dedup(rows.drop("_file", "_row")).where(~F.col("kept")).select("_file", "_row")
-    return rows.join(dropped, ["_file", "_row"], "left_anti").select(*docs.columns)
+    dropped = dedup(rows.drop("__sw_file", "__sw_row")).where(~F.col("kept")).select("__sw_file", "__sw_row")
+    return rows.join(dropped, ["__sw_file", "__sw_row"], "left_anti").select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("_file", "_row")
+    return dedup(table(spark, sf_dir, "documents")).drop("__sw_file", "__sw_row")
 
 
 ORACLE_SQL = r"""

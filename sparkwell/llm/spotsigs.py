@@ -156,15 +156,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest doc_id among texts linked by likeness of threshold or more), _file, _row."""
+    """One row per row of docs: doc_id, class_id (smallest doc_id among texts linked by likeness of threshold or more), __sw_file, __sw_row."""
 
     def sign(batches):
         for b in batches:
             sets = [signatures(t.as_py()).astype(np.int64).tolist() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_file"), b.column("_row"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "_file", "_row", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__sw_file"), b.column("__sw_row"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "__sw_file", "__sw_row", "sigs"])
 
-    rows = located(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "_file", "_row", text_of().alias("text"))
-    rows = rows.mapInArrow(sign, "doc_id long, _file string, _row long, sigs array<long>").withColumns({"row": F.monotonically_increasing_id(), "print": F.sha2(F.array_join("sigs", ","), 256)})
+    rows = located(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "__sw_file", "__sw_row", text_of().alias("text"))
+    rows = rows.mapInArrow(sign, "doc_id long, __sw_file string, __sw_row long, sigs array<long>").withColumns({"row": F.monotonically_increasing_id(), "print": F.sha2(F.array_join("sigs", ","), 256)})
     rows = materialize(rows, "spot-rows")
     nodes = materialize(rows.groupBy("print").agg(F.min("row").alias("node")), "spot-nodes")
     sets = materialize(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sigs"), "spot-sets")
@@ -186,10 +186,15 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         full = pairs.join(sets.withColumnsRenamed({"node": "a", "sigs": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "sigs": "sb"}), "b")
         return materialize(full.select("a", "b", distance.alias("distance")), "spot-compared")
 
-    labels = links(members, compare, threshold)
+    def own_weights(of: DataFrame) -> DataFrame:
+        part = sets.join(of, "node", "left_semi").select("node", F.explode("sigs").alias("sig"))
+        only = part.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+        return materialize(part.groupBy("node").agg(F.count(F.lit(1)).alias("all")).join(only, "node", "left").select("node", "all", F.coalesce("own", F.lit(0)).alias("own")), "spot-own")
+
+    labels = links(members, compare, own_weights, threshold)
     nodes = nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = rows.select("doc_id", "_file", "_row", "print").join(nodes, "print")
-    return named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("doc_id", "class_id", "_file", "_row")
+    named = rows.select("doc_id", "__sw_file", "__sw_row", "print").join(nodes, "print")
+    return named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("doc_id", "class_id", "__sw_file", "__sw_row")
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
