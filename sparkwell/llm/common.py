@@ -74,13 +74,27 @@ def only_places(rows: DataFrame, places: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame, what: str = "components") -> DataFrame:
     """node and label, the smallest node of its component, of the nodes of edges (a, b); each round is written to the shared folder."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), what)
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("peer")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("peer"))).distinct()
+    labels = materialize(both.groupBy("node").agg(F.least(F.min("peer"), F.col("node")).alias("label")), what)
     while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b", "label": "other"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        near = both.join(labels.select(F.col("node").alias("peer"), F.col("label").alias("other")), "peer").groupBy("node").agg(F.min("other").alias("other"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         after = materialize(lower.join(jump, "label").select("node", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("moved")), what)
         if after.where("moved").isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")
+
+
+def merged(labels: DataFrame | None, edges: DataFrame, what: str = "components") -> DataFrame | None:
+    """labels (node, label) after more edges (a, b): only the graph of the labels that the edges join is searched."""
+    if edges.isEmpty():
+        return labels
+    if labels is None:
+        return connected(edges, what)
+    known = labels.union(edges.select("a", "a").union(edges.select("b", "b"))).groupBy("node").agg(F.min("label").alias("label"))
+    known = materialize(known, what)
+    of = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    joined = connected(materialize(between, what), what).select(F.col("node").alias("label"), F.col("label").alias("low"))
+    return materialize(known.join(joined, "label", "left").select("node", F.coalesce("low", "label").alias("label")), what)
