@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -79,6 +80,22 @@ def test_mcnemar_exact(spark):
         assert r.p == pytest.approx(want, abs=1e-9)
 
 
+def test_mcnemar_of_large_sessions(spark, tmp_path):
+    counts = {1: (5, 2), 2: (11, 15), 3: (20, 21), 4: (400, 330), 5: (0, 60), 6: (25000, 25200), 7: (3, 90), 8: (7, 3), 9: (3, 7)}
+    rows = [(s, v) for s, (b, c) in counts.items() for v, n in ((40.0, b), (60.0, c)) for _ in range(n)]
+    spark.createDataFrame(rows, "user_id long, value double").selectExpr("monotonically_increasing_id() as event_id", "user_id", "timestamp '2024-01-01' as ts", "'view' as event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.session_id: r for r in statistics.evl05_mcnemar(spark, str(tmp_path)).collect()}
+    assert {s: (r.b, r.c) for s, r in got.items()} == counts
+    for s, (b, c) in counts.items():
+        n, k = b + c, min(b, c)
+        term = total = math.comb(n, k)
+        for i in range(k, 0, -1):
+            term = term * i // (n - i + 1)
+            total += term
+        want = min(Fraction(1), Fraction(2 * total, 2**n))
+        assert got[s].p == pytest.approx(float(want), abs=1e-8)
+
+
 def test_merge_families(spark):
     r = random.Random(3)
     pairs = list({(r.randrange(40), r.randrange(35)) for _ in range(50)})
