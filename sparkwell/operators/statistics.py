@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkwell.functions.text import normalized_message
 from sparkwell.plans.views import oracle, view
 
 #: Two-sided 95 % normal quantile.
@@ -303,13 +304,13 @@ def evl29_two_runs(spark, sf_dir):
 
 
 def dst01_components(spark, sf_dir):
-    """Families that share a normalized message are merged: smallest family of each connected part."""
-    t = view(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("family"), F.col("l_partkey").alias("message")).distinct()
+    """Families that share a normalized message are merged: smallest family of each connected part, over all conversations."""
+    t = view(spark, sf_dir, "messages").select(F.col("conv_id").alias("family"), F.sha2(normalized_message(F.col("text")), 256).alias("message")).distinct()
     return merge_families(t, "family", "message")
 
 
 def merge_families(pairs: DataFrame, family: str, message: str) -> DataFrame:
-    """family and merged: smallest label spread over shared messages until nothing changes.
+    """family and merged: smallest label spread over shared messages until nothing changes; a null message joins nothing.
 
     Each round is written by checkpoint(), so that lineage stays short and lost executors don't matter.
     """
@@ -318,11 +319,12 @@ def merge_families(pairs: DataFrame, family: str, message: str) -> DataFrame:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    pairs = pairs.checkpoint()
     labels = pairs.select(family, F.col(family).alias("merged")).distinct()
     while True:
         low = pairs.join(labels, family).groupBy(message).agg(F.min("merged").alias("low"))
         near = pairs.join(low, message).groupBy(family).agg(F.min("low").alias("low"))
-        step = labels.join(near, family).select(family, F.col("merged").alias("old"), F.least("merged", "low").alias("merged"))
+        step = labels.join(near, family, "left").select(family, F.col("merged").alias("old"), F.least("merged", "low").alias("merged"))
         jump = step.select(F.col(family).alias("merged"), F.col("merged").alias("far"))
         after = step.join(jump, "merged").select(family, "old", F.least("merged", "far").alias("merged")).checkpoint()
         labels = after.select(family, "merged")

@@ -113,6 +113,28 @@ def test_merge_families(spark):
     assert got == label
 
 
+def test_components_of_all_conversations(spark, tmp_path):
+    r = random.Random(5)
+    said = [(f, f"message {r.randrange(50)}") for f in range(1, 41) for _ in range(r.randrange(1, 4))] + [(50, None), (51, None), (52, "  MESSAGE   7?! ")]
+    rows = [(f, k, "user", r.choice([m, m.upper(), f" {m}  ?"]) if m else m) for k, (f, m) in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    top = {f: f for f, _ in said}
+
+    def root(f):
+        while top[f] != f:
+            f = top[f]
+        return f
+
+    first = {}
+    for f, m in said:
+        if m is not None:
+            a, b = root(f), root(first.setdefault(m.strip().lower().rstrip("?! ").replace("   ", " "), f))
+            top[max(a, b)] = min(a, b)
+    want = {f: root(f) for f in top}
+    assert 1 < len(set(want.values())) < len(want)
+    assert {x.family: x.merged for x in statistics.dst01_components(spark, str(tmp_path)).collect()} == want
+
+
 def test_token_windows_cover_all(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(250)))), (2, "a b")], "doc_id long, text string")
     got = {}
