@@ -179,8 +179,9 @@ def txt31_rank_filters(spark, sf_dir):
 
 def txt32_term_match(spark, sf_dir):
     """The six documents that share most terms with each benchmark item."""
-    q = view(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(words(F.col("text"), True), lambda w: F.length(w) > 5))).alias("term"))
-    d = _docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(words(F.col("text"), True))).alias("term"))
+    q = view(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(words(F.col("text"), True), lambda w: F.length(w) > 2))).alias("term"))
+    # dealt by document first, so that the overlaps are counted where the terms are
+    d = _docs(spark, sf_dir).select("doc_id", F.array_distinct(words(F.col("text"), True)).alias("terms")).repartition("doc_id").select("doc_id", F.explode("terms").alias("term"))
     n = d.join(q, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
     return n.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("overlap"), "doc_id"))).where("rank <= 6")
 

@@ -168,7 +168,7 @@ def agg03_status_histogram(spark, sf_dir):
 
 def agg27_document_frequency(spark, sf_dir):
     d = view(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    return d.groupBy("lang", "term").agg(F.count("*").alias("df")).where("df >= 20")
+    return d.groupBy("lang", "term").agg(F.count("*").alias("df"))
 
 
 def agg28_average_length(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -135,6 +136,27 @@ def test_components_of_all_conversations(spark, tmp_path):
     assert {x.family: x.merged for x in statistics.dst01_components(spark, str(tmp_path)).collect()} == want
 
 
+def test_document_frequency_of_all_terms(spark, tmp_path):
+    rows = [(k, lang, " ".join(f"w{j}" for j in range(k, k + 3)) + " w0") for k in range(30) for lang in ("en", "de")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter((lang, t) for _, lang, text in rows for t in set(text.split()))
+    assert {(r.lang, r.term): r.df for r in retrieval.agg27_document_frequency(spark, str(tmp_path)).collect()} == want
+
+
+def test_terms_of_three_letters_match(spark, tmp_path):
+    r, terms = random.Random(2), ["ab", "cat", "tree", "house", "garden", "windows", "the", "und"]
+    said = lambda k: [(j, " ".join(r.choices(terms, k=4))) for j in range(k)]
+    docs, items = said(25), said(4)
+    spark.createDataFrame([(k, "en", t, "s", len(t)) for k, t in docs], "doc_id long, lang string, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = set()
+    for item, text in items:
+        own = {t for t in text.split() if len(t) > 2 and t != "the"}
+        order = sorted((-n, doc) for doc, other in docs if (n := len(own & set(other.split()))))
+        want |= {(item, doc, -n, k) for k, (n, doc) in enumerate(order[:6], 1)}
+    assert {(x.item_id, x.doc_id, x.overlap, x.rank) for x in more.txt32_term_match(spark, str(tmp_path)).collect()} == want
+
+
 def test_token_windows_cover_all(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(250)))), (2, "a b")], "doc_id long, text string")
     got = {}
