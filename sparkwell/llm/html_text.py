@@ -6,6 +6,10 @@ other text is emitted: blocks on lines of their own with blank lines around para
 lists with marks and indents, preformatted text as it is, and the cells of tables in aligned columns.
 Each page is rendered whole by the worker that has it; nothing is shuffled.
 
+Strings and elements that stand between the rows or cells of a table come in front of it; cells keep their columns below
+a rowspan. A column is padded to 80 characters at most: longer cells are whole, but what is right of them is not aligned,
+since padding to the longest cell can make a page's text as long as its square.
+
 Defined cases: null or empty html gives empty text; broken markup never fails: an end tag that
 closes nothing is dropped, what is open at the end is closed, a lone < is text; elements nested deeper
 than MAX_DEPTH are laid out as parts of the element at that depth, with all of their text; a null id
@@ -29,7 +33,9 @@ MAX_DEPTH = 200
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noframes svg math".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noframes".split())
+#: In svg and math, what is not shown where it stands.
+ASIDE = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
 BLOCK = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table ul tr
@@ -46,6 +52,7 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 _IN_HEAD = frozenset("base link meta title style script template noscript head html".split())
+_PARTS = frozenset("tr td th thead tbody tfoot".split())
 _NO_PARENT_PAST = frozenset({"td", "th", "table", "html"})
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>", re.S)
@@ -56,10 +63,11 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parted", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.parted = False  # holds rows or cells of the table around it
 
     def attr(self, name: str) -> str | None:
         if name not in self.attrs.lower():
@@ -143,6 +151,13 @@ def parse(page: str) -> Node:
         attrs = m[3].rstrip("/") if m[3] else ""
         node = Node(tag, attrs)
         stack[-1].children.append(node)
+        if tag in _PARTS:
+            for x in reversed(stack):
+                if x.tag == "table" or x.parted:
+                    break
+                x.parted = True
+        if m[3].endswith("/") and any(x.tag in ("svg", "math") for x in [*stack, node]):
+            continue  # only there a slash ends an element
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             inner = page[at:end.start() if end else n]
@@ -189,39 +204,80 @@ class Page:
         self.blank = True
 
 
-def _cells(node: Node) -> Iterator[list[Node]]:
-    """Rows of a table, through its sections."""
-    loose: list[Node] = []
+def _row(out: Page, node: Node) -> list[Node]:
+    """Cells of a row, through what is wrongly around them; all else goes to out."""
+    cells = []
+    for c in node.children:
+        if isinstance(c, str):
+            out.word(c)
+        elif c.shown():
+            out.word(" ")
+            if c.tag in ("td", "th"):
+                cells.append(c)
+            elif c.parted:
+                cells += _row(out, c)
+            else:
+                _render(out, c)
+    return cells
+
+
+def _rows(out: Page, node: Node) -> list[list[Node] | None]:
+    """Rows of a table, through its sections and what is wrongly around them, None between sections; all else, as captions and strings, goes to out."""
+    rows: list[list[Node] | None] = []
+    loose = False
     for c in node.children:
-        if isinstance(c, str) or not c.shown():
+        if isinstance(c, str):
+            out.word(c)
+            continue
+        if not c.shown():
+            continue
+        out.word(" ")
+        if c.tag in ("td", "th"):
+            if not loose:
+                rows.append([])
+            rows[-1].append(c)
+            loose = True
             continue
         if c.tag == "tr":
-            yield [x for x in c.children if not isinstance(x, str) and x.shown()]
+            rows.append(_row(out, c))
         elif c.tag in ("thead", "tbody", "tfoot"):
-            yield from _cells(c)
-        elif c.tag in ("td", "th"):
-            loose.append(c)
-    if loose:
-        yield loose
+            rows += [None, *_rows(out, c), None]
+        elif c.tag == "colgroup" or c.parted:
+            rows += _rows(out, c)
+        else:
+            _render(out, c)
+            continue
+        loose = False
+    return rows
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    span = cell.attr(name) or "1"
+    return min(int(span), most) if span.isdecimal() and len(span) < 6 else 1
 
 
 def _table(out: Page, node: Node) -> None:
-    for c in node.children:
-        if isinstance(c, str):
-            out.word(c)
-        elif c.tag not in ("tr", "thead", "tbody", "tfoot", "td", "th", "colgroup", "col") and c.shown():
-            _render(out, c)  # captions, and what is wrongly there
+    found = _rows(out, node)
     out.line()
     rows = []
-    for cells in _cells(node):
-        row = []
+    taken: dict[int, int] = {}  # columns that cells of rows above reach into, and for how many rows
+    for cells in found:
+        if cells is None:
+            taken = {}
+            continue
+        row, below = [], {}
         for c in cells:
+            while len(row) in taken:
+                row.append("")
             inner = Page()
             _children(inner, c)
             inner.line()
+            at = len(row)
             row.append(" ".join(x.strip() for x in inner.lines if x.strip()))
-            span = c.attr("colspan") or "1"
-            row += [""] * (min(int(span), 100) - 1 if span.isdecimal() and len(span) < 4 and int(span) > 0 else 0)
+            row += [""] * (_span(c, "colspan", 100) - 1)
+            if down := (_span(c, "rowspan", 65534) or 65534) - 1:
+                below |= dict.fromkeys(range(at, len(row)), down)
+        taken = {k: n - 1 for k, n in taken.items() if n > 1} | below
         rows.append(row)
     widths: list[int] = []
     for row in rows:
@@ -250,8 +306,26 @@ def _children(out: Page, node: Node, pre: bool = False) -> None:
             _render(out, c, pre)
 
 
+def _drawing(out: Page, node: Node) -> None:
+    """Text of svg and math."""
+    for c in node.children:
+        if isinstance(c, str):
+            out.word(c)
+        elif c.tag not in ASIDE and c.shown():
+            if c.tag in BLOCK:
+                _render(out, c)
+                continue
+            out.word("" if c.tag in ("tspan", "a") else " ")
+            _children(out, c) if c.tag == "foreignobject" else _drawing(out, c)
+
+
 def _render(out: Page, node: Node, pre: bool = False) -> None:
     tag = node.tag
+    if tag in ("svg", "math"):
+        out.word(" ")
+        _drawing(out, node)
+        out.word(" ")
+        return
     if tag == "br":
         out.line(keep=bool(out.now) or not out.lines or out.lines[-1] != "")
         return

@@ -79,6 +79,25 @@ def test_html_layout():
     assert text("") == "" and text("<" * 50) == "<" * 50 and "deep" in text("<div>" * 3000 + "deep")
 
 
+def test_html_odd_tables_keep_all_text():
+    text = html_text.visible_text
+    odd = (
+        "<table><tr>s1<td>s2<tr><td>s3</td>s4</table>s5", "<table>s1<tbody>s2<form><tr><td>s3<td>s4<tr><td>s5</form></tbody></table>",
+        "<table><tr><div>s1</div><td>s2</td><b>s3</b></tr><thead>s4<p>s5</thead></table>", "<table><tr><form><td>s1<td>s2</form></tr><td>s3<td>s4<tr><td>s5</table>",
+        "<table><colgroup>s1<col></colgroup><tr><td>s2<table><tr>s3<td>s4</table><td>s5</table>",
+        "<div>" * 197 + "<table><tr><td>s1<td>s2<tr><td>s3</table>s4<p>s5", "<div>" * 196 + "<table><tbody><tr><td>s1<td>s2<tr><td>s3</table>s4<p>s5",
+        "<svg><defs/><title>no</title><path d='M0'/><g><text>s1<tspan>,</tspan></text><text>s2</text></g></svg><math><mi>s3</mi><mo>s4</mo></math>s5",
+    )
+    for page in odd:
+        assert sorted(re.findall(r"\w+", text(page))) == ["s1", "s2", "s3", "s4", "s5"], page
+    assert text(odd[1]) == "s1 s2\ns3  s4\ns5"
+
+
+def test_html_rowspan_keeps_columns():
+    assert html_text.visible_text("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td rowspan=0>e<tr><td>f<td>g<td>h</table>") == "a  b  c\n   d  e\nf  g     h"
+    assert html_text.visible_text("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>") == "a  b\nc  d"
+
+
 def test_html_hard_pages_end_soon():
     for page in ("<a " + "x=\"y' " * 20000, "<p " * 50000, "<a b='" * 20000, "<a b='>' " * 20000, "<!--" * 20000, "</p>" * 50000):
         html_text.visible_text(page)
