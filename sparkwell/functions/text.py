@@ -201,7 +201,7 @@ def txt20_redact(spark, sf_dir):
 
 
 def txt21_dedup_key(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy(dedup_key(F.substring("text", 1, 60), F.col("lang")).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return _docs(spark, sf_dir).groupBy(F.sha2(dedup_key(F.col("text"), F.col("lang")), 256).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
 def txt22_family_key(spark, sf_dir):

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparkwell.functions import text
 from sparkwell.operators import more, records, retrieval, sequences, statistics
 from sparkwell.sources import corpus
 from sparkwell.streaming import sessions
@@ -157,6 +158,13 @@ def test_terms_of_three_letters_match(spark, tmp_path):
     assert {(x.item_id, x.doc_id, x.overlap, x.rank) for x in more.txt32_term_match(spark, str(tmp_path)).collect()} == want
 
 
+def test_dedup_key_of_whole_texts(spark, tmp_path):
+    head = "the same long beginning " * 5
+    rows = [(1, head + "one", "en"), (2, head + "two", "en"), (3, head.upper() + " One!", "en"), (4, head + "one", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted((r["n"], r["first"]) for r in text.txt21_dedup_key(spark, str(tmp_path)).collect()) == [(1, 2), (1, 4), (2, 1)]
+
+
 def test_token_windows_cover_all(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(250)))), (2, "a b")], "doc_id long, text string")
     got = {}
