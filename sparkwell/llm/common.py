@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,18 +29,48 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: The folder of the workspace that is open, if any.
+_OPEN: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+@contextmanager
+def workspace(spark: SparkSession, what: str) -> Iterator[None]:
+    """What is materialized inside lies in one folder, which goes at the end, but for tables that outlive it."""
+    at = scratch(spark, what)
+    token = _OPEN.set(at)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, what: str, outlives: bool = False) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and survives lost executors."""
-    path = scratch(df.sparkSession, what)
+    at = _OPEN.get()
+    path = f"{at}/{what}-{uuid.uuid4().hex}" if at and not outlives else scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()) if fs.exists(at) else []
+
+
 def text_of(column: str = "text") -> Column:
     """A document's text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -52,23 +85,43 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Keys are broadcast (8 bytes each) up to this count, beyond it rows are found by a shuffle.
+#: Keys are broadcast (8 bytes each) up to this count, beyond it rows are found by a shuffle alone.
 BROADCAST_KEYS = 200_000
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with __sw_file and __sw_row, the place of each row; docs that don't come from files are first written to the shared folder."""
+    """docs with __sw_file and __sw_row, the place of each row; docs that don't come from files are first written to the shared folder; located docs stay as they are."""
     at = {"__sw_file": F.col("_metadata.file_path"), "__sw_row": F.col("_metadata.row_index")}
+    if {*at} <= {*docs.columns}:
+        return docs
     try:
         return docs.withColumns(at)
     except AnalysisException:
         return materialize(docs, "located").withColumns(at)
 
 
+def kept_rows(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that judge, which gets them located, marks as not kept; the columns stay, whatever their names."""
+    names = {}
+    for c in docs.columns:
+        if c in ("__sw_file", "__sw_row"):
+            names[c] = f"{c}_"
+            while names[c] in docs.columns:
+                names[c] += "_"
+    rows = located(docs.withColumnsRenamed(names))
+    dropped = judge(rows).where(~F.col("kept")).select("__sw_file", "__sw_row")
+    left = rows.join(dropped, ["__sw_file", "__sw_row"], "left_anti")
+    return left.select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def only_places(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """The rows of a located table whose place is in places (__sw_file, __sw_row, each once), with the other columns of places."""
+    """The rows of a located table whose place is in places (__sw_file, __sw_row, each once), with the other columns of places.
+
+    Few places are first sent to all rows as hashes, so that only the rows wanted are moved.
+    """
     if places.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        return rows.join(F.broadcast(places), ["__sw_file", "__sw_row"])
+        key = F.xxhash64("__sw_file", "__sw_row")
+        rows = rows.withColumn("_key", key).join(F.broadcast(places.select(key.alias("_key")).distinct()), "_key", "left_semi").drop("_key")
     return rows.join(places, ["__sw_file", "__sw_row"])
 
 

@@ -1,13 +1,12 @@
 """Operator 9: near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is the weighted set of its shingles of five words: count times 1 + ln(N / document frequency),
-where frequencies below FREQUENT_SHARE of all rows count as that share. Shingles above the share are
-found exactly in two passes (each is above it in at least one chunk of rows; a fixed-size bitmap of
-those is broadcast, and what it lets through is counted over all rows); there are at most
-(mean shingles of a row) / FREQUENT_SHARE of them, whatever the number of rows, so their table is
-broadcast. Improved consistent weighted sampling draws HASHES samples from each set, with variates
-taken from seeded tables by the shingle's hash; bands of samples form buckets. Within a bucket every
-text is compared with its most central one, by the exact weighted Jaccard similarity of whole texts.
+A text is the weighted set of its shingles of five words: count times 1 + ln((1 + SMOOTH) / (f + SMOOTH)),
+where f is the share of all rows that have the shingle. Every row's shingles are counted, into a table
+of hashed counters (counters.py), where what a counter holds of other shingles is far below SMOOTH; the
+table has a fixed size and is broadcast. SMOOTH keeps the unique shingles around an edit from outweighing those
+that the copies share. Improved consistent weighted sampling draws HASHES samples from each set, with
+variates taken from seeded tables by the shingle's hash; bands of samples form buckets. Within a bucket
+every text is compared with its most central one, by the exact weighted Jaccard similarity of whole texts.
 Further leaders follow, for the pairs that are neither in one class yet nor ruled out by the triangle
 inequality of the distance or by the weight of shingles that only one of the texts has, until no such
 pair is left. So each linked pair of a bucket ends up in one class, and a group of copies costs about
@@ -16,15 +15,13 @@ one comparison for each member. Classes are the connected parts.
 Defined cases: null counts as empty; texts equal but for case, white space and punctuation are one
 text from the start; texts without words form one class; texts of fewer than five words are one
 shingle; null and repeated doc_ids are rows of their own; of a class the smallest doc_id (null last,
-then the first row) stays; an empty table gives an empty result; other columns are ignored.
+then the first row) stays; ties of samples go to the smaller hash, ties of leaders to the smaller row;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import OrderedDict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -34,76 +31,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import located, materialize, merged, only_places, table, text_of
+from sparkwell.llm.common import kept_rows, located, materialize, merged, only_places, table, text_of, workspace
+from sparkwell.llm.counters import count_rows, counter_of
+from sparkwell.llm.hashing import mixed, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Samples of a text, in bands of ROWS: a pair at the threshold meets in a bucket with probability 0.998, at 0.9 with 1 - 1e-5.
 BANDS, ROWS = 12, 4
 HASHES = BANDS * ROWS
-FREQUENT_SHARE = 0.01
-#: Rows of the variate tables, bits of the bitmap, rows of a chunk in the first pass.
-VARIATES, BITMAP, CHUNK = 1 << 16, 1 << 24, 2000
+#: Added to each share of rows.
+SMOOTH = 0.05
+#: Rows of the variate tables. Shingles of one text that share a row are told apart by their hashes.
+VARIATES = 1 << 13
 SEED = 11
-#: Words whose hashes a worker remembers.
-MEMORY = 500_000
 
-_WORD = re.compile(r"[^\W_]+")
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASH = _Hashes()
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-def shingles(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of a text's distinct shingles and how often each occurs."""
-    w = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-    if not len(w):
-        return w, np.empty(0, np.int64)
-    n = max(1, len(w) - SHINGLE + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, len(w))):
-        h += w[k:k + n] * _FACTORS[k]
-    h = np.sort(_mixed(h))
+def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of a text's distinct shingles and how often each occurs, from the hashes of its words."""
+    if not len(words):
+        return words, np.empty(0, np.int64)
+    n = max(1, len(words) - SHINGLE + 1)
+    h = words[:n] * _FACTORS[0]
+    for k in range(1, min(SHINGLE, len(words))):
+        h += words[k:k + n] * _FACTORS[k]
+    h = mixed(h)
+    h.sort()
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     return h[first], np.diff(np.append(first, n))
 
 
 class Weights:
-    """Weights of shingles by the corpus: its rows and the frequencies of its frequent shingles."""
+    """Weights of shingles by the corpus: its rows and the counters of its shingles."""
 
-    def __init__(self, rows: int, frequent: dict[int, int] | None = None):
-        known = sorted((frequent or {}).items())
-        self.hashes = np.array([h for h, _ in known], np.uint64)
-        self.idf = np.array([1 + math.log(rows / df) for _, df in known])
-        self.most = 1 + math.log(1 / FREQUENT_SHARE)
+    def __init__(self, rows: int, counters: np.ndarray):
+        share = np.minimum(counters / max(1, rows), 1.0)
+        self.weight = (1 + np.log((1 + SMOOTH) / (share + SMOOTH))).astype(np.float32)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return self.weigh(*shingles(words_of(text)))
+        return self.weigh(*shingles(next(word_hashes([text]))))
 
     def weigh(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = n * self.most
-        if len(self.hashes) and len(h):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            w[hit] = n[hit] * self.idf[at[hit]]
-        return h, w
+        return h, n * self.weight[counter_of(h)].astype(np.float64)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -114,104 +84,47 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return least / most if most else 1.0
 
 
-@lru_cache(maxsize=2)
-def _variates(seed: int = SEED) -> tuple[np.ndarray, ...]:
+@lru_cache(maxsize=1)
+def _variates(seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and beta of the sampling; r and c are gamma(2, 1), beta is uniform."""
     r = np.random.default_rng(seed)
-    draw = lambda f: f((VARIATES, HASHES)).astype(np.float32)
-    return draw(lambda s: r.gamma(2.0, size=s)), np.log(draw(lambda s: r.gamma(2.0, size=s))), draw(lambda s: r.random(s))
-
-
-@lru_cache(maxsize=2)
-def _usual(weight: float) -> np.ndarray:
-    """ln a of every row of the tables for the weight that most shingles have."""
-    return _log_a(np.arange(VARIATES), np.full(VARIATES, weight))[0]
-
-
-def _log_a(rows: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    r, log_c, beta = (x[rows] for x in _variates())
-    t = np.floor(np.log(w).astype(np.float32)[:, None] / r + beta)
-    return log_c - r * (t - beta) - r, t
+    shape = (VARIATES, HASHES)
+    return r.gamma(2.0, size=shape).astype(np.float32), np.log(r.gamma(2.0, size=shape)).astype(np.float32), r.random(shape).astype(np.float32)
 
 
-def bands(h: np.ndarray, w: np.ndarray, usual: float) -> np.ndarray:
-    """The bucket of a weighted set in each band; sets must not be empty."""
-    rows = (h >> np.uint64(48)).astype(np.int64)
-    plain = w == usual
-    best = np.full(HASHES, np.inf, np.float32)
-    sample = np.zeros(HASHES, np.uint64)
-    for part, log_a in ((plain, lambda i: _usual(usual)[rows[i]]), (~plain, lambda i: _log_a(rows[i], w[i])[0])):
-        where = np.flatnonzero(part)
-        for k in range(0, len(where), 8192):
-            i = where[k:k + 8192]
-            a = log_a(i)
-            at = a.argmin(0)
-            low = a[at, np.arange(HASHES)]
-            better = (low < best) | ((low == best) & (h[i[at]] < sample))
-            best, sample = np.where(better, low, best), np.where(better, h[i[at]], sample)
-    chosen = np.searchsorted(h, sample)
+def bands(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The bucket of a weighted set in each band; sets must not be empty, their hashes sorted."""
+    r, log_c, beta = _variates()
+    rows = (h >> np.uint64(64 - VARIATES.bit_length() + 1)).astype(np.int64)
+    log_w = np.log(w).astype(np.float32)
     k = np.arange(HASHES)
-    r, _, beta = _variates()
-    t = np.floor(np.log(w[chosen]).astype(np.float32) / r[rows[chosen], k] + beta[rows[chosen], k])
-    each = _mixed(sample + t.astype(np.int64).view(np.uint64) * _FACTORS[0] + k.astype(np.uint64))
+    best = np.full(HASHES, np.inf, np.float32)
+    sample, level = np.zeros(HASHES, np.uint64), np.zeros(HASHES, np.float32)
+    for at in range(0, len(h), 2048):
+        part = rows[at:at + 2048]
+        rate, shift = r[part], beta[part]
+        t = log_w[at:at + 2048, None] / rate
+        t += shift
+        np.floor(t, out=t)
+        # ln a = ln c - ln y - r, where ln y = r (t - beta)
+        shift -= t
+        shift -= 1
+        shift *= rate
+        shift += log_c[part]
+        low = shift.argmin(0)
+        a, here = shift[low, k], h[at + low]
+        better = (a < best) | ((a == best) & (here < sample))
+        best, sample, level = np.where(better, a, best), np.where(better, here, sample), np.where(better, t[low, k], level)
+    each = mixed(sample + level.astype(np.int64).view(np.uint64) * _FACTORS[0] + k.astype(np.uint64))
     key = np.zeros(BANDS, np.uint64)
     for j in range(ROWS):
-        key = _mixed(key * _FACTORS[1] + each[j::ROWS])
+        key = mixed(key * _FACTORS[1] + each[j::ROWS])
     return key.view(np.int64)
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Shingles with their document frequency in each chunk of rows, and the chunk's rows."""
-    sets: list[np.ndarray] = []
-
-    def counted():
-        h = np.sort(np.concatenate(sets))
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-        return h[first], np.diff(np.append(first, len(h))), len(sets)
-
-    for b in batches:
-        for t in b.column("text"):
-            sets.append(shingles(words_of(t.as_py()))[0])
-            if len(sets) == CHUNK:
-                yield counted()
-                sets = []
-    if sets:
-        yield counted()
-
-
-def _probes(h: np.ndarray) -> np.ndarray:
-    """Three bits of the bitmap for each hash."""
-    return (np.stack([h, h >> np.uint64(20), h >> np.uint64(40)]) % np.uint64(BITMAP)).astype(np.int64)
-
-
 def corpus_weights(docs: DataFrame) -> Weights:
-    """Row count and exact frequencies of the frequent shingles over all rows."""
-    spark = docs.sparkSession
-    texts = docs.select(text_of().alias("text"))
-
-    def locally(batches):
-        for h, df, n in _chunks(batches):
-            bits = np.unique(_probes(h[df >= FREQUENT_SHARE * n]))
-            yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.left_shift(np.int64(1), bits & 63))], ["word", "mask"])
-
-    words = texts.mapInArrow(locally, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect()  # at most BITMAP / 64 rows
-    bitmap = np.zeros(BITMAP // 64, np.int64)
-    for word, mask in words:
-        bitmap[word] = mask
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    def again(batches):
-        rows = 0
-        for h, df, n in _chunks(batches):
-            rows += n
-            bit = _probes(h)
-            hit = ((shared.value[bit >> 6] >> (bit & 63)) & 1 == 1).all(0)
-            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(df[hit].astype(np.int64)), pa.nulls(int(hit.sum()), pa.int64())], ["hash", "df", "rows"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.nulls(1, pa.int64()), pa.array([rows])], ["hash", "df", "rows"])
-
-    found = materialize(texts.mapInArrow(again, "hash long, df long, rows long").groupBy("hash").agg(F.sum("df").alias("df"), F.sum("rows").alias("rows")), "near-frequencies")
-    total = found.where("hash is null").agg(F.sum("rows")).first()[0] or 0
-    frequent = found.where(F.col("hash").isNotNull() & (F.col("df") > FREQUENT_SHARE * total)).select("hash", "df").collect()  # at most mean shingles / FREQUENT_SHARE rows
-    return Weights(max(1, total), {h % (1 << 64): df for h, df in frequent})
+    """Weights by the shingles of all rows of docs."""
+    return Weights(*count_rows(docs.select(text_of().alias("text")), lambda texts: (shingles(words)[0] for words in word_hashes(texts))))
 
 
 def _signed(docs: DataFrame, weights) -> DataFrame:
@@ -221,12 +134,11 @@ def _signed(docs: DataFrame, weights) -> DataFrame:
         w = weights.value
         for b in batches:
             d1, d2, keys = [], [], []
-            for t in b.column("text"):
-                words = words_of(t.as_py())
-                d = xxhash.xxh3_128_intdigest(" ".join(words))
+            for words in word_hashes(t.as_py() for t in b.column("text")):
+                d = xxhash.xxh3_128_intdigest(words.tobytes())
                 d1.append((d >> 64) - (1 << 63))
                 d2.append((d & (1 << 64) - 1) - (1 << 63))
-                keys.append(bands(*w.weigh(*shingles(words)), w.most).tolist() if words else [])
+                keys.append(bands(*w.weigh(*shingles(words))).tolist() if len(words) else [])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__sw_file"), b.column("__sw_row"), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "__sw_file", "__sw_row", "d1", "d2", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__sw_file", "__sw_row", text_of().alias("text"))
@@ -237,18 +149,14 @@ def _compared(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """a, b and the distance of each pair of nodes."""
 
     def compare(batches):
-        w, seen = weights.value, OrderedDict()
-
-        def weighed(node: int, text: str):
-            if node not in seen:
-                seen[node] = w.of(text)
-                if len(seen) > 64:
-                    seen.popitem(last=False)
-            return seen[node]
-
+        w, last, theirs = weights.value, None, None
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            d = [1 - similarity(weighed(x, s.as_py()), weighed(y, t.as_py())) for x, y, s, t in zip(a, b, batch.column("ta"), batch.column("tb"), strict=True)]
+            d = []
+            for k, node in enumerate(b):
+                if node != last:  # pairs come in the order of b: its set is made once
+                    last, theirs = node, w.of(batch.column("tb")[k].as_py())
+                d.append(1 - similarity(w.of(batch.column("ta")[k].as_py()), theirs))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], ["a", "b", "distance"])
 
     full = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
@@ -301,57 +209,64 @@ def links(members: DataFrame, compare: Callable[[DataFrame], DataFrame], own_wei
             state = state.withColumn("label", F.col("node"))
         else:
             state = state.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = state.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("bucket")
-        state = materialize(state.join(mixed, "bucket", "left_semi"), "near-state")
+        mixed_ = state.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("bucket")
+        state = materialize(state.join(mixed_, "bucket", "left_semi"), "near-state")
         if state.isEmpty():
             return labels
         if "own" not in state.columns:
-            state = state.join(own_weights(state.select("node").distinct()), "node")
-            state = state.join(state.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")), "node")
-        state = state.withColumn("_shared", F.col("all") - F.col("own"))
-        w = W.partitionBy("bucket")
-        # the best that a member could reach with any other of its bucket
-        best = F.col("_shared") >= threshold * (F.col("all") + F.min("own").over(w)) - 1e-9
-        ranked = state.withColumn("_may", best).where("_may").withColumn("_rank", F.row_number().over(w.orderBy(F.try_divide("own", "all"), "node")))
-        ranked = materialize(ranked.drop("_may"), "near-ranked")
-        lead = ranked.where(F.col("_rank") <= leaders).select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "node", "label", "distance", "_rank", "all", "own", "_shared", "buckets")))
-        common, most = F.least("_shared", "_shared_b"), F.greatest("_shared", "_shared_b")
-        pairs = ranked.join(lead, (
-            (F.col("bucket") == F.col("bucket_b")) & (F.col("label") != F.col("label_b")) & (F.col("_rank") > F.col("_rank_b")) & (F.abs(F.col("distance") - F.col("distance_b")) <= reach)
+            own = own_weights(state.select("node").distinct()).withColumn("order", F.struct(F.try_divide("own", "all").alias("share"), "node")).withColumn("shared", F.col("all") - F.col("own"))
+            state = state.join(own, "node").join(state.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")), "node")
+        # only those stay that could reach the threshold with the one of their bucket that has least of its own
+        least = state.groupBy("bucket").agg(F.min("own").alias("_least"))
+        state = state.join(least, "bucket").where(F.col("shared") >= threshold * (F.col("all") + F.col("_least")) - 1e-9).drop("_least")
+        state = materialize(state, "near-state")
+        ranked = state.withColumn("_rank", F.row_number().over(W.partitionBy("bucket").orderBy("order"))).where(F.col("_rank") <= leaders)
+        lead = materialize(ranked.select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "node", "label", "distance", "own", "shared", "order", "buckets"))), "near-leaders")
+        common, most = F.least("shared", "shared_b"), F.greatest("shared", "shared_b")
+        pairs = state.join(lead, (
+            (F.col("bucket") == F.col("bucket_b")) & (F.col("label") != F.col("label_b")) & (F.col("order") > F.col("order_b")) & (F.abs(F.col("distance") - F.col("distance_b")) <= reach)
             & (common >= threshold * (F.col("own") + F.col("own_b") + most) - 1e-9) & (F.col("bucket") == F.array_min(F.array_intersect("buckets", "buckets_b")))
         ))
         more = compare(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
         edges = more.where(F.col("distance") <= reach).select("a", "b")
-        state = ranked.where(F.col("_rank") > leaders).drop("label", "_rank", "_shared")
+        past = lead.groupBy(F.col("bucket_b").alias("bucket")).agg(F.max("order_b").alias("_last"))
+        state = state.join(past, "bucket").where(F.col("order") > F.col("_last")).drop("label", "_last")
         leaders *= 8
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, kept, texts (different texts in the class), __sw_file, __sw_row."""
     spark = docs.sparkSession
-    docs = located(docs.select("doc_id", "text"))
-    weights = spark.sparkContext.broadcast(corpus_weights(docs))
-    rows = materialize(_signed(docs, weights).withColumn("row", F.monotonically_increasing_id()), "near-signed")
-    nodes = materialize(rows.groupBy("d1", "d2").agg(F.min("row").alias("node")), "near-nodes")
-    single = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    members = single.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    members = materialize(members.join(shared, "bucket", "left_semi"), "near-members")
-    places = rows.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("__sw_file", "__sw_row", F.col("row").alias("node"))
-    texts = materialize(only_places(docs.select("__sw_file", "__sw_row", text_of().alias("text")), materialize(places, "near-places")).select("node", "text"), "near-texts")
-    labels = links(members, lambda pairs: _compared(pairs, texts, weights), lambda nodes: _own_weights(nodes, texts, weights), threshold)
+    docs = located(docs).select("doc_id", "text", "__sw_file", "__sw_row")
+    with workspace(spark, "near"):
+        weights = spark.sparkContext.broadcast(corpus_weights(docs))
+        rows = materialize(_signed(docs, weights).withColumn("row", F.monotonically_increasing_id()), "near-signed")
+        nodes = materialize(rows.groupBy("d1", "d2").agg(F.min("row").alias("node")), "near-nodes")
+        single = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+        members = single.select(F.explode("bands").alias("bucket"), F.col("row").alias("node"))
+        shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
+        members = materialize(members.join(shared, "bucket", "left_semi"), "near-members")
+        places = rows.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("__sw_file", "__sw_row", F.col("row").alias("node"))
+        texts = materialize(only_places(docs.select("__sw_file", "__sw_row", text_of().alias("text")), materialize(places, "near-places")).select("node", "text"), "near-texts")
+        labels = links(members, lambda pairs: _compared(pairs, texts, weights), lambda nodes: _own_weights(nodes, texts, weights), threshold)
+        return named(rows, nodes, labels, ["d1", "d2"])
+
+
+def named(rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, key: list[str]) -> DataFrame:
+    """rows with the class of their node (found by key) instead of key and row: class_id, class_size, kept, texts; a table that outlives the workspace."""
     nodes = nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = rows.join(nodes, ["d1", "d2"])
+    # tables of their own, so that the joins with them may split a text or a class that many rows have
+    own = rows.drop("bands", "prefix").join(materialize(nodes, "named-nodes"), key)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "row")).alias("_best")
-    groups = named.groupBy("label", "node").agg(best, F.count(F.lit(1)).alias("_n")).groupBy("label").agg(F.min("_best").alias("_best"), F.sum("_n").alias("class_size"), F.count(F.lit(1)).alias("texts"))
-    return named.join(groups, "label").select("doc_id", F.col("_best.doc_id").alias("class_id"), "class_size", (F.col("_best.row") == F.col("row")).alias("kept"), "texts", "__sw_file", "__sw_row")
+    groups = own.groupBy("label", "node").agg(best, F.count(F.lit(1)).alias("_n")).groupBy("label").agg(F.min("_best").alias("_best"), F.sum("_n").alias("class_size"), F.count(F.lit(1)).alias("texts"))
+    found = own.join(materialize(groups, "named-groups"), "label")
+    chosen = [F.col("_best.doc_id").alias("class_id"), "class_size", (F.col("_best.row") == F.col("row")).alias("kept"), "texts"]
+    return materialize(found.select(*(c for c in own.columns if c not in (*key, "row", "node", "label")), *chosen), "classes", outlives=True)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class; the columns stay."""
-    rows = located(docs)
-    dropped = classes(rows.drop("__sw_file", "__sw_row"), threshold).where(~F.col("kept")).select("__sw_file", "__sw_row")
-    return rows.join(dropped, ["__sw_file", "__sw_row"], "left_anti").select(*docs.columns)
+    return kept_rows(docs, lambda rows: classes(rows, threshold))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
