@@ -4,23 +4,27 @@ Each row of the input becomes a narrow record: a digest of the text without whit
 id and length, and a locator of its content (file and row in the file). A Structured Streaming
 aggregation over these records keeps, for each digest and without expiry, the record that stays and
 the number of rows. Its state lies in RocksDB on the executors' disks with checkpoints in the shared
-folder, so a later run over more files can go on from it. A digest that was hit more than once is a
-candidate only: the full texts behind it are then grouped byte by byte, with map-side combining, so
-that a group of any size stays cheap, and rows whose digests collide are told apart.
+folder, so a later batch of rows goes on from it. A digest that was hit more than once is a
+candidate only: the full texts behind it, those of earlier batches fetched by their locators, are
+then grouped byte by byte, with map-side combining, so that a group of any size stays cheap, and
+rows whose digests collide are told apart.
 
 Defined cases: null text counts as empty; all texts of white space only are equal; a null doc_id
 loses against any other and is returned as null; of rows alike in all of this the last in file
-order stays, so exactly one row of a group has kept = true; an empty table gives an empty result;
-further columns are ignored.
+order stays, so exactly one row of a group has kept = true; a batch of a state that is sent again
+under its name isn't added again; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from sparkwell.llm.common import located, materialize, scratch, table, text_of
+from sparkwell.llm.common import exists, kept_rows, located, materialize, only_places, scratch, table, text_of
 
 #: The characters that equality leaves out: space and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -48,7 +52,7 @@ def sha256_digest(text: Column) -> Column:
 
 def _better() -> Column:
     """Orders rows: the largest stays. Most code points, then the smallest doc_id (null last); ties: the last place."""
-    return F.struct(F.col("_len"), (F.col("doc_id").isNotNull()).alias("_has"), (-F.col("doc_id")).alias("_neg"))
+    return F.struct(F.col("_len"), (F.col("doc_id").isNotNull()).alias("_has"), F.bitwise_not("doc_id").alias("_neg"))
 
 
 def run_state(spark: SparkSession, records_path: str, schema, checkpoint: str, out: str) -> None:
@@ -72,43 +76,55 @@ def run_state(spark: SparkSession, records_path: str, schema, checkpoint: str, o
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def dedup(docs: DataFrame, digest=sha256_digest, state_dir: str | None = None) -> DataFrame:
+def dedup(docs: DataFrame, digest=sha256_digest, state_dir: str | None = None, batch: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, __sw_file, __sw_row.
 
     state_dir: where records, streaming checkpoint and state output stay; a further call with the
-    same folder adds its rows to the state (None: a new folder, for these rows alone).
+    same folder adds its rows to the state and returns the rows of all batches, whose files must
+    still be there (None: a new folder, for these rows alone). batch: the name of these rows in the
+    state; a job that repeats a batch gives the same name (None: a new one).
     """
     spark = docs.sparkSession
-    rows = located(docs.select("doc_id", "text"))
-    text = text_of()
-    root = state_dir or scratch(spark, "dedup-state")
+    rows = located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__sw_file", "__sw_row")
+    root, batch = state_dir or scratch(spark, "dedup-state"), batch or uuid.uuid4().hex
     records = rows.select(
-        "doc_id", "__sw_file", "__sw_row", digest(normalized(text)).alias("_digest"), F.length(text).cast("long").alias("_len"),
-        *([] if digest is sha256_digest else [sha256_digest(normalized(text)).alias("_sha")]),
+        "doc_id", "__sw_file", "__sw_row", digest(normalized(text_of())).alias("_digest"), F.length(text_of()).cast("long").alias("_len"),
+        *([] if digest is sha256_digest else [sha256_digest(normalized(text_of())).alias("_sha")]),
     ).withColumns({"_best": _better(), "_loc": F.struct("__sw_file", "__sw_row", "doc_id")})
-    records.write.mode("append").parquet(f"{root}/records")
-    records = spark.read.schema(records.schema).parquet(f"{root}/records")
-    run_state(spark, f"{root}/records", records.schema, f"{root}/checkpoint", f"{root}/groups")
-    if state_dir is None and records.isEmpty():
-        groups = spark.createDataFrame([], "_digest string, _top struct<_best:struct<_len:bigint,_has:boolean,_neg:bigint>,_loc:struct<__sw_file:string,__sw_row:bigint,doc_id:bigint>>, _n bigint")
-    else:
+    schema = StructType([*records.schema.fields, StructField("batch", StringType())])
+    here = f"{root}/records/batch={batch}"
+    if not exists(spark, f"{here}/_SUCCESS"):  # what a failed job has left is written anew
+        records.write.mode("overwrite").parquet(here)
+    records = spark.read.schema(schema).parquet(f"{root}/records")
+    run_state(spark, f"{root}/records", schema, f"{root}/checkpoint", f"{root}/groups")
+    if exists(spark, f"{root}/groups"):
         changed = spark.read.parquet(f"{root}/groups")
         last = W.partitionBy("_digest").orderBy(F.desc("_batch"))
         groups = changed.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("_digest", "_top", "_n")
-    return _verified(spark, rows, records, groups, digest)
-
-
-def _verified(spark: SparkSession, rows: DataFrame, records: DataFrame, groups: DataFrame, digest) -> DataFrame:
-    hits = groups.where("_n > 1").select("_digest")
-    key = F.xxhash64("_digest")
-    few = hits.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    text = normalized(text_of())
-    body = rows.withColumn("_text", text).withColumn("_digest", digest(F.col("_text")))
-    if few:
-        ids = hits.select(key.alias("_key"))
-        body = body.withColumn("_key", key).join(F.broadcast(ids), "_key", "left_semi")
     else:
-        body = body.join(hits, "_digest", "left_semi")
+        groups = records.groupBy("_digest").agg(F.max(F.struct("_best", "_loc")).alias("_top"), F.count(F.lit(1)).alias("_n"))
+    # as a table of its own, so that the joins with it may split a digest that many rows have
+    return _verified(spark, rows, records, materialize(groups, "dedup-groups"), digest, batch)
+
+
+def _contents(spark: SparkSession, rows: DataFrame, records: DataFrame, hits: DataFrame, digest, batch: str) -> DataFrame:
+    """__sw_file, __sw_row, _digest and _text of all rows whose digest was hit: of this batch as they are read, of earlier ones by their locators."""
+    body = rows.select("__sw_file", "__sw_row", normalized(text_of()).alias("_text")).withColumn("_digest", digest(F.col("_text")))
+    if hits.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        key = F.xxhash64("_digest")
+        body = body.withColumn("_key", key).join(F.broadcast(hits.select(key.alias("_key")).distinct()), "_key", "left_semi").drop("_key")
+    body = body.join(hits, "_digest", "left_semi").select("__sw_file", "__sw_row", "_digest", "_text")
+    before = records.where(F.col("batch") != batch).join(hits, "_digest", "left_semi").select("__sw_file", "__sw_row", "_digest")
+    files = [r[0] for r in before.select("__sw_file").distinct().collect()]  # as many as a reader of them has to list
+    if not files:
+        return body
+    older = located(spark.read.parquet(*files).select("text")).select("__sw_file", "__sw_row", normalized(text_of()).alias("_text"))
+    return body.unionByName(only_places(older, before))
+
+
+def _verified(spark: SparkSession, rows: DataFrame, records: DataFrame, groups: DataFrame, digest, batch: str) -> DataFrame:
+    hits = groups.where("_n > 1").select("_digest")
+    body = _contents(spark, rows, records, hits, digest, batch)
     # full bytes: one group for each text behind a digest that was hit
     texts = body.groupBy("_digest", "_text").agg(F.count(F.lit(1)).alias("_same"))
     clash = texts.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_digest")
@@ -122,7 +138,7 @@ def _verified(spark: SparkSession, rows: DataFrame, records: DataFrame, groups:
         part = body.join(clash, "_digest", "left_semi").select("__sw_file", "__sw_row", "_text")
         part = part.join(row, ["__sw_file", "__sw_row"])
         best = part.groupBy("_digest", "_text").agg(F.max(F.struct("_best", "_loc")).alias("_top"), F.count(F.lit(1)).alias("_n"))
-        done = done.unionByName(part.join(best, ["_digest", "_text"]).drop("_text"))
+        done = done.unionByName(part.join(best, ["_digest", "_text"]).drop("_text"), allowMissingColumns=True)
     kept = (F.col("_top._loc.__sw_file") == F.col("__sw_file")) & (F.col("_top._loc.__sw_row") == F.col("__sw_row"))
     return done.select(
         "doc_id", F.col("_top._loc.doc_id").alias("keep_id"), F.col("_n").alias("group_size"), kept.alias("kept"), "text_sha256", "__sw_file", "__sw_row",
@@ -131,9 +147,7 @@ def _verified(spark: SparkSession, rows: DataFrame, records: DataFrame, groups:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row keeps; the columns stay."""
-    rows = located(docs)
-    dropped = dedup(rows.drop("__sw_file", "__sw_row")).where(~F.col("kept")).select("__sw_file", "__sw_row")
-    return rows.join(dropped, ["__sw_file", "__sw_row"], "left_anti").select(*docs.columns)
+    return kept_rows(docs, dedup)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
