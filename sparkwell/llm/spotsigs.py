@@ -2,16 +2,20 @@
 
 A signature is a common word (the anchor) with the CHAIN content words that follow it; common words
 in between are skipped. A text's fingerprint is the set of its signatures' hashes, written as the
-base64 of sorted 32-bit numbers. Two fingerprints are compared by Jaccard similarity, pruned: sets
-whose sizes alone rule the threshold out aren't intersected. matches() partitions sets by size, so
-that only sets of sizes within the threshold of each other can meet, lets sets meet on their rarest
-signatures, and gives classes of similar texts.
+base64 of sorted 64-bit numbers. Two fingerprints are compared by Jaccard similarity; sets whose
+sizes alone rule the threshold out aren't intersected.
+
+Classes of similar texts come from partitions by set length: sets whose sizes are within the threshold
+of each other lie in the same or in neighbouring classes of the logarithm of the size, and within a
+partition sets meet on their rarest signatures only, as many as a set that reaches the threshold must
+share one of. How rare a signature is, is counted over all rows (counters.py). What meets is compared
+by the link search of near_dedup.py, with its bounds, on the exact sets.
 
 Defined cases: null text is empty; a text without any signature has one, of all its words together, so
 that equal texts have equal fingerprints, and texts without words share one fingerprint; likeness of
 equal fingerprints is 1; documents follow each other by descending doc_id, null last, equal ids by
-a hash of the text; a single document follows itself; an empty table gives an empty result; other columns are
-ignored.
+a hash of the text and its place; a single document follows itself; of a class the smallest doc_id
+(null last) names it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,23 +23,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import located, materialize, table, text_of
-from sparkwell.llm.near_dedup import links
+from sparkwell.llm.common import located, materialize, only_places, table, text_of, workspace
+from sparkwell.llm.counters import count_rows, counter_of
+from sparkwell.llm.hashing import mixed, word_hashes
+from sparkwell.llm.near_dedup import links, named
 
 CHAIN = 2
 THRESHOLD = 0.8
-MEMORY = 500_000
 
 # Common words of the four languages, the anchors.
 COMMON = frozenset(
@@ -45,48 +49,41 @@ COMMON = frozenset(
     el y los del las por con no una su para al lo como más pero sus le ya o este sí porque""".split()
 )
 
-_WORD = re.compile(r"[^\W_]+")
-_F = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-
-
-class _Hashes(dict):
-    """Hash of a word; its lowest bit tells common words."""
+_F = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word) & ~1 | (word in COMMON)
-        return h
 
+@lru_cache(maxsize=1)
+def _common() -> np.ndarray:
+    return np.sort(np.concatenate(list(word_hashes(COMMON))))
 
-_HASH = _Hashes()
 
-
-def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
-    """Sorted hashes of the distinct signatures of a text."""
-    words = _WORD.findall(text.lower())
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-    common = (h & np.uint64(1)) == 1
+def signatures_of(words: np.ndarray, chain: int = CHAIN) -> np.ndarray:
+    """Sorted hashes of the distinct signatures of a text, from the hashes of its words."""
+    known = _common()
+    common = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
     content = np.flatnonzero(~common)
     anchors = np.flatnonzero(common)
     next_content = np.searchsorted(content, anchors)
     ok = next_content + chain <= len(content)
     anchors, next_content = anchors[ok], next_content[ok]
     if not len(anchors):
-        return np.array([xxhash.xxh3_64_intdigest(" ".join(words)) >> 32], np.uint32)
-    s = h[anchors] * _F[0]
+        return np.array([xxhash.xxh3_64_intdigest(words.tobytes())], np.uint64)
+    s = words[anchors] * _F[0]
     for k in range(chain):
-        s = (s ^ (s >> np.uint64(29))) * _F[1] + h[content[next_content + k]] * _F[2]
-    s = (s ^ (s >> np.uint64(32))) * _F[3]
-    return np.unique((s >> np.uint64(32)).astype(np.uint32))
+        s = mixed(s * _F[1] + words[content[next_content + k]] * _F[2])
+    return np.unique(s)
+
+
+def signatures(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    return map(signatures_of, word_hashes(texts))
 
 
 def written(sigs: np.ndarray) -> str:
-    return base64.b64encode(sigs.astype("<u4").tobytes()).decode()
+    return base64.b64encode(sigs.astype("<u8").tobytes()).decode()
 
 
 def read(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), "<u4")
+    return np.frombuffer(base64.b64decode(fingerprint), "<u8")
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
@@ -104,98 +101,138 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_FULL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _order(rows: DataFrame) -> dict[str, Column]:
+    """key and tie: what located rows are ordered by."""
+    return {"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "tie": F.xxhash64(text_of(), "__sw_file", "__sw_row")}
+
+
+_FULL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, class_size long"
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
 
 def _prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a part in order, each with the one after it; guests are only followers."""
+    """Rows of a part in order, each after the row of its class (no text), if there are classes, and before the one that follows it; guests are only followers."""
     names = [x.split()[0] for x in _FULL.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    last = None  # part, guest, doc_id, text, signatures
+    last, own, judged = None, None, (None, None)  # the row before, its signatures and class
+    coming = (None, None)  # class of the row that comes
     for b in batches:
-        out: list[tuple] = []
-        for part, guest, doc_id, text in zip(b.column("part").to_pylist(), b.column("guest").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-            text = text.as_py()
-            now = (part, guest, doc_id, text, signatures(text))
-            if last and last[0] == part and not last[1]:
-                other = edited(last[3], text)
-                own, changed = last[4], signatures(other)
-                out.append((last[2], len(last[3]), hashlib.sha256(other.encode()).hexdigest(), written(own), written(changed), likeness(own, changed), likeness(own, now[4])))
-            last = now
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
+        for at in range(0, b.num_rows, 512):
+            rows = b.slice(at, 512).to_pylist()
+            texts = [r for r in rows if r["text"] is not None]
+            prints = signatures([r["text"] for r in texts])
+            changes = []  # pairs of rows that follow each other
+            for r in rows:
+                if r["text"] is None:
+                    coming = r["class_id"], r["class_size"]
+                    continue
+                sigs = next(prints)
+                if last and last["part"] == r["part"] and not last["guest"]:
+                    changes.append((last, own, judged, r, sigs))
+                last, own, judged, coming = r, sigs, coming, (None, None)
+            others = [edited(x["text"], y["text"]) for x, _, _, y, _ in changes]
+            out = [
+                (x["doc_id"], len(x["text"]), hashlib.sha256(other.encode()).hexdigest(), written(mine), written(changed), likeness(mine, changed), likeness(mine, theirs), *group)
+                for (x, mine, group, _, theirs), other, changed in zip(changes, others, signatures(others), strict=True)
+            ]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names)
+
+
+def fingerprints(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: its fingerprint and that of its edited text, and how alike they and the next document's are.
 
-    Documents are dealt by ranges of their id; the first of each range also goes to the range before
+    Documents are dealt by ranges of (id, tie); the first of each range also goes to the range before
     it, as a guest, so that each document meets the next one without a global order in one task.
+    groups (key, tie, class_id, class_size) of the same rows are dealt alike, so that texts move once.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumns({"key": key, "tie": F.xxhash64("text")})
+    docs = located(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *(c.alias(n) for n, c in _order(docs).items()))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.select(key.alias("key")).agg(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).first()[0]
-    bounds = np.array(sorted(set(cuts or [])), np.int64)
+    # a random sample of a fixed size for each part gives the bounds of the ranges
+    sample = rows.select("key", "tie").orderBy(F.xxhash64("key", "tie")).limit(32 * parts).collect()
+    places = np.array(sorted((r.key, r.tie) for r in sample), [("key", "i8"), ("tie", "i8")])
+    bounds = np.unique(places[[len(places) * k // parts for k in range(1, parts)]]) if len(places) else places
 
     @F.pandas_udf("int")
-    def part_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, keys.to_numpy(), side="left").astype(np.int32))
+    def part_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        at = np.empty(len(keys), bounds.dtype)
+        at["key"], at["tie"] = keys, ties
+        return pd.Series(len(bounds) - np.searchsorted(bounds, at, side="left").astype(np.int32))
 
-    rows = rows.withColumn("part", part_of("key"))
+    rows = rows.withColumn("part", part_of("key", "tie"))
     heads = rows.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("head")).orderBy("part").collect()  # one for each range
     if not heads:
         return spark.createDataFrame([], _FULL)
     before = [(heads[k - 1].part, h.head.key, h.head.tie) for k, h in enumerate(heads)]  # the first range's head follows the last
     guests = F.broadcast(spark.createDataFrame(before, "part int, key long, tie long"))
-    guest = rows.drop("part").join(guests, ["key", "tie"]).dropDuplicates(["key", "tie"]).select(*rows.columns, F.lit(True).alias("guest"))
-    every = rows.withColumn("guest", F.lit(False)).unionByName(guest)
+    guest = rows.drop("part").join(guests, ["key", "tie"]).dropDuplicates(["key", "tie", "part"]).select(*rows.columns, F.lit(True).alias("guest"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("class_id", "class_size")]
+    every = rows.withColumn("guest", F.lit(False)).unionByName(guest).select("*", *none)
+    if groups is not None:
+        own = groups.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "key", "tie", part_of("key", "tie").alias("part"), F.lit(False).alias("guest"), "class_id", "class_size")
+        every = every.unionByName(own)
     dealt = every.repartitionById(len(bounds) + 1, F.col("part"))
-    return dealt.sortWithinPartitions("part", "guest", F.desc("key"), F.desc("tie")).select("part", "guest", "doc_id", "text").mapInArrow(_prints, _FULL)
+    order = ["part", "guest", F.desc("key"), F.desc("tie"), F.col("text").isNotNull()]
+    return dealt.sortWithinPartitions(*order).select("part", "guest", "doc_id", "text", "class_id", "class_size").mapInArrow(_prints, _FULL)
 
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest doc_id among texts linked by likeness of threshold or more), __sw_file, __sw_row."""
-
-    def sign(batches):
-        for b in batches:
-            sets = [signatures(t.as_py()).astype(np.int64).tolist() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("__sw_file"), b.column("__sw_row"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "__sw_file", "__sw_row", "sigs"])
-
-    rows = located(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), "__sw_file", "__sw_row", text_of().alias("text"))
-    rows = rows.mapInArrow(sign, "doc_id long, __sw_file string, __sw_row long, sigs array<long>").withColumns({"row": F.monotonically_increasing_id(), "print": F.sha2(F.array_join("sigs", ","), 256)})
-    rows = materialize(rows, "spot-rows")
-    nodes = materialize(rows.groupBy("print").agg(F.min("row").alias("node")), "spot-nodes")
-    sets = materialize(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sigs"), "spot-sets")
-    each = sets.select("node", F.size("sigs").alias("size"), F.explode("sigs").alias("sig"))
-    rare = each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # of size n, a set that reaches the threshold with another shares one of its n - ceil(threshold * n) + 1 rarest signatures
-    ranked = each.join(rare, "sig", "left").withColumn("at", F.row_number().over(W.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "sig")))
-    prefix = ranked.where("df is not null").where(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1)
-    # sizes within the threshold of each other lie in the same or in neighbouring classes of the logarithm
-    step = -math.log(threshold) if threshold < 1 else 1.0
-    level = F.floor(F.ln("size") / step)
-    members = prefix.select(F.explode(F.array(level, level + 1)).alias("level"), "sig", "node").select(F.xxhash64("level", "sig").alias("bucket"), "node").distinct()
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialize(members.join(shared, "bucket", "left_semi"), "spot-members")
-    both = F.size(F.array_intersect("sa", "sb"))
-    distance = 1 - both / (F.size("sa") + F.size("sb") - both)
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.withColumnsRenamed({"node": "a", "sigs": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "sigs": "sb"}), "b")
-        return materialize(full.select("a", "b", distance.alias("distance")), "spot-compared")
-
-    def own_weights(of: DataFrame) -> DataFrame:
-        part = sets.join(of, "node", "left_semi").select("node", F.explode("sigs").alias("sig"))
-        only = part.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-        return materialize(part.groupBy("node").agg(F.count(F.lit(1)).alias("all")).join(only, "node", "left").select("node", "all", F.coalesce("own", F.lit(0)).alias("own")), "spot-own")
-
-    labels = links(members, compare, own_weights, threshold)
-    nodes = nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = rows.select("doc_id", "__sw_file", "__sw_row", "print").join(nodes, "print")
-    return named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("doc_id", "class_id", "__sw_file", "__sw_row")
+    """One row per row of docs: doc_id, key, tie, class_id (smallest doc_id among texts linked by likeness of threshold or more), class_size, kept, texts, __sw_file, __sw_row."""
+    spark = docs.sparkSession
+    docs = located(docs)
+    with workspace(spark, "spot"):
+        counted = spark.sparkContext.broadcast(count_rows(docs.select(text_of().alias("text")), signatures)[1].astype(np.uint32))
+
+        def sign(batches):
+            for b in batches:
+                d1, d2, size, prefix = [], [], [], []
+                for sigs in signatures(t.as_py() for t in b.column("text")):
+                    d = xxhash.xxh3_128_intdigest(sigs.tobytes())
+                    d1.append((d >> 64) - (1 << 63))
+                    d2.append((d & (1 << 64) - 1) - (1 << 63))
+                    size.append(len(sigs))
+                    # of size n, a set that reaches the threshold with another shares one of its n - ceil(threshold * n) + 1 rarest signatures
+                    rarest = sigs[np.argsort(counted.value[counter_of(sigs)], kind="stable")]
+                    prefix.append(rarest[: len(sigs) - math.ceil(threshold * len(sigs) - 1e-9) + 1].view(np.int64).tolist())
+                keep = ["doc_id", "__sw_file", "__sw_row", "key", "tie"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], [*keep, "d1", "d2", "size", "prefix"])
+
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__sw_file", "__sw_row", text_of().alias("text"), *(c.alias(n) for n, c in _order(docs).items()))
+        rows = rows.mapInArrow(sign, "doc_id long, __sw_file string, __sw_row long, key long, tie long, d1 long, d2 long, size long, prefix array<long>")
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "spot-rows")
+        nodes = materialize(rows.groupBy("d1", "d2").agg(F.min("row").alias("node")), "spot-nodes")
+        single = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "size", F.explode("prefix").alias("sig"))
+        step = -math.log(threshold) if threshold < 1 else 1.0
+        level = F.floor(F.ln("size") / step)
+        members = single.select(F.explode(F.array(level, level + 1)).alias("level"), "sig", "node").select(F.xxhash64("level", "sig").alias("bucket"), "node").distinct()
+        shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+        members = materialize(members.join(shared, "bucket", "left_semi"), "spot-members")
+        places = rows.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("__sw_file", "__sw_row", F.col("row").alias("node"))
+        texts = only_places(docs.select("__sw_file", "__sw_row", text_of().alias("text")), materialize(places, "spot-places"))
+
+        def collected(batches):
+            for b in batches:
+                sets = [s.view(np.int64).tolist() for s in signatures(t.as_py() for t in b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "sigs"])
+
+        sets = materialize(texts.select("node", "text").mapInArrow(collected, "node long, sigs array<long>"), "spot-sets")
+        both = F.size(F.array_intersect("sa", "sb"))
+        distance = 1 - both / (F.size("sa") + F.size("sb") - both)
+
+        def compare(pairs: DataFrame) -> DataFrame:
+            full = pairs.join(sets.withColumnsRenamed({"node": "a", "sigs": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "sigs": "sb"}), "b")
+            return materialize(full.select("a", "b", distance.alias("distance")), "spot-compared")
+
+        def own_weights(of: DataFrame) -> DataFrame:
+            part = sets.join(of, "node", "left_semi").select("node", F.explode("sigs").alias("sig"))
+            only = part.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+            return materialize(part.groupBy("node").agg(F.count(F.lit(1)).alias("all")).join(only, "node", "left").select("node", "all", F.coalesce("own", F.lit(0)).alias("own")), "spot-own")
+
+        labels = links(members, compare, own_weights, threshold)
+        return named(rows.drop("size"), nodes, labels, ["d1", "d2"])
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    docs = located(table(spark, sf_dir, "documents"))
+    return fingerprints(docs, matches(docs))
