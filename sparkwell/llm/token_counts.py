@@ -5,23 +5,25 @@ signed changes: an insert adds its counts, a delete takes them away, a revised c
 batch of changes is summed first (in map tasks, so that a source with a third of all rows moves as one
 row from each) and committed as one small table under the batch's name in the store. A batch that is
 already committed is not applied again, so a job may repeat it after a failure; totals add up the
-committed batches, and compact() folds them into one.
+committed batches and nothing else, and compact() folds them into one, which remembers their names.
 
 Defined cases: null text has no tokens; null sources and languages are groups of their own; repeated
-rows count each; groups whose documents are all gone aren't in the totals; an empty batch can be
+rows count each; of exact copies the rows with the smallest doc_id (null last) stay in the query, also
+if that id is repeated; groups whose documents are all gone aren't in the totals; an empty batch can be
 committed and changes nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwell.llm.bpe import BYTE_BPE, encoder
-from sparkwell.llm.common import materialize, scratch, table, text_of
+from sparkwell.llm.common import exists, folders, materialize, scratch, table, text_of
 
 GROUP = ["source", "lang", "tokenizer"]
 SUMS = ["documents", "tokens", "chars"]
@@ -29,17 +31,31 @@ DELTA = "source string, lang string, tokenizer string, documents long, tokens lo
 
 
 class Rollup:
-    """A store of committed batches in a folder that Spark can reach."""
+    """A store of committed batches in a folder that Spark can reach.
+
+    batches/<name> is one batch, committed once its _SUCCESS is there. folded/totals and folded/names,
+    if there, are the sums and the names of batches that compact() has put together.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def _at(self, batch: str) -> str:
+        return f"{self.path}/batches/{quote(batch, safe='')}"
+
+    def _done(self, path: str) -> bool:
+        return exists(self.spark, f"{path}/_SUCCESS")
+
+    def _names(self) -> list[str]:
+        """Committed batches that aren't folded."""
+        return [unquote(x) for x in folders(self.spark, f"{self.path}/batches") if self._done(f"{self.path}/batches/{x}")]
+
+    def _folded(self) -> DataFrame:
+        at = f"{self.path}/folded/names"
+        return self.spark.read.schema("batch string").parquet(at) if self._done(at) else self.spark.createDataFrame([], "batch string")
 
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
+        return self._done(self._at(batch)) or not self._folded().where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply changes (source, lang, tokenizer, sign, tokens, chars) once; False if the batch was committed before.
@@ -49,19 +65,24 @@ class Rollup:
         if self.committed(batch):
             return False
         sums = changes.groupBy(*GROUP).agg(*(F.sum(F.col("sign") * x).cast("long").alias(n) for n, x in zip(SUMS, (F.lit(1), F.col("tokens"), F.col("chars")), strict=True)))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        sums.write.mode("overwrite").parquet(self._at(batch))
         return True
 
     def totals(self) -> DataFrame:
-        if not self._exists(self.path):
+        paths = [self._at(n) for n in self._names()]
+        if self._done(f"{self.path}/folded/totals"):
+            paths.append(f"{self.path}/folded/totals")
+        if not paths:
             return self.spark.createDataFrame([], DELTA)
-        deltas = self.spark.read.schema(f"{DELTA}, batch string").parquet(self.path)
+        deltas = self.spark.read.schema(DELTA).parquet(*paths)
         return deltas.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).where("documents <> 0 or tokens <> 0 or chars <> 0")
 
     def compact(self, path: str) -> Rollup:
-        """A new store with the totals as its one batch; the old one stays as it is."""
+        """A new store with the totals and the names of all batches committed so far; the old one stays as it is."""
         new = Rollup(self.spark, path)
-        self.totals().write.mode("overwrite").parquet(f"{new.path}/batch=compacted")
+        names = self.spark.createDataFrame([(n,) for n in self._names()], "batch string").union(self._folded())
+        names.write.mode("overwrite").parquet(f"{new.path}/folded/names")
+        self.totals().write.mode("overwrite").parquet(f"{new.path}/folded/totals")
         return new
 
 
@@ -103,8 +124,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches over all documents: every row in, surplus exact copies out, counts revised after white space is cleaned; the last one sent twice."""
     counts = materialize(counted(table(spark, sf_dir, "documents")), "token-counts")
     raw = counts.select(*GROUP, "tokens", "chars")
-    stays = counts.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("_stays"))
-    marked = counts.join(stays, "digest").withColumn("_stay", F.col("_stays") == F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
+    # only copies need their digest's smallest id; as a table of its own, so that the join may split a digest that many rows have
+    stays = counts.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("_stays"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    marked = counts.join(materialize(stays.select("digest", "_stays"), "token-copies"), "digest", "left").withColumn("_stay", F.col("_stays").isNull() | (F.col("_stays") == F.struct(F.col("doc_id").isNull(), F.col("doc_id"))))
     marked = materialize(marked.select(*GROUP, "tokens", "chars", "clean_tokens", "clean_chars", "_stay"), "token-marked")
     changed = marked.where(F.col("_stay") & ((F.col("tokens") != F.col("clean_tokens")) | (F.col("chars") != F.col("clean_chars"))))
     after = changed.select(*GROUP, F.col("clean_tokens").alias("tokens"), F.col("clean_chars").alias("chars"))
