@@ -33,21 +33,41 @@ LIVE_LENGTH, LIVE_ALPHABET = 16, 8
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
+#: Matches are placed in blocks of this size, so that the work grows with their number.
+BLOCK = 256
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """The matches of a pattern with their places in code points: places follow from the lengths of what lies between matches."""
+    """The matches of a pattern with their places in code points: places follow from the lengths of what lies between matches.
+
+    A fold that grows an array copies it in each step; so each block of matches is folded by itself,
+    from where the blocks before it end.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), SPAN).alias("spans"))
+    value = (lambda hit: F.regexp_extract(hit, pattern, group)) if group else (lambda hit: hit)
+    none = F.from_json(F.lit("[]"), SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        held = value(x["hit"])
+        span = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), held.alias("value"))
+        return F.struct(end.alias("at"), F.when(F.length(held) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"])))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)))
+        pairs = F.arrays_zip(blocks.alias("block"), F.slice(begins, 1, F.size(blocks)).alias("at"))
+        return F.flatten(F.transform(pairs, lambda p: F.aggregate(p["block"], F.struct(p["at"].alias("at"), none.alias("spans")), step)["spans"]))
+
+    def cut(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda k: F.slice(parts, k * BLOCK + 1, BLOCK))
 
-    parts = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), values.alias("value"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(parts, start, step)["spans"]).otherwise(F.from_json(F.lit("[]"), SPAN))
+    # each step is one element of an array of one, so that what it refers to is worked out once
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    zipped = once(found, lambda hits: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"), hits.alias("hit")))
+    spans = once(once(zipped, cut), placed)
+    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(none)
 
 
 def candidate_spans(text: Column) -> Column:
@@ -77,7 +97,7 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, shared_owne
     rows = docs.select("doc_id", F.coalesce(owner, F.lit("")).alias("owner"), F.coalesce(repository, F.lit("")).alias("repository"), candidate_spans(text_of()).alias("_spans"))
     rows = materialize(rows.select(row.alias("_row"), "doc_id", "owner", "repository", hashed.alias("spans")), "secrets")
     each = rows.where(F.size("spans") > 0).select("_row", "owner", "repository", F.explode("spans").alias("_s")).select("_row", "owner", "repository", "_s.hash", "_s.live")
-    judged = each.join(ownership(each), "hash")
+    judged = each.join(materialize(ownership(each), "secret-owners"), "hash")  # a table of its own, so that the join may split a hash that many rows have
     counts = judged.groupBy("_row").agg(
         F.count_if(F.col("owners") >= shared_owners).alias("shared"),
         F.count_if(F.col("owners") == 1).alias("owner_specific"),
