@@ -1,7 +1,7 @@
 """Operator 4: personal data by pattern, validator and context.
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod-97 for account
-numbers, ranges and digit counts for addresses and phones), and words near a span raise or lower its
+numbers, ranges and digit counts for addresses, phones and social security numbers), and words near a span raise or lower its
 score. Each text is read once, whole, on the worker that has it; nothing is shuffled. The scans are
 linear in the text: patterns start where a run starts, and e-mail addresses are sought from the @.
 
@@ -71,6 +71,12 @@ def mod97(number: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def assignable(number: str) -> bool:
+    """Whether a social security number AAA-GG-SSSS lies outside the ranges that are never given out."""
+    area, group, serial = number.split("-")
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -109,7 +115,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         if mod97(m[0].replace(" ", "")):
             yield "iban", *m.span()
     for m in _SSN.finditer(text):
-        yield "ssn", *m.span()
+        if assignable(m[0]):
+            yield "ssn", *m.span()
 
 
 def find(text: str) -> list[Span]:
