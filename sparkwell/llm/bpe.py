@@ -16,8 +16,8 @@ import numpy as np
 from sparkwell.llm.common import vocabulary_path
 
 BYTE_BPE = "byte_bpe_50k.json"
-#: Entries of the memory of words; it is emptied when full.
-MEMORY = 700_000
+#: Entries of the memories of chunks and of words, which are emptied when full, and code points of an entry at most: some 100 MB for each worker.
+CHUNKS, WORDS, LONGEST = 400_000, 200_000, 40
 
 # Letters and numbers (Unicode classes L and N) and white space up to U+00FF.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
@@ -41,9 +41,11 @@ class _Words(dict):
         self.merge = tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = ids = self.ids(word)
+        ids = self.ids(word)
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
     def ids(self, word: str) -> bytes:
@@ -58,15 +60,16 @@ class _Chunks(dict):
         self.words = words
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
         if chunk.isalpha():
             ids = self.words.ids(f" {chunk}")
         elif chunk[-1:] in _STOPS and chunk[:-1].isalpha():
             ids = self[chunk[:-1]] + self.words[chunk[-1]]
         else:
             ids = b"".join(map(self.words.__getitem__, _WORD.findall(f" {chunk}")))
-        self[chunk] = ids
+        if len(chunk) <= LONGEST:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[chunk] = ids
         return ids
 
 
