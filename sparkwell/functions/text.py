@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ MONTHS = "january|february|march|april|may|june|july|august|september|october|no
 
 def clean(text: Column) -> Column:
     """Runs of blanks become one; lines are trimmed and blank lines dropped."""
-    lines = F.transform(F.split(F.regexp_replace(text, "[ \t ]+", " "), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(text, "[ \t ]+", " "), "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -59,6 +62,15 @@ def language_hint(text: Column) -> Column:
     return F.when(text.rlike("[ऀ-ॿ]"), "hindi").when(hits >= 2, "hinglish")
 
 
+def strip_accents(text: Column) -> Column:
+    """The text in compatibility form without combining marks, in Arrow batches."""
+
+    def strip(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+    return F.pandas_udf(strip, "string")(text)
+
+
 def slug(text: Column, length: int) -> Column:
     s = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.regexp_replace(F.substring(s, 1, length), "-+$", "")
@@ -123,6 +135,12 @@ def route(text: Column, confidence: Column) -> Column:
     )
 
 
+def citation_tags(text: Column) -> Column:
+    """Numbers of the sources that a text cites, each once; the first two sources if it cites none."""
+    tags = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[S(\d+)\]"), F.lit(1)))
+    return F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("1"), F.lit("2")))
+
+
 def short_turn(text: Column) -> Column:
     return (F.length(F.trim(text)) <= 40) & ~F.contains(text, F.lit("?"))
 
@@ -157,13 +175,13 @@ def txt07_numeric_lines(spark, sf_dir):
 
 
 def txt08_language_of(spark, sf_dir):
-    inline = spark.sql("select * from (values (1, 'नमस्ते दुनिया'), (2, 'hello world'), (3, 'hello दुनिया yes'), (4, '123'), (5, 'abc अ abc abc')) as t(id, s)")
-    return inline.select("id", F.round(script_share(F.col("s")), 4).alias("share"), language_of(F.col("s")).alias("language"))
+    """Of all documents; every third has a greeting in Devanagari in front, as pages in two languages do."""
+    s = F.concat(F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("नमस्ते दुनिया "), 40)).otherwise(F.lit("")), F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(script_share(s), 4).alias("share"), language_of(s).alias("language"))
 
 
 def txt09_language_hint(spark, sf_dir):
-    inline = spark.sql("select * from (values (1, 'fees kya hai'), (2, 'what is the fee'), (3, 'शुल्क'), (4, 'hai')) as t(id, s)")
-    return inline.select("id", F.coalesce(language_hint(F.col("s")), F.lit("-")).alias("hint"))
+    return _messages(spark, sf_dir).select("conv_id", "turn", F.coalesce(language_hint(F.col("text")), F.lit("-")).alias("hint"))
 
 
 def txt11_slug(spark, sf_dir):
@@ -182,12 +200,13 @@ def txt14_content_overlap(spark, sf_dir):
 
 
 def txt15_quote_in(spark, sf_dir):
-    """Benchmark items quoted in documents: each document against its candidates by the item's first words."""
+    """Benchmark items quoted in documents: candidates share the item's first words; only ids move with the words, a text is fetched once for each candidate."""
     d = _docs(spark, sf_dir).select("doc_id", squash(F.col("text")).alias("t"))
     b = view(spark, sf_dir, "benchmark").select("item_id", squash(F.col("text")).alias("q"))
     head = F.array_join(F.slice(F.split("q", " "), 1, 4), " ")
-    grams = d.select("doc_id", "t", F.split("t", " ").alias("w")).select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("head"))
-    return grams.join(b.withColumn("head", head), "head").where(F.contains("t", F.col("q"))).select("doc_id", "item_id").distinct()
+    grams = d.select("doc_id", F.split("t", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("head"))
+    found = grams.join(b.select("item_id", head.alias("head")), "head").select("doc_id", "item_id").distinct()
+    return found.join(b, "item_id").join(d, "doc_id").where(F.contains("t", F.col("q"))).select("doc_id", "item_id").distinct()
 
 
 def txt19_quality_audit(spark, sf_dir):
@@ -232,9 +251,9 @@ def txt38_email_valid(spark, sf_dir):
 
 
 def txt39_citations(spark, sf_dir):
-    inline = spark.sql("select * from (values (1, 'see [S2] and [S1] and [S2]'), (2, 'none'), (3, '[S10]')) as t(id, s)")
-    tags = F.array_distinct(F.regexp_extract_all("s", F.lit(r"\[S(\d+)\]"), F.lit(1)))
-    return inline.select("id", F.array_join(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("1"), F.lit("2"))), ",").alias("tags"))
+    """Tags of all messages; answers cite the turns before them, two of three turns cite nothing."""
+    cited = F.when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" [S"), F.col("turn").cast("string"), F.lit("] and [S10] as [S"), F.col("turn").cast("string"), F.lit("]"))).otherwise(F.col("text"))
+    return _messages(spark, sf_dir).select("conv_id", "turn", F.array_join(citation_tags(cited), ",").alias("tags"))
 
 
 def txt40_claims(spark, sf_dir):
@@ -273,7 +292,75 @@ def dat02_retention(spark, sf_dir):
     return view(spark, sf_dir, "turns").groupBy((age > 20).alias("expired")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n[:3] in ("txt", "flt", "jsn", "dat") and callable(f)}
+def txt01_strip_accents(spark, sf_dir):
+    s = strip_accents(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(s, 256).alias("sha"))
+
+
+def dat03_calendar(spark, sf_dir):
+    """Rows of two to four cells whose last one is short and holds a month and a digit: an order's priority, its state and its day, every fifth without a day."""
+    day = F.when(F.col("o_orderkey") % 5 == 0, F.lit("not yet fixed")).otherwise(F.date_format("o_orderdate", "d MMMM yyyy"))
+    line = F.concat_ws(" | ", "o_orderpriority", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")), day)
+    return calendar_rows(view(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")), "line").groupBy("event", "date").agg(F.count("*").alias("n"))
+
+
+def calendar_rows(lines: DataFrame, line: str) -> DataFrame:
+    """lines with event (first cell) and date (last cell) of those that are calendar rows."""
+    cells = F.filter(F.transform(F.split(line, r"\|"), lambda x: F.trim(x)), lambda c: c != "")
+    last = F.element_at("_cells", -1)
+    rows = lines.withColumn("_cells", cells).where(F.size("_cells").between(2, 4))
+    rows = rows.where((F.length(last) <= 60) & F.lower(last).rlike(rf"\b(?:{MONTHS})\b") & last.rlike("[0-9]"))
+    return rows.withColumns({"event": F.element_at("_cells", 1), "date": last}).drop("_cells")
+
+
+def fct02_faculty(spark, sf_dir):
+    """Rows of five cells or more as people: links are unlinked, [at] and [dot] are written out."""
+    name = F.concat(F.lit("["), F.col("c_name"), F.lit("](people/"), F.col("c_custkey").cast("string"), F.lit(")"))
+    mail = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit(" [at] mail [dot] org"))
+    line = F.concat_ws("|", F.lit(""), name, "c_mktsegment", F.when(F.col("c_custkey") % 4 > 0, F.col("c_nationkey").cast("string")), mail, F.lit("room 1"), F.lit(""))
+    return people_rows(view(spark, sf_dir, "customer").select("c_custkey", line.alias("line")), "line").select("c_custkey", "name", "role", "email")
+
+
+def people_rows(lines: DataFrame, line: str) -> DataFrame:
+    """lines with name, role and email of those with five cells or more, the first with a name and one with an address."""
+    plain = F.regexp_replace(F.regexp_replace(line, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\s*\[at\]\s*", "@")
+    cells = F.filter(F.transform(F.split(F.regexp_replace(plain, r"\s*\[dot\]\s*", "."), r"\|"), lambda x: F.trim(x)), lambda c: c != "")
+    rows = lines.withColumn("_cells", cells).where(F.size("_cells") >= 5)
+    mail = F.filter("_cells", lambda c: c.rlike(r"^[^@\s]+@[^@\s]+\.[a-z]{2,}$"))
+    return rows.withColumns({"name": F.element_at("_cells", 1), "role": F.element_at("_cells", 2), "email": F.try_element_at(mail, F.lit(1))}).drop("_cells")
+
+
+def txt37_tools(spark, sf_dir):
+    """Tools offered for each message: those of all rules that it meets, all of them if it meets none."""
+    return _messages(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(tools_for(F.col("text"))), ",").alias("tools"))
+
+
+#: Which words of a request call for which tools.
+TOOL_RULES = {
+    r"cart|basket|korb|panier": ["view_cart"], r"price|cost|preis|prix|precio": ["check_price", "product"], r"remove|delete|entfern": ["remove", "view_cart"],
+    r"\badd\b|buy|kauf|acheter|comprar": ["add", "product"], r"order|checkout|bestell": ["checkout", "view_cart"], r"area|how many|wie viel": ["quantity", "product"], r"search|find|list|which|such": ["search"],
+}
+EVERY_TURN = ["clarify", "safety"]
+
+
+def tools_for(text: Column, rules: dict[str, list[str]] = TOOL_RULES) -> Column:
+    met = F.flatten(F.filter(F.array(*(F.when(F.lower(text).rlike(p), F.array(*map(F.lit, t))) for p, t in rules.items())), lambda x: x.isNotNull()))
+    every = sorted({x for t in rules.values() for x in t} | set(EVERY_TURN))
+    return F.when(F.size(met) > 0, F.array_distinct(F.concat(met, F.array(*map(F.lit, EVERY_TURN))))).otherwise(F.array(*map(F.lit, every)))
+
+
+def src08_path_years(spark, sf_dir):
+    """Years of each page: those stated, else those that stand in its path as numbers of four digits."""
+    path = F.concat("url", F.lit("/"), F.col("page_id").cast("string"), F.lit("_"), (2010 + F.col("page_id") % 60).cast("string"), F.lit("-v2"))
+    stated = F.when(F.col("page_id") % 4 == 0, F.array(F.lit("2021"), F.lit("2020")))
+    return view(spark, sf_dir, "pages").select("page_id", F.array_join(years_of(stated, path), ",").alias("years"))
+
+
+def years_of(stated: Column, path: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.coalesce(stated, F.regexp_extract_all(path, F.lit(r"(?<!\d)(20[0-4]\d)(?!\d)"), F.lit(1)))))
+
+
+QUERIES = {n: f for n, f in list(globals().items()) if n[:3] in ("txt", "flt", "jsn", "dat", "fct", "src") and n[3:5].isdigit() and callable(f)}
 
 _W = "regexp_extract_all(lower({0}), '[a-z0-9À-ɏ]+|[ऀ-ॿ]+')"
 _STOPS = "(" + ",".join(f"'{w}'" for w in STOP) + ")"
@@ -284,27 +371,32 @@ _CLEAN = "array_to_string(list_filter(list_transform(string_split(regexp_replace
 _FORM = "trim(regexp_replace(lower({0}), '[^a-z0-9À-ɏऀ-ॿ]+', ' ', 'g'))"
 
 SQL = {
+    "src08_path_years": "select page_id, case when page_id % 4 = 0 then '2020,2021' else coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(url || '/' || page_id || '_' || (2010 + page_id % 60) || '-v2', '\\d+'), lambda x: regexp_full_match(x, '20[0-4]\\d')))), ','), '') end as years from pages",
+    "txt37_tools": "select conv_id, turn, array_to_string(list_sort(case when len(m) > 0 then list_distinct(list_concat(m, ['clarify', 'safety'])) else ['" + "','".join(sorted({x for t in TOOL_RULES.values() for x in t} | set(EVERY_TURN))) + "'] end), ',') as tools from (select conv_id, turn, flatten([" + ", ".join(f"case when regexp_matches(lower(text), '{p}') then {t} else [] end" for p, t in TOOL_RULES.items()) + "]) as m from conversations)",
+    "fct02_faculty": "select c_custkey, c_name as name, c_mktsegment as role, lower(replace(c_name, '#', '.')) || '@mail.org' as email from customer where c_custkey % 4 > 0",
+    "dat03_calendar": f"select event, date, count(*) as n from (select o_orderpriority as event, case when o_orderkey % 5 = 0 then 'not yet fixed' else strftime(o_orderdate, '%-d %B %Y') end as date from orders) where regexp_matches(lower(date), '\\b({MONTHS})\\b') and regexp_matches(date, '[0-9]') group by all",
+    "txt01_strip_accents": "select doc_id, sha256(strip_accents(text)) as sha from documents",
     "txt02_clean": f"select doc_id, sha256({_CLEAN}) as sha, length({_CLEAN}) as n from documents",
     "txt03_norm_for_compare": "select doc_id, length(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^[ .:;|\\-_*]+|[ .:;|\\-_*]+$', '', 'g')) as n from documents",
     "txt04_words": f"select doc_id, len({_W.format('text')}) as n_words, len(list_distinct({_CW.format('text')})) as n_content from documents",
     "txt06_number_tokens": "select doc_id, number, count(*) as n from (select doc_id, regexp_replace(replace(unnest(regexp_extract_all(text, '\\d[\\d,]*(?:\\.\\d+)?')), ',', ''), '^0+(\\d)', '\\1') as number from documents) group by all",
     "txt07_numeric_lines": "select doc_id, count(*) filter (where d > 0 and d >= l) as numeric, count(*) as lines from (select doc_id, length(regexp_replace(line, '[^0-9]', '', 'g')) as d, length(regexp_replace(line, '[^A-Za-zÀ-ɏऀ-ॿ]', '', 'g')) as l from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)) group by doc_id",
-    "txt08_language_of": "select * from (values (1, 1.0, 'hi'), (2, 0.0, 'en'), (3, round(6/14.0, 4), 'mixed'), (4, 0.0, 'en'), (5, 0.1, 'en')) as t(id, share, language)",
-    "txt09_language_hint": "select * from (values (1, 'hinglish'), (2, '-'), (3, 'hindi'), (4, '-')) as t(id, hint)",
+    "txt08_language_of": "select doc_id, round(s, 4) as share, case when s > 0.7 then 'hi' when s > 0.15 then 'mixed' else 'en' end as language from (select doc_id, coalesce(h / nullif(h + l, 0), 0) as s from (select doc_id, length(regexp_replace(t, '[^ऀ-ॿ]', '', 'g')) as h, length(regexp_replace(t, '[^A-Za-zÀ-ɏ]', '', 'g')) as l from (select doc_id, case when doc_id % 3 = 0 then repeat('नमस्ते दुनिया ', 40) else '' end || text as t from documents)))",
+    "txt09_language_hint": "select conv_id, turn, case when regexp_matches(text, '[ऀ-ॿ]') then 'hindi' when len(list_intersect(list_distinct(string_split_regex(lower(text), '\\W+')), [" + ",".join(f"'{w}'" for w in ROMAN_HINDI) + "])) >= 2 then 'hinglish' else '-' end as hint from conversations",
     "txt11_slug": "select p_partkey, regexp_replace(substr(regexp_replace(regexp_replace(lower(p_brand || ' ' || p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 20), '-+$', '') as slug from part",
     "txt12_record_id": "select p_partkey, substr(sha256(p_brand || chr(31) || p_name || chr(31) || cast(p_size as varchar)), 1, 16) as record_id from part",
     "txt14_content_overlap": f"select a.conv_id, a.turn, round(coalesce(len(list_intersect(list_distinct({_CW.format('q.text')}), list_distinct({_CW.format('a.text')}))) / nullif(len(list_distinct({_CW.format('q.text')})), 0), -1), 6) as overlap from conversations a join conversations q on q.conv_id = a.conv_id and q.turn + 1 = a.turn and q.role = 'user' where a.role = 'assistant'",
     "txt15_quote_in": f"select doc_id, item_id from (select doc_id, {_SQ.format('text')} as t from documents) d join (select item_id, {_SQ.format('text')} as q from benchmark) b on contains(t, q)",
     "txt19_quality_audit": "select lang, issue, count(*) as n from (select lang, unnest(list_filter([case when len(regexp_extract_all(text, '\\S+')) < 80 then 'thin' end, case when len(regexp_extract_all(text, '\\|')) >= 10 then 'flattened_table' end, case when length(regexp_replace(text, '[^0-9]', '', 'g')) * 10 > length(text) then 'number_noise' end, case when regexp_matches(text, '%%%|###|&&&') then 'garbled' end], lambda x: x is not null)) as issue from documents) group by all",
     "txt20_redact": f"select doc_id, sha256(r) as sha, len(regexp_extract_all(r, '\\[EMAIL\\]')) as emails, len(regexp_extract_all(r, '\\[PHONE\\]')) as phones, len(regexp_extract_all(r, '\\[ID\\]')) as ids from (select doc_id, {_RED} as r from documents)",
-    "txt21_dedup_key": f"select {_FORM.format('substr(text, 1, 60)')} || '‖' || {_FORM.format('lang')} as key, count(*) as n, min(doc_id) as first from documents group by all",
+    "txt21_dedup_key": f"select sha256({_FORM.format('text')} || '‖' || {_FORM.format('lang')}) as key, count(*) as n, min(doc_id) as first from documents group by all",
     "txt22_family_key": f"select conv_id, turn, sha1('c:' || case when w <> '' then w else substr(sha1(text), 1, 8) end) as family from (select *, coalesce(array_to_string(list_sort(list_distinct({_CW.format('text')})), ' '), '') as w from conversations where role = 'user')",
     "txt23_normalized_message": "select sha1(regexp_replace(regexp_replace(lower(trim(text, ' ')), '\\s+', ' ', 'g'), '[ ?.!।]+$', '')) as key, count(*) as n from conversations group by all",
     "txt27_fact_tokens": f"select lang, cast(sum(k) as bigint) as tokens, round(avg(case when k > 0 then 1.0 else 0.0 end), 6) as leak_rate from (select lang, len(regexp_extract_all(lower(text), '[₹$€]\\s?\\d[\\d,.]*|\\d[\\d,.]*\\s?%|\\d+|\\b(?:{MONTHS})\\b')) as k from documents) group by all",
     "txt34_route": "select role, case when length(text) > 400 then 'too_long' when regexp_matches(text, '[ऀ-ॿ]') then 'not_english' when regexp_matches(lower(text), '\\b(cancel|delete|remind|book)\\b') then 'action' when length(text) % 100 < 50 then 'low_confidence' else 'local' end as route, count(*) as n from conversations group by all",
     "txt35_short_turn": "select role, count(*) filter (where length(trim(text, ' ')) <= 40 and not contains(text, '?')) as short, count(*) as n from conversations group by all",
     "txt38_email_valid": "select c_custkey, c_custkey % 3 <> 0 as valid from customer",
-    "txt39_citations": "select * from (values (1, '2,1'), (2, '1,2'), (3, '10')) as t(id, tags)",
+    "txt39_citations": "select conv_id, turn, case when len(g) = 0 then '1,2' else array_to_string(list_transform(list_sort(list_transform(list_distinct(g), lambda x: {'at': list_position(g, x), 'x': x})), lambda y: y.x), ',') end as tags from (select conv_id, turn, regexp_extract_all(case when turn % 3 = 1 then text || ' [S' || turn || '] and [S10] as [S' || turn || ']' else text end, '\\[S(\\d+)\\]', 1) as g from conversations)",
     "txt40_claims": "select doc_id, len(list_filter(string_split_regex(text, '[.!?।]\\s'), lambda x: length(trim(x, ' ')) > 3)) as claims from documents",
     "txt18_line_repair": "select doc_id, len(k) as lines, sha256(coalesce(array_to_string(k, chr(10)), '')) as sha from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: not (len(regexp_extract_all(x, '%%%|###|&&&|\\$\\$\\$')) >= 1 and len(regexp_extract_all(x, '%%%|###|&&&|\\$\\$\\$')) >= 0.12 * len(string_split(x, ' ')))) as k from documents)",
     "flt05_years_of_urls": "select page_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(url, '\\d+'), lambda x: length(x) = 4 and x between '2000' and '2049'))), ','), '') as years from pages",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,25 +16,24 @@ from sparkwell.sources.corpus import lines_of
 # Number words of the Indian system.
 _SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-_SCALES = ((10_000_000, "crore"), (100_000, "lakh"), (1000, "thousand"), (100, "hundred"))
 
 
-def cardinal(n: int) -> str:
-    """A number in words, by crore, lakh, thousand and hundred."""
-    for size, name in _SCALES:
-        if n >= size:
-            rest = n % size
-            return f"{cardinal(n // size)} {name}" + (f" {cardinal(rest)}" if rest else "")
-    if n < 20:
-        return _SMALL[n]
-    return _TENS[n // 10 - 2] + (f" {_SMALL[n % 10]}" if n % 10 else "")
+_BELOW_100 = [*_SMALL, *(f"{t} {u}".removesuffix(" zero") for t in _TENS for u in _SMALL[:10])]
 
 
-def in_words(number: Column | str) -> Column:
-    def spoken(s: pd.Series) -> pd.Series:
-        return s.map(lambda n: None if pd.isna(n) else ("minus " if n < 0 else "") + cardinal(abs(int(n))))
+def in_words(number: Column) -> Column:
+    """A whole number in words: two digits at a time are looked up, groups of hundred, thousand, lakh and crore joined; the crores, up to 99,99,999, are groups themselves."""
+    names = F.array(*map(F.lit, _BELOW_100))
 
-    return F.pandas_udf(spoken, "string")(number)
+    def groups(n: Column) -> Column:
+        parts = [(n.cast("long") % size / unit, name) for name, size, unit in (("lakh", 10_000_000, 100_000), ("thousand", 100_000, 1000), ("hundred", 1000, 100), ("", 100, 1))]
+        said = [(F.floor(k).cast("int"), name) for k, name in parts]
+        return F.concat_ws(" ", *(F.when(k > 0, F.concat_ws(" ", F.element_at(names, k + 1), F.lit(name) if name else F.lit(None).cast("string"))) for k, name in said))
+
+    size = F.abs(number.cast("long"))
+    crores = F.floor(size / 10_000_000)
+    words_ = F.concat_ws(" ", F.when(number < 0, "minus"), F.when(crores > 0, F.concat_ws(" ", groups(crores), F.lit("crore"))), F.when(size % 10_000_000 > 0, groups(size)))
+    return F.when(number == 0, "zero").when(number.isNotNull(), words_)
 
 
 def sentences(text: Column) -> Column:
@@ -51,7 +49,24 @@ def has_keyword(text: Column, keywords: Iterable[str]) -> Column:
 def cells_of(lines: DataFrame) -> DataFrame:
     """doc_id, pos, col, cell of lines with bars."""
     rows = lines.where(F.contains("line", F.lit("|")))
-    return rows.select("doc_id", "pos", F.posexplode(F.transform(F.split("line", r"\|"), F.trim)).alias("col", "cell"))
+    return rows.select("doc_id", "pos", F.posexplode(F.transform(F.split("line", r"\|"), lambda x: F.trim(x))).alias("col", "cell"))
+
+
+def rank_filters(question: Column) -> dict[str, Column]:
+    """Year, round, programme, seat category, authority, quota, gender, PwD and basis of a question; each only if it names exactly one."""
+    one = lambda p: F.when(F.size(x := F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit(p), F.lit(1)))) == 1, x[0])
+    patterns = {
+        "year": r"\b((?:19[89]|20[0-4])\d)\b", "round": r"\bround (\d)\b", "programme": r"\b(programme-\d+)\b", "seat_category": r"\b(category-\d+)\b",
+        "authority": r"\b(authority-\d+)\b", "quota": r"\bquota ([a-z])\b", "gender": r"\b(women|men)\b", "pwd": r"\b(pwd)\b", "basis": r"\b(opening|closing)\b",
+    }
+    return {n: one(p) for n, p in patterns.items()}
+
+
+def follow_up(before: Column, now: Column) -> Column:
+    """The question before with the category or the round of a follow-up that names only that; else the question as it stands."""
+    cat, rnd = F.regexp_extract(now, r"(category-\d+)", 1), F.regexp_extract(now, r"(round \d+)", 1)
+    only_cat, only_rnd = (cat != "") & (rnd == "") & before.rlike(r"category-\d+"), (rnd != "") & (cat == "") & before.rlike(r"round \d+")
+    return F.when(only_cat, F.regexp_replace(before, F.lit(r"category-\d+"), cat)).when(only_rnd, F.regexp_replace(before, F.lit(r"round \d+"), rnd)).otherwise(now)
 
 
 def score_cases(cases: DataFrame, hits: DataFrame) -> DataFrame:
@@ -95,10 +110,11 @@ def jn03_overlay(spark, sf_dir):
 
 
 def jn09_page_range(spark, sf_dir):
-    """Curated facts name a source by its prefix and a page; blocks cover ranges of pages."""
+    """Curated facts name a source by its first letters and a page; blocks cover ranges of pages. Facts of one length of prefix are found by it, then the page decides."""
     b = view(spark, sf_dir, "blocks")
-    facts = spark.sql("select * from (values ('src1', 4), ('src2', 2), ('src7', 6)) as t(prefix, page)")
-    return b.join(F.broadcast(facts), F.expr("startswith(source_id, prefix) and page between page_start and page_end")).groupBy("prefix", "page").agg(F.count("*").alias("blocks"), F.min("block_id").alias("first"))
+    facts = b.where("status = 'approved'").select(F.substring("source_id", 1, 4).alias("prefix"), F.col("page_start").alias("page")).distinct()
+    found = b.withColumn("prefix", F.substring("source_id", 1, 4)).join(facts, "prefix").where("page between page_start and page_end")
+    return found.groupBy("prefix", "page").agg(F.count("*").alias("blocks"), F.min("block_id").alias("first"))
 
 
 def jn11_unit_parents(spark, sf_dir):
@@ -171,10 +187,10 @@ def txt28_repair(spark, sf_dir):
 
 
 def txt31_rank_filters(spark, sf_dir):
-    """Constraints that a question names without doubt: one year, one round, one programme."""
-    asked = spark.sql("select * from (values (1, 'closing rank 2019 round 3 programme-7'), (2, 'rank in 2018 or 2019'), (3, 'round 2 cutoff'), (4, 'hello')) as t(id, q)")
-    one = lambda p: F.when(F.size(x := F.array_distinct(F.regexp_extract_all("q", F.lit(p), F.lit(1)))) == 1, x[0])
-    return asked.select("id", F.coalesce(one(r"\b(20[0-4]\d)\b"), F.lit("-")).alias("year"), F.coalesce(one(r"round (\d)"), F.lit("-")).alias("round"), F.coalesce(one(r"(programme-\d+)"), F.lit("-")).alias("programme"))
+    """Constraints that a question names without doubt. A question is asked for each record; every ninth names two years."""
+    said = F.concat_ws(" ", F.lit("closing rank"), F.col("year").cast("string"), F.when(F.col("record_id") % 9 == 0, (F.col("year") + 1).cast("string")), F.concat(F.lit("round "), F.col("round")), "programme", "seat_category", F.concat(F.lit("authority "), "authority"), F.when(F.col("quota") == "O", "quota O"), F.when(F.col("record_id") % 4 == 0, "for women with pwd"))
+    asked = view(spark, sf_dir, "records").select("record_id", said.alias("q"))
+    return asked.select("record_id", *(F.coalesce(c, F.lit("-")).alias(n) for n, c in rank_filters(F.col("q")).items()))
 
 
 def txt32_term_match(spark, sf_dir):
@@ -187,11 +203,13 @@ def txt32_term_match(spark, sf_dir):
 
 
 def txt33_follow_up(spark, sf_dir):
-    """A follow-up that names only a category replaces that of the question before it."""
-    inline = spark.sql("select * from (values (1, 'fee for category-1', 'and category-2?'), (2, 'fee for category-1', 'hello'), (3, 'round 2 fee', 'round 3')) as t(id, before, now)")
-    cat, rnd = F.regexp_extract("now", r"(category-\d)", 1), F.regexp_extract("now", r"(round \d)", 1)
-    new = F.when(cat != "", F.regexp_replace(F.col("before"), F.lit(r"category-\d"), cat)).when(rnd != "", F.regexp_replace(F.col("before"), F.lit(r"round \d"), rnd)).otherwise(F.col("now"))
-    return inline.select("id", new.alias("question"))
+    """The lines of an order as a dialogue: the first asks in full, later ones name a category, a round, or neither."""
+    r = view(spark, sf_dir, "records")
+    w = W.partitionBy("evidence_id").orderBy("record_id", "amount")
+    full = F.concat_ws(" ", F.lit("fee for"), "seat_category", F.lit("in round"), "round")
+    now = F.when(F.col("record_id") % 3 == 0, full).when(F.col("record_id") % 3 == 1, F.concat(F.lit("and "), F.col("seat_category"), F.lit("?"))).otherwise(F.concat(F.lit("round "), F.col("round")))
+    asked = r.select("record_id", "amount", F.lag(full).over(w).alias("before"), now.alias("now"))
+    return asked.select("record_id", "amount", follow_up(F.col("before"), F.col("now")).alias("question"))
 
 
 def arr02_table_cells(spark, sf_dir):
@@ -219,7 +237,7 @@ def fct01_amounts(spark, sf_dir):
 
 
 def ret08_legacy_fusion(spark, sf_dir):
-    b = view(spark, sf_dir, "blocks").select(F.col("category").alias("item_id"), F.sha1(F.substring("text", 1, 40)).alias("key"), "block_id", "n_chars")
+    b = view(spark, sf_dir, "blocks").select(F.col("category").alias("item_id"), F.sha1("text").alias("key"), "block_id", "n_chars")
     w = W.partitionBy("item_id")
     one = b.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n_chars"), "block_id"))).where("rank <= 40")
     two = b.withColumn("rank", F.row_number().over(w.orderBy("n_chars", "block_id"))).where("rank <= 40")
@@ -278,12 +296,12 @@ def evl23_risk_coverage(spark, sf_dir):
 
 
 def evl25_correction(spark, sf_dir):
-    """Share of committed words that the final words of a conversation don't begin with."""
-    m = view(spark, sf_dir, "messages").where("turn <= 1").withColumn("w", F.split("text", r"\s+"))
-    a, b = m.where("turn = 0").select("conv_id", F.slice("w", 1, 20).alias("a")), m.where("turn = 1").select("conv_id", F.slice("w", 1, 20).alias("b"))
+    """Of each turn after the first, the share of the words of the turn before that it doesn't begin with."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    m = view(spark, sf_dir, "messages").withColumns({"b": F.split("text", r"\s+"), "a": F.lag(F.split("text", r"\s+")).over(w)}).where("a is not null")
     same = F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y))
     prefix = F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size("a"))
-    return a.join(b, "conv_id").select("conv_id", F.round((F.size("a") - F.least(prefix, F.size("a"))) / F.size("a"), 6).alias("rate"))
+    return m.select("conv_id", "turn", F.round((F.size("a") - F.least(prefix, F.size("a"))) / F.size("a"), 6).alias("rate"))
 
 
 def evl28_energy_cost(spark, sf_dir):
@@ -302,8 +320,8 @@ def evl32_agreement(spark, sf_dir):
 
 
 def dst05_summary(spark, sf_dir):
-    r = view(spark, sf_dir, "records").withColumn("split", F.when(F.crc32(F.col("evidence_id").cast("string")) % 10 < 7, "train").otherwise("test"))
-    return r.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("evidence_id").alias("families"), F.countDistinct("kind").alias("kinds"))
+    split = F.when(F.substring(F.md5(F.col("evidence_id").cast("string")), 1, 1) < "b", "train").otherwise("test")
+    return view(spark, sf_dir, "records").withColumn("split", split).groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("evidence_id").alias("families"), F.countDistinct("kind").alias("kinds"))
 
 
 def dst06_holdout(spark, sf_dir):
@@ -371,8 +389,10 @@ _B = lambda body: oracle(body, "blocks")
 _R = lambda body: oracle(body, "records")
 
 SQL = {
+    "dst05_summary": _R("select case when substr(md5(cast(evidence_id as varchar)), 1, 1) < 'b' then 'train' else 'test' end as split, count(*) as rows, count(distinct evidence_id) as families, count(distinct kind) as kinds from records group by all"),
+    "txt24_in_words": "select p_partkey, case when n = 0 then 'zero' else trim(case when n >= 10000000 then w[n // 10000000 + 1] || ' crore' else '' end || case when n // 100000 % 100 > 0 then ' ' || w[n // 100000 % 100 + 1] || ' lakh' else '' end || case when n // 1000 % 100 > 0 then ' ' || w[n // 1000 % 100 + 1] || ' thousand' else '' end || case when n // 100 % 10 > 0 then ' ' || w[n // 100 % 10 + 1] || ' hundred' else '' end || case when n % 100 > 0 then ' ' || w[n % 100 + 1] else '' end) end as words from (select p_partkey, p_partkey * 12345 as n, ['" + "','".join(_BELOW_100) + "'] as w from part)",
     "jn03_overlay": _B("select source_id, count(extra) as overlaid, count(*) as n from blocks left join (select source_id, page_start, max(n_chars) as extra from blocks where status = 'approved' group by all) using (source_id, page_start) group by all"),
-    "jn09_page_range": _B("select prefix, page, count(*) as blocks, min(block_id) as first from blocks join (values ('src1', 4), ('src2', 2), ('src7', 6)) as t(prefix, page) on starts_with(source_id, prefix) and page between page_start and page_end group by all"),
+    "jn09_page_range": _B("select prefix, page, count(*) as blocks, min(block_id) as first from blocks join (select distinct substr(source_id, 1, 4) as prefix, page_start as page from blocks where status = 'approved') t on starts_with(source_id, prefix) and page between page_start and page_end group by all"),
     "jn11_unit_parents": _B("select p.status, count(*) as units, count(distinct u.parent) as parents from (select distinct block_id, unnest([block_id - block_id % 3, block_id]) as parent from blocks) u join blocks p on p.block_id = u.parent group by all"),
     "jn14_family_overlap": _T("select session_id, count(distinct turn_id < 500) as splits from turns group by all having count(distinct turn_id < 500) > 1"),
     "jn16_owned_keys": _T("select status || '|' || model_calls as key, count(distinct session_id) as owners from turns where (status, model_calls) in (select (status, model_calls) from turns where session_id < 3) group by all"),
@@ -386,14 +406,14 @@ SQL = {
     "txt13_keyword": "select lang, count(*) filter (where regexp_matches(lower(text), '(^|[^\\pL\\pN_])(idiot|ensch|password)($|[^\\pL\\pN_])')) as n from documents group by all",
     "txt17_garble": "select doc_id, r as ratio, r >= 0.06 and n >= 12 as garbled from (select doc_id, n, round(coalesce(g / nullif(n, 0), 0), 6) as r from (select doc_id, len(regexp_extract_all(text, '%%%|###|&&&|\\*\\*\\*')) as g, len(regexp_extract_all(text, '\\S+')) as n from documents))",
     "txt28_repair": "select doc_id, length(regexp_replace(text, ' ([,.;])', '\\1', 'g')) as n from documents",
-    "txt31_rank_filters": "select * from (values (1, '2019', '3', 'programme-7'), (2, '-', '-', '-'), (3, '-', '2', '-'), (4, '-', '-', '-')) as t(id, year, round, programme)",
-    "txt32_term_match": f"select item_id, doc_id, overlap, rank from (select *, row_number() over (partition by item_id order by overlap desc, doc_id) as rank from (select item_id, doc_id, count(*) as overlap from (select item_id, unnest(list_distinct(list_filter({_CW.format('text')}, lambda x: length(x) > 5))) as term from benchmark) join (select doc_id, unnest(list_distinct({_CW.format('text')})) as term from documents) using (term) group by all)) where rank <= 6",
-    "txt33_follow_up": "select * from (values (1, 'fee for category-2'), (2, 'hello'), (3, 'round 3 fee')) as t(id, question)",
+    "txt31_rank_filters": _R("select record_id, case when record_id % 9 = 0 then '-' else cast(year as varchar) end as year, round, programme, seat_category, authority, case when quota = 'O' then 'o' else '-' end as quota, case when record_id % 4 = 0 then 'women' else '-' end as gender, case when record_id % 4 = 0 then 'pwd' else '-' end as pwd, 'closing' as basis from records"),
+    "txt32_term_match": f"select item_id, doc_id, overlap, rank from (select *, row_number() over (partition by item_id order by overlap desc, doc_id) as rank from (select item_id, doc_id, count(*) as overlap from (select item_id, unnest(list_distinct(list_filter({_CW.format('text')}, lambda x: length(x) > 2))) as term from benchmark) join (select doc_id, unnest(list_distinct({_CW.format('text')})) as term from documents) using (term) group by all)) where rank <= 6",
+    "txt33_follow_up": _R("select record_id, amount, case when k = 0 or p is null then case k when 0 then 'fee for ' || seat_category || ' in round ' || round when 1 then 'and ' || seat_category || '?' else 'round ' || round end when k = 1 then 'fee for ' || seat_category || ' in round ' || pr else 'fee for ' || p || ' in round ' || round end as question from (select *, record_id % 3 as k, lag(seat_category) over w as p, lag(round) over w as pr from records window w as (partition by evidence_id order by record_id, amount))"),
     "arr02_table_cells": f"select doc_id, count(distinct pos) as rows, max(col) + 1 as columns, count(*) filter (where cell <> '') as filled from {_C} group by all",
     "arr03_headers": f"select doc_id, count(*) filter (where s <= 0.2) as headers, count(*) as rows from (select doc_id, pos, avg(case when regexp_matches(cell, '[0-9]') then 1.0 else 0.0 end) as s from {_C} group by all) group by all",
     "arr05_real_tables": f"select doc_id, avg(case when cell <> '' then 1.0 else 0.0 end) >= 0.25 and count(distinct case when cell <> '' then col end) >= 2 as real from {_C} group by all",
     "fct01_amounts": f"select doc_id, pos, a as amount from (select doc_id, pos, try_cast(replace(regexp_extract_all(line, '\\d[\\d,]*')[1], ',', '') as bigint) as a from {_L} where len(regexp_extract_all(line, '\\d[\\d,]*')) = 1) where a < 1000000000",
-    "ret08_legacy_fusion": _B("select category as item_id, sha1(substr(text, 1, 40)) as key, round(sum(1 / (60 + rank)), 8) as score from (select category, text, row_number() over (partition by category order by n_chars desc, block_id) as rank from blocks union all select category, text, row_number() over (partition by category order by n_chars, block_id) from blocks) where rank <= 40 group by all"),
+    "ret08_legacy_fusion": _B("select category as item_id, sha1(text) as key, round(sum(1 / (60 + rank)), 8) as score from (select category, text, row_number() over (partition by category order by n_chars desc, block_id) as rank from blocks union all select category, text, row_number() over (partition by category order by n_chars, block_id) from blocks) where rank <= 40 group by all"),
     "ret09_priority": "select case when regexp_matches(text, '(?i)\\bpassword\\b') then -1 when contains(text, '|') then 2 when n_chars > 2000 then 1 else 0 end as priority, count(*) as n, min(doc_id) as first from documents group by all",
     "ret10_policies": "select item_id, arg_min(rule, o) as rule from benchmark join (values (1, 'first', 'thon', 'ing '), (2, 'second', 'ion', 'zzz'), (3, 'third', 'e', 'qqq')) as t(o, rule, p, e) on contains(lower(text), p) and not contains(lower(text), e) group by all",
     "ret13_assembly": _B("select item_id, doc_id, section, position from (select *, row_number() over (partition by item_id order by section, rank, doc_id) as position from (select source_id as item_id, block_id as doc_id, section, rank from (select *, 0 as section, row_number() over (partition by source_id order by block_id) as rank, 2 as m from blocks where status = 'approved' union all select *, 1, row_number() over (partition by source_id order by n_chars desc, block_id), 10 from blocks where status in ('approved','extracted','machine_verified') union all select *, 2, row_number() over (partition by source_id order by block_id desc), 4 from blocks) where rank <= m qualify row_number() over (partition by source_id, block_id order by section, rank) = 1)) where position <= 6 or section = 2 and position <= 8"),
@@ -402,7 +422,7 @@ SQL = {
     "evl16_sweep": _T("select t / 10 as tau, round(avg(case when status <> 'purchase' then case when seconds / 200 >= t / 10 then 1.0 else 0.0 end end), 6) as false_cut, round(avg(case when status = 'purchase' then case when seconds / 200 < t / 10 then 1.0 else 0.0 end end), 6) as missed from turns, range(1, 10) as g(t) group by all"),
     "evl17_cer": "select p_type, round(avg(levenshtein(p_name, substr(p_name, 1, 4) || ' ' || p_type) / length(p_name)), 6) as cer from part group by all",
     "evl23_risk_coverage": _T("select cast(g as double) as threshold, count(*) as covered, round(avg(case when status = 'error' then 1.0 else 0.0 end), 6) as risk from turns, range(0, 200, 20) as r(g) where g <= seconds group by all"),
-    "evl25_correction": "select conv_id, round((len(a) - least(coalesce(list_position(list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] is not distinct from b[i]), false) - 1, len(a)), len(a))) / len(a), 6) as rate from (select conv_id, string_split_regex(text, '\\s+')[1:20] as a from conversations where turn = 0) join (select conv_id, string_split_regex(text, '\\s+')[1:20] as b from conversations where turn = 1) using (conv_id)",
+    "evl25_correction": "select conv_id, turn, round((len(a) - least(coalesce(list_position(list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] is not distinct from b[i]), false) - 1, len(a)), len(a))) / len(a), 6) as rate from (select conv_id, turn, string_split_regex(text, '\\s+') as b, lag(string_split_regex(text, '\\s+')) over (partition by conv_id order by turn) as a from conversations) where a is not null",
     "evl28_energy_cost": _T("select status, round(sum(seconds * model_calls) / nullif(count(*) filter (where seconds < 100), 0), 6) as energy, round(avg(seconds * 0.002), 8) as cost from turns group by all"),
     "evl30_tool_choice": _T("select model_calls, round(avg(case when status = 'view' then 0.0 else 1.0 end), 6) as hit, round(avg(case status when 'purchase' then 0.5 when 'view' then 0.25 else 0.75 end), 6) as shown from turns group by all"),
     "evl32_agreement": "select lang, field, round(avg(case when s then 1.0 else 0.0 end), 6) as agreement from (select lang, 'quality' as field, quality = 1 as s from labels join documents using (doc_id) union all select lang, 'toxic', toxic = 0 from labels join documents using (doc_id)) group by all",

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from sparkwell.functions.text import normalized_message, redact_pii, squash
 from sparkwell.operators.more import cells_of
 from sparkwell.operators.records import validated
-from sparkwell.operators.retrieval import LIVE, dense, dot, top
+from sparkwell.operators.retrieval import LIVE, OVERFETCH, dense, top
+from sparkwell.operators.statistics import quantiles
 from sparkwell.plans.views import oracle, view
 from sparkwell.sources.corpus import lines_of
 
@@ -38,8 +39,9 @@ def _docs(spark, sf_dir):
 
 
 def flt04_requested_years(spark, sf_dir):
-    asked = spark.sql("select * from (values (1, 'fees in 2019'), (2, 'fees this year'), (3, 'fees'), (4, 'इस साल')) as t(id, q)")
-    return asked.select("id", F.coalesce(requested_year(F.col("q"), F.lit("2024-05-01").cast("date")), F.lit(-1)).alias("year"))
+    """Years that all messages ask for; every fifth asks for the present one."""
+    asked = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("fees this year: "), F.col("text"))).otherwise(F.concat("text", F.lit(" since "), (1990 + F.col("conv_id") % 80).cast("string")))
+    return view(spark, sf_dir, "messages").select("conv_id", "turn", F.coalesce(requested_year(asked, F.lit("2024-05-01").cast("date")), F.lit(-1)).alias("year"))
 
 
 def flt06_undated_pass(spark, sf_dir):
@@ -62,7 +64,7 @@ def flt15_low_information(spark, sf_dir):
 def flt16_distance_cutoff(spark, sf_dir):
     v = view(spark, sf_dir, "vectors")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
-    near = dense(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")))
+    near = dense(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), least=0.29)
     return near.where(1 - F.col("score") <= 0.7).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
@@ -105,8 +107,8 @@ def jn08_containment(spark, sf_dir):
 
 def srt03_dense_top(spark, sf_dir):
     v = view(spark, sf_dir, "vectors")
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return v.join(F.broadcast(q), F.lit(True)).select("vec_id", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(180)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
+    return top(dense(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), OVERFETCH), OVERFETCH).withColumn("score", F.round("score", 6))
 
 
 def srt07_by_size(spark, sf_dir):
@@ -118,9 +120,11 @@ def txt05_legacy_tokens(spark, sf_dir):
 
 
 def txt16_quotes(spark, sf_dir):
-    m = view(spark, sf_dir, "messages")
+    """Whether a message holds the one before it word for word; every third conversation repeats it with other white space."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    return m.withColumn("before", F.lag("text").over(w)).where("before is not null").select("conv_id", "turn", quote_holds(F.substring("before", 1, 5), F.col("text")).alias("holds"))
+    m = view(spark, sf_dir, "messages").withColumn("before", F.lag("text").over(w)).where("before is not null")
+    said = F.concat_ws(" ", "text", F.when(F.col("conv_id") % 3 == 0, F.regexp_replace("before", " ", "  ")))
+    return m.select("conv_id", "turn", quote_holds(F.col("before"), said).alias("holds"))
 
 
 def txt30_spans(spark, sf_dir):
@@ -131,8 +135,10 @@ def txt30_spans(spark, sf_dir):
 
 
 def arr01_grid(spark, sf_dir):
-    cells = spark.sql("select * from (values (1, 0, 0, 'a', 2, 1), (1, 0, 1, 'b', 1, 2), (1, 1, 1, 'c', 1, 1), (2, 0, 0, 'x', 1, 3)) as t(id, row, col, text, row_span, col_span)")
-    return dense_grid(cells, "id")
+    """The cells of all documents' tables as a grid; a cell's length says how many rows and columns it spans."""
+    c = cells_of(lines_of(_docs(spark, sf_dir)))
+    spans = {"row_span": (1 + F.length("cell") % 2).cast("int"), "col_span": (1 + F.length("cell") % 3).cast("int")}
+    return dense_grid(c.withColumns(spans).withColumnsRenamed({"pos": "row", "cell": "text"}), "doc_id")
 
 
 def arr04_keyed_cells(spark, sf_dir):
@@ -158,8 +164,10 @@ def fct03_build_records(spark, sf_dir):
 
 
 def evl11_gates(spark, sf_dir):
-    t = view(spark, sf_dir, "turns").groupBy("model_calls").agg(F.percentile("seconds", F.lit(0.5)).alias("p50"), F.avg((F.col("status") != "error").cast("double")).alias("good"))
-    return t.select("model_calls", ((F.col("p50") <= 40) & (F.col("good") >= 0.75)).alias("passed"))
+    t = view(spark, sf_dir, "turns")
+    p50 = quantiles(t, ["model_calls"], "seconds", {"p50": 0.5}).drop("n")
+    good = t.groupBy("model_calls").agg(F.avg((F.col("status") != "error").cast("double")).alias("good"))
+    return good.join(p50, "model_calls").select("model_calls", ((F.col("p50") <= 40) & (F.col("good") >= 0.75)).alias("passed"))
 
 
 def evl20_mining(spark, sf_dir):
@@ -171,9 +179,12 @@ def evl20_mining(spark, sf_dir):
 
 
 def evl27_numbers(spark, sf_dir):
-    want = F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 2000), F.lit(r"\d+"), F.lit(0)))
-    have = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0)))
-    return _docs(spark, sf_dir).groupBy("lang").agg(F.round(F.avg((F.size(F.array_except(want, have)) == 0).cast("double")), 6).alias("accuracy"), F.count_if(F.size(have) > 0).alias("with_numbers"))
+    """Share of messages that hold every number of the message before them, by role, of those that had numbers to hold."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)))
+    given = F.concat_ws(" ", F.lag("text").over(w), F.when(F.col("turn") > 0, F.col("turn").cast("string")))
+    m = view(spark, sf_dir, "messages").withColumn("given", given).select("role", numbers(F.col("given")).alias("want"), numbers(F.concat_ws(" ", "text", F.when(F.col("conv_id") % 2 == 0, F.col("given")))).alias("have"))
+    return m.groupBy("role").agg(F.round(F.avg(F.when(F.size("want") > 0, (F.size(F.array_except("want", "have")) == 0).cast("double"))), 6).alias("accuracy"), F.count_if(F.size("want") > 0).alias("with_numbers"))
 
 
 def evl31_transcripts(spark, sf_dir):
@@ -217,7 +228,7 @@ _FORM = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' '))"
 _RED = "regexp_replace(regexp_replace(regexp_replace({0}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', '[EMAIL]', 'g'), '\\+[0-9]{{1,3}}[ ()0-9-]{{7,16}}[0-9]', '[PHONE]', 'g'), '[0-9]{{12,}}', '[ID]', 'g')"
 
 SQL = {
-    "flt04_requested_years": "select * from (values (1, 2019), (2, 2024), (3, -1), (4, 2024)) as t(id, year)",
+    "flt04_requested_years": "select conv_id, turn, case when y <> '' then cast(y as int) when contains(lower(q), 'this year') then 2024 else -1 end as year from (select conv_id, turn, q, regexp_extract(q, '\\b(20[0-4]\\d)\\b', 1) as y from (select conv_id, turn, case when turn % 5 = 4 then 'fees this year: ' || text else text || ' since ' || (1990 + conv_id % 80) end as q from conversations))",
     "flt06_undated_pass": _B("select year, count(*) as n from blocks where year is null or year in (2016, 2019) group by all"),
     "flt11_source_search": "select source, lang, count(*) as n from documents where contains(lower(source || ' ' || lang), '1 d') group by all",
     "flt14_preflight": "select role, case when length(text) > 2000 then 'size' when turn > 4 then 'history' when regexp_matches(lower(text), '\\b(book|cancel|send)\\b') then 'action' when regexp_matches(text, '[à-ÿ]') then 'not english' else 'ok' end as reason, count(*) as n from conversations group by all",
@@ -230,18 +241,18 @@ SQL = {
     "prj07_without_identity": "select c_nationkey, c_mktsegment, count(*) as n from customer group by all",
     "prj09_turn_labels": _T("select case status when 'view' then 'Viewing' when 'click' then 'Choosing' when 'error' then 'Failed' when 'purchase' then 'Buying' else 'Other' end as label, status in ('purchase', 'error') as terminal, count(*) as n from turns group by all"),
     "jn08_containment": f"select source, sha1(q) as h, count(distinct doc_id) as docs, min(doc_id) as first from (select doc_id, source, {_SQ.format('line')} as q from {_L} join documents using (doc_id) where length(line) >= 30) group by all having count(distinct doc_id) > 1",
-    "srt03_dense_top": "select b.vec_id, round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as score from embeddings a, embeddings b where a.vec_id = 0 order by score desc, b.vec_id limit 180",
+    "srt03_dense_top": "select item_id, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from (select a.vec_id as item_id, b.vec_id as doc_id, round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 9) as score from embeddings a, embeddings b where a.vec_id % 50 = 0)) where rank <= 180",
     "srt07_by_size": "select source, lang, count(*) as n, min(doc_id) as first from documents group by all order by n desc, first limit 20",
     "txt05_legacy_tokens": "select doc_id, len(regexp_extract_all(text, '[\\pL\\pN_]+')) as tokens from documents",
-    "txt16_quotes": f"select conv_id, turn, contains({_FORM.format('text')}, {_FORM.format('substr(b, 1, 5)')}) as holds from (select *, lag(text) over (partition by conv_id order by turn) as b from conversations) where b is not null",
+    "txt16_quotes": f"select conv_id, turn, contains({_FORM.format('s')}, {_FORM.format('b')}) as holds from (select conv_id, turn, b, case when conv_id % 3 = 0 then text || ' ' || replace(b, ' ', '  ') else text end as s from (select *, lag(text) over (partition by conv_id order by turn) as b from conversations) where b is not null)",
     "txt30_spans": "select doc_id, case when doc_id % 50 + 200 <= length(text) then sha1(substr(text, doc_id % 50 + 1, 200)) else '-' end as span from documents",
-    "arr01_grid": "select * from (values (1, 0, 0, 'a'), (1, 1, 0, 'a'), (1, 0, 1, 'b'), (1, 0, 2, 'b'), (1, 1, 1, 'c'), (2, 0, 0, 'x'), (2, 0, 1, 'x'), (2, 0, 2, 'x')) as t(id, row, col, text)",
+    "arr01_grid": f"select doc_id, r as row, c as col, arg_min(cell, {{'row': pos, 'col': col}}) as text from (select doc_id, pos, col, cell, r, unnest(range(col, col + 1 + length(cell) % 3)) as c from (select doc_id, pos, col, cell, unnest(range(pos, pos + 1 + length(cell) % 2)) as r from {_C})) group by all",
     "arr04_keyed_cells": f"select doc_id, count(*) as cells, count(distinct k.cell) as row_keys from {_C} c join (select doc_id, pos, cell from {_C} where col = 0 and cell <> '') k using (doc_id, pos) where c.col > 0 and c.cell <> '' group by all",
     "jsn02_canonical": "select p_partkey, sha256('{\"p_brand\":\"' || p_brand || '\",\"p_name\":\"' || p_name || '\",\"p_size\":' || p_size || '}') as sha from part",
     "fct03_build_records": oracle(f"select kind, count(distinct evidence_id) as n, 'kept' as outcome from (select *, {_REJ} as r from records) where r is null group by all union all select kind, count(*), r from (select *, {_REJ} as r from records) where r is not null group by kind, r", "records"),
     "evl11_gates": _T("select model_calls, quantile_cont(seconds, 0.5) <= 40 and avg(case when status <> 'error' then 1.0 else 0.0 end) >= 0.75 as passed from turns group by all"),
     "evl20_mining": "select sha1(regexp_replace(regexp_replace(lower(trim(" + _RED.format("q") + ", ' ')), '\\s+', ' ', 'g'), '[ ?.!।]+$', '')) as key, count(*) as n, min(conv_id) as first from (select *, lag(text) over (partition by conv_id order by turn) as q from conversations) where role = 'assistant' and q is not null group by all",
-    "evl27_numbers": "select lang, round(avg(case when len(list_filter(regexp_extract_all(substr(text, 1, 2000), '\\d+'), lambda x: not list_contains(regexp_extract_all(text, '\\d+'), x))) = 0 then 1.0 else 0.0 end), 6) as accuracy, count(*) filter (where regexp_matches(text, '\\d')) as with_numbers from documents group by all",
+    "evl27_numbers": "select role, round(avg(case when len(w) > 0 then case when len(list_filter(w, lambda x: not list_contains(h, x))) = 0 then 1.0 else 0.0 end end), 6) as accuracy, count(*) filter (where len(w) > 0) as with_numbers from (select role, regexp_extract_all(g, '\\d+') as w, regexp_extract_all(case when conv_id % 2 = 0 then text || ' ' || g else text end, '\\d+') as h from (select *, concat_ws(' ', lag(text) over (partition by conv_id order by turn), case when turn > 0 then cast(turn as varchar) end) as g from conversations)) group by all",
     "evl31_transcripts": "select conv_id, round(avg(case when regexp_matches(text, '\\d|%|₹') then 1.0 else 0.0 end), 6) as leak_rate from conversations where role = 'assistant' group by all",
     "dst09_variants": "select variant, count(*) as n from (select p_name, trim(regexp_replace(p_name, '\\b(small|red|large)\\b', '', 'g'), ' ') as variant from part) where variant <> p_name and variant <> '' group by all",
     "dst11_delimited": f"select least(7, len(string_split(line, ' | '))) as fields, count(*) as n from {_L} where contains(line, ' | ') group by all",

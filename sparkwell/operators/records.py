@@ -163,8 +163,10 @@ def agg23_facets(spark, sf_dir):
 
 
 def agg24_total_and_page(spark, sf_dir):
-    rows = exact_lookup(_records(spark, sf_dir), kind="date", quota="F").withColumn("total", F.count("*").over(W.partitionBy("kind", "quota")))
-    return rows.orderBy(F.desc("amount"), "record_id", "programme").limit(25).select("record_id", "amount", "total")
+    """The first page of the rows found, with the count of them all: a top-k and a one-row count."""
+    found = exact_lookup(_records(spark, sf_dir), kind="date", quota="F")
+    page = found.orderBy(F.desc("amount"), "record_id", "programme").limit(25)
+    return page.join(F.broadcast(found.agg(F.count("*").alias("total"))), F.lit(True)).select("record_id", "amount", "total")
 
 
 def agg25_table_counts(spark, sf_dir):

@@ -6,18 +6,27 @@ limit for each question, which Spark cuts before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkwell.functions.text import words
 from sparkwell.plans.views import oracle, view
+from sparkwell.shared import written
 
 K1, B = 1.5, 0.75
 RRF = 60
 #: Candidates of each channel, and how many of them count after the eligibility filter.
 OVERFETCH, LIVE = 180, 60
 SERVABLE = ("approved", "extracted", "machine_verified")
+#: Stands for a document's length among its terms; no word has it.
+END = "."
+# Words about the past, and words of the domain of the questions.
+DOMAIN = r"(?i)\b(institute|college|campus|universit[a-zäéà]*)\b"
 PAST = r"(?i)\b(historical|previous|past|history|old)\b"
 
 
@@ -29,13 +38,15 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(questions: DataFrame, docs: DataFrame, repeat_query_terms: bool = True) -> DataFrame:
     """item_id, doc_id, score. Repeated query terms count as often as they occur, or once.
 
-    Only postings of the questions' terms are counted; they are pre-aggregated before the join.
+    Documents are cut into terms once: the postings of the questions' terms and, under END, the length
+    of every document are written as one table, from which all counts and scores come.
     """
     q = terms(questions, "item_id", "text").select("item_id", "term", F.col("tf").alias("qtf"))
-    sized = docs.select("doc_id", words(F.col("text"), True).alias("w")).withColumn("dl", F.size("w"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = q.select("term").distinct()
-    postings = sized.select("doc_id", "dl", F.explode("w").alias("term")).join(wanted, "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    wanted = q.select("term").distinct().union(questions.sparkSession.createDataFrame([(END,)], "term string"))
+    each = docs.select("doc_id", words(F.col("text"), True).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(END)))).alias("term"))
+    postings = written(each.join(wanted, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
+    stats = postings.where(F.col("term") == END).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = postings.where(F.col("term") != END)
     df_ = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = postings.join(df_, "term").join(F.broadcast(stats))  # one row of statistics
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -44,13 +55,38 @@ def bm25(questions: DataFrame, docs: DataFrame, repeat_query_terms: bool = True)
     return scored.select("term", "doc_id", weight.alias("w")).join(q, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * times).alias("score"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """ids and the vectors one after the other, of up to size rows of a partition in each row."""
+    block = F.floor(F.monotonically_increasing_id() / size)
+    rows = df.where(F.col(vector).isNotNull()).select(block.alias("_b"), F.struct(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).alias("x"))
+    return rows.groupBy("_b").agg(F.collect_list("x").alias("x")).select(F.col("x.k").alias(f"{key}s"), F.flatten("x.v").alias(f"{vector}s"))
+
+
+def dense(queries: DataFrame, vectors: DataFrame, k: int | None = None, least: float | None = None, size: int = 1024) -> DataFrame:
+    """item_id, doc_id, score: a stated query set (item_id, q) against all vectors (doc_id, v), by inner product.
+
+    Blocks of queries meet blocks of vectors, each pair as one matrix product. Of a block only what may
+    be among a query's best k (all that tie with the k-th too), or reaches least, leaves the worker.
+    """
+
+    def product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                items, docs = np.array(row["item_ids"]), np.array(row["doc_ids"])
+                if not len(items) or not len(docs):
+                    continue
+                score = (np.array(row["qs"]).reshape(len(items), -1) @ np.array(row["vs"]).reshape(len(docs), -1).T).round(9)
+                floor = np.partition(score, -k, axis=1)[:, -k, None] if k and k < len(docs) else -np.inf
+                i, j = np.nonzero((score >= floor) & (score >= (-np.inf if least is None else least)))
+                yield pa.RecordBatch.from_arrays([pa.array(items[i], pa.int64()), pa.array(docs[j], pa.int64()), pa.array(score[i, j])], ["item_id", "doc_id", "score"])
+
+    pairs = _blocks(vectors, "doc_id", "v", size).crossJoin(_blocks(queries, "item_id", "q", size))
+    return pairs.mapInArrow(product, "item_id long, doc_id long, score double")
 
 
-def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """item_id, doc_id, score: a stated query set against all vectors; a query is compared with each row once."""
-    return vectors.join(queries, F.lit(True)).select("item_id", "doc_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("score"))
+def without_domain_words(text: Column, pattern: str = DOMAIN) -> Column:
+    """A question without the words that stand in nearly every document of its domain and say nothing to the keyword channel."""
+    return F.regexp_replace(text, pattern, " ")
 
 
 def top(scores: DataFrame, k: int, by: str = "item_id", item: str = "doc_id") -> DataFrame:
@@ -99,7 +135,7 @@ def ret02_bm25_set(spark, sf_dir):
 def ret03_dense(spark, sf_dir):
     v = view(spark, sf_dir, "vectors")
     queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
-    return top(dense(queries, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))), 10).withColumn("score", F.round("score", 6))
+    return top(dense(queries, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 10), 10).withColumn("score", F.round("score", 6))
 
 
 def flt02_eligibility(spark, sf_dir):
@@ -131,7 +167,7 @@ def flt20_dated_preference(spark, sf_dir):
 
 
 def prj03_embed_text(spark, sf_dir):
-    text = F.concat_ws("\n", F.nullif("category", F.lit("en")), F.nullif("source_id", F.lit("src0")), F.substring("text", 1, 80))
+    text = F.concat_ws("\n", F.nullif("category", F.lit("en")), F.nullif("source_id", F.lit("src0")), "text")
     return view(spark, sf_dir, "blocks").select("block_id", F.sha2(text, 256).alias("sha"))
 
 
@@ -208,8 +244,8 @@ def _question_set(spark, sf_dir) -> DataFrame:
 def ret_hybrid_search(spark, sf_dir):
     """Both channels, over-fetched; live units only; fused by reciprocal rank with a boost for the asked language; six parents for each question."""
     questions, docs, v = _question_set(spark, sf_dir), view(spark, sf_dir, "documents"), view(spark, sf_dir, "vectors")
-    near = dense(questions.select("item_id", "q"), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")))
-    words_ = bm25(questions.select("item_id", "text"), docs.select("doc_id", "text")).withColumn("score", F.round("score", 6))
+    near = dense(questions.select("item_id", "q"), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), OVERFETCH)
+    words_ = bm25(questions.select("item_id", without_domain_words(F.col("text")).alias("text")), docs.select("doc_id", "text")).withColumn("score", F.round("score", 6))
     both = top(near, OVERFETCH).withColumn("channel", F.lit("dense")).unionByName(top(words_, OVERFETCH).withColumn("channel", F.lit("sparse")))
     live = eligible(view(spark, sf_dir, "blocks"), F.lit("question"), F.lit(None).cast("int")).select(F.col("block_id").alias("doc_id"), "category")
     w = W.partitionBy("item_id", "channel").orderBy("rank")
@@ -245,19 +281,19 @@ SQL = {
     "flt03_eligibility_legacy": oracle("select coalesce(nullif(status, 'visual_only'), '-') as status, count(*) as n from blocks where status in ('approved', 'extracted', 'visual_only') and not historical group by all", "blocks"),
     "flt07_soft_preference": oracle("select category, round(1 / (60 + page_start) * case when category = 'de' then 1.1 else 1.0 end, 8) as score, count(*) as n from blocks group by all", "blocks"),
     "flt20_dated_preference": oracle("select source_id, category, count(*) as n, min(block_id) as first from (select *, coalesce(max(case when year = 2018 then 1 when year is not null then 0 end) over (partition by source_id, category), 0) as a from blocks) where a = 0 or year = 2018 group by all", "blocks"),
-    "prj03_embed_text": oracle("select block_id, sha256(concat_ws(chr(10), nullif(category, 'en'), nullif(source_id, 'src0'), substr(text, 1, 80))) as sha from blocks", "blocks"),
+    "prj03_embed_text": oracle("select block_id, sha256(concat_ws(chr(10), nullif(category, 'en'), nullif(source_id, 'src0'), text)) as sha from blocks", "blocks"),
     "prj04_parent_expansion": oracle("select block_id, length(case when length(text) <= 3500 then concat_ws(' | ', source_id, cast(year as varchar), text) else text end) as n from blocks", "blocks"),
     "jn10_page_interval": oracle("select source_id, page, count(*) as blocks, min(block_id) as first from blocks, range(1, 20) as g(page) where page between page_start and page_end group by all", "blocks"),
     "jn12_related": oracle("select source_id, block_id, r from (select b.source_id, b.block_id, row_number() over (partition by b.source_id order by b.block_id) as r from blocks b where b.year is not null and (b.source_id, b.year) in (select (source_id, year) from s where r <= 2) and b.block_id not in (select block_id from s where r <= 2)) where r <= 4", "blocks").replace("select source_id, block_id, r from (select b.", ", s as (select *, row_number() over (partition by source_id order by block_id) as r from blocks where year is not null) select source_id, block_id, r from (select b.", 1),
     "agg09_weakest": oracle("select source_id, category, arg_min(status, case status when 'approved' then 4 when 'extracted' then 3 when 'machine_verified' then 2 when 'needs_review' then 1 when 'rejected' then -1 else 0 end) as weakest, min(page_start) as from_page, max(page_end) as to_page from blocks group by all", "blocks"),
     "agg03_status_histogram": oracle("select status, count(*) as n, cast(sum(n_chars) as bigint) as chars from blocks group by all", "blocks"),
-    "agg27_document_frequency": "select lang, term, count(*) as df from (select lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9À-ɏ]+|[ऀ-ॿ]+'))) as term from documents) group by all having count(*) >= 20",
+    "agg27_document_frequency": "select lang, term, count(*) as df from (select lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9À-ɏ]+|[ऀ-ॿ]+'))) as term from documents) group by all",
     "agg28_average_length": f"select lang, round(avg(len({_CW.format('text')})), 6) as avgdl from documents group by all",
     "agg11_sorted_sets": oracle("select source_id, array_to_string(list_sort(list_filter(list(distinct year), lambda x: x is not null)), ',') as years, array_to_string(list_sort(list(distinct status)), ',') as statuses from blocks group by all", "blocks"),
     "agg12_dominant": oracle("select source_id, category, n from (select source_id, category, count(*) as n from blocks group by all) qualify row_number() over (partition by source_id order by n desc, category) = 1", "blocks"),
     "ret16_token_windows": "select doc_id, count(*) as chunks, max(least(120, n - k * 100)) as longest from (select doc_id, n, unnest(range(0, cast(greatest(0, ceil((n - 20) / 100) - 1) as int) + 1)) as k from (select doc_id, len(string_split_regex(trim(text, ' '), '\\s+')) as n from documents)) group by all",
     "ret17_units": "select doc_id, grain, count(*) as units, cast(sum(n) as bigint) as chars from (select doc_id, 'page' as grain, length(text) as n from documents union all select doc_id, case when contains(t, '|') then 'row' else 'section' end, length(t) from (select doc_id, unnest(string_split(text, chr(10))) as t from documents)) group by all",
-    "ret_hybrid_search": oracle(f"""qs as (select doc_id as item_id, lang as asked, array_to_string(string_split_regex(text, '\\s+')[1:12], ' ') as text, embedding as q from documents join embeddings on vec_id = doc_id where doc_id % 50 = 0), {_bm25('qs', 'qtf')},
+    "ret_hybrid_search": oracle(f"""qs as (select doc_id as item_id, lang as asked, regexp_replace(array_to_string(string_split_regex(text, '\\s+')[1:12], ' '), '(?i)\\b(institute|college|campus|universit[a-zäéà]*)\\b', ' ', 'g') as text, embedding as q from documents join embeddings on vec_id = doc_id where doc_id % 50 = 0), {_bm25('qs', 'qtf')},
     dn as (select item_id, vec_id as doc_id, round(list_inner_product(cast(q as double[]), cast(embedding as double[])), 9) as score from qs, embeddings),
     c as (select item_id, doc_id, 'dense' as channel, score from dn qualify row_number() over (partition by item_id order by score desc, doc_id) <= 180 union all select item_id, doc_id, 'sparse', score from s qualify row_number() over (partition by item_id order by score desc, doc_id) <= 180),
     l as (select c.*, category, row_number() over (partition by item_id, channel order by score desc, doc_id) as rank from c join blocks on block_id = doc_id where {_ELIGIBLE} and not historical),

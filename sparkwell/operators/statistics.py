@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,19 +11,76 @@ from pyspark.sql import functions as F
 
 from sparkwell.functions.text import normalized_message
 from sparkwell.plans.views import oracle, view
+from sparkwell.shared import shared_dir
 
 #: Two-sided 95 % normal quantile.
 Z95 = 1.959963984540054
 
 
-def nearest_rank(column: str, q: float) -> Column:
-    """sorted[ceil(q n) - 1]."""
-    return F.expr(f"percentile_disc({q}) within group (order by {column})")
+#: Ranges that the values of a group are dealt to.
+RANGES = 64
 
 
-def floor_index(values: Column, q: float) -> Column:
-    """sorted[floor(q (n - 1))] of an array."""
-    return F.try_element_at(F.array_sort(values), (F.floor(q * (F.size(values) - 1)) + 1).cast("int"))
+def ranged(counts: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """counts (keys, value, weight) with _range, _before and _n: the range of the value within its keys, the weight of the ranges below it, and of all.
+
+    The cuts are approximate quantiles of each group, so that a group of any size is spread over RANGES
+    ranges; what comes from them is exact, wherever they lie.
+    """
+    same = keys or ["_all"]
+    counts = counts if keys else counts.withColumn("_all", F.lit(0))
+    quantiles = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    cuts = counts.groupBy(*same).agg(F.array_distinct(F.percentile_approx(value, quantiles, 20 * RANGES)).alias("_cuts"))
+    dealt = counts.join(cuts, same).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    w = W.partitionBy(*same)  # at most RANGES rows
+    sums = dealt.groupBy(*same, "_range").agg(F.sum(weight).alias("_m"))
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_m").over(w)})
+    return dealt.join(sums, [*same, "_range"])
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], list[Column]], weight: Column | None = None) -> DataFrame:
+    """keys, n (weight of the values that aren't null) and picked, a map from rank to the value at that rank, from 1.
+
+    ranks gives the ranks wanted from n. Values are counted first; then only the ranges that hold a
+    wanted rank are ordered, each by itself. weight: how often a row counts (null: once).
+    """
+    same = keys or ["_all"]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.lit(1) if weight is None else weight).cast("long").alias("_c")).where("_c > 0")
+    every = ranged(counts, keys, value, "_c").withColumn("_wanted", F.array_distinct(F.array(*(r.cast("long") for r in ranks(F.col("_n"))))))
+    near = every.where(F.exists("_wanted", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_m"))))
+    to = F.col("_before") + F.sum("_c").over(W.partitionBy(*same, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    hits = near.withColumn("_to", to).select(*same, "_n", value, F.explode(F.filter("_wanted", lambda r: (r > F.col("_to") - F.col("_c")) & (r <= F.col("_to")))).alias("_rank"))
+    return hits.groupBy(*same).agg(F.max("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("picked")).select(*keys, "n", "picked")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], kind: str = "linear", weight: Column | None = None) -> DataFrame:
+    """keys, n and a column for each quantile wanted, exact at any size of a group.
+
+    linear: between the two ranks around q (n - 1). nearest: rank ceil(q n). floor: rank
+    floor(q (n - 1)) from 0. upper: rank floor(q n) from 0.
+    """
+    places = {
+        "linear": lambda q, n: [F.floor(q * (n - 1)) + 1, F.least(F.floor(q * (n - 1)) + 2, n)],
+        "nearest": lambda q, n: [F.greatest(F.lit(1), F.ceil(q * n))],
+        "floor": lambda q, n: [F.floor(q * (n - 1)) + 1],
+        "upper": lambda q, n: [F.least(F.floor(q * n) + 1, n)],
+    }[kind]
+    found = order_statistics(df, keys, value, lambda n: [r for q in wanted.values() for r in places(F.lit(q), n)], weight)
+
+    def picked(q: float) -> Column:
+        n = F.col("n")
+        low, *high = [F.element_at("picked", r.cast("long")) for r in places(F.lit(q), n)]
+        return low + (high[0] - low) * (q * (n - 1) - F.floor(q * (n - 1))) if high else low
+
+    return found.select(*keys, "n", *(picked(q).alias(name) for name, q in wanted.items()))
+
+
+def numbered(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """df with _rank and _n: its place by a distinct number within its keys, and the rows of these."""
+    same = keys or ["_all"]
+    rows = ranged(df.withColumn("_one", F.lit(1)), keys, by, "_one")
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(*same, "_range").orderBy(by))
+    return rows.withColumn("_rank", rank).select(*df.columns, "_rank", "_n")
 
 
 def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -78,29 +136,30 @@ def trapezoid(times: str, values: str, key: str, df: DataFrame) -> DataFrame:
 def family_split(df: DataFrame, family: str, seed: str = "7", shares: tuple[float, float] = (0.6, 0.15), strata: list[str] | None = None) -> DataFrame:
     """family and split: whole families go to train, calibration or test, in the order of a seeded hash, by shares of the families of each stratum.
 
-    Without strata the families are one row each and are ranked within hash ranges, whose sizes come from
-    a count of ranges, so that no task has to order all of them.
+    The families are one row each and are ranked within hash ranges, whose sizes come from a count of
+    ranges, so that no task has to order all of them.
     """
     order = F.sha1(F.concat_ws("|", F.lit(seed), F.col(family).cast("string")))
-    fam = df.select(family, *(strata or [])).distinct()
-    if strata:
-        w = W.partitionBy(*strata)
-        rank, n = F.row_number().over(w.orderBy(order, family)), F.count("*").over(w)
-        ranked = fam.withColumns({"_rank": rank, "_n": n})
-    else:
-        ranged = fam.withColumn("_key", order).withColumn("_range", F.substring("_key", 1, 2))
-        sizes = ranged.groupBy("_range").agg(F.count("*").alias("_m"))
-        before = sizes.select("_range", F.sum("_m").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.sum("_m").over(W.partitionBy()).alias("_n"))  # 256 rows
-        ranked = ranged.join(F.broadcast(before), "_range").withColumn("_rank", F.row_number().over(W.partitionBy("_range").orderBy("_key", family)) + F.coalesce("_before", F.lit(0)))
+    same = strata or []
+    cut = df.select(family, *same).distinct().withColumn("_key", order).withColumn("_range", F.substring("_key", 1, 2))
+    sizes = cut.groupBy(*same, "_range").agg(F.count("*").alias("_m"))
+    w = W.partitionBy(*same)  # 256 rows
+    before = sizes.select(*same, "_range", F.sum("_m").over(w.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.sum("_m").over(w).alias("_n"))
+    ranked = cut.join(before, [*same, "_range"]).withColumn("_rank", F.row_number().over(W.partitionBy(*same, "_range").orderBy("_key", family)) + F.coalesce("_before", F.lit(0)))
     train, cal = F.bround(shares[0] * F.col("_n")), F.bround(shares[1] * F.col("_n"))
     return ranked.select(family, *(strata or []), F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + cal, "calibration").otherwise("test").alias("split"))
 
 
 def threshold_for(df: DataFrame, confidence: str, correct: str, target: float) -> DataFrame:
     """Lowest distinct confidence from which on precision reaches the target, with coverage and precision; none if never."""
-    steps = df.groupBy(confidence).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("int")).alias("k"))
-    w = W.orderBy(F.desc(confidence)).rowsBetween(W.unboundedPreceding, 0)  # one row for each distinct confidence
-    cum = steps.select(confidence, F.sum("n").over(w).alias("accepted"), F.sum("k").over(w).alias("right"), F.sum("n").over(W.partitionBy()).alias("total"))
+    steps = df.groupBy(confidence).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("int")).alias("k")).where(F.col(confidence).isNotNull())
+    # what lies at or above a confidence: the ranges above its own, then those of its range from the top down
+    cut = ranged(steps, [], confidence, "n")
+    right = cut.groupBy("_range").agg(F.sum("k").alias("_k"))
+    above = right.select("_range", F.coalesce(F.sum("_k").over(W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_right"))  # at most RANGES rows
+    w = W.partitionBy("_range").orderBy(F.desc(confidence)).rowsBetween(W.unboundedPreceding, 0)
+    upper = F.col("_n") - F.col("_before") - F.col("_m")
+    cum = cut.join(above, "_range").select(confidence, (upper + F.sum("n").over(w)).alias("accepted"), (F.col("_right") + F.sum("k").over(w)).alias("right"), F.col("_n").alias("total"))
     ok = cum.where(F.col("right") >= target * F.col("accepted"))
     return ok.orderBy(confidence).limit(1).select(confidence, "accepted", F.round(F.col("accepted") / F.col("total"), 6).alias("coverage"), F.round(F.col("right") / F.col("accepted"), 6).alias("precision"))
 
@@ -111,13 +170,23 @@ def threshold_grid(df: DataFrame, confidence: str, correct: str, grid: list[floa
     return each.groupBy("threshold").agg(F.count("*").alias("accepted"), F.sum("ok").alias("right"), F.sum(1 - F.col("ok")).alias("wrong"))
 
 
-def bootstrap_means(df: DataFrame, key: str, value: str, rounds: int) -> DataFrame:
-    """Poisson bootstrap of a mean: each row weighs in each round by a hash-drawn Poisson(1) count, so that no round needs all rows in one place."""
+def resampled(df: DataFrame, key: str, rounds: int) -> DataFrame:
+    """df with round and weight: how often a row is drawn in each round of a Poisson bootstrap, by a hash of its key, so that no round needs all rows in one place."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("round").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum(((u >= c).cast("int") for c in cdf), F.lit(0))
-    rows = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    return rows.groupBy("round").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("mean"))
+    rows = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    return rows.withColumn("weight", sum(((u >= c).cast("int") for c in cdf), F.lit(0)))
+
+
+def paired_bootstrap(pairs: DataFrame, key: str, before: str, after: str, rounds: int, confidence: float = 0.95) -> DataFrame:
+    """One row: percentile intervals of the mean difference after - before and of the ratio of their 95th percentiles, over rounds that draw whole pairs."""
+    drawn = resampled(pairs.where(F.col(before).isNotNull() & F.col(after).isNotNull()), key, rounds)
+    means = drawn.groupBy("round").agg((F.sum(F.col("weight") * (F.col(after) - F.col(before))) / F.sum("weight")).alias("mean"))
+    p95 = [quantiles(drawn, ["round"], c, {f"{c}_p95": 0.95}, weight=F.col("weight")).drop("n") for c in (before, after)]
+    each = means.join(p95[0], "round").join(p95[1], "round").withColumn("ratio", F.try_divide(F.col(f"{after}_p95"), F.col(f"{before}_p95")))
+    ends = F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2))
+    both = each.agg(F.percentile("mean", ends).alias("m"), F.percentile("ratio", ends).alias("r"), F.count("*").alias("rounds"))  # one row for each round
+    return both.select("rounds", *(F.round(F.col(c)[k], 6).alias(n) for c, k, n in (("m", 0, "mean_low"), ("m", 1, "mean_high"), ("r", 0, "ratio_low"), ("r", 1, "ratio_high"))))
 
 
 def _turns(spark, sf_dir):
@@ -125,29 +194,33 @@ def _turns(spark, sf_dir):
 
 
 def agg14_median(spark, sf_dir):
-    return _turns(spark, sf_dir).groupBy("status").agg(F.round(F.median("seconds"), 6).alias("median"))
+    return quantiles(_turns(spark, sf_dir), ["status"], "seconds", {"median": 0.5}).select("status", F.round("median", 6).alias("median"))
 
 
 def agg15_percentiles(spark, sf_dir):
-    p = F.percentile("seconds", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return _turns(spark, sf_dir).groupBy("status").agg(p.alias("p")).select("status", *(F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
+    wanted = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return quantiles(_turns(spark, sf_dir), ["status"], "seconds", wanted).select("status", *(F.round(n, 6).alias(n) for n in wanted))
 
 
 def agg16_nearest_rank(spark, sf_dir):
-    return _turns(spark, sf_dir).groupBy("status").agg(nearest_rank("seconds", 0.95).alias("p95"))
+    return quantiles(_turns(spark, sf_dir), ["status"], "seconds", {"p95": 0.95}, "nearest").select("status", "p95")
 
 
 def agg17_floor_index(spark, sf_dir):
-    return _turns(spark, sf_dir).groupBy("session_id").agg(floor_index(F.collect_list("seconds"), 0.95).alias("p95"))
+    return quantiles(_turns(spark, sf_dir), ["session_id"], "seconds", {"p95": 0.95}, "floor").select("session_id", "p95")
 
 
 def agg18_wall_summary(spark, sf_dir):
-    return _turns(spark, sf_dir).groupBy("model_calls").agg(F.count("*").alias("n"), *(F.round(x, 3).alias(n) for n, x in (("median", F.median("seconds")), ("p95", F.percentile("seconds", F.lit(0.95))), ("least", F.min("seconds")), ("most", F.max("seconds")))))
+    t = _turns(spark, sf_dir)
+    middle = quantiles(t, ["model_calls"], "seconds", {"median": 0.5, "p95": 0.95}).drop("n")
+    ends = t.groupBy("model_calls").agg(F.count("*").alias("n"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
+    return ends.join(middle, "model_calls", "left").select("model_calls", "n", *(F.round(n, 3).alias(n) for n in ("median", "p95", "least", "most")))
 
 
 def agg19_stage_medians(spark, sf_dir):
     stages = F.create_map(F.lit("total"), F.col("seconds"), F.lit("model"), F.col("model_seconds"))
-    return _turns(spark, sf_dir).select(F.explode(stages).alias("stage", "s")).where("s is not null").groupBy("stage").agg(F.round(F.median("s"), 6).alias("median"), F.count("*").alias("n"))
+    each = _turns(spark, sf_dir).select(F.explode(stages).alias("stage", "s"))
+    return quantiles(each, ["stage"], "s", {"median": 0.5}).select("stage", F.round("median", 6).alias("median"), "n")
 
 
 def agg20_hit_rate(spark, sf_dir):
@@ -160,7 +233,9 @@ def agg02_stage_summary(spark, sf_dir):
 
 
 def agg26_call_counts(spark, sf_dir):
-    return _turns(spark, sf_dir).groupBy("model_calls").agg(F.count("*").alias("n"), F.round(F.median(F.col("seconds") - F.coalesce("model_seconds", F.lit(0.0))), 6).alias("other"))
+    other = _turns(spark, sf_dir).withColumn("other", F.col("seconds") - F.coalesce("model_seconds", F.lit(0.0)))
+    middle = quantiles(other, ["model_calls"], "other", {"other": 0.5}).drop("n")
+    return other.groupBy("model_calls").agg(F.count("*").alias("n")).join(middle, "model_calls", "left").select("model_calls", "n", F.round("other", 6).alias("other"))
 
 
 def agg05_pass_by_group(spark, sf_dir):
@@ -233,14 +308,13 @@ def evl07_rule_of_three(spark, sf_dir):
 
 
 def evl08_bootstrap(spark, sf_dir):
-    means = bootstrap_means(_turns(spark, sf_dir), "turn_id", "seconds", 60)
-    return means.select("round", F.round("mean", 6).alias("mean"))
+    return paired_bootstrap(_turns(spark, sf_dir), "turn_id", "seconds", "model_seconds", 60)
 
 
 def evl09_gates(spark, sf_dir):
     t = _turns(spark, sf_dir)
-    p95 = F.percentile("seconds", F.lit(0.95))
-    g = t.groupBy("status").agg(p95.alias("p95"), F.count("*").alias("n")).select("status", (F.col("p95") <= 160).alias("speed"), (F.col("n") >= 300).alias("volume"))
+    p95 = quantiles(t, ["status"], "seconds", {"p95": 0.95}).drop("n")
+    g = t.groupBy("status").agg(F.count("*").alias("n")).join(p95, "status").select("status", (F.col("p95") <= 160).alias("speed"), (F.col("n") >= 300).alias("volume"))
     return g.select("status", F.when(F.col("speed") & F.col("volume"), "SHIP").when(F.col("speed") | F.col("volume"), "HOLD").otherwise("REJECT").alias("verdict"))
 
 
@@ -293,14 +367,13 @@ def evl24_pass_at_k(spark, sf_dir):
 
 
 def evl26_upper_median(spark, sf_dir):
-    values = F.array_sort(F.collect_list("seconds"))
-    return _turns(spark, sf_dir).groupBy("session_id").agg(values.alias("v")).select("session_id", F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("median"))
+    return quantiles(_turns(spark, sf_dir), ["session_id"], "seconds", {"median": 0.5}, "upper").select("session_id", "median")
 
 
 def evl29_two_runs(spark, sf_dir):
     t = _turns(spark, sf_dir).withColumn("run", F.when(F.col("session_id") < 50, "baseline").otherwise("candidate"))
-    p = F.percentile("seconds", F.array(F.lit(0.5), F.lit(0.95), F.lit(1.0)))
-    return t.groupBy("run").agg(p.alias("p"), F.count_if(F.col("model_calls") == 3).alias("three_calls")).select("run", *(F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p50", "p95", "p100"))), "three_calls")
+    p = quantiles(t, ["run"], "seconds", {"p50": 0.5, "p95": 0.95, "p100": 1.0}).drop("n")
+    return t.groupBy("run").agg(F.count_if(F.col("model_calls") == 3).alias("three_calls")).join(p, "run").select("run", *(F.round(n, 6).alias(n) for n in ("p50", "p95", "p100")), "three_calls")
 
 
 def dst01_components(spark, sf_dir):
@@ -314,11 +387,7 @@ def merge_families(pairs: DataFrame, family: str, message: str) -> DataFrame:
 
     Each round is written by checkpoint(), so that lineage stays short and lost executors don't matter.
     """
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared_dir(pairs.sparkSession)
     pairs = pairs.checkpoint()
     labels = pairs.select(family, F.col(family).alias("merged")).distinct()
     while True:
@@ -345,7 +414,7 @@ def dst04_split_checks(spark, sf_dir):
 
 def dst08_alternate(spark, sf_dir):
     fam = _turns(spark, sf_dir).select("status", "session_id").distinct()
-    return fam.withColumn("k", F.dense_rank().over(W.partitionBy("status").orderBy("session_id"))).groupBy("status", (F.col("k") % 2 == 1).alias("fit")).agg(F.count("*").alias("n"))
+    return numbered(fam, ["status"], "session_id").groupBy("status", (F.col("_rank") % 2 == 1).alias("fit")).agg(F.count("*").alias("n"))
 
 
 def mth01_cost(spark, sf_dir):
@@ -388,7 +457,7 @@ SQL = {
     "evl05_mcnemar": _t("select session_id, b, c, round(case when b + c = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) end, 8) as p from (select session_id, count(*) filter (where seconds < 50 and model_seconds >= 10) as b, count(*) filter (where seconds >= 50 and model_seconds < 25) as c from turns group by all) where b + c <= 40"),
     "evl06_wilson": _t(f"select session_id, k, n, round(greatest((p + {Z95 * Z95} / (2 * n)) / (1 + {Z95 * Z95} / n) - h, 0), 8) as low, round(least((p + {Z95 * Z95} / (2 * n)) / (1 + {Z95 * Z95} / n) + h, 1), 8) as high from (select *, {Z95} * sqrt(p * (1 - p) / n + {Z95 * Z95} / (4 * n * n)) / (1 + {Z95 * Z95} / n) as h from (select session_id, count(*) filter (where status = 'view') as k, count(*) as n, count(*) filter (where status = 'view') / count(*) as p from turns group by all))"),
     "evl07_rule_of_three": _t("select status, round(-ln(0.05) / count(*), 10) as upper, cast(ceil(-ln(0.05) / 0.01) as bigint) as needed from turns group by all"),
-    "evl08_bootstrap": _t("select r as round, round(sum(w * seconds) / sum(w), 6) as mean from (select seconds, r, " + " + ".join(f"cast(u >= {c} as int)" for c in _CDF) + " as w from (select seconds, r, cast('0x' || substr(md5(turn_id || '|' || r), 1, 8) as bigint) / 4294967296.0 as u from turns, range(1, 61) as g(r))) group by all"),
+    "evl08_bootstrap": _t("select count(*) as rounds, round(quantile_cont(mean, 0.025), 6) as mean_low, round(quantile_cont(mean, 0.975), 6) as mean_high, round(quantile_cont(ratio, 0.025), 6) as ratio_low, round(quantile_cont(ratio, 0.975), 6) as ratio_high from (select r, avg(b - a) as mean, quantile_cont(b, 0.95) / quantile_cont(a, 0.95) as ratio from (select r, a, b, unnest(range(0, w)) as copy from (select r, a, b, " + " + ".join(f"cast(u >= {c} as int)" for c in _CDF) + " as w from (select seconds as a, model_seconds as b, r, cast('0x' || substr(md5(turn_id || '|' || r), 1, 8) as bigint) / 4294967296.0 as u from turns, range(1, 61) as g(r) where seconds is not null and model_seconds is not null))) group by r)"),
     "evl09_gates": _t("select status, case when s and v then 'SHIP' when s or v then 'HOLD' else 'REJECT' end as verdict from (select status, quantile_cont(seconds, 0.95) <= 160 as s, count(*) >= 300 as v from turns group by all)"),
     "evl12_threshold_grid": _t("select cast(t as double) as threshold, count(*) as accepted, count(*) filter (where status = 'view') as right, count(*) filter (where status <> 'view') as wrong from turns, (values (0.0), (0.1), (0.2), (0.3), (0.4), (0.5)) as g(t) where cast(t as double) <= seconds / 500 group by all"),
     "evl13_precision_threshold": _t("select confidence, cast(a as bigint) as accepted, round(a / total, 6) as coverage, round(r / a, 6) as precision from (select confidence, sum(n) over w as a, sum(k) over w as r, sum(n) over () as total from (select round(seconds / 10) as confidence, count(*) as n, count(*) filter (where status <> 'error') as k from turns group by all) window w as (order by confidence desc rows unbounded preceding)) where r >= 0.81 * a order by confidence limit 1"),
@@ -401,7 +470,6 @@ SQL = {
     "evl24_pass_at_k": _t("select status, count(*) as n, count(*) filter (where f) as pass1, count(*) filter (where e) as pass_every from (select session_id, status, bool_or(trial = 1 and ok) as f, bool_and(ok) as e from (select session_id, status, seconds < 80 as ok, row_number() over (partition by session_id, status order by ts, turn_id) as trial from turns) where trial <= 3 group by all) group by all"),
     "evl26_upper_median": _t("select session_id, v[len(v) // 2 + 1] as median from (select session_id, list_sort(list(seconds)) as v from turns group by all)"),
     "evl29_two_runs": _t("select case when session_id < 50 then 'baseline' else 'candidate' end as run, round(quantile_cont(seconds, 0.5), 6) as p50, round(quantile_cont(seconds, 0.95), 6) as p95, round(max(seconds), 6) as p100, count(*) filter (where model_calls = 3) as three_calls from turns group by all"),
-    "dst01_components": "with recursive p as (select distinct l_orderkey as f, l_partkey as m from lineitem where l_quantity >= 49), e as (select distinct a.f as a, b.f as b from p a join p b using (m)), r(f, g) as (select distinct f, f from p union select r.f, e.b from r join e on e.a = r.g) select f as family, min(g) as merged from r group by all",
     "dst02_label_conflicts": oracle("select evidence_id, count(distinct kind) as kinds, count(*) as n from records group by all having count(distinct kind) > 1", "records"),
     "dst04_split_checks": _t(f"select count(distinct split) as splits, count(*) - count(distinct turn_id) as repeated_ids, cast(0 as bigint) as straddling from turns join ({_SPLIT}) using (session_id)"),
     "dst08_alternate": _t("select status, k % 2 = 1 as fit, count(*) as n from (select status, dense_rank() over (partition by status order by session_id) as k from (select distinct status, session_id from turns)) group by all"),

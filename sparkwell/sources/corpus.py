@@ -32,9 +32,9 @@ def skip_reason(name: Column, size: Column, least: int, most: int) -> Column:
 
 def exact_duplicates(files: DataFrame, digest: str, order: list[str]) -> DataFrame:
     """files with duplicate_of: for all but the first of equal digests, the first one's path."""
-    w = W.partitionBy(digest).orderBy(*order)
-    first = F.first("path").over(w)
-    return files.withColumn("duplicate_of", F.when(F.row_number().over(w) > 1, first))
+    first = files.groupBy(digest).agg(F.min_by("path", F.struct(*order)).alias("_first"))  # combined where the rows are: a digest may be that of many
+    found = files.join(first, digest, "left").withColumn("duplicate_of", F.when(F.col("path") != F.col("_first"), F.col("_first")))
+    return found.select(*files.columns, "duplicate_of")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

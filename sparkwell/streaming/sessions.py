@@ -6,36 +6,45 @@ replay() feeds a table through Structured Streaming once and gives what the stre
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkwell.plans.views import oracle, view
+from sparkwell.shared import new_folder
 
 
-def folder(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+def replay(spark: SparkSession, path: str, operator: Callable[[DataFrame], DataFrame], mode: str = "append", time: str | None = None, key: list[str] | None = None) -> DataFrame:
+    """Run an operator over the Parquet files of path as a stream until all are read; the rows it wrote.
 
-
-def replay(spark: SparkSession, path: str, operator: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Run an operator over the Parquet files of path as a stream until all are read; the rows it wrote."""
+    time: in append mode, the event time column. A last row far in the future then closes what is
+    still open at the end; its own group stays open and isn't written.
+    key: in update mode, the columns that name a row, of which the last version is given.
+    """
     schema = spark.read.parquet(path).schema
-    out, at = folder(spark, "stream-out"), folder(spark, "stream-checkpoint")
+    out, at = new_folder(spark, "stream-out"), new_folder(spark, "stream-checkpoint")
     # written as a pattern, the path may be a folder or a single file; a stream takes only folders by name
-    result = operator(spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]"))
+    rows = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    if time:
+        last = spark.range(1).select(*(F.lit("2900-01-01" if f.name == time else None).cast(f.dataType).alias(f.name) for f in schema))
+        end = new_folder(spark, "stream-end")
+        last.write.parquet(end)
+        rows = rows.union(spark.readStream.schema(schema).parquet(end))
+    result = operator(rows)
     written = result.schema
 
     def emit(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     result.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(emit).start().awaitTermination()
+    if mode == "update" and key:
+        versions = spark.read.schema(StructType([*written.fields, StructField("batch", LongType())])).parquet(out)
+        rest = [c for c in written.names if c not in key]
+        return versions.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*key, *(F.col("_last")[c].alias(c) for c in rest))
     return spark.read.schema(written).parquet(f"{out}/batch=*")
 
 
@@ -148,13 +157,13 @@ def str02_sessions(spark, sf_dir):
 
 
 def str02_sessions_streamed(spark, sf_dir):
-    """The same sessions, through the stream's state: each session is written when a row past its end has come."""
-    s = replay(spark, f"{sf_dir}/events.parquet", lambda e: sessions(timed(e), "user_id", "2 hours", late="0 seconds"))
+    """The same sessions, through the stream's state: each session is written when a row past its end has come, the last ones when the stream ends."""
+    s = replay(spark, f"{sf_dir}/events.parquet", lambda e: sessions(timed(e), "user_id", "2 hours", late="1 day"), time="ts")
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
 def str01_tumbling_streamed(spark, sf_dir):
-    t = replay(spark, f"{sf_dir}/events.parquet", lambda e: tumbling(timed(e), "1 day", late="1 hour"), "update")
+    t = replay(spark, f"{sf_dir}/events.parquet", lambda e: tumbling(timed(e), "1 day", late="1 hour"), "update", key=["window", "event_type"])
     return t.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
@@ -227,6 +236,7 @@ _CACHE = """with recursive q as (select turn_id, session_id || '|' || status as
  select key, count(*) filter (where hit) as hits, count(*) as n from c group by all"""
 
 SQL = {
+    "str02_sessions_streamed": "select user_id, count(*) as sessions, cast(sum(n) as bigint) as events from (select user_id, count(*) as n from (select *, sum(case when ts - b < interval '2 hours' then 0 else 1 end) over (partition by user_id order by ts, event_id) as s from (select *, lag(ts) over (partition by user_id order by ts, event_id) as b from events)) group by user_id, s) group by user_id",
     "str01_tumbling": "select cast(epoch(time_bucket(interval '1 hour', ts)) as bigint) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all",
     "str01_tumbling_streamed": "select cast(epoch(time_bucket(interval '1 day', ts)) as bigint) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all",
     "str02_sessions": "select user_id, min(epoch_us(ts)) as first, max(epoch_us(ts)) as last, count(*) as n from (select *, sum(case when ts - b < interval '2 hours' then 0 else 1 end) over (partition by user_id order by ts, event_id) as s from (select *, lag(ts) over (partition by user_id order by ts, event_id) as b from events)) group by user_id, s",

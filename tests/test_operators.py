@@ -187,15 +187,99 @@ def test_sessions_on_a_stream_match_the_table(spark, tmp_path):
     rows = [(u, f"2024-01-01 {h:02d}:{m:02d}:00") for u in (1, 2) for h, m in ((0, 0), (0, 20), (3, 0), (9, 0), (9, 50))] + [(9, "2024-01-03 00:00:00")]
     df = spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     df.coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
-    streamed = sessions.replay(spark, str(tmp_path / "e.parquet"), lambda e: sessions.sessions(e, "user_id", "1 hour", late="0 seconds"))
-    want = {(r.user_id, r.n) for r in sessions.sessions(df, "user_id", "1 hour").where("user_id < 9").collect()}
-    assert {(r.user_id, r.n) for r in streamed.where("user_id < 9").collect()} == want
-
-
-def test_cardinals_count_up():
-    want = {0: "zero", 21: "twenty one", 100: "one hundred", 1999: "one thousand nine hundred ninety nine", 250000: "two lakh fifty thousand", 12345678: "one crore twenty three lakh forty five thousand six hundred seventy eight"}
-    assert {n: more.cardinal(n) for n in want} == want
-    assert len({more.cardinal(n) for n in range(20000)}) == 20000
+    streamed = sessions.replay(spark, str(tmp_path / "e.parquet"), lambda e: sessions.sessions(e, "user_id", "1 hour", late="1 day"), time="ts")
+    want = sorted((r.user_id, r.n) for r in sessions.sessions(df, "user_id", "1 hour").collect())
+    assert sorted((r.user_id, r.n) for r in streamed.collect()) == want
+
+
+def test_update_mode_gives_last_versions(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([("2024-01-01 00:00:00", "a", float(k))], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / f"part{k}.parquet"))
+    got = sessions.replay(spark, f"{tmp_path}/part?.parquet", lambda e: sessions.tumbling(e, "1 day"), "update", key=["window", "event_type"]).collect()
+    assert [(r.n, r.value) for r in got] == [(3, 3.0)]
+
+
+def test_dense_blocks_match_plain_products(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    vectors = r.normal(size=(300, 7)).round(1)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(999, None)], "doc_id long, v array<double>").repartition(5)
+    queries = df.where("doc_id % 50 = 0").select(F.col("doc_id").alias("item_id"), F.col("v").alias("q"))
+    score = (vectors[::50] @ vectors.T).round(9)
+    every = {(x.item_id, x.doc_id): x.score for x in retrieval.dense(queries, df, size=16).collect()}
+    assert len(every) == 6 * 300 and all(every[50 * i, j] == pytest.approx(score[i, j]) for i in range(6) for j in range(300))
+    best = retrieval.top(retrieval.dense(queries, df, 10, size=16), 10).collect()
+    assert {(x.item_id, x.doc_id) for x in best} == {(50 * i, int(j)) for i in range(6) for j in sorted(range(300), key=lambda j: (-score[i, j], j))[:10]}
+
+
+def test_cardinals_count_up(spark):
+    want = {0: "zero", 21: "twenty one", 100: "one hundred", 1999: "one thousand nine hundred ninety nine", 250000: "two lakh fifty thousand", 12345678: "one crore twenty three lakh forty five thousand six hundred seventy eight", -7: "minus seven", 1500000003000: "one lakh fifty thousand crore three thousand", None: None}
+    df = spark.createDataFrame([(n,) for n in want], "n long")
+    assert {r.n: r.w for r in df.select("n", more.in_words(F.col("n")).alias("w")).collect()} == want
+    assert spark.range(20000).select(more.in_words(F.col("id")).alias("w")).distinct().count() == 20000
+
+
+def test_expressions_on_single_texts(spark):
+    one = lambda c, **cols: spark.createDataFrame([tuple(cols.values())], list(cols)).select(c.alias("x")).first().x if cols else spark.range(1).select(c.alias("x")).first().x
+    q = F.col("q")
+    for t, share, lang in (("नमस्ते दुनिया", 1.0, "hi"), ("hello world", 0.0, "en"), ("123", 0.0, "en"), ("abc अ abc abc", 0.1, "en"), ("hello दुनिया yes", 6 / 14, "mixed")):
+        assert one(text.script_share(q), q=t) == pytest.approx(share) and one(text.language_of(q), q=t) == lang
+    assert [one(text.language_hint(q), q=t) for t in ("fees kya hai", "what is the fee", "शुल्क", "hai")] == ["hinglish", None, "hindi", None]
+    assert [one(text.citation_tags(q), q=t) for t in ("see [S2] and [S1] and [S2]", "none", "[S10]")] == [["2", "1"], ["1", "2"], ["10"]]
+    assert one(text.strip_accents(q), q="Ünïcode ﬁ café") == "Unicode fi cafe"
+    found = {t: {n: one(c, q=t) for n, c in more.rank_filters(q).items()} for t in ("Closing rank 2019 round 3 programme-7", "rank in 2018 or 2019", "round 2 cutoff for women", "hello")}
+    assert [(f["year"], f["round"], f["programme"], f["gender"], f["basis"]) for f in found.values()] == [("2019", "3", "programme-7", None, "closing"), (None,) * 5, (None, "2", None, "women", None), (None,) * 5]
+    assert [one(more.follow_up(F.col("b"), F.col("n")), b=b, n=n) for b, n in (("fee for category-1", "and category-2?"), ("fee for category-1", "hello"), ("round 2 fee", "round 3"), ("round 2 fee", "category-4"))] == ["fee for category-2", "hello", "round 3 fee", "category-4"]
+    years = lambda s, p: one(text.years_of(F.lit(s).cast("array<string>") if s is None else F.array(*map(F.lit, s)), F.lit(p)))
+    assert years(None, "a/2021_x/12020/2020-2021.pdf") == ["2020", "2021"] and years(["2019"], "2020") == ["2019"]
+
+
+def test_rows_of_tables_in_text(spark):
+    df = spark.createDataFrame([("| Exam | 12 May 2024 |",), ("Exam | May",), ("a | b | c | d | 3 June",), ("Fest | x | 1 July",)], "line string")
+    assert sorted((r.event, r.date) for r in text.calendar_rows(df, "line").collect()) == [("Exam", "12 May 2024"), ("Fest", "1 July")]
+    df = spark.createDataFrame([("| [A B](u/1) | Prof | CS | a.b [at] x [dot] org | 12 |",), ("| A | B | C | D |",), ("a|b|c|d|e",)], "line string")
+    assert sorted(((r.name, r.role, r.email) for r in text.people_rows(df, "line").collect()), key=str) == [("A B", "Prof", "a.b@x.org"), ("a", "b", None)]
+
+
+@pytest.mark.parametrize("kind", ["linear", "nearest", "floor", "upper"])
+def test_quantiles_of_groups(spark, kind):
+    import numpy as np
+
+    r = random.Random(4)
+    rows = [(k, float(r.choice((r.randrange(5), r.random())))) for k, n in ((1, 900), (2, 1), (3, 2), (4, 37)) for _ in range(n)] + [(1, None), (5, None)]
+    wanted = {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0, "e": 0.013}
+    got = {x.k: x for x in statistics.quantiles(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", wanted, kind).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for k, row in got.items():
+        v = sorted(x for j, x in rows if j == k and x is not None)
+        n = len(v)
+        at = {"nearest": lambda q: v[max(1, math.ceil(q * n)) - 1], "floor": lambda q: v[math.floor(q * (n - 1))], "upper": lambda q: v[min(math.floor(q * n), n - 1)], "linear": lambda q: float(np.quantile(v, q))}[kind]
+        assert row.n == n and all(row[name] == pytest.approx(at(q)) for name, q in wanted.items())
+
+
+def test_numbers_and_thresholds_over_ranges(spark):
+    r = random.Random(9)
+    values = r.sample(range(10**6), 500)
+    got = statistics.numbered(spark.createDataFrame([(k % 3, v) for k, v in enumerate(values)], "k int, v long"), ["k"], "v").collect()
+    for k in range(3):
+        own = sorted(v for j, v in enumerate(values) if j % 3 == k)
+        assert {x.v: x["_rank"] for x in got if x.k == k} == {v: i for i, v in enumerate(own, 1)} and {x["_n"] for x in got if x.k == k} == {len(own)}
+    rows = [(r.randrange(200) / 200, r.random() < 0.7) for _ in range(3000)] + [(0.999, True)] * 5
+    want = None
+    for c in sorted({c for c, _ in rows}):
+        over = [ok for x, ok in rows if x >= c]
+        if want is None and sum(over) >= 0.74 * len(over):
+            want = (c, len(over))
+    found = statistics.threshold_for(spark.createDataFrame(rows, "c double, ok boolean"), "c", "ok", 0.74).first()
+    assert (found.c, found.accepted) == want
+
+
+def test_paired_bootstrap_covers_a_known_difference(spark):
+    r = random.Random(1)
+    rows = [(k, (a := r.random() * 10), a + 1 + r.random()) for k in range(2000)]
+    got = statistics.paired_bootstrap(spark.createDataFrame(rows, "k long, a double, b double"), "k", "a", "b", 80).first()
+    assert got.rounds == 80 and 1.45 < got.mean_low < 1.5 < got.mean_high < 1.55 and got.ratio_low < got.ratio_high < 1.25
 
 
 def test_assembly_places_each_document_once(spark):
