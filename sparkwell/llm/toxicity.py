@@ -4,13 +4,14 @@ A word's input is its own hashed embedding plus the mean of the hashed embedding
 n-grams. A bidirectional GRU reads windows of words, attention pools each window's states into one
 vector, and a logistic layer gives the window's score. Windows overlap by a third and cover the whole
 text; a text's score is that of its most toxic window. The network is trained on a bounded sample of
-labelled rows (SAMPLE_PER_LABEL rows of each label, of texts up to SAMPLE_CHARS), first with each
+labelled rows (SAMPLE_PER_LABEL rows of each label that docs has texts of up to SAMPLE_CHARS for), first with each
 text's label for all of its windows, then for its highest-scoring window. The weights, of a fixed
 size, are broadcast; each worker scores its rows where they are, without a shuffle.
 
 Defined cases: null or empty text is one window without words and gets the score of the bias alone;
 a null doc_id is kept (and never trained on); repeated rows are scored each; label rows that
-contradict each other count as toxic; without rows of both labels every score is the smoothed share
+contradict each other count as toxic; of rows with the same labelled doc_id the least text is learned
+from; without rows of both labels every score is the smoothed share
 of label 1; an empty table gives an empty result; other columns are never read.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import io
 import re
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -331,13 +333,15 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, max_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """text and toxic of at most per_label rows of each label, chosen by a hash; held-out rows (crc32 of the id mod 3 is 1) never."""
+    """text and toxic of at most per_label labelled rows of docs for each label, chosen by a hash, one for each doc_id; held-out rows (crc32 of the id mod 3 is 1) never."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 <> 1").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    short = docs.select("doc_id", text_of().alias("text")).where(F.length("text") <= max_chars)
+    known = known.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     ids = spark.createDataFrame([tuple(r) for p in picked for r in p.collect()], "doc_id long, toxic int")  # at most 2 * per_label rows
-    text = text_of()
-    return docs.select("doc_id", text.alias("text")).where(F.length("text") <= max_chars).join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    found = short.join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, max_chars: int = SAMPLE_CHARS) -> bytes | float:
@@ -378,8 +382,9 @@ def _scoring(spark: SparkSession, model: bytes, keep_rows: bool):
 
 
 def reject(docs: DataFrame, model: bytes | float) -> DataFrame:
-    """docs without the rows whose score is TOXIC_FROM or more; a constant model rejects none."""
+    """docs without the rows whose score is TOXIC_FROM or more; a constant model rejects none, with a warning."""
     if isinstance(model, float):
+        warnings.warn("no labelled rows of both kinds to learn from: nothing is rejected", stacklevel=2)
         return docs
     return docs.mapInArrow(_scoring(docs.sparkSession, model, keep_rows=True), docs.schema)
 

@@ -34,6 +34,59 @@ def test_gradients():
         assert g[name][at] == pytest.approx((up - down) / (2 * e), rel=2e-3, abs=1e-6)
 
 
+def plain_score(net, text):
+    """The network in plain Python loops: embeddings, both directions, attention and the worst window."""
+    import math
+
+    words = toxicity.words_of(text)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    hidden = toxicity.HIDDEN
+
+    def given(word):
+        w, g, _ = toxicity.features([word])
+        return [float(net.words[w[0], i]) + sum(float(net.grams[k, i]) for k in g) / len(g) for i in range(toxicity.INPUT)]
+
+    def states(xs, d):
+        h, out = [0.0] * hidden, []
+        for x in xs:
+            gates = [sum(x[i] * float(net.wx[d, i, j]) for i in range(len(x))) + float(net.bx[d, j]) for j in range(3 * hidden)]
+            own = [sum(h[i] * float(net.wh[d, i, j]) for i in range(hidden)) for j in range(3 * hidden)]
+            z = [sig(gates[j] + own[j]) for j in range(hidden)]
+            r = [sig(gates[hidden + j] + own[hidden + j]) for j in range(hidden)]
+            c = [math.tanh(gates[2 * hidden + j] + r[j] * (own[2 * hidden + j] + float(net.bn[d, j]))) for j in range(hidden)]
+            h = [c[j] + z[j] * (h[j] - c[j]) for j in range(hidden)]
+            out.append(h)
+        return out
+
+    best = -math.inf
+    for a in toxicity.starts(len(words)):
+        xs = [given(w) for w in words[a:a + toxicity.WINDOW]]
+        both = [x + y for x, y in zip(states(xs, 0), states(xs[::-1], 1)[::-1], strict=True)]
+        s = [sum(x * float(w) for x, w in zip(v, net.att, strict=True)) for v in both]
+        p = [math.exp(x - max(s)) for x in s] if s else []
+        pooled = [sum(q * v[j] for q, v in zip(p, both, strict=True)) / sum(p) for j in range(2 * hidden)] if p else [0.0] * 2 * hidden
+        best = max(best, sum(x * float(w) for x, w in zip(pooled, net.out, strict=True)) + float(net.bias[0]))
+    return sig(best)
+
+
+def test_scores_of_whole_texts_against_plain_loops():
+    rows = toy(120, 4)
+    net = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows])
+    texts = ["", "word1", "nastyword word2", *(t for _, t, _ in rows[:6]), " ".join(f"word{k} nastything"[: 6 + k % 12] for k in range(170))]
+    got = toxicity.Scorer(net).score(texts)
+    assert got == pytest.approx([plain_score(net, t) for t in texts], abs=2e-4)
+
+
+def test_sample_is_drawn_from_documents_that_are_there(spark):
+    """Labels of many other documents don't thin the sample; a doc_id that is repeated or too long counts once or not."""
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(300)] + [(0, "a copy"), (7, "again"), (400, "x" * 9000)], "doc_id long, text string")
+    labels = spark.range(50_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    got = toxicity.training_sample(docs, labels, per_label=60).collect()
+    assert sum(r.toxic == 0 for r in got) == sum(r.toxic == 1 for r in got) == 60
+    every = toxicity.training_sample(docs, labels).count()
+    assert every == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(300))
+
+
 def toy(n, seed):
     r = np.random.default_rng(seed)
     words = [f"word{k}" for k in range(300)]
@@ -69,6 +122,8 @@ def test_without_labels(spark, odd):
     one = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     for labels in (none, one):
         model = toxicity.fit(odd, labels)
+        with pytest.warns(UserWarning, match="nothing is rejected"):
+            toxicity.reject(odd, model)
         assert isinstance(model, float) and toxicity.score(odd, model).count() == odd.count() == toxicity.reject(odd, model).count()
 
 
@@ -114,6 +169,8 @@ def test_pieces_best_and_round_trip(spark, odd, empty):
         assert np.frombuffer(p.encode(t), "<u4").tolist() == plain_viterbi(p, found, pieces.MARK + t.replace(" ", pieces.MARK))
     for t in ["", " ", "a", "  two  spaces ", "日本語 ▁ x▁", "▁", "x\x00y 😀", *texts]:
         assert p.decode(p.encode(t)) == t
+    long = "".join(texts)[:6000].replace(" ", "")
+    assert len(long) > pieces.LONG and list(p.best(long)) == plain_viterbi(p, found, long)
     small = pieces.Pieces({0: ("a", -1.0), 1: ("ab", -1.5), 2: ("b", -1.0), 3: ("▁a▁b", -0.1)}, list(range(4, 260)))
     assert not small.apart and np.frombuffer(small.encode("a b"), "<u4").tolist() == [3]
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(odd)).collect() if r.doc_id not in (None, 2)}
