@@ -7,12 +7,17 @@ lists with marks and indents, preformatted text as it is, and the cells of table
 Each page is rendered whole by the worker that has it; nothing is shuffled.
 
 Strings and elements that stand between the rows or cells of a table come in front of it; cells keep their columns below
-a rowspan. A column is padded to 80 characters at most: longer cells are whole, but what is right of them is not aligned,
-since padding to the longest cell can make a page's text as long as its square.
+a rowspan. Columns are padded to their longest cell. Where that would make a table's text much longer than its cells
+(PADDING times; a page could grow with its square), the widest columns are padded less: their longer cells are whole, but
+what is right of them is not aligned.
+
+Hidden are scripts, styles, the head and the like, elements with the attribute hidden or an inline style or simple rule
+(one element name, class or id, or an element name with a class) of a style element that says display: none or visibility:
+hidden, closed dialogs, and of a closed details all but its summary. Buttons and text fields show their value.
 
 Defined cases: null or empty html gives empty text; broken markup never fails: an end tag that
-closes nothing is dropped, what is open at the end is closed, a lone < is text; elements nested deeper
-than MAX_DEPTH are laid out as parts of the element at that depth, with all of their text; a null id
+closes nothing is dropped, what is open at the end is closed, a lone < is text; elements may nest to any depth: those below
+MAX_DEPTH keep their visibility, their text and their place between blocks, but not their layout as lists or tables; a null id
 is kept; repeated rows are rendered each; an empty table gives an empty result.
 """
 
@@ -20,6 +25,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -29,11 +36,13 @@ from pyspark.sql import functions as F
 from sparkwell.llm.common import table
 
 MAX_DEPTH = 200
+PADDING = 8
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noframes".split())
+SHOWS_VALUE = frozenset("text search email url tel number date time submit button reset".split())
 #: In svg and math, what is not shown where it stands.
 ASIDE = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
 BLOCK = frozenset(
@@ -53,12 +62,16 @@ CLOSES = {
 }
 _IN_HEAD = frozenset("base link meta title style script template noscript head html".split())
 _PARTS = frozenset("tr td th thead tbody tfoot".split())
-_NO_PARENT_PAST = frozenset({"td", "th", "table", "html"})
+_NO_PARENT_PAST = frozenset({"td", "th", "table"})
+_TABLE_ENDS = frozenset("table tr tbody thead tfoot td th body html".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>", re.S)
 _LOOSE = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+_SIMPLE = re.compile(r"[a-z][a-z0-9]*|(?:[a-z][a-z0-9]*)?\.[\w-]+|#[\w-]+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -77,8 +90,9 @@ class Node:
                 return html.unescape(next((g for g in m.groups()[1:] if g is not None), ""))
         return None
 
-    def shown(self) -> bool:
-        if self.tag in HIDDEN:
+    def shown(self, rules: frozenset[str] = frozenset()) -> bool:
+        """rules: selectors that style elements hide."""
+        if self.tag in HIDDEN or self.tag in rules:
             return False
         if not self.attrs:
             return not self.tag == "dialog"
@@ -86,42 +100,100 @@ class Node:
             return False
         if self.tag == "input" and (self.attr("type") or "").lower() == "hidden":
             return False
+        if rules:
+            names = (self.attr("class") or "").split()
+            if any(f".{c}" in rules or f"{self.tag}.{c}" in rules for c in names) or f"#{self.attr('id')}" in rules:
+                return False
         return not _INVISIBLE.search(self.attr("style") or "")
 
 
-def parse(page: str) -> Node:
-    root = Node("html")
-    stack = [root]
+def hiding(style: str) -> set[str]:
+    """Simple selectors of a style sheet whose rules hide."""
+    found: set[str] = set()
+    for m in _RULE.finditer(_COMMENT.sub(" ", style)):
+        if _INVISIBLE.search(m[2]):
+            found |= {x for x in map(str.strip, m[1].split(",")) if _SIMPLE.fullmatch(x)}
+    return found
+
 
-    def close(names: set, bounds: set) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                close(names, bounds)
-                return
-            if stack[k].tag in bounds:
-                return
+class Tree:
+    """The open elements of a page while it is read.
 
-    def text(s: str) -> None:
+    Each stands with the node that takes its children: itself, or below MAX_DEPTH the one at that depth,
+    or, if it is hidden there, a node that is thrown away.
+    """
+
+    def __init__(self):
+        self.root = Node("html")
+        self.stack: list[tuple[Node, Node]] = [(self.root, self.root)]
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of the open elements by name
+        self.rules: set[str] = set()
+
+    @property
+    def top(self) -> Node:
+        return self.stack[-1][0]
+
+    def add(self, child: Node | str) -> None:
+        self.stack[-1][1].children.append(child)
+
+    def push(self, node: Node) -> None:
+        into = self.stack[-1][1]
+        into.children.append(node)
+        if len(self.stack) >= MAX_DEPTH:
+            into = into if node.shown(self.rules) else Node("")
+        else:
+            into = node
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append((node, into))
+
+    def cut(self, at: int) -> None:
+        """Close the elements from that place on."""
+        for node, into in reversed(self.stack[at:]):
+            self.at[node.tag].pop()
+            if into is not node and into.tag:
+                into.children.append(Node(node.tag))  # the end of a block that has no node of its own
+        del self.stack[at:]
+
+    def close(self, names: set, bounds: set) -> None:
+        """Close open elements of these names, up to the nearest element that bounds them."""
+        bound = self.last(bounds)
+        first = [x[k] for x in map(self.at.__getitem__, names) if (k := bisect_right(x, bound)) < len(x)]
+        if first:
+            self.cut(min(first))
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost open element of these names; 0 if none is open."""
+        return max((x[-1] for x in map(self.at.__getitem__, names) if x), default=0)
+
+    def end(self, tag: str) -> None:
+        at = self.last([tag])
+        if at and (tag in _TABLE_ENDS or self.last(_NO_PARENT_PAST) <= at):
+            self.cut(at)
+
+    def text(self, s: str) -> None:
         if s:
-            if stack[-1].tag == "head" and s.strip():
-                stack.pop()
-            stack[-1].children.append(html.unescape(s))
+            if self.top.tag == "head" and s.strip():
+                self.cut(len(self.stack) - 1)
+            self.add(html.unescape(s))
+
 
+def parse(page: str) -> tuple[Node, frozenset[str]]:
+    """The tree of a page, and the selectors that its style elements hide."""
+    tree = Tree()
     at, n = 0, len(page)
     pattern = _TAG
     while at < n:
         lt = page.find("<", at)
         if lt < 0 or page.find(">", lt) < 0 and not page.startswith("<!--", lt):
-            text(page[at:])
+            tree.text(page[at:])
             break
-        text(page[at:lt])
+        tree.text(page[at:lt])
         m = pattern.match(page, lt)
         if not m and page[lt + 1:lt + 3].strip("/")[:1].isalpha():
             pattern = _LOOSE  # a quote stays open to the end: from here on quotes don't count
             m = pattern.match(page, lt)
         if not m:
-            text("<")
+            tree.text("<")
             at = lt + 1
             continue
         at = m.end()
@@ -129,51 +201,46 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _NO_PARENT_PAST and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
+            tree.end(tag)
             continue
         if tag == "html":
             continue
-        if stack[-1].tag == "head" and tag not in _IN_HEAD:
-            stack.pop()
+        if tree.top.tag == "head" and tag not in _IN_HEAD:
+            tree.cut(len(tree.stack) - 1)
         if tag in ENDS_P:
-            close({"p"}, {"td", "th", "table", "button", "object", "html"})
+            tree.close({"p"}, {"td", "th", "table", "button", "object", "html"})
         if tag in CLOSES:
-            close(*CLOSES[tag])
-        if tag == "body" and any(x.tag == "body" for x in stack):
+            tree.close(*CLOSES[tag])
+        if tag == "body" and tree.at["body"]:
             continue
-        attrs = m[3].rstrip("/") if m[3] else ""
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        node = Node(tag, m[3].rstrip("/") if m[3] else "")
         if tag in _PARTS:
-            for x in reversed(stack):
+            for x, _ in reversed(tree.stack):
                 if x.tag == "table" or x.parted:
                     break
                 x.parted = True
-        if m[3].endswith("/") and any(x.tag in ("svg", "math") for x in [*stack, node]):
-            continue  # only there a slash ends an element
         if tag in RAW:
+            tree.add(node)
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             inner = page[at:end.start() if end else n]
-            if tag not in ("script", "style"):
+            if tag == "style":
+                tree.rules |= hiding(inner)
+            elif tag != "script":
                 inner = html.unescape(inner)
             node.children.append(inner)
             at = end.end() if end else n
-        elif tag not in VOID and len(stack) < MAX_DEPTH:
-            stack.append(node)
-    return root
+        elif tag in VOID or m[3].endswith("/") and (tag in ("svg", "math") or tree.at["svg"] or tree.at["math"]):
+            tree.add(node)  # only in svg and math a slash ends an element
+        else:
+            tree.push(node)
+    return tree.root, frozenset(tree.rules)
 
 
 class Page:
     """Lines of a rendered page."""
 
-    def __init__(self):
+    def __init__(self, rules: frozenset[str] = frozenset()):
+        self.rules = rules
         self.lines: list[str] = []
         self.now: list[str] = []
         self.indent = self.mark = ""
@@ -210,7 +277,7 @@ def _row(out: Page, node: Node) -> list[Node]:
     for c in node.children:
         if isinstance(c, str):
             out.word(c)
-        elif c.shown():
+        elif c.shown(out.rules):
             out.word(" ")
             if c.tag in ("td", "th"):
                 cells.append(c)
@@ -229,7 +296,7 @@ def _rows(out: Page, node: Node) -> list[list[Node] | None]:
         if isinstance(c, str):
             out.word(c)
             continue
-        if not c.shown():
+        if not c.shown(out.rules):
             continue
         out.word(" ")
         if c.tag in ("td", "th"):
@@ -256,6 +323,16 @@ def _span(cell: Node, name: str, most: int) -> int:
     return min(int(span), most) if span.isdecimal() and len(span) < 6 else 1
 
 
+def _widths(rows: list[list[str]]) -> list[int]:
+    """Of each column, for cells padded to it: its longest cell, less where padding would outgrow the cells."""
+    longest = [max(len(row[k]) for row in rows if k < len(row)) for k in range(max(map(len, rows), default=0))]
+    most = max(longest, default=0)
+    room = PADDING * sum(len(c) for row in rows for c in row) + 4096
+    while most > 1 and sum(min(longest[k], most) for row in rows for k in range(len(row) - 1)) > room:
+        most //= 2
+    return [min(n, most) for n in longest]
+
+
 def _table(out: Page, node: Node) -> None:
     found = _rows(out, node)
     out.line()
@@ -269,22 +346,17 @@ def _table(out: Page, node: Node) -> None:
         for c in cells:
             while len(row) in taken:
                 row.append("")
-            inner = Page()
+            inner = Page(out.rules)
             _children(inner, c)
             inner.line()
             at = len(row)
             row.append(" ".join(x.strip() for x in inner.lines if x.strip()))
-            row += [""] * (_span(c, "colspan", 100) - 1)
+            row += [""] * (_span(c, "colspan", 1000) - 1)
             if down := (_span(c, "rowspan", 65534) or 65534) - 1:
                 below |= dict.fromkeys(range(at, len(row)), down)
         taken = {k: n - 1 for k, n in taken.items() if n > 1} | below
         rows.append(row)
-    widths: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            if k == len(widths):
-                widths.append(0)
-            widths[k] = max(widths[k], min(len(cell), 80))
+    widths = _widths(rows)
     for row in rows:
         if any(row):
             out.now = ["  ".join(cell.ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip()]
@@ -302,7 +374,7 @@ def _children(out: Page, node: Node, pre: bool = False) -> None:
                     out.now.append(x)
             else:
                 out.word(c)
-        elif c.shown():
+        elif c.shown(out.rules):
             _render(out, c, pre)
 
 
@@ -311,7 +383,7 @@ def _drawing(out: Page, node: Node) -> None:
     for c in node.children:
         if isinstance(c, str):
             out.word(c)
-        elif c.tag not in ASIDE and c.shown():
+        elif c.tag not in ASIDE and c.shown(out.rules):
             if c.tag in BLOCK:
                 _render(out, c)
                 continue
@@ -333,6 +405,13 @@ def _render(out: Page, node: Node, pre: bool = False) -> None:
         return
     if tag in ("td", "th", "input", "button", "wbr"):
         out.word(" ")
+    if tag == "input" and (node.attr("type") or "text").lower() in SHOWS_VALUE:
+        out.word(f"{node.attr('value') or ''} ")
+        return
+    if tag == "details" and node.attr("open") is None:
+        summary = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+        node = Node(tag)
+        node.children = summary
     nested = tag in ("ul", "ol") and out.indent
     if tag in BLOCK:
         out.space() if tag in SPACED and not nested else out.line()
@@ -347,7 +426,7 @@ def _render(out: Page, node: Node, pre: bool = False) -> None:
             if isinstance(c, str):
                 out.word(c)
                 continue
-            if not c.shown():
+            if not c.shown(out.rules):
                 continue
             if c.tag == "li":
                 k += 1
@@ -374,8 +453,9 @@ def _render(out: Page, node: Node, pre: bool = False) -> None:
 
 
 def visible_text(page: str) -> str:
-    out = Page()
-    _children(out, parse(page))
+    root, rules = parse(page)
+    out = Page(rules)
+    _children(out, root)
     out.line()
     return "\n".join(out.lines).strip("\n")
 

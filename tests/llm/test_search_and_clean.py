@@ -1,6 +1,7 @@
 """Secrets, personal data, HTML and token counts, against plain Python."""
 
 import hashlib
+import random
 import re
 
 from compare import SMALL
@@ -50,6 +51,14 @@ def test_secrets_ownership_and_odd_rows(spark, odd, empty):
     assert secrets.find_secrets(empty, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_secrets_of_a_text_with_many_matches(spark):
+    """100,000 matches in one text: places as plain Python finds them, in time linear in their number."""
+    t = "é token=abcdefghijkl " * 100_000 + "deadbeefdeadbeef"
+    row = secrets.find_secrets(spark.createDataFrame([(1, t)], "doc_id long, text string"), F.lit("a"), F.lit("r")).first()
+    assert len(row.spans) == 100_001
+    assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in row.spans) == base_secrets(t)
+
+
 def test_pii_query_on_all_documents(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = registry.queries()["op4_pii"](spark, SMALL).collect()
@@ -62,6 +71,8 @@ def test_pii_spans_scores_and_redaction(spark, odd, empty):
     near, far = pii.find("visa card 4111111111111111")[0], pii.find("thing 4111111111111111")[0]
     assert near.score > far.score >= pii.REDACT_FROM
     assert pii.find("DE89 3704 0044 0532 0130 00")[0].kind == "iban" and not [s for s in pii.find("DE88 3704 0044 0532 0130 00") if s.kind == "iban"]
+    numbers = "123-45-6789 000-12-3456 666-12-3456 900-12-3456 123-00-4567 123-45-0000 899-01-0001"
+    assert [numbers[s.start:s.end] for s in pii.find(numbers) if s.kind == "ssn"] == ["123-45-6789", "899-01-0001"]
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count() and pii.redact(empty).count() == 0
     r = out.where("doc_id = 9").first()
@@ -93,6 +104,35 @@ def test_html_odd_tables_keep_all_text():
     assert text(odd[1]) == "s1 s2\ns3  s4\ns5"
 
 
+def test_html_deep_pages_keep_visibility_and_text():
+    text = html_text.visible_text
+    for depth in (10, 198, 199, 200, 201, 250, 5000):
+        deep = "<div>" * depth
+        assert text(f"{deep}<p hidden>no<b>no</b></p>x<p>y<div style='display:none'>no</div></p>z") == "x\n\ny\n\nz", depth
+        assert text(f"{deep}<ul><li>a<li>b</ul>c<script>no</script><dialog>no<i>no</dialog>").replace("- ", "").split() == ["a", "b", "c"]
+        assert text(f"{deep}x{'</div>' * depth}<p>y") == "x\n\ny"
+
+
+def test_html_rules_details_and_fields():
+    text = html_text.visible_text
+    page = "<style>/* .k{display:none} */ .x, p.y{ color: red; display : none } #z{visibility:hidden} em{display:none} .k{color:red} a b{display:none}</style>"
+    assert text(f"{page}<p class='q x'>no<p class=y>no<i class=y>s1</i><p id=z>no<p id=zz>s2<em>no</em> s3<p class=k>s4<a><b>s5</b></a>").split() == ["s1", "s2", "s3", "s4s5"]
+    assert text("<details><summary>s1</summary>no<p>no</details><details open><summary>s2</summary>s3</details>") == "s1\ns2\ns3"
+    assert text("<input type=submit value='s1 &amp; s2'><input value=s3><input type=hidden value=no><input type=checkbox value=no>") == "s1 & s2 s3"
+
+
+def test_html_columns_are_aligned_whatever_their_width():
+    r = random.Random(3)
+    for _ in range(30):
+        rows = [["x" * r.choice((1, 5, 90, 300)) for _ in range(r.randrange(1, 6))] for _ in range(r.randrange(1, 9))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in rows) + "</table>"
+        widths = [max(len(row[k]) for row in rows if k < len(row)) for k in range(max(map(len, rows)))]
+        assert html_text.visible_text(page).split("\n") == ["  ".join(c.ljust(w) for c, w in zip(row, widths, strict=False)).rstrip() for row in rows]
+    wide = "<table>" + "<tr><td>a<td>b" * 2000 + "<tr><td>" + "y" * 100_000 + "<td>z</table>"
+    out = html_text.visible_text(wide)
+    assert len(out) < 20 * len(wide) and out.count("b") == 2000 and "y" * 100_000 in out  # not the square
+
+
 def test_html_rowspan_keeps_columns():
     assert html_text.visible_text("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td rowspan=0>e<tr><td>f<td>g<td>h</table>") == "a  b  c\n   d  e\nf  g     h"
     assert html_text.visible_text("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>") == "a  b\nc  d"
@@ -148,6 +188,21 @@ def test_rollup_batches_are_idempotent(spark, odd, empty):
     assert store.totals().count() == 0
 
 
+def test_rollup_remembers_folded_batches_and_counts_no_unfinished_ones(spark, odd):
+    counts = token_counts.counted(odd).select("source", "lang", "tokenizer", "tokens", "chars")
+    show = lambda s: sorted(map(tuple, s.totals().collect()), key=str)
+    store = token_counts.Rollup(spark, scratch(spark, "t"))
+    store.commit("a/b=1", token_counts.inserts(counts))
+    before = show(store)
+    for _ in range(2):
+        store = store.compact(scratch(spark, "c"))
+        assert store.committed("a/b=1") and not store.commit("a/b=1", token_counts.inserts(counts)) and show(store) == before
+    # a job that died midway leaves files without the marker
+    spark.createDataFrame([("s", "l", "t", 5, 5, 5)], token_counts.DELTA).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(store._at("dead"))
+    assert not store.committed("dead") and show(store) == before
+    assert store.commit("dead", token_counts.inserts(counts)) and [r[3] for r in show(store)] == [2 * r[3] for r in before]
+
+
 def test_encoder_gives_the_tokenizers_ids():
     import numpy as np
     from hypothesis import given, settings
