@@ -15,9 +15,11 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +33,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Added to the lowest score for a character that no piece covers.
 UNKNOWN = -10.0
-#: Words whose ids a worker remembers.
-MEMORY = 400_000
+#: Words whose ids a worker remembers, and their code points at most: some 100 MB. From LONG code points a word's tables are arrays.
+MEMORY, LONGEST, LONG = 400_000, 40, 4096
 
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -62,11 +64,14 @@ class Pieces:
         plain = {i: (sp.id_to_piece(i), sp.get_score(i)) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         return cls(plain, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
-    def best(self, text: str) -> list[int]:
+    def best(self, text: str) -> Sequence[int]:
         """Ids of the best segmentation of a marked text."""
         n = len(text)
-        score = [0.0] + [-float("inf")] * n
-        back: list = [None] * (n + 1)
+        if n < LONG:
+            score, lengths, back, out = [-math.inf] * (n + 1), [0] * (n + 1), [0] * (n + 1), []
+        else:  # 16 bytes for each character
+            score, lengths, back, out = array("d", [-math.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [0]) * (n + 1), array("I")
+        score[0] = 0.0
         done = 0  # positions whose score is final
 
         def fill(upto: int) -> None:
@@ -75,27 +80,31 @@ class Pieces:
             while done < upto:
                 done += 1
                 if score[done - 1] + self.unknown > score[done]:
-                    score[done], back[done] = score[done - 1] + self.unknown, (1, None)
+                    score[done], lengths[done], back[done] = score[done - 1] + self.unknown, 1, -1
 
         for last, (length, i, s) in self.automaton.iter(text):
             end = last + 1
             fill(end - 1)
             if score[end - length] + s > score[end]:
-                score[end], back[end] = score[end - length] + s, (length, i)
+                score[end], lengths[end], back[end] = score[end - length] + s, length, i
         fill(n)
-        out: list[int] = []
         while n:
-            length, i = back[n]
-            out += [i] if i is not None else [self.byte_ids[b] for b in reversed(text[n - 1].encode())]
-            n -= length
-        return out[::-1]
+            if back[n] >= 0:
+                out.append(back[n])
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(text[n - 1].encode()))
+            n -= lengths[n]
+        out.reverse()
+        return out
 
     def _ids(self, unit: str) -> bytes:
         got = self.memory.get(unit)
         if got is None:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            self.memory[unit] = got = np.array(self.best(unit), "<u4").tobytes()
+            got = np.array(self.best(unit), "<u4").tobytes()
+            if len(unit) <= LONGEST:
+                if len(self.memory) >= MEMORY:
+                    self.memory.clear()
+                self.memory[unit] = got
         return got
 
     def encode(self, text: str) -> bytes:
