@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,29 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from sparkwell.shared import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 #: The folder of the workspace that is open, if any.
 _OPEN: ContextVar[str | None] = ContextVar("workspace", default=None)
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return new_folder(spark, what)
 
 
 @contextmanager
@@ -85,7 +75,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Keys are broadcast (8 bytes each) up to this count, beyond it rows are found by a shuffle alone.
+#: Keys (8 bytes each, places 24) are broadcast up to this count, beyond it rows are found by a shuffle alone.
 BROADCAST_KEYS = 200_000
 
 
@@ -117,14 +107,21 @@ def kept_rows(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataF
 def only_places(rows: DataFrame, places: DataFrame) -> DataFrame:
     """The rows of a located table whose place is in places (__sw_file, __sw_row, each once), with the other columns of places.
 
-    Few places are first sent to all rows as hashes, so that only the rows wanted are moved.
+    Few places are sent to all rows, with a hash for the file, so that no row is moved; more are found by a shuffle.
     """
     if places.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        key = F.xxhash64("__sw_file", "__sw_row")
-        rows = rows.withColumn("_key", key).join(F.broadcast(places.select(key.alias("_key")).distinct()), "_key", "left_semi").drop("_key")
+        key = F.xxhash64("__sw_file", "__sw_row").alias("_key")
+        sent = places.select(key, *(F.col(c) for c in places.columns if c != "__sw_file"))
+        return rows.withColumn("_key", key).join(F.broadcast(sent), ["_key", "__sw_row"]).drop("_key")
     return rows.join(places, ["__sw_file", "__sw_row"])
 
 
+def only_nodes(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (node, ...) whose node stands in pairs (a, b): cut before they move, if the nodes are few."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    return rows.join(F.broadcast(nodes), "node", "left_semi") if nodes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else rows
+
+
 def connected(edges: DataFrame, what: str = "components") -> DataFrame:
     """node and label, the smallest node of its component, of the nodes of edges (a, b); each round is written to the shared folder."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("peer")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("peer"))).distinct()

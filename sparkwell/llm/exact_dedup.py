@@ -111,9 +111,11 @@ def _contents(spark: SparkSession, rows: DataFrame, records: DataFrame, hits: Da
     """__sw_file, __sw_row, _digest and _text of all rows whose digest was hit: of this batch as they are read, of earlier ones by their locators."""
     body = rows.select("__sw_file", "__sw_row", normalized(text_of()).alias("_text")).withColumn("_digest", digest(F.col("_text")))
     if hits.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
-        key = F.xxhash64("_digest")
-        body = body.withColumn("_key", key).join(F.broadcast(hits.select(key.alias("_key")).distinct()), "_key", "left_semi").drop("_key")
-    body = body.join(hits, "_digest", "left_semi").select("__sw_file", "__sw_row", "_digest", "_text")
+        key = F.xxhash64("_digest")  # a digest whose key equals that of a hit stays too, and forms groups of its own
+        body = body.withColumn("_key", key).join(F.broadcast(hits.select(key.alias("_key")).distinct()), "_key", "left_semi")
+    else:
+        body = body.join(hits, "_digest", "left_semi")
+    body = body.select("__sw_file", "__sw_row", "_digest", "_text")
     before = records.where(F.col("batch") != batch).join(hits, "_digest", "left_semi").select("__sw_file", "__sw_row", "_digest")
     files = [r[0] for r in before.select("__sw_file").distinct().collect()]  # as many as a reader of them has to list
     if not files:
