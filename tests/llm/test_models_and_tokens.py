@@ -222,6 +222,13 @@ def test_pipeline_decisions_hold(spark, tmp_path):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(k)))
         after = spark.read.parquet(str(tmp_path / str(k)))
+        if name == "toxicity":
+            model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+            net = toxicity.Network.load(model)
+            scored = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+            assert {r.doc_id for r in after.collect()} == {d for d, s in scored.items() if s < toxicity.TOXIC_FROM}
+            for r in docs.where("length(text) < 900").orderBy("doc_id").limit(5).collect():
+                assert scored[r.doc_id] == pytest.approx(plain_score(net, r.text), abs=2e-4)
         if name == "exact dedup":
             texts = {"".join((r.text or "").split()) for r in docs.collect()}
             assert after.count() == len(texts)
@@ -240,3 +247,15 @@ def test_pipeline_decisions_hold(spark, tmp_path):
             assert after.columns == columns
         docs = after
     assert near_dedup.THRESHOLD == 0.8
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names pass every stage; no stage makes rows of none."""
+    for at, docs in (("odd", odd), ("empty", empty)):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SMALL).write.parquet(str(tmp_path / at / str(k)))
+            after = spark.read.parquet(str(tmp_path / at / str(k)))
+            assert k == len(corpus_pipeline.STAGES) - 1 or after.columns == columns and after.count() <= docs.count()
+            docs = after
+        assert (docs.count() > 0) == (at == "odd")
