@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,11 +63,16 @@ def language_hint(text: Column) -> Column:
     return F.when(text.rlike("[ऀ-ॿ]"), "hindi").when(hits >= 2, "hinglish")
 
 
+@lru_cache(maxsize=1)
+def _combining() -> dict[int, None]:
+    return dict.fromkeys(c for c in range(0x110000) if unicodedata.combining(chr(c)))
+
+
 def strip_accents(text: Column) -> Column:
     """The text in compatibility form without combining marks, in Arrow batches."""
 
     def strip(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+        return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).translate(_combining()))
 
     return F.pandas_udf(strip, "string")(text)
 

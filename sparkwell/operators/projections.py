@@ -108,7 +108,7 @@ def jn08_containment(spark, sf_dir):
 def srt03_dense_top(spark, sf_dir):
     v = view(spark, sf_dir, "vectors")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
-    return top(dense(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), OVERFETCH), OVERFETCH).withColumn("score", F.round("score", 6))
+    return top(dense(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), OVERFETCH), OVERFETCH)
 
 
 def srt07_by_size(spark, sf_dir):
@@ -241,7 +241,7 @@ SQL = {
     "prj07_without_identity": "select c_nationkey, c_mktsegment, count(*) as n from customer group by all",
     "prj09_turn_labels": _T("select case status when 'view' then 'Viewing' when 'click' then 'Choosing' when 'error' then 'Failed' when 'purchase' then 'Buying' else 'Other' end as label, status in ('purchase', 'error') as terminal, count(*) as n from turns group by all"),
     "jn08_containment": f"select source, sha1(q) as h, count(distinct doc_id) as docs, min(doc_id) as first from (select doc_id, source, {_SQ.format('line')} as q from {_L} join documents using (doc_id) where length(line) >= 30) group by all having count(distinct doc_id) > 1",
-    "srt03_dense_top": "select item_id, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from (select a.vec_id as item_id, b.vec_id as doc_id, round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 9) as score from embeddings a, embeddings b where a.vec_id % 50 = 0)) where rank <= 180",
+    "srt03_dense_top": "select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from (select a.vec_id as item_id, b.vec_id as doc_id, round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 9) as score from embeddings a, embeddings b where a.vec_id % 50 = 0)) where rank <= 180",
     "srt07_by_size": "select source, lang, count(*) as n, min(doc_id) as first from documents group by all order by n desc, first limit 20",
     "txt05_legacy_tokens": "select doc_id, len(regexp_extract_all(text, '[\\pL\\pN_]+')) as tokens from documents",
     "txt16_quotes": f"select conv_id, turn, contains({_FORM.format('s')}, {_FORM.format('b')}) as holds from (select conv_id, turn, b, case when conv_id % 3 = 0 then text || ' ' || replace(b, ' ', '  ') else text end as s from (select *, lag(text) over (partition by conv_id order by turn) as b from conversations) where b is not null)",

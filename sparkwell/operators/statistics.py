@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkwell.functions.text import normalized_message
 from sparkwell.plans.views import oracle, view
-from sparkwell.shared import shared_dir
+from sparkwell.shared import shared_dir, written
 
 #: Two-sided 95 % normal quantile.
 Z95 = 1.959963984540054
@@ -171,19 +171,47 @@ def threshold_grid(df: DataFrame, confidence: str, correct: str, grid: list[floa
 
 
 def resampled(df: DataFrame, key: str, rounds: int) -> DataFrame:
-    """df with round and weight: how often a row is drawn in each round of a Poisson bootstrap, by a hash of its key, so that no round needs all rows in one place."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("round").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    """df with round and weight: how often a row is drawn in each round of a Poisson bootstrap, by a hash of its key, so that no round needs all rows in one place. The draws are made once, as a table."""
     cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    rows = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    return rows.withColumn("weight", sum(((u >= c).cast("int") for c in cdf), F.lit(0)))
+
+    def drawn(r: Column) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), r.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+        return F.size(F.filter(F.array(*map(F.lit, cdf)), lambda c: u >= c)).cast("tinyint")
+
+    table = written(df.withColumn("_weights", F.transform(F.sequence(F.lit(1), F.lit(rounds)), drawn)), "resampled")
+    return table.select(*df.columns, F.posexplode("_weights").alias("round", "weight")).withColumn("round", F.col("round") + 1)
+
+
+def round_quantile(drawn: DataFrame, cuts: list[float], value: str, q: float, name: str) -> DataFrame:
+    """round and the quantile (between ranks) of value under the weights of each round.
+
+    Weights are summed by ranges of the value between cuts; only the ranges that hold the rank are ordered.
+    """
+    ranged_ = drawn.where("weight > 0").withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
+    w = W.partitionBy("round")  # one row for each range
+    sums = ranged_.groupBy("round", "_range").agg(F.sum("weight").alias("_m"))
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_m").over(w)})
+    low = F.floor(q * (F.col("_n") - 1)) + 1
+    sums = sums.withColumns({"_low": low, "_high": F.least(low + 1, F.col("_n"))})
+    holds = lambda r: (F.col(r) > F.col("_before")) & (F.col(r) <= F.col("_before") + F.col("_m"))
+    near = ranged_.join(F.broadcast(sums.where(holds("_low") | holds("_high"))), ["round", "_range"])  # two rows for each round at most
+    to = F.col("_before") + F.sum("weight").over(W.partitionBy("round", "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    at = lambda r: F.max(F.when((F.col(r) > F.col("_to") - F.col("weight")) & (F.col(r) <= F.col("_to")), F.col(value)))
+    ends = near.withColumn("_to", to).groupBy("round", "_n").agg(at("_low").alias("_a"), at("_high").alias("_b"))
+    h = q * (F.col("_n") - 1)
+    return ends.select("round", (F.col("_a") + (F.col("_b") - F.col("_a")) * (h - F.floor(h))).alias(name))
 
 
 def paired_bootstrap(pairs: DataFrame, key: str, before: str, after: str, rounds: int, confidence: float = 0.95) -> DataFrame:
     """One row: percentile intervals of the mean difference after - before and of the ratio of their 95th percentiles, over rounds that draw whole pairs."""
-    drawn = resampled(pairs.where(F.col(before).isNotNull() & F.col(after).isNotNull()), key, rounds)
-    means = drawn.groupBy("round").agg((F.sum(F.col("weight") * (F.col(after) - F.col(before))) / F.sum("weight")).alias("mean"))
-    p95 = [quantiles(drawn, ["round"], c, {f"{c}_p95": 0.95}, weight=F.col("weight")).drop("n") for c in (before, after)]
-    each = means.join(p95[0], "round").join(p95[1], "round").withColumn("ratio", F.try_divide(F.col(f"{after}_p95"), F.col(f"{before}_p95")))
+    pairs = pairs.where(F.col(before).isNotNull() & F.col(after).isNotNull()).select(key, before, after)
+    drawn = resampled(pairs, key, rounds)
+    at = [k / RANGES for k in range(1, RANGES)]
+    cuts = pairs.agg(*(F.percentile_approx(c, at, 20 * RANGES).alias(c) for c in (before, after))).first()  # RANGES numbers of each
+    each = drawn.groupBy("round").agg((F.sum(F.col("weight") * (F.col(after) - F.col(before))) / F.sum("weight")).alias("mean"))
+    for c in (before, after):
+        each = each.join(round_quantile(drawn, sorted(set(cuts[c] or [])), c, 0.95, f"{c}_p95"), "round")
+    each = each.withColumn("ratio", F.try_divide(F.col(f"{after}_p95"), F.col(f"{before}_p95")))
     ends = F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2))
     both = each.agg(F.percentile("mean", ends).alias("m"), F.percentile("ratio", ends).alias("r"), F.count("*").alias("rounds"))  # one row for each round
     return both.select("rounds", *(F.round(F.col(c)[k], 6).alias(n) for c, k, n in (("m", 0, "mean_low"), ("m", 1, "mean_high"), ("r", 0, "ratio_low"), ("r", 1, "ratio_high"))))

@@ -201,6 +201,12 @@ def str08_deadlines(spark, sf_dir):
     return view(spark, sf_dir, "turns").groupBy("status").agg(F.count_if(late).alias("late"), F.count_if(~late).alias("delivered"))
 
 
+def str05_throttle(spark, sf_dir):
+    """Partial results of a session go out when the last one is six hours old or more; those in between wait for the next."""
+    t = view(spark, sf_dir, "turns").where("seconds >= 3").select("turn_id", "ts", F.col("session_id").cast("string").alias("key"))
+    return ttl_cache(t, 21600).groupBy(F.col("key").cast("long").alias("session_id")).agg(F.count_if(~F.col("hit")).alias("sent"), F.count("*").alias("n"))
+
+
 def str09_ttl_cache(spark, sf_dir):
     t = view(spark, sf_dir, "turns").select("turn_id", "ts", F.concat_ws("|", "session_id", "status").alias("key"))
     return ttl_cache(t, 86400).groupBy("key").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
@@ -250,4 +256,8 @@ SQL = {
     "str11_retention": oracle("select session_id, count(*) as n from turns where ts < timestamp '2024-01-15' and session_id not in (select session_id from turns where status = 'signup' and seconds > 150) group by all", "turns"),
     "str12_freshness": "select fresh, count(*) as n from (select d.doc_id, coalesce(l.ok and d.lang = 'en', false) as fresh from documents d left join (select doc_id, max(quality) = 1 as ok from labels group by all) l using (doc_id)) group by all",
 }
+_SENT = """with recursive q as (select user_id as k, cast(floor(epoch(ts)) as bigint) as s0, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as r from events where value >= 3),
+ c(k, r, live, hit) as (select k, r, s0, false from q t where r = 1 union all select t.k, t.r, case when t.s0 - c.live < 21600 then c.live else t.s0 end, t.s0 - c.live < 21600 from c join q t on t.k = c.k and t.r = c.r + 1)
+ select k as session_id, count(*) filter (where not hit) as sent, count(*) as n from c group by all"""
+SQL["str05_throttle"] = _SENT
 SQL["str09_ttl_cache"] = SQL["str09_ttl_cache"].replace("with ", "with recursive ", 1)
