@@ -75,6 +75,42 @@ def fuzzy_ratio(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(ratios, "double")(a, b)
 
 
+def bigrams(key: Column) -> Column:
+    """Pairs of neighbouring characters, repeated ones numbered; a key of one character is its own."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(key, i, 2))
+    numbered = F.transform(pairs, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(pairs, 1, i), lambda x: x == g)).cast("string")))
+    return F.when(F.length(key) >= 2, numbered).otherwise(F.array(F.concat(F.lit("="), key)))
+
+
+def fuzzy_cells(wanted: DataFrame, cells: DataFrame, least: float = 90.0) -> DataFrame:
+    """id, cell_id and exact: for each wanted (id, row_key, col_key) the first cell (cell_id, row_key, col_key) with both keys, else the first whose keys are both alike by least or more.
+
+    Keys of length n that are 90 alike share 0.6 n - 1 of their bigrams or more; so they share one of their
+    0.4 n + 1 rarest, by which pairs are found. Scores are taken once for each pair of different keys.
+    """
+    if least < 90:
+        raise ValueError("the bound on shared bigrams holds from 90 on")
+    keys = ["row_key", "col_key"]
+    first = cells.groupBy(*keys).agg(F.min("cell_id").alias("cell_id"))
+    known = wanted.join(first, keys).select("id", "cell_id", F.lit(True).alias("exact"))
+    rest = wanted.join(first, keys, "left_anti")
+    grams = lambda df: df.select(*keys, *(c for c in df.columns if c == "cell_id"), F.length("row_key").alias("n"), F.explode(bigrams(F.col("row_key"))).alias("gram"))
+    left, right = grams(rest.select(*keys).distinct()), grams(first)
+    df_ = left.select("gram").union(right.select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+    def rarest(g: DataFrame) -> DataFrame:
+        own = W.partitionBy(*keys).orderBy("df", "gram")  # the bigrams of one key
+        return g.join(df_, "gram").withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= F.floor(0.4 * F.col("n")) + 1)
+
+    a = rarest(left).select("gram", F.col("row_key").alias("ra"), F.col("col_key").alias("ca"))
+    b = rarest(right).select("gram", F.col("row_key").alias("rb"), F.col("col_key").alias("cb"), "cell_id")
+    close = lambda x, y: F.least(F.length(x), F.length(y)) * 2 * 100 >= least * (F.length(x) + F.length(y))
+    pairs = a.join(b, "gram").where(close("ra", "rb") & close("ca", "cb")).drop("gram").distinct()
+    alike = pairs.where(fuzzy_ratio("ra", "rb") >= least).where(fuzzy_ratio("ca", "cb") >= least)
+    best = alike.groupBy(F.col("ra").alias("row_key"), F.col("ca").alias("col_key")).agg(F.min("cell_id").alias("cell_id"))
+    return known.unionByName(rest.join(best, keys).select("id", "cell_id", F.lit(False).alias("exact")))
+
+
 def within_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """Rows that fit a budget in order; one that doesn't is skipped, later ones may still fit."""
     def fold(parts: Column) -> Column:
@@ -221,6 +257,16 @@ def set05_overlap(spark, sf_dir):
     return m.select("conv_id", "turn", F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(b)), F.lit(0.0)), 6).alias("share"))
 
 
+def jn13_fuzzy_cells(spark, sf_dir):
+    """Cells of all parts by name and type; wanted are the same keys, two of three with a letter too few or too many."""
+    p = view(spark, sf_dir, "part")
+    cells = p.select(F.col("p_partkey").alias("cell_id"), F.col("p_name").alias("row_key"), F.col("p_type").alias("col_key"))
+    k, n = F.col("p_partkey"), (F.col("p_partkey") % 5 + 2).cast("int")
+    name = F.when(k % 3 == 1, F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)"))).when(k % 3 == 2, F.concat(F.substring("p_name", F.lit(1), n), F.lit("x"), F.substring("p_name", n + 1, F.lit(99)))).otherwise(F.col("p_name"))
+    wanted = p.select(k.alias("id"), name.alias("row_key"), F.when(k % 7 == 0, F.concat("p_type", F.lit("s"))).otherwise(F.col("p_type")).alias("col_key"))
+    return fuzzy_cells(wanted, cells)
+
+
 def fuz01_ratio(spark, sf_dir):
     p = view(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat_ws(" ", "p_type", "p_brand").alias("other"))
     return p.select("p_partkey", F.round(fuzzy_ratio("p_name", "other"), 4).alias("ratio"))
@@ -244,7 +290,7 @@ def win04_packing(spark, sf_dir):
     return units.select("doc_id", "unit", F.length("text").alias("n_chars"), F.sha1("text").alias("sha"))
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n[:3] in ("win", "agg", "srt", "set", "fuz", "flt") and n[3:5].isdigit() and callable(f)}
+QUERIES = {n: f for n, f in list(globals().items()) if n[:3] in ("win", "agg", "srt", "set", "fuz", "flt") and n[3:5].isdigit() and callable(f)} | {"jn13_fuzzy_cells": jn13_fuzzy_cells}
 
 _KIND = "case when trim(line, ' ') = '' then 'blank' when regexp_matches(line, '^#{1,6} ') then 'heading' when regexp_matches(line, '^\\s*([-*]|\\d+\\.) ') then 'x' when contains(line, '|') then 'x' when starts_with(line, '```') then 'x' when length(line) < 60 and not regexp_matches(line, '[.,;:!?]\\s*$') then 'heading_like' else 'x' end"
 _L = "select doc_id, unnest(range(len(p))) as pos, unnest(p) as line from (select doc_id, string_split(text, chr(10)) as p from documents)"

@@ -300,3 +300,27 @@ def test_product_search_matches_brute_force(spark):
                 want[k, n] = (names[n], score)
     got = {(r.query_id, r.p_name): (r.parts, r.score) for r in sequences.fuz02_product_search(spark, SMALL).collect()}
     assert got == want and len(want) > 3
+
+
+def test_fuzzy_cells_match_brute_force(spark):
+    r = random.Random(6)
+    base = ["fees of the first year", "hostel rent", "mess", "a", "library deposit", "aaaa aaaa aaaa", "caution money deposit"]
+
+    def bent(w):
+        for _ in range(r.randrange(3)):
+            k = r.randrange(len(w) + 1)
+            w = w[:k] + r.choice("xyz") + w[k:] if r.random() < 0.5 or len(w) < 2 else w[:k] + w[k + 1:]
+        return w
+
+    cells = [(k, bent(r.choice(base)), bent(r.choice(base))) for k in range(150)]
+    wanted = [(k, bent(r.choice(base)), bent(r.choice(base))) for k in range(150)]
+    ratio = lambda a, b: 200.0 * plain_lcs(a, b) / (len(a) + len(b))
+    want = {}
+    for i, a, b in wanted:
+        same = [k for k, x, y in cells if (x, y) == (a, b)]
+        like = [k for k, x, y in cells if ratio(a, x) >= 90 and ratio(b, y) >= 90]
+        if same or like:
+            want[i] = (min(same or like), bool(same))
+    got = sequences.fuzzy_cells(spark.createDataFrame(wanted, "id long, row_key string, col_key string"), spark.createDataFrame(cells, "cell_id long, row_key string, col_key string"))
+    assert {x.id: (x.cell_id, x.exact) for x in got.collect()} == want
+    assert {e for _, e in want.values()} == {True, False}
