@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import kept_rows, located, materialize, merged, only_places, table, text_of, workspace
+from sparkwell.llm.common import kept_rows, located, materialize, merged, only_nodes, only_places, table, text_of, workspace
 from sparkwell.llm.counters import count_rows, counter_of
 from sparkwell.llm.hashing import mixed, word_hashes
 
@@ -159,6 +159,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                 d.append(1 - similarity(w.of(batch.column("ta")[k].as_py()), theirs))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], ["a", "b", "distance"])
 
+    pairs = materialize(pairs, "near-pairs")
+    texts = only_nodes(texts, pairs)
     full = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
     return materialize(full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, distance double"), "near-compared")
 
@@ -202,7 +204,7 @@ def links(members: DataFrame, compare: Callable[[DataFrame], DataFrame], own_wei
     done = compare(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     edges = done.where(F.col("distance") <= reach).select("a", "b")
     state = led.join(done.withColumnsRenamed({"a": "node", "b": "leader"}), ["node", "leader"]).select("bucket", "node", "distance")
-    leaders, labels = 8, None
+    leaders, labels = 32, None
     while True:
         labels = merged(labels, edges, "near-classes")
         if labels is None:
@@ -215,23 +217,23 @@ def links(members: DataFrame, compare: Callable[[DataFrame], DataFrame], own_wei
             return labels
         if "own" not in state.columns:
             own = own_weights(state.select("node").distinct()).withColumn("order", F.struct(F.try_divide("own", "all").alias("share"), "node")).withColumn("shared", F.col("all") - F.col("own"))
-            state = state.join(own, "node").join(state.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")), "node")
+            state = state.join(own, "node")
         # only those stay that could reach the threshold with the one of their bucket that has least of its own
         least = state.groupBy("bucket").agg(F.min("own").alias("_least"))
         state = state.join(least, "bucket").where(F.col("shared") >= threshold * (F.col("all") + F.col("_least")) - 1e-9).drop("_least")
         state = materialize(state, "near-state")
         ranked = state.withColumn("_rank", F.row_number().over(W.partitionBy("bucket").orderBy("order"))).where(F.col("_rank") <= leaders)
-        lead = materialize(ranked.select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "node", "label", "distance", "own", "shared", "order", "buckets"))), "near-leaders")
+        lead = materialize(ranked.select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "node", "label", "distance", "own", "shared", "order"))), "near-leaders")
         common, most = F.least("shared", "shared_b"), F.greatest("shared", "shared_b")
         pairs = state.join(lead, (
             (F.col("bucket") == F.col("bucket_b")) & (F.col("label") != F.col("label_b")) & (F.col("order") > F.col("order_b")) & (F.abs(F.col("distance") - F.col("distance_b")) <= reach)
-            & (common >= threshold * (F.col("own") + F.col("own_b") + most) - 1e-9) & (F.col("bucket") == F.array_min(F.array_intersect("buckets", "buckets_b")))
+            & (common >= threshold * (F.col("own") + F.col("own_b") + most) - 1e-9)
         ))
         more = compare(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
         edges = more.where(F.col("distance") <= reach).select("a", "b")
         past = lead.groupBy(F.col("bucket_b").alias("bucket")).agg(F.max("order_b").alias("_last"))
         state = state.join(past, "bucket").where(F.col("order") > F.col("_last")).drop("label", "_last")
-        leaders *= 8
+        leaders *= 16
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -8,8 +8,9 @@ sizes alone rule the threshold out aren't intersected.
 Classes of similar texts come from partitions by set length: sets whose sizes are within the threshold
 of each other lie in the same or in neighbouring classes of the logarithm of the size, and within a
 partition sets meet on their rarest signatures only, as many as a set that reaches the threshold must
-share one of. How rare a signature is, is counted over all rows (counters.py). What meets is compared
-by the link search of near_dedup.py, with its bounds, on the exact sets.
+share one of. A signature is the rarer, the fewer rows have the words of its chain, counted over all rows
+(counters.py): any order gives the same classes, and a rare one keeps unlike texts apart. What meets is
+compared by the link search of near_dedup.py, with its bounds, on the exact sets.
 
 Defined cases: null text is empty; a text without any signature has one, of all its words together, so
 that equal texts have equal fingerprints, and texts without words share one fingerprint; likeness of
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import located, materialize, only_places, table, text_of, workspace
+from sparkwell.llm.common import located, materialize, only_nodes, only_places, table, text_of, workspace
 from sparkwell.llm.counters import count_rows, counter_of
 from sparkwell.llm.hashing import mixed, word_hashes
 from sparkwell.llm.near_dedup import links, named
@@ -57,8 +58,8 @@ def _common() -> np.ndarray:
     return np.sort(np.concatenate(list(word_hashes(COMMON))))
 
 
-def signatures_of(words: np.ndarray, chain: int = CHAIN) -> np.ndarray:
-    """Sorted hashes of the distinct signatures of a text, from the hashes of its words."""
+def signatures_of(words: np.ndarray, chain: int = CHAIN, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct signatures of a text, from the hashes of its words, and the sum of the rarity of their chains' words (0 without rarity)."""
     known = _common()
     common = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
     content = np.flatnonzero(~common)
@@ -67,15 +68,20 @@ def signatures_of(words: np.ndarray, chain: int = CHAIN) -> np.ndarray:
     ok = next_content + chain <= len(content)
     anchors, next_content = anchors[ok], next_content[ok]
     if not len(anchors):
-        return np.array([xxhash.xxh3_64_intdigest(words.tobytes())], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(words.tobytes())], np.uint64), np.zeros(1)
     s = words[anchors] * _F[0]
+    weight = np.zeros(len(s))
     for k in range(chain):
-        s = mixed(s * _F[1] + words[content[next_content + k]] * _F[2])
-    return np.unique(s)
+        w = words[content[next_content + k]]
+        s = mixed(s * _F[1] + w * _F[2])
+        if rarity is not None:
+            weight += rarity[counter_of(w)]
+    s, first = np.unique(s, return_index=True)
+    return s, weight[first]
 
 
 def signatures(texts: Iterable[str]) -> Iterator[np.ndarray]:
-    return map(signatures_of, word_hashes(texts))
+    return (signatures_of(words)[0] for words in word_hashes(texts))
 
 
 def written(sigs: np.ndarray) -> str:
@@ -101,6 +107,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def prefix_size(n: int, threshold: float) -> int:
+    """How many signatures of a set of n, in any fixed order, hold one that it shares with each set of likeness of threshold or more.
+
+    Such a pair shares at least threshold / (1 + threshold) of both sizes together. The smaller set may be as
+    large as the other and needs n - ceil(2 threshold / (1 + threshold) n) + 1; the larger one needs these.
+    """
+    return n - math.ceil(threshold * n - 1e-9) + 1
+
+
 def _order(rows: DataFrame) -> dict[str, Column]:
     """key and tie: what located rows are ordered by."""
     return {"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "tie": F.xxhash64(text_of(), "__sw_file", "__sw_row")}
@@ -182,19 +197,20 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     docs = located(docs)
     with workspace(spark, "spot"):
-        counted = spark.sparkContext.broadcast(count_rows(docs.select(text_of().alias("text")), signatures)[1].astype(np.uint32))
+        rows, counted = count_rows(docs.select(text_of().alias("text")), lambda texts: map(np.unique, word_hashes(texts)))
+        rarity = spark.sparkContext.broadcast(-np.log((counted + 1) / (rows + 1)).astype(np.float32))  # of the size of the counters
 
         def sign(batches):
             for b in batches:
                 d1, d2, size, prefix = [], [], [], []
-                for sigs in signatures(t.as_py() for t in b.column("text")):
+                for words in word_hashes(t.as_py() for t in b.column("text")):
+                    sigs, weight = signatures_of(words, rarity=rarity.value)
                     d = xxhash.xxh3_128_intdigest(sigs.tobytes())
                     d1.append((d >> 64) - (1 << 63))
                     d2.append((d & (1 << 64) - 1) - (1 << 63))
                     size.append(len(sigs))
-                    # of size n, a set that reaches the threshold with another shares one of its n - ceil(threshold * n) + 1 rarest signatures
-                    rarest = sigs[np.argsort(counted.value[counter_of(sigs)], kind="stable")]
-                    prefix.append(rarest[: len(sigs) - math.ceil(threshold * len(sigs) - 1e-9) + 1].view(np.int64).tolist())
+                    rarest = sigs[np.argsort(-weight, kind="stable")]
+                    prefix.append(rarest[: prefix_size(len(sigs), threshold)].view(np.int64).tolist())
                 keep = ["doc_id", "__sw_file", "__sw_row", "key", "tie"]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], [*keep, "d1", "d2", "size", "prefix"])
 
@@ -202,10 +218,13 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rows = rows.mapInArrow(sign, "doc_id long, __sw_file string, __sw_row long, key long, tie long, d1 long, d2 long, size long, prefix array<long>")
         rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "spot-rows")
         nodes = materialize(rows.groupBy("d1", "d2").agg(F.min("row").alias("node")), "spot-nodes")
-        single = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "size", F.explode("prefix").alias("sig"))
+        single = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "size", F.posexplode("prefix").alias("at", "sig"))
         step = -math.log(threshold) if threshold < 1 else 1.0
         level = F.floor(F.ln("size") / step)
-        members = single.select(F.explode(F.array(level, level + 1)).alias("level"), "sig", "node").select(F.xxhash64("level", "sig").alias("bucket"), "node").distinct()
+        # a set meets those of its own level, and, as the smaller of a pair, those of the next
+        small = F.col("at") < F.col("size") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("size") - 1e-9) + 1
+        levels = F.when(small, F.array(level, level + 1)).otherwise(F.array(level))
+        members = single.select(F.explode(levels).alias("level"), "sig", "node").select(F.xxhash64("level", "sig").alias("bucket"), "node")
         shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
         members = materialize(members.join(shared, "bucket", "left_semi"), "spot-members")
         places = rows.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("__sw_file", "__sw_row", F.col("row").alias("node"))
@@ -221,7 +240,9 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         distance = 1 - both / (F.size("sa") + F.size("sb") - both)
 
         def compare(pairs: DataFrame) -> DataFrame:
-            full = pairs.join(sets.withColumnsRenamed({"node": "a", "sigs": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "sigs": "sb"}), "b")
+            pairs = materialize(pairs, "spot-pairs")
+            near = only_nodes(sets, pairs)
+            full = pairs.join(near.withColumnsRenamed({"node": "a", "sigs": "sa"}), "a").join(near.withColumnsRenamed({"node": "b", "sigs": "sb"}), "b")
             return materialize(full.select("a", "b", distance.alias("distance")), "spot-compared")
 
         def own_weights(of: DataFrame) -> DataFrame:
