@@ -217,17 +217,18 @@ def links(members: DataFrame, compare: Callable[[DataFrame], DataFrame], own_wei
             return labels
         if "own" not in state.columns:
             own = own_weights(state.select("node").distinct()).withColumn("order", F.struct(F.try_divide("own", "all").alias("share"), "node")).withColumn("shared", F.col("all") - F.col("own"))
-            state = state.join(own, "node")
+            buckets = materialize(state.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")), "near-buckets")
+            state = state.join(own, "node").join(buckets, "node")
         # only those stay that could reach the threshold with the one of their bucket that has least of its own
         least = state.groupBy("bucket").agg(F.min("own").alias("_least"))
         state = state.join(least, "bucket").where(F.col("shared") >= threshold * (F.col("all") + F.col("_least")) - 1e-9).drop("_least")
         state = materialize(state, "near-state")
         ranked = state.withColumn("_rank", F.row_number().over(W.partitionBy("bucket").orderBy("order"))).where(F.col("_rank") <= leaders)
-        lead = materialize(ranked.select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "node", "label", "distance", "own", "shared", "order"))), "near-leaders")
+        lead = materialize(ranked.select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "node", "label", "distance", "own", "shared", "order", "buckets"))), "near-leaders")
         common, most = F.least("shared", "shared_b"), F.greatest("shared", "shared_b")
         pairs = state.join(lead, (
             (F.col("bucket") == F.col("bucket_b")) & (F.col("label") != F.col("label_b")) & (F.col("order") > F.col("order_b")) & (F.abs(F.col("distance") - F.col("distance_b")) <= reach)
-            & (common >= threshold * (F.col("own") + F.col("own_b") + most) - 1e-9)
+            & (common >= threshold * (F.col("own") + F.col("own_b") + most) - 1e-9) & (F.col("bucket") == F.array_min(F.array_intersect("buckets", "buckets_b")))
         ))
         more = compare(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
         edges = more.where(F.col("distance") <= reach).select("a", "b")
