@@ -297,6 +297,7 @@ _L = "select doc_id, unnest(range(len(p))) as pos, unnest(p) as line from (selec
 _CW = "regexp_extract_all(lower({0}), '[a-z0-9À-ɏ]+|[ऀ-ॿ]+')"
 
 SQL = {
+    "flt19_budget": "with recursive q as (select conv_id, turn, length(text) as n, row_number() over (partition by conv_id order by turn, length(text)) as r from conversations), c(conv_id, turn, r, used, kept) as (select conv_id, turn, r, case when n <= 2000 then n else 0 end, n <= 2000 from q t where r = 1 union all select t.conv_id, t.turn, t.r, c.used + case when c.used + t.n <= 2000 then t.n else 0 end, c.used + t.n <= 2000 from c join q t on t.conv_id = c.conv_id and t.r = c.r + 1) select conv_id, turn, max(used) over (partition by conv_id) as used from c where kept",
     "win01_element_ids": f"select doc_id, pos, 'e' || lpad(cast(row_number() over (partition by doc_id order by pos) as varchar), 4, '0') as element from ({_L}) where trim(line, ' ') <> ''",
     "win02_heading_path": f"select doc_id, pos, sha1(concat_ws(' > ', h1, case when p2 > coalesce(p1, -1) then h2 end)) as path from (select doc_id, pos, last_value(case when length(line) < 20 then line end ignore nulls) over w as h1, max(case when length(line) < 20 then pos end) over w as p1, last_value(case when length(line) between 20 and 44 then line end ignore nulls) over w as h2, max(case when length(line) between 20 and 44 then pos end) over w as p2 from ({_L}) window w as (partition by doc_id order by pos rows unbounded preceding))",
     "win05_running_lines": "with l as (select source, doc_id, unnest(range(len(p))) as pos, unnest(p) as line from (select source, doc_id, string_split(text, chr(10)) as p from documents)), r as (select *, row_number() over (partition by source, doc_id order by pos) as u, row_number() over (partition by source, doc_id order by pos desc) as d from l), s as (select source, doc_id, line, 'head' as side from r where u = 1 union all select source, doc_id, line, 'foot' from r where d = 1), n as (select source, count(distinct doc_id) as n from l group by all) select source, line, side, pages from (select source, line, side, count(distinct doc_id) as pages from s where length(line) < 120 group by all) join n using (source) where n >= 3 and pages >= greatest(2, floor(0.02 * n))",

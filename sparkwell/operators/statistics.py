@@ -482,7 +482,7 @@ SQL = {
     "win15_mode_order": _t("select case when (turn_id + session_id + model_calls) % 2 = 0 then 'baseline first' else 'candidate first' end as mode, count(*) as n from turns group by all"),
     "evl03_engine_diff": _t("select session_id, case when a and not b then 'regressed' when not a and b then 'gained' else 'same' end as change from (select session_id, avg(seconds) < 55 as a from turns where model_calls = 1 group by all) full join (select session_id, avg(seconds) < 55 as b from turns where model_calls = 2 group by all) using (session_id)"),
     "evl04_status_quality": _t("select expected, count(*) filter (where status = expected) as correct, count(*) filter (where expected = 'click' and status = 'view') as false_hits, count(*) as n from (select *, case when session_id % 2 = 0 then 'view' else 'click' end as expected from turns) group by all"),
-    "evl05_mcnemar": _t("select session_id, b, c, round(case when b + c = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) end, 8) as p from (select session_id, count(*) filter (where seconds < 50 and model_seconds >= 10) as b, count(*) filter (where seconds >= 50 and model_seconds < 25) as c from turns group by all) where b + c <= 40"),
+    "evl05_mcnemar": _t("select session_id, b, c, round(case when b + c = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) end, 8) as p from (select session_id, count(*) filter (where seconds < 50 and model_seconds >= 10) as b, count(*) filter (where seconds >= 50 and model_seconds < 25) as c from turns group by all)"),
     "evl06_wilson": _t(f"select session_id, k, n, round(greatest((p + {Z95 * Z95} / (2 * n)) / (1 + {Z95 * Z95} / n) - h, 0), 8) as low, round(least((p + {Z95 * Z95} / (2 * n)) / (1 + {Z95 * Z95} / n) + h, 1), 8) as high from (select *, {Z95} * sqrt(p * (1 - p) / n + {Z95 * Z95} / (4 * n * n)) / (1 + {Z95 * Z95} / n) as h from (select session_id, count(*) filter (where status = 'view') as k, count(*) as n, count(*) filter (where status = 'view') / count(*) as p from turns group by all))"),
     "evl07_rule_of_three": _t("select status, round(-ln(0.05) / count(*), 10) as upper, cast(ceil(-ln(0.05) / 0.01) as bigint) as needed from turns group by all"),
     "evl08_bootstrap": _t("select count(*) as rounds, round(quantile_cont(mean, 0.025), 6) as mean_low, round(quantile_cont(mean, 0.975), 6) as mean_high, round(quantile_cont(ratio, 0.025), 6) as ratio_low, round(quantile_cont(ratio, 0.975), 6) as ratio_high from (select r, avg(b - a) as mean, quantile_cont(b, 0.95) / quantile_cont(a, 0.95) as ratio from (select r, a, b, unnest(range(0, w)) as copy from (select r, a, b, " + " + ".join(f"cast(u >= {c} as int)" for c in _CDF) + " as w from (select seconds as a, model_seconds as b, r, cast('0x' || substr(md5(turn_id || '|' || r), 1, 8) as bigint) / 4294967296.0 as u from turns, range(1, 61) as g(r) where seconds is not null and model_seconds is not null))) group by r)"),

@@ -242,6 +242,7 @@ _CACHE = """with recursive q as (select turn_id, session_id || '|' || status as
  select key, count(*) filter (where hit) as hits, count(*) as n from c group by all"""
 
 SQL = {
+    "str04_prefix_commit": "with h as (select conv_id as session_id, turn as seq, string_split_regex(trim(array_to_string(list_concat(string_split_regex(base, '\\s+')[1:3 * (turn + 1)], case when turn % 2 = 1 then ['uh'] else [] end), ' ')), '\\s+') as w from conversations join (select conv_id, text as base from conversations where turn = 0) using (conv_id)), d as (select session_id, seq, len(w) as n, case when b is null then 0 else least(len(w), coalesce(list_position(list_transform(range(1, greatest(len(w), len(b)) + 1), lambda i: w[i] is not distinct from b[i]), false) - 1, greatest(len(w), len(b)))) end as common from (select *, lag(w) over (partition by session_id order by seq) as b from h)) select session_id, seq, least(k, n) as committed, greatest(n - k, 0) as pending from (select *, max(common) over (partition by session_id order by seq) as k from d)",
     "str02_sessions_streamed": "select user_id, count(*) as sessions, cast(sum(n) as bigint) as events from (select user_id, count(*) as n from (select *, sum(case when ts - b < interval '2 hours' then 0 else 1 end) over (partition by user_id order by ts, event_id) as s from (select *, lag(ts) over (partition by user_id order by ts, event_id) as b from events)) group by user_id, s) group by user_id",
     "str01_tumbling": "select cast(epoch(time_bucket(interval '1 hour', ts)) as bigint) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all",
     "str01_tumbling_streamed": "select cast(epoch(time_bucket(interval '1 day', ts)) as bigint) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all",
