@@ -182,12 +182,12 @@ def resampled(df: DataFrame, key: str, rounds: int) -> DataFrame:
     return table.select(*df.columns, F.posexplode("_weights").alias("round", "weight")).withColumn("round", F.col("round") + 1)
 
 
-def round_quantile(drawn: DataFrame, cuts: list[float], value: str, q: float, name: str) -> DataFrame:
+def round_quantile(drawn: DataFrame, value: str, place: str, q: float, name: str) -> DataFrame:
     """round and the quantile (between ranks) of value under the weights of each round.
 
-    Weights are summed by ranges of the value between cuts; only the ranges that hold the rank are ordered.
+    Weights are summed by ranges of the value, whose number is in place; only the ranges that hold the rank are ordered.
     """
-    ranged_ = drawn.where("weight > 0").withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0))
+    ranged_ = drawn.where("weight > 0").select("round", "weight", value, F.col(place).alias("_range"))
     w = W.partitionBy("round")  # one row for each range
     sums = ranged_.groupBy("round", "_range").agg(F.sum("weight").alias("_m"))
     sums = sums.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_m").over(w)})
@@ -205,12 +205,13 @@ def round_quantile(drawn: DataFrame, cuts: list[float], value: str, q: float, na
 def paired_bootstrap(pairs: DataFrame, key: str, before: str, after: str, rounds: int, confidence: float = 0.95) -> DataFrame:
     """One row: percentile intervals of the mean difference after - before and of the ratio of their 95th percentiles, over rounds that draw whole pairs."""
     pairs = pairs.where(F.col(before).isNotNull() & F.col(after).isNotNull()).select(key, before, after)
-    drawn = resampled(pairs, key, rounds)
     at = [k / RANGES for k in range(1, RANGES)]
     cuts = pairs.agg(*(F.percentile_approx(c, at, 20 * RANGES).alias(c) for c in (before, after))).first()  # RANGES numbers of each
+    place = lambda c: F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts[c])))), lambda x: x < F.col(c))) if cuts[c] else F.lit(0)
+    drawn = resampled(pairs.withColumns({f"_range_{c}": place(c) for c in (before, after)}), key, rounds)
     each = drawn.groupBy("round").agg((F.sum(F.col("weight") * (F.col(after) - F.col(before))) / F.sum("weight")).alias("mean"))
     for c in (before, after):
-        each = each.join(round_quantile(drawn, sorted(set(cuts[c] or [])), c, 0.95, f"{c}_p95"), "round")
+        each = each.join(round_quantile(drawn, c, f"_range_{c}", 0.95, f"{c}_p95"), "round")
     each = each.withColumn("ratio", F.try_divide(F.col(f"{after}_p95"), F.col(f"{before}_p95")))
     ends = F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2))
     both = each.agg(F.percentile("mean", ends).alias("m"), F.percentile("ratio", ends).alias("r"), F.count("*").alias("rounds"))  # one row for each round
