@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkwell.llm import exact_dedup, html_text, near_dedup, packing, pieces, pii, secrets, spotsigs, token_counts, toxicity
+from sparkwell.llm import exact_dedup, fill_middle, html_text, near_dedup, packing, pieces, pii, secrets, spotsigs, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scans": secrets.ORACLE_SQL,
         "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_fill_in_middle": fill_middle.ORACLE_SQL,
     }
