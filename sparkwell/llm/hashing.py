@@ -86,3 +86,52 @@ def word_hashes(texts: Iterable[str]) -> Iterator[np.ndarray]:
             block.append(t)
             n += len(t) + 1
     yield from _hashed(block)
+
+
+#: Bytes of words: A to Z in lower case, plus one, so that only blanks (space and 0x09 to 0x0D) are 0.
+_LOWERED = np.array([0 if b in b" \t\n\x0b\x0c\r" else b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], np.uint64)
+
+
+def _blank_hashed(block: list[bytes]) -> Iterator[np.ndarray]:
+    codes = _LOWERED[np.frombuffer(b"\n".join([*block, b""]), np.uint8)]
+    inside = codes != 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edges = np.append(0, edges)
+    begin, end = edges[::2], edges[1::2]
+    power, inverse = _usual_powers() if len(codes) <= BLOCK else _powers(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[: len(codes)], out=sums[1:])
+    h = mixed((sums[end] - sums[begin]) * inverse[begin])
+    cuts = np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in block)]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield h[a:b]
+
+
+def _blank_parts(data: bytes) -> Iterator[bytes]:
+    """Long data in parts of about BLOCK bytes, cut at blanks; a longer word is a part of its own."""
+    blank = np.flatnonzero(_LOWERED[np.frombuffer(data, np.uint8)] == 0)
+    at = 0
+    while at < len(data):
+        k = int(np.searchsorted(blank, at + BLOCK - 1, "right"))
+        before = int(blank[k - 1]) if k and blank[k - 1] >= at else None
+        to = len(data) if at + BLOCK - 1 >= len(data) else before + 1 if before is not None else int(blank[k]) + 1 if k < len(blank) else len(data)
+        yield data[at:to]
+        at = to
+
+
+def blank_word_hashes(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words in order; a word is what stands between blanks, A to Z in lower case."""
+    block: list[bytes] = []
+    n = 0
+    for t in texts:
+        data = t.encode()
+        if n + len(data) >= BLOCK:
+            yield from _blank_hashed(block)
+            block, n = [], 0
+        if len(data) >= BLOCK:
+            yield np.concatenate([h for part in _blank_parts(data) for h in _blank_hashed([part])])
+        else:
+            block.append(data)
+            n += len(data) + 1
+    yield from _blank_hashed(block)

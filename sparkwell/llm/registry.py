@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkwell.llm import alignment, exact_dedup, fill_middle, html_text, near_dedup, packing, pieces, pii, secrets, spotsigs, token_counts, toxicity
+from sparkwell.llm import alignment, exact_dedup, fill_middle, html_text, near_dedup, ngram_join, packing, pieces, pii, secrets, spotsigs, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
         "op12_token_alignment": alignment.op12_token_alignment,
+        "op13_ngram_join": ngram_join.op13_ngram_join,
     }
 
 

@@ -1,15 +1,17 @@
 """Arrangements of texts, token alignment and the n-gram join, against SQL and brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from compare import SMALL, database, rows_of_duckdb, rows_of_spark
 from pyspark.sql import functions as F
 
-from sparkwell.llm import alignment, fill_middle
+from sparkwell.llm import alignment, fill_middle, hashing, ngram_join
 from sparkwell.llm.common import vocabulary_path
 
 
@@ -128,3 +130,104 @@ def test_alignment_memory_of_units_is_bounded(monkeypatch):
     for text in ("one two three", "two three four five six seven", "one two " * 9, "x" * 50 + " one", "a b c d e f g h one two", " "):
         assert own.encode(text).tolist() == own.sp.encode(text)
         assert len(own.memory) <= 16
+
+
+BLANK = re.compile(r"[^ \t-\r]+")
+
+
+def grams(text):
+    w = BLANK.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i:i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+
+
+def plain_components(rows, percent=85):
+    """(doc_id, size, component) of every pair compared."""
+    sets = [grams(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            label[find(i)] = find(j)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), (True, 0)), (d is None, d or 0))
+    return Counter((d, len(sets[k]), None if least[find(k)][0] else least[find(k)][1]) for k, (d, _) in enumerate(rows))
+
+
+def components(docs):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.joined(docs).collect())
+
+
+def test_ngram_query_matches_brute_force(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.op13_ngram_join(spark, SMALL).collect()) == plain_components(docs)
+
+
+def test_ngram_odd_rows(spark, odd, empty):
+    more = [(100 + k, t) for k, t in enumerate(["a", "A", "a b", "A\tB", "a b c", "b a c", "a b c d", "a b c d e", "É é", "é É", "\x00", "x\u00a0y", " ", "a b c d a b c d a b c d a b c d"])]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    assert components(docs) == plain_components([tuple(r) for r in docs.collect()])
+    assert ngram_join.joined(empty).count() == 0
+
+
+def family(r, n, words=120, sets=6):
+    """Texts with edits around the threshold, of all sizes, and a passage that unlike texts share."""
+    passage = [f"p{k}" for k in range(60)]
+    out = []
+    for f in range(sets):
+        base = [f"w{f}x{r.randrange(500)}" for _ in range(r.randrange(8, words))]
+        for _ in range(n):
+            t = list(base)
+            for _ in range(r.randrange(0, max(2, len(t) // 18))):
+                at = r.randrange(len(t))
+                t[at:at + r.randrange(2)] = [f"e{r.randrange(10**6)}"]
+            out.append(" ".join(t + passage * (f % 2) * r.randrange(2)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ngram_families_with_edits(spark, seed):
+    docs = list(enumerate(family(random.Random(seed), 25)))
+    assert components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == plain_components(docs)
+
+
+def test_ngram_pigeonhole_holds_for_any_costs():
+    """Every pair of partners meets in a key that the larger one asks for, whatever segments are thought costly."""
+    r = np.random.default_rng(1)
+    percent, left_out = 85, 0
+    for _ in range(1500):
+        n = int(r.integers(1, 120))
+        big = np.unique(r.integers(1, 1 << 62, n).astype(np.uint64))
+        drop = int(r.integers(0, max(1, n * 15 // 100) + 1))
+        small = big[np.sort(r.permutation(len(big))[: len(big) - drop])]
+        swap = int(r.integers(0, max(1, len(small) // 12)))
+        small = np.unique(np.append(small[swap:], r.integers(1, 1 << 62, min(swap, drop)).astype(np.uint64)))
+        both = len(np.intersect1d(big, small))
+        if not len(small) or 100 * both < percent * (len(big) + len(small) - both) or len(small) > len(big):
+            continue
+        costs = {}
+
+        def held(keys):
+            return np.array([costs.setdefault(int(k), float(r.choice([0, 0, 0, 300]))) for k in keys])
+
+        asks = ngram_join.Keys(big, percent, held)
+        index = ngram_join.Keys(small, percent, held)
+        left_out += len(asks.around)
+        wants = {*asks.keys[asks.asks].tolist()} | {*asks.around.tolist()}
+        assert wants & ({*np.concatenate([c.keys for c in index.cuts]).tolist()} | {*index.index_around().tolist()})
+    assert left_out > 50
+
+
+def test_ngram_words_by_blanks():
+    r = random.Random(2)
+    texts = ["".join(r.choice("aAbÉ \t\n\x0b\x1f\u00a0") for _ in range(r.randrange(0, 60))) for _ in range(300)] + ["", "ab " * 90_000, "x" * 300_000 + " y", "x" * 300_000 + " y"]
+    seen = {}
+    for t, h in zip(texts, hashing.blank_word_hashes(texts), strict=True):
+        words = BLANK.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        assert len(words) == len(h) and all(seen.setdefault(w, int(x)) == int(x) for w, x in zip(words, h, strict=True))
+    assert len({*seen.values()}) == len(seen)
