@@ -18,29 +18,38 @@ from sparkwell.plans.views import oracle, view
 from sparkwell.shared import new_folder
 
 
-def replay(spark: SparkSession, path: str, operator: Callable[[DataFrame], DataFrame], mode: str = "append", time: str | None = None, key: list[str] | None = None) -> DataFrame:
+def replay(spark: SparkSession, path: str, operator: Callable[[DataFrame], DataFrame], mode: str = "append", time: str | None = None, key: list[str] | None = None, conf: dict[str, str] | None = None, files: int | None = None) -> DataFrame:
     """Run an operator over the Parquet files of path as a stream until all are read; the rows it wrote.
 
     time: in append mode, the event time column. A last row far in the future then closes what is
     still open at the end; its own group stays open and isn't written.
     key: in update mode, the columns that name a row, of which the last version is given.
+    conf: settings of the session while the stream runs. files: how many files a micro-batch reads (None: all).
     """
     schema = spark.read.parquet(path).schema
     out, at = new_folder(spark, "stream-out"), new_folder(spark, "stream-checkpoint")
     # written as a pattern, the path may be a folder or a single file; a stream takes only folders by name
-    rows = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    reader = spark.readStream.schema(schema) if files is None else spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    rows = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     if time:
         last = spark.range(1).select(*(F.lit("2900-01-01" if f.name == time else None).cast(f.dataType).alias(f.name) for f in schema))
         end = new_folder(spark, "stream-end")
         last.write.parquet(end)
         rows = rows.union(spark.readStream.schema(schema).parquet(end))
-    result = operator(rows)
-    written = result.schema
-
-    def emit(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    result.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(emit).start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        result = operator(rows)
+        written = result.schema
+
+        def emit(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+        result.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(emit).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if mode == "update" and key:
         versions = spark.read.schema(StructType([*written.fields, StructField("batch", LongType())])).parquet(out)
         rest = [c for c in written.names if c not in key]
