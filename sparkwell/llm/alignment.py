@@ -18,7 +18,6 @@ each; ties of counts are all best; an empty table gives an empty result; other c
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -39,8 +38,6 @@ BLOCK = 16384
 BROADCAST_PAIRS = 4_000_000
 #: Links and pairs that are held before they are counted, and rows of a batch.
 HELD, ROWS = 1 << 20, 512
-#: Units whose pieces a worker remembers, and their code points at most: some 80 MB.
-MEMORY, LONGEST = 400_000, 40
 
 
 class _Bytes:
@@ -66,41 +63,17 @@ def _byte_characters() -> dict[int, int]:
 
 
 class _Pieces:
-    """SentencePiece of a text, to which it adds a space. No piece has a mark behind another character, so units of spaces and what follows them are encoded apart and remembered."""
-
-    _UNIT = re.compile(" *[^ ]+| +")
+    """SentencePiece of a text, to which it adds a space."""
 
     def __init__(self, name: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(name))
-        ids = range(self.sp.get_piece_size())
-        pieces = [self.sp.id_to_piece(i) for i in ids]
-        self.raw = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in zip(ids, pieces, strict=True)]
-        self.apart = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.space = np.array([self.sp.piece_to_id(MARK)], "<u4").tobytes()
-        self.memory: dict[str, bytes] = {}
+        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
+        self.raw = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.apart or MARK in text:
-            return np.array(self.sp.encode(text, num_threads=1), "<u4")
-        memory, units = self.memory, self._UNIT.findall(" " + text)
-        new = [u for u in {*units} if u not in memory]
-        if new:
-            # the tokenizer adds the first space; a unit that is that space alone is asked by its piece
-            ids = [self.space if u == " " else np.array(i, "<u4").tobytes() for u, i in zip(new, self.sp.encode([u[1:] for u in new], num_threads=1), strict=True)]
-            own = dict(zip(new, ids, strict=True))
-            if len(memory) + len(new) > MEMORY:
-                memory.clear()
-                out = b"".join([own[u] if u in own else memory.setdefault(u, self._one(u)) for u in units])
-            else:
-                out = b"".join([own.get(u) or memory[u] for u in units])
-            memory.update((u, i) for u, i in own.items() if len(u) <= LONGEST)
-            return np.frombuffer(out, "<u4")
-        return np.frombuffer(b"".join(map(memory.__getitem__, units)), "<u4")
-
-    def _one(self, unit: str) -> bytes:
-        return self.space if unit == " " else np.array(self.sp.encode(unit[1:], num_threads=1), "<u4").tobytes()
+        return np.array(self.sp.encode(text), "<u4")
 
 
 @lru_cache(maxsize=1)

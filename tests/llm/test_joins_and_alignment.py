@@ -124,14 +124,6 @@ def test_alignment_groups_and_links(spark, empty):
     assert alignment.alignment(empty).count() == 0
 
 
-def test_alignment_memory_of_units_is_bounded(monkeypatch):
-    monkeypatch.setattr(alignment, "MEMORY", 5)
-    own = alignment._Pieces(alignment.PIECE_BPE)
-    for text in ("one two three", "two three four five six seven", "one two " * 9, "x" * 50 + " one", "a b c d e f g h one two", " "):
-        assert own.encode(text).tolist() == own.sp.encode(text)
-        assert len(own.memory) <= 16
-
-
 BLANK = re.compile(r"[^ \t-\r]+")
 
 
