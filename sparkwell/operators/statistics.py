@@ -170,54 +170,6 @@ def threshold_grid(df: DataFrame, confidence: str, correct: str, grid: list[floa
     return each.groupBy("threshold").agg(F.count("*").alias("accepted"), F.sum("ok").alias("right"), F.sum(1 - F.col("ok")).alias("wrong"))
 
 
-def resampled(df: DataFrame, key: str, rounds: int) -> DataFrame:
-    """df with round and weight: how often a row is drawn in each round of a Poisson bootstrap, by a hash of its key, so that no round needs all rows in one place. The draws are made once, as a table."""
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-
-    def drawn(r: Column) -> Column:
-        u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), r.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-        return F.size(F.filter(F.array(*map(F.lit, cdf)), lambda c: u >= c)).cast("tinyint")
-
-    table = written(df.withColumn("_weights", F.transform(F.sequence(F.lit(1), F.lit(rounds)), drawn)), "resampled")
-    return table.select(*df.columns, F.posexplode("_weights").alias("round", "weight")).withColumn("round", F.col("round") + 1)
-
-
-def round_quantile(drawn: DataFrame, value: str, place: str, q: float, name: str) -> DataFrame:
-    """round and the quantile (between ranks) of value under the weights of each round.
-
-    Weights are summed by ranges of the value, whose number is in place; only the ranges that hold the rank are ordered.
-    """
-    ranged_ = drawn.where("weight > 0").select("round", "weight", value, F.col(place).alias("_range"))
-    w = W.partitionBy("round")  # one row for each range
-    sums = ranged_.groupBy("round", "_range").agg(F.sum("weight").alias("_m"))
-    sums = sums.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_m").over(w)})
-    low = F.floor(q * (F.col("_n") - 1)) + 1
-    sums = sums.withColumns({"_low": low, "_high": F.least(low + 1, F.col("_n"))})
-    holds = lambda r: (F.col(r) > F.col("_before")) & (F.col(r) <= F.col("_before") + F.col("_m"))
-    near = ranged_.join(F.broadcast(sums.where(holds("_low") | holds("_high"))), ["round", "_range"])  # two rows for each round at most
-    to = F.col("_before") + F.sum("weight").over(W.partitionBy("round", "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    at = lambda r: F.max(F.when((F.col(r) > F.col("_to") - F.col("weight")) & (F.col(r) <= F.col("_to")), F.col(value)))
-    ends = near.withColumn("_to", to).groupBy("round", "_n").agg(at("_low").alias("_a"), at("_high").alias("_b"))
-    h = q * (F.col("_n") - 1)
-    return ends.select("round", (F.col("_a") + (F.col("_b") - F.col("_a")) * (h - F.floor(h))).alias(name))
-
-
-def paired_bootstrap(pairs: DataFrame, key: str, before: str, after: str, rounds: int, confidence: float = 0.95) -> DataFrame:
-    """One row: percentile intervals of the mean difference after - before and of the ratio of their 95th percentiles, over rounds that draw whole pairs."""
-    pairs = pairs.where(F.col(before).isNotNull() & F.col(after).isNotNull()).select(key, before, after)
-    at = [k / RANGES for k in range(1, RANGES)]
-    cuts = pairs.agg(*(F.percentile_approx(c, at, 20 * RANGES).alias(c) for c in (before, after))).first()  # RANGES numbers of each
-    place = lambda c: F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts[c])))), lambda x: x < F.col(c))) if cuts[c] else F.lit(0)
-    drawn = resampled(pairs.withColumns({f"_range_{c}": place(c) for c in (before, after)}), key, rounds)
-    each = drawn.groupBy("round").agg((F.sum(F.col("weight") * (F.col(after) - F.col(before))) / F.sum("weight")).alias("mean"))
-    for c in (before, after):
-        each = each.join(round_quantile(drawn, c, f"_range_{c}", 0.95, f"{c}_p95"), "round")
-    each = each.withColumn("ratio", F.try_divide(F.col(f"{after}_p95"), F.col(f"{before}_p95")))
-    ends = F.array(F.lit((1 - confidence) / 2), F.lit((1 + confidence) / 2))
-    both = each.agg(F.percentile("mean", ends).alias("m"), F.percentile("ratio", ends).alias("r"), F.count("*").alias("rounds"))  # one row for each round
-    return both.select("rounds", *(F.round(F.col(c)[k], 6).alias(n) for c, k, n in (("m", 0, "mean_low"), ("m", 1, "mean_high"), ("r", 0, "ratio_low"), ("r", 1, "ratio_high"))))
-
-
 def _turns(spark, sf_dir):
     return view(spark, sf_dir, "turns")
 
@@ -336,10 +288,6 @@ def evl07_rule_of_three(spark, sf_dir):
     return n.select("status", F.round(rule_of_three(F.col("n")), 10).alias("upper"), F.ceil(-F.ln(F.lit(0.05)) / 0.01).alias("needed"))
 
 
-def evl08_bootstrap(spark, sf_dir):
-    return paired_bootstrap(_turns(spark, sf_dir), "turn_id", "seconds", "model_seconds", 60)
-
-
 def evl09_gates(spark, sf_dir):
     t = _turns(spark, sf_dir)
     p95 = quantiles(t, ["status"], "seconds", {"p95": 0.95}).drop("n")
@@ -486,7 +434,6 @@ SQL = {
     "evl05_mcnemar": _t("select session_id, b, c, round(case when b + c = 0 then 1 else least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) end, 8) as p from (select session_id, count(*) filter (where seconds < 50 and model_seconds >= 10) as b, count(*) filter (where seconds >= 50 and model_seconds < 25) as c from turns group by all)"),
     "evl06_wilson": _t(f"select session_id, k, n, round(greatest((p + {Z95 * Z95} / (2 * n)) / (1 + {Z95 * Z95} / n) - h, 0), 8) as low, round(least((p + {Z95 * Z95} / (2 * n)) / (1 + {Z95 * Z95} / n) + h, 1), 8) as high from (select *, {Z95} * sqrt(p * (1 - p) / n + {Z95 * Z95} / (4 * n * n)) / (1 + {Z95 * Z95} / n) as h from (select session_id, count(*) filter (where status = 'view') as k, count(*) as n, count(*) filter (where status = 'view') / count(*) as p from turns group by all))"),
     "evl07_rule_of_three": _t("select status, round(-ln(0.05) / count(*), 10) as upper, cast(ceil(-ln(0.05) / 0.01) as bigint) as needed from turns group by all"),
-    "evl08_bootstrap": _t("select count(*) as rounds, round(quantile_cont(mean, 0.025), 6) as mean_low, round(quantile_cont(mean, 0.975), 6) as mean_high, round(quantile_cont(ratio, 0.025), 6) as ratio_low, round(quantile_cont(ratio, 0.975), 6) as ratio_high from (select r, avg(b - a) as mean, quantile_cont(b, 0.95) / quantile_cont(a, 0.95) as ratio from (select r, a, b, unnest(range(0, w)) as copy from (select r, a, b, " + " + ".join(f"cast(u >= {c} as int)" for c in _CDF) + " as w from (select seconds as a, model_seconds as b, r, cast('0x' || substr(md5(turn_id || '|' || r), 1, 8) as bigint) / 4294967296.0 as u from turns, range(1, 61) as g(r) where seconds is not null and model_seconds is not null))) group by r)"),
     "evl09_gates": _t("select status, case when s and v then 'SHIP' when s or v then 'HOLD' else 'REJECT' end as verdict from (select status, quantile_cont(seconds, 0.95) <= 160 as s, count(*) >= 300 as v from turns group by all)"),
     "evl12_threshold_grid": _t("select cast(t as double) as threshold, count(*) as accepted, count(*) filter (where status = 'view') as right, count(*) filter (where status <> 'view') as wrong from turns, (values (0.0), (0.1), (0.2), (0.3), (0.4), (0.5)) as g(t) where cast(t as double) <= seconds / 500 group by all"),
     "evl13_precision_threshold": _t("select confidence, cast(a as bigint) as accepted, round(a / total, 6) as coverage, round(r / a, 6) as precision from (select confidence, sum(n) over w as a, sum(k) over w as r, sum(n) over () as total from (select round(seconds / 10) as confidence, count(*) as n, count(*) filter (where status <> 'error') as k from turns group by all) window w as (order by confidence desc rows unbounded preceding)) where r >= 0.81 * a order by confidence limit 1"),

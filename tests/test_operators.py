@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkwell.functions import text
-from sparkwell.operators import more, records, retrieval, sequences, statistics
+from sparkwell.operators import bootstrap, more, records, retrieval, sequences, statistics
 from sparkwell.sources import corpus
 from sparkwell.streaming import sessions
 
@@ -278,7 +278,7 @@ def test_numbers_and_thresholds_over_ranges(spark):
 def test_paired_bootstrap_covers_a_known_difference(spark):
     r = random.Random(1)
     rows = [(k, (a := r.random() * 10), a + 1 + r.random()) for k in range(2000)]
-    got = statistics.paired_bootstrap(spark.createDataFrame(rows, "k long, a double, b double"), "k", "a", "b", 80).first()
+    got = bootstrap.paired_bootstrap(spark.createDataFrame(rows, "k long, a double, b double"), "k", "a", "b", 80).first()
     assert got.rounds == 80 and 1.45 < got.mean_low < 1.5 < got.mean_high < 1.55 and got.ratio_low < got.ratio_high < 1.25
 
 
