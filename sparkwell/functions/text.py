@@ -205,16 +205,6 @@ def txt14_content_overlap(spark, sf_dir):
     return a.join(q, ["conv_id", "turn"]).select("conv_id", "turn", F.round(F.coalesce(content_overlap(F.col("question"), F.col("answer")), F.lit(-1.0)), 6).alias("overlap"))
 
 
-def txt15_quote_in(spark, sf_dir):
-    """Benchmark items quoted in documents: candidates share the item's first words; only ids move with the words, a text is fetched once for each candidate."""
-    d = _docs(spark, sf_dir).select("doc_id", squash(F.col("text")).alias("t"))
-    b = view(spark, sf_dir, "benchmark").select("item_id", squash(F.col("text")).alias("q"))
-    head = F.array_join(F.slice(F.split("q", " "), 1, 4), " ")
-    grams = d.select("doc_id", F.split("t", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("head"))
-    found = grams.join(b.select("item_id", head.alias("head")), "head").select("doc_id", "item_id").distinct()
-    return found.join(b, "item_id").join(d, "doc_id").where(F.contains("t", F.col("q"))).select("doc_id", "item_id").distinct()
-
-
 def txt19_quality_audit(spark, sf_dir):
     return _docs(spark, sf_dir).select("lang", F.explode(issues(F.col("text"))).alias("issue")).groupBy("lang", "issue").agg(F.count("*").alias("n"))
 
@@ -336,23 +326,31 @@ def people_rows(lines: DataFrame, line: str) -> DataFrame:
     return rows.withColumns({"name": F.element_at("_cells", 1), "role": F.element_at("_cells", 2), "email": F.try_element_at(mail, F.lit(1))}).drop("_cells")
 
 
-def txt37_tools(spark, sf_dir):
-    """Tools offered for each message: those of all rules that it meets, all of them if it meets none."""
-    return _messages(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(tools_for(F.col("text"))), ",").alias("tools"))
-
-
-#: Which words of a request call for which tools.
-TOOL_RULES = {
-    r"cart|basket|korb|panier": ["view_cart"], r"price|cost|preis|prix|precio": ["check_price", "product"], r"remove|delete|entfern": ["remove", "view_cart"],
-    r"\badd\b|buy|kauf|acheter|comprar": ["add", "product"], r"order|checkout|bestell": ["checkout", "view_cart"], r"area|how many|wie viel": ["quantity", "product"], r"search|find|list|which|such": ["search"],
+def tools_for(text: Column, rules: dict[str, tuple[str, ...]], always: tuple[str, ...] = ()) -> Column:
+    """Names of the tools to offer for a text, sorted: those of each rule (a pattern and its tools) that the lowered text meets, and those always offered; a text that meets no rule gets all."""
+    low = F.lower(text)
+    every = sorted({*always, *(t for names in rules.values() for t in names)})
+    wanted = {t: [p for p, names in rules.items() if t in names] for t in every}
+    met = F.array(*(F.when(F.lit(True) if t in always else low.rlike("|".join(f"(?:{p})" for p in ps)), t) for t, ps in wanted.items()))
+    any_rule = low.rlike("|".join(f"(?:{p})" for p in rules))
+    return F.when(any_rule, F.array_compact(met)).otherwise(F.array(*map(F.lit, every)))
+
+
+#: Work on a corpus: which words of a request ask for which of this library's operators.
+CORPUS_TOOLS = {
+    r"token|length|pack|context window": ("count_tokens", "pack_sequences"),
+    r"duplicat|cop(y|ies)|same text|repeat": ("exact_dedup", "near_dedup"),
+    r"personal|e-?mail|phone|address|redact": ("redact_pii",),
+    r"passage|quote|evidence|cite": ("find_passages", "search"),
+    r"toxic|unsafe|quality": ("score_quality", "redact_pii"),
+    r"\b(search|which|where|explain)\b": ("search",),
 }
-EVERY_TURN = ["clarify", "safety"]
 
 
-def tools_for(text: Column, rules: dict[str, list[str]] = TOOL_RULES) -> Column:
-    met = F.flatten(F.filter(F.array(*(F.when(F.lower(text).rlike(p), F.array(*map(F.lit, t))) for p, t in rules.items())), lambda x: x.isNotNull()))
-    every = sorted({x for t in rules.values() for x in t} | set(EVERY_TURN))
-    return F.when(F.size(met) > 0, F.array_distinct(F.concat(met, F.array(*map(F.lit, EVERY_TURN))))).otherwise(F.array(*map(F.lit, every)))
+def txt37_tools(spark, sf_dir):
+    """Tools offered for each message: those of all rules that it meets, all of them if it meets none."""
+    tools = tools_for(F.col("text"), CORPUS_TOOLS, ("ask_back",))
+    return _messages(spark, sf_dir).select("conv_id", "turn", F.array_join(tools, ",").alias("tools"))
 
 
 def src08_path_years(spark, sf_dir):
@@ -363,6 +361,7 @@ def src08_path_years(spark, sf_dir):
 
 
 def years_of(stated: Column, path: Column) -> Column:
+    # fixed value: years from 2000 to 2049
     return F.array_sort(F.array_distinct(F.coalesce(stated, F.regexp_extract_all(path, F.lit(r"(?<!\d)(20[0-4]\d)(?!\d)"), F.lit(1)))))
 
 
@@ -378,7 +377,7 @@ _FORM = "trim(regexp_replace(lower({0}), '[^a-z0-9À-ɏऀ-ॿ]+', ' ', 'g'))"
 
 SQL = {
     "src08_path_years": "select page_id, case when page_id % 4 = 0 then '2020,2021' else coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(url || '/' || page_id || '_' || (2010 + page_id % 60) || '-v2', '\\d+'), lambda x: regexp_full_match(x, '20[0-4]\\d')))), ','), '') end as years from pages",
-    "txt37_tools": "select conv_id, turn, array_to_string(list_sort(case when len(m) > 0 then list_distinct(list_concat(m, ['clarify', 'safety'])) else ['" + "','".join(sorted({x for t in TOOL_RULES.values() for x in t} | set(EVERY_TURN))) + "'] end), ',') as tools from (select conv_id, turn, flatten([" + ", ".join(f"case when regexp_matches(lower(text), '{p}') then {t} else [] end" for p, t in TOOL_RULES.items()) + "]) as m from conversations)",
+    "txt37_tools": "with r(p, t) as (values " + ", ".join(f"('{p}', {list(t)})" for p, t in CORPUS_TOOLS.items()) + "), e as (select list_sort(list_distinct(list_append(flatten(list(t)), 'ask_back'))) as every from r), h as (select conv_id, turn, list_sort(list_distinct(list_append(flatten(list(t)), 'ask_back'))) as met from conversations, r where regexp_matches(lower(text), p) group by all) select c.conv_id, c.turn, array_to_string(coalesce(h.met, every), ',') as tools from conversations c cross join e left join h using (conv_id, turn)",
     "fct02_faculty": "select c_custkey, c_name as name, c_mktsegment as role, lower(replace(c_name, '#', '.')) || '@mail.org' as email from customer where c_custkey % 4 > 0",
     "dat03_calendar": f"select event, date, count(*) as n from (select o_orderpriority as event, case when o_orderkey % 5 = 0 then 'not yet fixed' else strftime(o_orderdate, '%-d %B %Y') end as date from orders) where regexp_matches(lower(date), '\\b({MONTHS})\\b') and regexp_matches(date, '[0-9]') group by all",
     "txt01_strip_accents": "select doc_id, sha256(strip_accents(text)) as sha from documents",
@@ -392,7 +391,6 @@ SQL = {
     "txt11_slug": "select p_partkey, regexp_replace(substr(regexp_replace(regexp_replace(lower(p_brand || ' ' || p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 20), '-+$', '') as slug from part",
     "txt12_record_id": "select p_partkey, substr(sha256(p_brand || chr(31) || p_name || chr(31) || cast(p_size as varchar)), 1, 16) as record_id from part",
     "txt14_content_overlap": f"select a.conv_id, a.turn, round(coalesce(len(list_intersect(list_distinct({_CW.format('q.text')}), list_distinct({_CW.format('a.text')}))) / nullif(len(list_distinct({_CW.format('q.text')})), 0), -1), 6) as overlap from conversations a join conversations q on q.conv_id = a.conv_id and q.turn + 1 = a.turn and q.role = 'user' where a.role = 'assistant'",
-    "txt15_quote_in": f"select doc_id, item_id from (select doc_id, {_SQ.format('text')} as t from documents) d join (select item_id, {_SQ.format('text')} as q from benchmark) b on contains(t, q)",
     "txt19_quality_audit": "select lang, issue, count(*) as n from (select lang, unnest(list_filter([case when len(regexp_extract_all(text, '\\S+')) < 80 then 'thin' end, case when len(regexp_extract_all(text, '\\|')) >= 10 then 'flattened_table' end, case when length(regexp_replace(text, '[^0-9]', '', 'g')) * 10 > length(text) then 'number_noise' end, case when regexp_matches(text, '%%%|###|&&&') then 'garbled' end], lambda x: x is not null)) as issue from documents) group by all",
     "txt20_redact": f"select doc_id, sha256(r) as sha, len(regexp_extract_all(r, '\\[EMAIL\\]')) as emails, len(regexp_extract_all(r, '\\[PHONE\\]')) as phones, len(regexp_extract_all(r, '\\[ID\\]')) as ids from (select doc_id, {_RED} as r from documents)",
     "txt21_dedup_key": f"select sha256({_FORM.format('text')} || '‖' || {_FORM.format('lang')}) as key, count(*) as n, min(doc_id) as first from documents group by all",

@@ -98,13 +98,6 @@ def prj09_turn_labels(spark, sf_dir):
     return view(spark, sf_dir, "turns").groupBy(F.coalesce(names[F.col("status")], F.lit("Other")).alias("label"), done.alias("terminal")).agg(F.count("*").alias("n"))
 
 
-def jn08_containment(spark, sf_dir):
-    """Lines of labelled documents that stand, but for case and blanks, in other documents of the same source: found by the line's digest first."""
-    d = lines_of(_docs(spark, sf_dir)).join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id").where(F.length("line") >= 30)
-    d = d.select("doc_id", "source", F.sha1(squash(F.col("line"))).alias("h")).distinct()
-    return d.groupBy("source", "h").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where("docs > 1")
-
-
 def srt03_dense_top(spark, sf_dir):
     v = view(spark, sf_dir, "vectors")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
@@ -240,7 +233,6 @@ SQL = {
     "prj02_hits": _B("select source_id, coalesce(string_agg(distinct cast(year as varchar), ',' order by cast(year as varchar)), '') as years, string_agg(distinct category, ',' order by category) as categories from blocks group by all"),
     "prj07_without_identity": "select c_nationkey, c_mktsegment, count(*) as n from customer group by all",
     "prj09_turn_labels": _T("select case status when 'view' then 'Viewing' when 'click' then 'Choosing' when 'error' then 'Failed' when 'purchase' then 'Buying' else 'Other' end as label, status in ('purchase', 'error') as terminal, count(*) as n from turns group by all"),
-    "jn08_containment": f"select source, sha1(q) as h, count(distinct doc_id) as docs, min(doc_id) as first from (select doc_id, source, {_SQ.format('line')} as q from {_L} join documents using (doc_id) where length(line) >= 30) group by all having count(distinct doc_id) > 1",
     "srt03_dense_top": "select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from (select a.vec_id as item_id, b.vec_id as doc_id, round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])), 9) as score from embeddings a, embeddings b where a.vec_id % 50 = 0)) where rank <= 180",
     "srt07_by_size": "select source, lang, count(*) as n, min(doc_id) as first from documents group by all order by n desc, first limit 20",
     "txt05_legacy_tokens": "select doc_id, len(regexp_extract_all(text, '[\\pL\\pN_]+')) as tokens from documents",
