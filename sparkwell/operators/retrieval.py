@@ -15,16 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkwell.functions.text import words
+from sparkwell.operators.ranking import bm25_best
 from sparkwell.plans.views import oracle, view
-from sparkwell.shared import written
 
-K1, B = 1.5, 0.75
 RRF = 60
 #: Candidates of each channel, and how many of them count after the eligibility filter.
 OVERFETCH, LIVE = 180, 60
 SERVABLE = ("approved", "extracted", "machine_verified")
-#: Stands for a document's length among its terms; no word has it.
-END = "."
 # Words about the past, and words of the domain of the questions.
 DOMAIN = r"(?i)\b(institute|college|campus|universit[a-zäéà]*)\b"
 PAST = r"(?i)\b(historical|previous|past|history|old)\b"
@@ -35,26 +32,6 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(words(F.col(text), True)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, repeat_query_terms: bool = True) -> DataFrame:
-    """item_id, doc_id, score. Repeated query terms count as often as they occur, or once.
-
-    Documents are cut into terms once: the postings of the questions' terms and, under END, the length
-    of every document are written as one table, from which all counts and scores come.
-    """
-    q = terms(questions, "item_id", "text").select("item_id", "term", F.col("tf").alias("qtf"))
-    wanted = q.select("term").distinct().union(questions.sparkSession.createDataFrame([(END,)], "term string"))
-    each = docs.select("doc_id", words(F.col("text"), True).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode(F.concat("w", F.array(F.lit(END)))).alias("term"))
-    postings = written(each.join(wanted, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
-    stats = postings.where(F.col("term") == END).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = postings.where(F.col("term") != END)
-    df_ = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(df_, "term").join(F.broadcast(stats))  # one row of statistics
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
-    times = F.col("qtf") if repeat_query_terms else F.lit(1)
-    return scored.select("term", "doc_id", weight.alias("w")).join(q, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * times).alias("score"))
-
-
 def _blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     """ids and the vectors one after the other, of up to size rows of a partition in each row."""
     block = F.floor(F.monotonically_increasing_id() / size)
@@ -71,11 +48,11 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int | None = None, least: f
 
     def product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                items, docs = np.array(row["item_ids"]), np.array(row["doc_ids"])
+            for k_ in range(b.num_rows):
+                items, docs, qs, vs = (b.column(c)[k_].values.to_numpy() for c in ("item_ids", "doc_ids", "qs", "vs"))
                 if not len(items) or not len(docs):
                     continue
-                score = (np.array(row["qs"]).reshape(len(items), -1) @ np.array(row["vs"]).reshape(len(docs), -1).T).round(9)
+                score = (qs.reshape(len(items), -1) @ vs.reshape(len(docs), -1).T).round(9)
                 floor = np.partition(score, -k, axis=1)[:, -k, None] if k and k < len(docs) else -np.inf
                 i, j = np.nonzero((score >= floor) & (score >= (-np.inf if least is None else least)))
                 yield pa.RecordBatch.from_arrays([pa.array(items[i], pa.int64()), pa.array(docs[j], pa.int64()), pa.array(score[i, j])], ["item_id", "doc_id", "score"])
@@ -123,12 +100,12 @@ def ret01_postings(spark, sf_dir):
 
 
 def ret02_bm25(spark, sf_dir):
-    found = bm25(view(spark, sf_dir, "benchmark"), view(spark, sf_dir, "documents"))
+    found = bm25_best(view(spark, sf_dir, "benchmark"), view(spark, sf_dir, "documents"), 10)
     return top(found.withColumn("score", F.round("score", 6)), 10)
 
 
 def ret02_bm25_set(spark, sf_dir):
-    found = bm25(view(spark, sf_dir, "benchmark"), view(spark, sf_dir, "documents"), repeat_query_terms=False)
+    found = bm25_best(view(spark, sf_dir, "benchmark"), view(spark, sf_dir, "documents"), 10, repeat_query_terms=False)
     return top(found.withColumn("score", F.round("score", 6)), 10)
 
 
@@ -176,12 +153,6 @@ def prj04_parent_expansion(spark, sf_dir):
     return view(spark, sf_dir, "blocks").select("block_id", F.length(text).alias("n"))
 
 
-def jn10_page_interval(spark, sf_dir):
-    """Pages of a source and the blocks that cover them."""
-    pages = view(spark, sf_dir, "blocks").select("source_id", F.explode(F.sequence("page_start", "page_end")).alias("page"), "block_id")
-    return pages.groupBy("source_id", "page").agg(F.count("*").alias("blocks"), F.min("block_id").alias("first"))
-
-
 def jn12_related(spark, sf_dir):
     """One hop from the first blocks of each source to others of the same year that aren't among them."""
     b = view(spark, sf_dir, "blocks").where("year is not null")
@@ -245,7 +216,7 @@ def ret_hybrid_search(spark, sf_dir):
     """Both channels, over-fetched; live units only; fused by reciprocal rank with a boost for the asked language; six parents for each question."""
     questions, docs, v = _question_set(spark, sf_dir), view(spark, sf_dir, "documents"), view(spark, sf_dir, "vectors")
     near = dense(questions.select("item_id", "q"), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), OVERFETCH)
-    words_ = bm25(questions.select("item_id", without_domain_words(F.col("text")).alias("text")), docs.select("doc_id", "text")).withColumn("score", F.round("score", 6))
+    words_ = bm25_best(questions.select("item_id", without_domain_words(F.col("text")).alias("text")), docs.select("doc_id", "text"), OVERFETCH).withColumn("score", F.round("score", 6))
     both = top(near, OVERFETCH).withColumn("channel", F.lit("dense")).unionByName(top(words_, OVERFETCH).withColumn("channel", F.lit("sparse")))
     live = eligible(view(spark, sf_dir, "blocks"), F.lit("question"), F.lit(None).cast("int")).select(F.col("block_id").alias("doc_id"), "category")
     w = W.partitionBy("item_id", "channel").orderBy("rank")
@@ -283,7 +254,6 @@ SQL = {
     "flt20_dated_preference": oracle("select source_id, category, count(*) as n, min(block_id) as first from (select *, coalesce(max(case when year = 2018 then 1 when year is not null then 0 end) over (partition by source_id, category), 0) as a from blocks) where a = 0 or year = 2018 group by all", "blocks"),
     "prj03_embed_text": oracle("select block_id, sha256(concat_ws(chr(10), nullif(category, 'en'), nullif(source_id, 'src0'), text)) as sha from blocks", "blocks"),
     "prj04_parent_expansion": oracle("select block_id, length(case when length(text) <= 3500 then concat_ws(' | ', source_id, cast(year as varchar), text) else text end) as n from blocks", "blocks"),
-    "jn10_page_interval": oracle("select source_id, page, count(*) as blocks, min(block_id) as first from blocks, range(1, 20) as g(page) where page between page_start and page_end group by all", "blocks"),
     "jn12_related": oracle("select source_id, block_id, r from (select b.source_id, b.block_id, row_number() over (partition by b.source_id order by b.block_id) as r from blocks b where b.year is not null and (b.source_id, b.year) in (select (source_id, year) from s where r <= 2) and b.block_id not in (select block_id from s where r <= 2)) where r <= 4", "blocks").replace("select source_id, block_id, r from (select b.", ", s as (select *, row_number() over (partition by source_id order by block_id) as r from blocks where year is not null) select source_id, block_id, r from (select b.", 1),
     "agg09_weakest": oracle("select source_id, category, arg_min(status, case status when 'approved' then 4 when 'extracted' then 3 when 'machine_verified' then 2 when 'needs_review' then 1 when 'rejected' then -1 else 0 end) as weakest, min(page_start) as from_page, max(page_end) as to_page from blocks group by all", "blocks"),
     "agg03_status_histogram": oracle("select status, count(*) as n, cast(sum(n_chars) as bigint) as chars from blocks group by all", "blocks"),
