@@ -11,9 +11,11 @@ a rowspan. Columns are padded to their longest cell. Where that would make a tab
 (PADDING times; a page could grow with its square), the widest columns are padded less: their longer cells are whole, but
 what is right of them is not aligned.
 
-Hidden are scripts, styles, the head and the like, elements with the attribute hidden or an inline style or simple rule
-(one element name, class or id, or an element name with a class) of a style element that says display: none or visibility:
-hidden, closed dialogs, and of a closed details all but its summary. Buttons and text fields show their value.
+Hidden are scripts, styles, the head and the like, elements with the attribute hidden or whose style says display: none or
+visibility: hidden, closed dialogs, and of a closed details all but its summary. An element's style is its inline style and the
+simple rules (one element name, class or id, or an element name with a class) of style elements, by importance, specificity
+and order; rules of other media than all and screen, and those under conditions (widths, features), are not applied. What is
+visible inside an element of hidden visibility is shown. Buttons and text fields show their value.
 
 Defined cases: null or empty html gives empty text; broken markup never fails: an end tag that
 closes nothing is dropped, what is open at the end is closed, a lone < is text; elements may nest to any depth: those below
@@ -28,6 +30,7 @@ import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,8 +71,9 @@ _TABLE_ENDS = frozenset("table tr tbody thead tfoot td th body html".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>", re.S)
 _LOOSE = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_MARK = re.compile(r"[{};]")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_MEDIA = re.compile(r"@media\s+(?:[^{}]*,\s*)?(?:only\s+)?(?:all|screen)\s*(?:,[^{}]*)?", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
 _SIMPLE = re.compile(r"[a-z][a-z0-9]*|(?:[a-z][a-z0-9]*)?\.[\w-]+|#[\w-]+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -90,32 +94,104 @@ class Node:
                 return html.unescape(next((g for g in m.groups()[1:] if g is not None), ""))
         return None
 
-    def shown(self, rules: frozenset[str] = frozenset()) -> bool:
-        """rules: selectors that style elements hide."""
-        if self.tag in HIDDEN or self.tag in rules:
+    def style(self, rules: Styles) -> tuple[str | None, str | None]:
+        """The values of display and visibility that rules and the inline style give this element, if any."""
+        found = {}
+        names = [(self.tag, 1)]
+        if self.attrs:
+            if rules:
+                names += [x for c in (self.attr("class") or "").split() for x in ((f".{c}", 10), (f"{self.tag}.{c}", 11))]
+                if (own := self.attr("id")) is not None:
+                    names.append((f"#{own}", 100))
+            for name, (value, important) in declared(self.attr("style") or "").items():
+                found[name] = ((important, 1000, 0), value)
+        for selector, specific in names:
+            for name, (value, important, order) in rules.get(selector, {}).items():
+                rank = (important, specific, order)
+                if name not in found or rank > found[name][0]:
+                    found[name] = rank, value
+        return tuple(found[n][1] if n in found else None for n in ("display", "visibility"))
+
+    def shown(self, rules: Styles = {}) -> bool:
+        """Whether any of it is shown; of an element of hidden visibility only the visible parts stay in it."""
+        if self.tag in HIDDEN:
             return False
-        if not self.attrs:
-            return not self.tag == "dialog"
-        if self.attr("hidden") is not None or self.tag == "dialog" and self.attr("open") is None:
+        if self.tag == "dialog" and self.attr("open") is None or self.attrs and self.attr("hidden") is not None:
             return False
         if self.tag == "input" and (self.attr("type") or "").lower() == "hidden":
             return False
-        if rules:
-            names = (self.attr("class") or "").split()
-            if any(f".{c}" in rules or f"{self.tag}.{c}" in rules for c in names) or f"#{self.attr('id')}" in rules:
-                return False
-        return not _INVISIBLE.search(self.attr("style") or "")
-
-
-def hiding(style: str) -> set[str]:
-    """Simple selectors of a style sheet whose rules hide."""
-    found: set[str] = set()
-    for m in _RULE.finditer(_COMMENT.sub(" ", style)):
-        if _INVISIBLE.search(m[2]):
-            found |= {x for x in map(str.strip, m[1].split(",")) if _SIMPLE.fullmatch(x)}
+        if not self.attrs and not rules:
+            return True
+        display, visibility = self.style(rules)
+        if display == "none":
+            return False
+        if visibility in ("hidden", "collapse"):
+            self.children = [c for c in self.children if isinstance(c, Node) and c.inside_hidden(rules)]
+            return bool(self.children)
+        return True
+
+    def inside_hidden(self, rules: Styles) -> bool:
+        """shown(), where what is around it is hidden."""
+        if self.style(rules)[1] == "visible":
+            return self.shown(rules)
+        if not self.shown(rules):
+            return False
+        self.children = [c for c in self.children if isinstance(c, Node) and c.inside_hidden(rules)]
+        return bool(self.children)
+
+
+#: By selector what its rules say of display and visibility: value, importance, place in the order of rules.
+Styles = dict[str, dict[str, tuple[str, bool, int]]]
+
+
+_ORDER = count()
+
+
+def declared(body: str) -> dict[str, tuple[str, bool]]:
+    """What declarations say of display and visibility, and whether that is important; the last important one, else the last one."""
+    found: dict[str, tuple[str, bool]] = {}
+    for m in _DECLARED.finditer(body):
+        name, important = m[1].lower(), bool(m[3])
+        if important or not found.get(name, ("", False))[1]:
+            found[name] = m[2].lower(), important
     return found
 
 
+def blocks(sheet: str) -> Iterator[tuple[str, str]]:
+    """What stands before and inside the braces of each outermost block of a style sheet; what is open at the end is closed."""
+    level = start = inner = 0
+    for m in _MARK.finditer(sheet):
+        if m[0] == "{":
+            if not level:
+                before, inner = sheet[start:m.start()].strip(), m.end()
+            level += 1
+        elif m[0] == "}" and level:
+            level -= 1
+            if not level:
+                yield before, sheet[inner:m.start()]
+                start = m.end()
+        elif not level:
+            start = m.end()
+    if level:
+        yield before, sheet[inner:]
+
+
+def read_styles(sheet: str, rules: Styles, depth: int = 0) -> None:
+    """Add the simple rules of a style sheet that hide or show."""
+    for before, body in blocks(_COMMENT.sub(" ", sheet)):
+        if before.startswith("@"):
+            if depth < 8 and _MEDIA.fullmatch(before):
+                read_styles(body, rules, depth + 1)
+            continue
+        values = declared(body)
+        for selector in map(str.strip, before.split(",")) if values else ():
+            if _SIMPLE.fullmatch(selector):
+                own = rules.setdefault(selector, {})
+                for name, (value, important) in values.items():
+                    if important or not own.get(name, ("", False, 0))[1]:
+                        own[name] = value, important, next(_ORDER)
+
+
 class Tree:
     """The open elements of a page while it is read.
 
@@ -127,7 +203,7 @@ class Tree:
         self.root = Node("html")
         self.stack: list[tuple[Node, Node]] = [(self.root, self.root)]
         self.at: dict[str, list[int]] = defaultdict(list)  # places of the open elements by name
-        self.rules: set[str] = set()
+        self.rules: Styles = {}
 
     @property
     def top(self) -> Node:
@@ -177,8 +253,8 @@ class Tree:
             self.add(html.unescape(s))
 
 
-def parse(page: str) -> tuple[Node, frozenset[str]]:
-    """The tree of a page, and the selectors that its style elements hide."""
+def parse(page: str) -> tuple[Node, Styles]:
+    """The tree of a page, and the rules of its style elements."""
     tree = Tree()
     at, n = 0, len(page)
     pattern = _TAG
@@ -224,7 +300,7 @@ def parse(page: str) -> tuple[Node, frozenset[str]]:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             inner = page[at:end.start() if end else n]
             if tag == "style":
-                tree.rules |= hiding(inner)
+                read_styles(inner, tree.rules)
             elif tag != "script":
                 inner = html.unescape(inner)
             node.children.append(inner)
@@ -233,14 +309,14 @@ def parse(page: str) -> tuple[Node, frozenset[str]]:
             tree.add(node)  # only in svg and math a slash ends an element
         else:
             tree.push(node)
-    return tree.root, frozenset(tree.rules)
+    return tree.root, tree.rules
 
 
 class Page:
     """Lines of a rendered page."""
 
-    def __init__(self, rules: frozenset[str] = frozenset()):
-        self.rules = rules
+    def __init__(self, rules: Styles | None = None):
+        self.rules = rules or {}
         self.lines: list[str] = []
         self.now: list[str] = []
         self.indent = self.mark = ""
