@@ -17,7 +17,9 @@ under its name isn't added again; an empty table gives an empty result; further
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -107,6 +109,11 @@ def dedup(docs: DataFrame, digest=sha256_digest, state_dir: str | None = None, b
     return _verified(spark, rows, records, materialize(groups, "dedup-groups"), digest, batch)
 
 
+def _readable(file: str) -> str:
+    """The path of a file by its name in _metadata, which is written as a URI; a reader takes a path, with patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
+
+
 def _contents(spark: SparkSession, rows: DataFrame, records: DataFrame, hits: DataFrame, digest, batch: str) -> DataFrame:
     """__sw_file, __sw_row, _digest and _text of all rows whose digest was hit: of this batch as they are read, of earlier ones by their locators."""
     body = rows.select("__sw_file", "__sw_row", normalized(text_of()).alias("_text")).withColumn("_digest", digest(F.col("_text")))
@@ -120,7 +127,7 @@ def _contents(spark: SparkSession, rows: DataFrame, records: DataFrame, hits: Da
     files = [r[0] for r in before.select("__sw_file").distinct().collect()]  # as many as a reader of them has to list
     if not files:
         return body
-    older = located(spark.read.parquet(*files).select("text")).select("__sw_file", "__sw_row", normalized(text_of()).alias("_text"))
+    older = located(spark.read.parquet(*map(_readable, files)).select("text")).select("__sw_file", "__sw_row", normalized(text_of()).alias("_text"))
     return body.unionByName(only_places(older, before))
 
 

@@ -33,8 +33,8 @@ DELTA = "source string, lang string, tokenizer string, documents long, tokens lo
 class Rollup:
     """A store of committed batches in a folder that Spark can reach.
 
-    batches/<name> is one batch, committed once its _SUCCESS is there. folded/totals and folded/names,
-    if there, are the sums and the names of batches that compact() has put together.
+    batches/<name> is one batch, committed once its _SUCCESS is there. folded/totals and folded/names
+    are the sums and the names of batches that compact() has put together; they count once folded/done is there.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -51,8 +51,8 @@ class Rollup:
         return [unquote(x) for x in folders(self.spark, f"{self.path}/batches") if self._done(f"{self.path}/batches/{x}")]
 
     def _folded(self) -> DataFrame:
-        at = f"{self.path}/folded/names"
-        return self.spark.read.schema("batch string").parquet(at) if self._done(at) else self.spark.createDataFrame([], "batch string")
+        at = f"{self.path}/folded"
+        return self.spark.read.schema("batch string").parquet(f"{at}/names") if self._done(f"{at}/done") else self.spark.createDataFrame([], "batch string")
 
     def committed(self, batch: str) -> bool:
         return self._done(self._at(batch)) or not self._folded().where(F.col("batch") == batch).isEmpty()
@@ -69,8 +69,12 @@ class Rollup:
         return True
 
     def totals(self) -> DataFrame:
-        paths = [self._at(n) for n in self._names()]
-        if self._done(f"{self.path}/folded/totals"):
+        return self._sums(self._names())
+
+    def _sums(self, names: list[str]) -> DataFrame:
+        """Totals of what is folded and of these batches."""
+        paths = [self._at(n) for n in names]
+        if self._done(f"{self.path}/folded/done"):
             paths.append(f"{self.path}/folded/totals")
         if not paths:
             return self.spark.createDataFrame([], DELTA)
@@ -78,11 +82,16 @@ class Rollup:
         return deltas.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in SUMS)).where("documents <> 0 or tokens <> 0 or chars <> 0")
 
     def compact(self, path: str) -> Rollup:
-        """A new store with the totals and the names of all batches committed so far; the old one stays as it is."""
-        new = Rollup(self.spark, path)
-        names = self.spark.createDataFrame([(n,) for n in self._names()], "batch string").union(self._folded())
-        names.write.mode("overwrite").parquet(f"{new.path}/folded/names")
-        self.totals().write.mode("overwrite").parquet(f"{new.path}/folded/totals")
+        """A new store with the totals and the names of all batches committed so far; the old one stays as it is.
+
+        Both come from one list of batches, and count together or not at all: a batch that is committed meanwhile
+        is in neither, and what a failed call leaves is an empty store.
+        """
+        new, names = Rollup(self.spark, path), self._names()
+        self._sums(names).write.mode("overwrite").parquet(f"{new.path}/folded/totals")
+        every = self.spark.createDataFrame([(n,) for n in names], "batch string").union(self._folded())
+        every.write.mode("overwrite").parquet(f"{new.path}/folded/names")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{new.path}/folded/done")
         return new
 
 

@@ -55,6 +55,21 @@ def test_exact_state_goes_on(spark):
         assert {(r.doc_id, r.keep_id, r.group_size) for r in rows} == {(1, 3, 2), (3, 3, 2), (2, 2, 1), (4, 4, 1)}
 
 
+@pytest.mark.parametrize("folder", ["in put", "50%", "a%20b", "k=v", "ümläut", "b[1]{x}*"])
+def test_exact_batches_in_folders_of_any_name(spark, folder):
+    at, data = scratch(spark, "state"), f"{scratch(spark, 'data')}/{folder}"
+    every = []
+    for k, rows in enumerate(([(1, "ab"), (2, "q")], [(3, "a b "), (4, "zz")], [(5, "ab"), (6, "q")])):
+        every += rows
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{data}/{k}".replace("file:", ""))
+        path = exact_dedup._readable(f"{data}/{k}".replace("%", "%25"))
+        got = exact_dedup.dedup(spark.read.parquet(path), lambda t: F.length(t).cast("string"), state_dir=at, batch=f"b{k}").collect()
+        groups = {}
+        for d, t in every:
+            groups.setdefault(t.replace(" ", ""), []).append((-len(t), d))
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(d, min(groups[t.replace(" ", "")])[1], len(groups[t.replace(" ", "")])) for d, t in every}
+
+
 def test_exact_batches_with_colliding_digests(spark):
     """Three batches under a digest that makes different texts collide: as brute force over all rows, whichever batch a text came with."""
     at, every = scratch(spark, "state"), []

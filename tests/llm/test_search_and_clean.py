@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from compare import SMALL
 from pyspark.sql import functions as F
 
@@ -155,6 +156,26 @@ def test_html_keeps_every_visible_word(spark):
         assert re.sub(r"(^|\s)(- )", " ", " ".join(got[p.page_id])).split() == re.sub("<[^>]*>", " ", words).split() or sorted(set(re.sub("<[^>]*>", " ", words).split()) - set(got[p.page_id])) == []
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<style>@media print{.q{display:none}}</style><p class=q>shown", "shown"),
+    ("<style>@media (max-width:600px){.s{display:none}} @media print{.a{color:red} .q{display:none}} .h{display:none}</style><p class=s>a<p class=q>b<p class=h>c", "a\n\nb"),
+    ("<style>@import url(x); @media screen, print{.m{display:none}}</style><p class=m>no<p>shown", "shown"),
+    ("<style>@supports (display:grid){.m{display:none}}</style><p class=m>shown", "shown"),
+    ("<style>.m{display:none} .m{display:block}</style><p class=m>shown", "shown"),
+    ("<style>.m{display:block} .m{display:none}</style><p class=m>no<p>shown", "shown"),
+    ("<style>.m{display:none} #i{display:block}</style><p class=m id=i>shown", "shown"),
+    ("<style>p.m{display:none} .m{display:block}</style><p class=m>no<p>shown", "shown"),
+    ("<style>.m{display:none!important} #i{display:block}</style><p class=m id=i style='display:block'>no<p>shown", "shown"),
+    ("<style>.m{display:none}</style><p class=m style='display:block'>shown", "shown"),
+    ("<div style='visibility:hidden'>no<span style='visibility:visible'>shown</span></div>", "shown"),
+    ("<style>.m{visibility:hidden} .v{visibility:visible}</style><ul class=m><li>no<li class=v>shown<b class=m>no</b></ul>", "- shown"),
+    ("<div style='visibility:hidden'>no<span style='visibility:visible;display:none'>no</span></div>", ""),
+    ("<style>.m{display:none</style><p class=m>no<p>shown", "shown"),
+])
+def test_html_style_rules(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (None, "<p>a", "y"), (1, "", "z")], "page_id long, html string, text string")
     assert sorted(str(r.text) for r in html_text.extract(df).collect()) == ["", "", "a"]
@@ -184,6 +205,21 @@ def test_rollup_batches_are_idempotent(spark, odd, empty):
     store.commit("none", token_counts.inserts(token_counts.counted(empty).select(*counts.columns)))
     assert sorted(map(tuple, store.totals().collect()), key=str) == before
     assert sorted(map(tuple, store.compact(scratch(spark, "c")).totals().collect()), key=str) == before
+    names = store._names
+    late = [store]
+
+    def listed():  # another batch is committed just after the list was taken
+        found = names()
+        if late:
+            late.pop().commit("late", token_counts.inserts(counts))
+        return found
+
+    store._names = listed
+    folded = store.compact(scratch(spark, "late"))
+    store._names = names
+    assert sorted(map(tuple, folded.totals().collect()), key=str) == before and folded.committed("one") and not folded.committed("late")
+    assert folded.commit("late", token_counts.inserts(counts)) and sorted(map(tuple, folded.totals().collect()), key=str) == sorted(map(tuple, store.totals().collect()), key=str)
+    store.commit("late again", token_counts.deletes(counts))
     store.commit("gone", token_counts.deletes(counts))
     assert store.totals().count() == 0
 
