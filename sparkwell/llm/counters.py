@@ -68,3 +68,36 @@ def count_rows(texts: DataFrame, hashes: Callable[[Iterator[str]], Iterator[np.n
     for row in found:
         counters[row.part] = np.frombuffer(row.counters, np.int64)
     return (found[0].rows if found else 0), counters.reshape(-1)
+
+
+class Tally:
+    """Counters of what one task reads: add() takes the distinct hashes of a row, batches() gives what summed() adds up."""
+
+    def __init__(self):
+        self.counters, self.rows, self.pending, self.n = np.zeros(COUNTERS, np.int64), 0, [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.pending.append(counter_of(hashes))
+        self.n += len(hashes)
+        if self.n >= COUNTERS // 4:
+            self._count()
+
+    def _count(self) -> None:
+        if self.n:
+            self.counters += np.bincount(np.concatenate(self.pending), minlength=COUNTERS)
+        self.pending, self.n = [], 0
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self._count()
+        if self.rows:
+            parts = [p.astype(np.min_scalar_type(int(p.max()))) for p in self.counters.reshape(PARTS, -1)]
+            yield _batch(list(range(PARTS)), self.rows, [p.itemsize for p in parts], [p.tobytes() for p in parts])
+
+
+def summed(each: DataFrame) -> tuple[int, np.ndarray]:
+    """Rows and counters of all tasks."""
+    found = each.repartition("part").sortWithinPartitions("part").mapInArrow(_added, _SCHEMA).collect()  # PARTS rows, 8 bytes a counter
+    counters = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
+    for row in found:
+        counters[row.part] = np.frombuffer(row.counters, np.int64)
+    return (found[0].rows if found else 0), counters.reshape(-1)

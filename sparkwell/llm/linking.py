@@ -1,28 +1,35 @@
 """Links within buckets whose members meet in many of them: sets of hashes, joined exactly.
 
-Every bucket is led by its most central member (that of the fullest buckets), so that the many buckets of
-one family mostly have one leader, and each member is compared with few. Afterwards a member close to its
-leader stands in one block for that leader, whatever the number of buckets they share; only members far
-from it stay in their buckets. Two members of a bucket are both close to its leader, or both far, or within
-reach of each other at the border, where members stand in both; so no pair is lost. Blocks whose members are all
-in one class are done; in the others, those with the least of their own lead in rounds, for the pairs in
-different classes that neither the triangle inequality nor sizes nor what only one of them has rules out.
+What may link is bounded before sets are compared: by their sizes, by the items that no other candidate has, and by a sketch of
+SKETCH parities. Each item flips one of them, so two sets differ in at least as many items as their sketches in bits.
+
+Every bucket is led by its most central member (that of the fullest buckets), so that the buckets of one family mostly have
+one leader; each member is compared with one leader first, with which it shares most buckets. Buckets whose
+members are then all in one class are done; in the others, those with the least of their own lead in rounds, for the pairs in
+different classes that no bound rules out. So each linked pair of a bucket ends up in one class, and a group of copies costs
+about one comparison for each member.
+
+Sets are made from the texts when they are compared; they are never stored, and one of each pair is moved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import materialize, merged, only_nodes
+from sparkwell.llm.common import BROADCAST_KEYS, materialize, merged
+from sparkwell.llm.sharing import Wanted, shared_keys
 
-#: Members within this distance of their leader are close.
-CLOSE = 0.5
+#: Parities of a sketch.
+SKETCH = 1024
+#: Bytes of an item when sets are compared: two of 1,000 items share one by chance with probability 2e-9.
+ITEM = 6
 
 
 def jaccard_distance(a: np.ndarray, b: np.ndarray) -> float:
@@ -33,78 +40,122 @@ def jaccard_distance(a: np.ndarray, b: np.ndarray) -> float:
     return 1 - both / (len(a) + len(b) - both)
 
 
-def compare_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b and the Jaccard distance of pairs (a, b) of nodes, whose sets (node, items: sorted 64-bit numbers) each move once for a pair."""
+def packed_set(items: np.ndarray) -> bytes:
+    """A sorted set of 64-bit hashes by their high ITEM bytes, as steps between them in planes of bytes."""
+    high = items >> np.uint64(64 - 8 * ITEM)
+    return np.ascontiguousarray(np.diff(high, prepend=np.zeros(1, np.uint64)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ITEM].T).tobytes()
+
+
+def unpacked_set(data) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(ITEM, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :ITEM] = planes.T
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+class Sets:
+    """The sets of the nodes of a table. wanted gives the texts of nodes (node, each once), sets_of the sorted sets of texts."""
+
+    def __init__(self, wanted: Callable[[DataFrame], Wanted], sets_of: Callable[[Iterable[str]], Iterator[np.ndarray]]):
+        self.wanted, self.sets_of = wanted, sets_of
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """node and items."""
+        source, sets_of = self.wanted(nodes), self.sets_of
+
+        def collected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found, texts in source.texts(batches):
+                for k in range(0, len(texts), 512):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[k:k + 512]), pa.array(list(map(packed_set, sets_of(texts[k:k + 512]))), pa.binary())], ["node", "items"])
+
+        return source.df.mapInArrow(collected, "node long, items binary")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """a, b and the Jaccard distance of pairs (a, b)."""
+
+        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, theirs = None, None
+            for batch in batches:
+                d = []
+                for k, node in enumerate(batch.column("b").to_pylist()):
+                    if node != last:  # pairs mostly come in the order of b
+                        last, theirs = node, unpacked_set(batch.column("sb")[k].as_buffer())
+                    d.append(jaccard_distance(unpacked_set(batch.column("sa")[k].as_buffer()), theirs))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, pa.float64())], ["a", "b", "distance"])
+
+        pairs = materialize(pairs, "link-pairs")
+        few = pairs.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        sets = lambda c: self.of(pairs.select(F.col(c).alias("node")).distinct()).withColumnsRenamed({"node": c, "items": f"s{c}"})
+        full = sets("a").join(F.broadcast(pairs) if few else pairs, "a").join(sets("b"), "b")
+        return materialize(full.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, distance double"), "link-compared")
+
+    def bounds(self, nodes: DataFrame, items: int) -> DataFrame:
+        """node, all and own: the size of a node's set, and how many of its items (or some fewer) no other of these nodes has; s0, s1, ...: its sketch. items: about how many they have."""
+        source, sets_of = self.wanted(nodes), self.sets_of
+        none = np.empty(0, np.uint64)
+        sent = nodes.sparkSession.sparkContext.broadcast(shared_keys(source, lambda texts: ((s, np.ones(len(s), bool), none) for s in sets_of(texts)), items))
+        shift = np.uint64(64 - SKETCH.bit_length() + 1)
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, theirs = None, None
-        for batch in batches:
-            d = []
-            for k, node in enumerate(batch.column("b").to_pylist()):
-                if node != last:  # pairs mostly come in the order of b
-                    last, theirs = node, np.frombuffer(batch.column("sb")[k].as_buffer(), "<u8").copy()
-                d.append(jaccard_distance(np.frombuffer(batch.column("sa")[k].as_buffer(), "<u8"), theirs))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, pa.float64())], ["a", "b", "distance"])
+        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found, texts in source.texts(batches):
+                n, sketches = [], []
+                for s in sets_of(texts):
+                    n.append((len(s), len(s) - int(sent.value.has(s).sum())))
+                    sketches.append(np.packbits((np.bincount((s >> shift).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).view("<i8"))
+                sketch = np.array(sketches, np.int64).reshape(-1, SKETCH // 64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array([x[k] for x in n], pa.int64()) for k in (0, 1)), *map(pa.array, np.ascontiguousarray(sketch.T))], ["node", "all", "own", *_SKETCH])
 
-    pairs = materialize(pairs, "link-pairs")
-    near = only_nodes(sets, pairs)
-    full = pairs.join(near.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a").join(near.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
-    return materialize(full.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, distance double"), "link-compared")
+        return materialize(source.df.mapInArrow(count, "node long, all long, own long, " + ", ".join(f"{c} long" for c in _SKETCH)), "link-bounds")
 
 
-def own_items(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, all and own: the size of a node's set, and how many of its items no other of these nodes has."""
+_SKETCH = [f"s{k}" for k in range(SKETCH // 64)]
 
-    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, items in zip(b.column("node").to_pylist(), b.column("items"), strict=True):
-                s = np.frombuffer(items.as_buffer(), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), node))], ["item", "node"])
 
-    part = sets.join(nodes, "node", "left_semi")
-    each = part.select("node", "items").mapInArrow(explode, "item long, node long")
-    only = each.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    return materialize(part.select("node", (F.octet_length("items") / 8).cast("long").alias("all")).join(only, "node", "left").select("node", "all", F.coalesce("own", F.lit(0)).alias("own")), "link-own")
+def may_link(threshold: float, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether no bound keeps two nodes apart; a and b give the columns of Sets.bounds() of each."""
+    shared_a, shared_b = a("all") - a("own"), b("all") - b("own")
+    sizes = F.least(a("all"), b("all")) >= threshold * F.greatest(a("all"), b("all")) - 1e-9
+    common = F.least(shared_a, shared_b) >= threshold * (a("own") + b("own") + F.greatest(shared_a, shared_b)) - 1e-9
+    apart = reduce(lambda x, y: x + y, (F.bit_count(a(c).bitwiseXOR(b(c))) for c in _SKETCH))
+    return sizes & common & (apart <= (1 - threshold) / (1 + threshold) * (a("all") + b("all")) + 1e-9)
 
 
-def links(members: DataFrame, sets: DataFrame, threshold: float, compare: Callable[[DataFrame, DataFrame], DataFrame] = compare_sets) -> DataFrame | None:
+def links(members: DataFrame, sets: Sets, threshold: float, mean_size: float = 500.0) -> DataFrame | None:
     """Labels (node, label) of the classes that the pairs within buckets (bucket, node) form by a Jaccard similarity of threshold or more; None if no pair is linked."""
     reach = 1 - threshold + 1e-9
+    nodes = materialize(members.select("node").distinct(), "link-nodes")
+    bounds = sets.bounds(nodes, int(mean_size * nodes.count()))
     sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")), "bucket")
-    central = members.join(sized.groupBy("node").agg(F.sum("_n").alias("_central")), "node")
+    central = materialize(members.join(sized.groupBy("node").agg(F.sum("_n").alias("_central")), "node"), "link-central")
     first = central.groupBy("bucket").agg(F.max_by("node", F.struct(F.col("_central"), -F.col("node"))).alias("leader"))
-    led = materialize(members.join(first, "bucket").where("node <> leader"), "link-led")
-    done = compare(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), sets)
-    edges = done.where(F.col("distance") <= reach).select("a", "b")
-    close = done.where(F.col("distance") <= CLOSE + reach).select(F.xxhash64(F.lit("leader"), "b").alias("block"), F.col("a").alias("node"), "distance")
-    afar = done.where(F.col("distance") > CLOSE).withColumnsRenamed({"a": "node", "b": "leader"})
-    state = close.unionByName(led.join(afar, ["node", "leader"]).select(F.xxhash64(F.lit("bucket"), "bucket").alias("block"), "node", "distance"))
-    leaders, labels = 32, None
+    each = members.join(first, "bucket").where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("_n"))
+    home = each.groupBy("node").agg(F.max_by("leader", F.struct("_n", -F.col("leader"))).alias("leader"))
+    of = lambda suffix: bounds.select(*(F.col(c).alias(c + suffix) for c in bounds.columns))
+    a, b = (lambda c: F.col(c + "_a")), (lambda c: F.col(c + "_b"))
+    near = home.join(of("_a"), F.col("node") == F.col("node_a")).join(of("_b"), F.col("leader") == F.col("node_b")).where(may_link(threshold, a, b))
+    done = sets.compared(near.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    edges, labels, state, leaders = done.where(F.col("distance") <= reach).select("a", "b"), None, members, 32
     while True:
         labels = merged(labels, edges, "link-classes")
         if labels is None:
             state = state.withColumn("label", F.col("node"))
         else:
             state = state.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed_ = state.groupBy("block").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("block")
-        state = materialize(state.join(mixed_, "block", "left_semi"), "link-state")
+        mixed_ = state.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("bucket")
+        state = materialize(state.join(mixed_, "bucket", "left_semi"), "link-state")
         if state.isEmpty():
             return labels
         if "own" not in state.columns:
-            own = own_items(state.select("node").distinct(), sets)
-            state = state.join(own.withColumn("order", F.struct((F.col("own") / F.col("all")).alias("share"), "node")).withColumn("shared", F.col("all") - F.col("own")), "node")
-        # only those stay that could reach the threshold with the one of their block that has least of its own
-        least = state.groupBy("block").agg(F.min("own").alias("_least"))
-        state = materialize(state.join(least, "block").where(F.col("shared") >= threshold * (F.col("all") + F.col("_least")) - 1e-9).drop("_least"), "link-state")
-        ranked = state.withColumn("_rank", F.row_number().over(W.partitionBy("block").orderBy("order"))).where(F.col("_rank") <= leaders)
-        lead = materialize(ranked.select(*(F.col(c).alias(f"{c}_b") for c in ("block", "node", "label", "distance", "own", "all", "shared", "order"))), "link-leaders")
-        common, most = F.least("shared", "shared_b"), F.greatest("shared", "shared_b")
-        pairs = state.join(lead, (
-            (F.col("block") == F.col("block_b")) & (F.col("label") != F.col("label_b")) & (F.col("order") > F.col("order_b")) & (F.abs(F.col("distance") - F.col("distance_b")) <= reach)
-            & (F.least("all", "all_b") >= threshold * F.greatest("all", "all_b") - 1e-9) & (common >= threshold * (F.col("own") + F.col("own_b") + most) - 1e-9)
-        ))
-        more = compare(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), sets)
-        edges = more.where(F.col("distance") <= reach).select("a", "b")
-        past = lead.groupBy(F.col("block_b").alias("block")).agg(F.max("order_b").alias("_last"))
-        state = state.join(past, "block").where(F.col("order") > F.col("_last")).drop("label", "_last")
+            state = state.join(bounds, "node").withColumn("order", F.struct((F.col("own") / F.col("all")).alias("share"), "node"))
+        # only those stay that could reach the threshold with the one of their bucket that has least of its own
+        least = state.groupBy("bucket").agg(F.min("own").alias("_least"))
+        state = state.join(least, "bucket").where(F.col("all") - F.col("own") >= threshold * (F.col("all") + F.col("_least")) - 1e-9).drop("_least")
+        state = materialize(state, "link-state")
+        ranked = state.withColumn("_rank", F.row_number().over(W.partitionBy("bucket").orderBy("order"))).where(F.col("_rank") <= leaders).drop("_rank")
+        lead = materialize(ranked.select(*(F.col(c).alias(f"{c}_b") for c in state.columns)), "link-leaders")
+        pairs = state.join(lead, (F.col("bucket") == F.col("bucket_b")) & (F.col("label") != F.col("label_b")) & (F.col("order") > F.col("order_b")) & may_link(threshold, F.col, b))
+        found = sets.compared(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+        edges = found.where(F.col("distance") <= reach).select("a", "b")
+        past = lead.groupBy(F.col("bucket_b").alias("bucket")).agg(F.max("order_b").alias("_last"))
+        state = state.join(past, "bucket").where(F.col("order") > F.col("_last")).drop("label", "_last")
         leaders *= 16

@@ -7,13 +7,11 @@ is indexed by the content of each of its segments, in the partition of its own b
 the next. The larger one of a pair asks. It may leave out segments and make up for each by asking for
 another one up to one item: by its content without any one item, and in the neighbourhoods that other sets get by leaving
 one item out. It leaves out what its band's slack allows and those segments that hold many more sets than its others,
-where the neighbourhood of a small segment costs less. How many sets a segment holds is counted over all rows (counters.py).
+where the neighbourhood of a small segment costs less. How many sets of its band a segment holds is counted over all rows (counters.py).
 
-Keys that only one set has, or that none asks for, are left behind before any row moves: tasks send their keys as
-packed blocks, parts of the key space find those that several sets have, and a bitmap of them (32 MB at most, each
-part gives its own range) filters what is joined. Its collisions only keep too much. Neighbourhoods
-are indexed only where some set asks for them, found by a bitmap of a fixed size. What meets is
-verified on the exact sets (linking.py).
+Keys that only one set has, or that none asks for, are left behind before any row moves, and texts don't move at all
+(sharing.py). Neighbourhoods are indexed only where some set asks for them, found by a bitmap of a fixed size. What meets
+is verified on the exact sets (linking.py).
 
 Defined cases: null counts as empty; texts with fewer words than a shingle are one shingle of all of them; texts
 without words have an empty set and are linked with nothing; equal sets are linked; null and repeated doc_ids are
@@ -32,17 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import located, materialize, only_places, table, text_of, workspace
-from sparkwell.llm.counters import count_rows, counter_of
+from sparkwell.llm.common import located, materialize, table, text_of, workspace
+from sparkwell.llm.counters import Tally, counter_of, summed
 from sparkwell.llm.hashing import blank_word_hashes, mixed
-from sparkwell.llm.linking import links
+from sparkwell.llm.linking import Sets, links
 from sparkwell.llm.near_dedup import named
+from sparkwell.llm.sharing import Wanted, file_numbers, flagged, nodes_of, shared_keys
 
 SHINGLE = 4
 #: Least similarity in hundredths.
 PERCENT = 85
-#: Keys of a part, bits of the bitmap of shared keys (per key, and at most as a power of two), bits of the bitmap of neighbourhoods.
-PART_KEYS, BITS_A_KEY, MOST_BITS, AROUND_BITS = 1 << 22, 16, 28, 1 << 24
 #: A segment is left out for a neighbourhood if it holds so many times what the set's other segments hold.
 STANDS_OUT = 4
 
@@ -59,7 +56,9 @@ def shingles_of(words: np.ndarray) -> np.ndarray:
     h = words[:n] * _F[0] + np.uint64(k)
     for j in range(1, k):
         h += words[j:j + n] * _F[j]
-    return np.unique(mixed(h))
+    h = mixed(h)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 def sets_of(texts: Iterable[str]) -> Iterator[np.ndarray]:
@@ -93,15 +92,16 @@ class Cut:
 
     def __init__(self, items: np.ndarray, band: int, percent: int):
         m = segments(band, percent)
-        spread = mixed(items * _F[1] + np.uint64(band))
-        at = ((spread >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        salt = mixed(np.full(1, band + 1, np.uint64) * _F[1])
+        at = ((items * (salt | np.uint64(1)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.uint16 if m <= 1 << 16 else np.int64)
         order = np.argsort(at, kind="stable")
-        self.items, self.at = mixed(items[order] ^ _F[2]), at[order]
+        self.items, self.at = items[order], at[order]
         self.size = np.bincount(at, minlength=m)
-        sums = np.append(np.uint64(0), np.cumsum(self.items))
+        sums = np.zeros(len(items) + 1, np.uint64)
+        np.cumsum(self.items, out=sums[1:])
         ends = np.cumsum(self.size)
         self.content = sums[ends] - sums[ends - self.size]
-        self.ends, self.salt = ends, mixed(np.arange(1, m + 1, dtype=np.uint64) * _F[3] + np.full(1, band, np.uint64) * _F[1])
+        self.ends, self.salt = ends, np.arange(1, m + 1, dtype=np.uint64) * _F[3] + salt
         self.keys = self.key(self.content, slice(None))
 
     def key(self, content: np.ndarray, segment, kind: np.uint64 = _WHOLE) -> np.ndarray:
@@ -178,161 +178,26 @@ class Held:
         return self.most[counter_of(keys)]
 
 
-def _flags(keys: np.ndarray, asks: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, whether any set asks for each and whether several sets have it."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.empty(0, np.int64)
-    if not len(first):
-        return k, asks, several
-    return k[first], np.logical_or.reduceat(asks[order], first), np.logical_or.reduceat(several[order], first) | (np.diff(np.append(first, len(k))) > 1)
+def _keys(texts: list[str], percent: int, held) -> Iterator[Keys]:
+    return (Keys(s, percent, held) for s in sets_of(texts) if len(s))
 
 
-_PACKED = 5  # bytes of a key within its part
-
-
-def _sent(keys: np.ndarray, asks: np.ndarray, several: np.ndarray, part_bits: int) -> Iterator[tuple[int, int, bytes]]:
-    """Sorted keys as (part, n, block): the part is named by the highest bits, the block holds those that follow and the flags."""
-    part = (keys >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(keys), np.int64)
-    rest = (keys << np.uint64(part_bits)) >> np.uint64(64 - 8 * _PACKED)
-    data = np.column_stack((rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PACKED], asks | several.astype(np.uint8) << 1))
-    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(part[a]), int(b - a), np.ascontiguousarray(data[a:b].T).tobytes()
-
-
-_BLOCKS = "part int, n int, block binary"
-
-
-def _batches(rows: Iterable[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    out, held = [], 0
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "n", "block"])
-
-    for row in rows:
-        out.append(row)
-        held += len(row[2])
-        if held >= 1 << 22:
-            yield batch()
-            out, held = [], 0
-    if out:
-        yield batch()
-
-
-_ZSTD = dict(codec="zstd", asbytes=True)
-
-
-def shared_keys(texts: DataFrame, keys: int, percent: int, held) -> tuple[np.ndarray, int, np.ndarray]:
-    """Bitmap of the keys that several sets have and one asks for, how many bits name a place in it, and the bitmap of the neighbourhoods that are asked for.
-
-    texts: one for each set. keys: about how many keys they have.
-    """
-    part_bits = max(0, (keys // PART_KEYS).bit_length())
-    bits = max(12, min(MOST_BITS, (keys * BITS_A_KEY).bit_length()), part_bits + 3)
-    slices = 16  # of the bitmap of neighbourhoods
-
-    def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, around, pending, n = held.value, np.zeros(AROUND_BITS // 8, np.uint8), [], 0
-
-        def rows():
-            nonlocal pending, n
-            for b in batches:
-                for items in sets_of(t.as_py() for t in b.column("text")):
-                    if len(items):
-                        k = Keys(items, percent, counts)
-                        own, asks, _ = _flags(k.keys, k.asks, np.zeros(len(k.keys), bool))  # a set counts once for a key
-                        pending.append((own, asks))
-                        n += len(own)
-                        if len(k.around):
-                            at = (k.around & np.uint64(AROUND_BITS - 1)).astype(np.int64)
-                            np.bitwise_or.at(around, at >> 3, (1 << (at & 7)).astype(np.uint8))
-                        if n >= PART_KEYS:
-                            yield from flushed()
-            yield from flushed()
-            for k, piece in enumerate(around.reshape(slices, -1)):
-                if piece.any():
-                    yield -1 - k, len(piece), pa.compress(piece, **_ZSTD)
-
-        def flushed():
-            nonlocal pending, n
-            if pending:
-                ks, asks = (np.concatenate(x) for x in zip(*pending, strict=True))
-                pending, n = [], 0
-                yield from _sent(*_flags(ks, asks, np.zeros(len(ks), bool)), part_bits)
-
-        yield from _batches(rows())
-
-    def judged(part: int, blocks: list[tuple[int, bytes]]) -> tuple[int, int, bytes]:
-        if part < 0:
-            pieces = [np.frombuffer(pa.decompress(x, n, **_ZSTD), np.uint8) for n, x in blocks]
-            return part, blocks[0][0], pa.compress(np.bitwise_or.reduce(pieces), **_ZSTD)
-        data = np.concatenate([np.frombuffer(x, np.uint8).reshape(_PACKED + 1, n) for n, x in blocks], axis=1)
-        rest = np.zeros((data.shape[1], 8), np.uint8)
-        rest[:, :_PACKED] = data[:_PACKED].T
-        found, asks, several = _flags(rest.reshape(-1).view("<u8"), (data[_PACKED] & 1).astype(bool), (data[_PACKED] & 2).astype(bool))
-        keep = found[asks & several]
-        own = bits - part_bits  # bits that name a place in the part's range of the bitmap
-        here = np.zeros(1 << own, np.uint8)
-        here[(keep >> np.uint64(8 * _PACKED - own)).astype(np.int64)] = 1
-        return part, len(here) // 8, pa.compress(np.packbits(here, bitorder="little"), **_ZSTD)
-
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            now, blocks = None, []
-            for b in batches:
-                for part, n, block in zip(*(b.column(c).to_pylist() for c in ("part", "n", "block")), strict=True):
-                    if part != now and blocks:
-                        yield judged(now, blocks)
-                        blocks = []
-                    now = part
-                    blocks.append((n, block))
-            if blocks:
-                yield judged(now, blocks)
-
-        yield from _batches(rows())
-
-    sent = texts.select("text").mapInArrow(collect, _BLOCKS)
-    found = sent.repartition("part").sortWithinPartitions("part").mapInArrow(judge, _BLOCKS).collect()  # both bitmaps, of bounded sizes
-    shared, around = np.zeros(1 << (bits - 3), np.uint8), np.zeros((slices, AROUND_BITS // 8 // slices), np.uint8)
-    each = 1 << (bits - 3 - part_bits)
-    for r in found:
-        piece = np.frombuffer(pa.decompress(r.block, r.n, **_ZSTD), np.uint8)
-        if r.part < 0:
-            around[-1 - r.part] = piece
-        else:
-            shared[r.part * each:(r.part + 1) * each] = piece
-    return shared, bits, around.reshape(-1)
-
-
-def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = at.astype(np.int64)
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def candidates(texts: DataFrame, keys: int, percent: int) -> DataFrame:
-    """bucket and node of the sets (one row of node and text for each) that meet in a key which one of them asks for."""
-    spark = texts.sparkSession
-    _, counted = count_rows(texts, lambda ts: (np.concatenate([c.keys for c in Keys(s, percent, lambda _: None).cuts]) if len(s) else s for s in sets_of(ts)))
-    held = spark.sparkContext.broadcast(Held(counted))
-    sent = spark.sparkContext.broadcast(shared_keys(texts, keys, percent, held))
+def candidates(source: Wanted, keys: int, percent: int, held) -> DataFrame:
+    """bucket and node of the sets of source that meet in a key which one of them asks for. keys: about how many all have."""
+    found = shared_keys(source, lambda texts: ((k.keys, k.asks, k.around) for k in _keys(texts, percent, held.value)), keys)
+    sent = source.df.sparkSession.sparkContext.broadcast(found)
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, (shared, bits, around) = held.value, sent.value
-        any_around = bool(around.any())
-        for b in batches:
+        shared = sent.value
+        for batch_nodes, texts in source.texts(batches):
             nodes, buckets, asking = [], [], []
-            for node, items in zip(b.column("node").to_pylist(), sets_of(t.as_py() for t in b.column("text")), strict=True):
-                if not len(items):
-                    continue
-                k = Keys(items, percent, counts)
-                keep = _has(shared, k.keys >> np.uint64(64 - bits))
-                own, asks, _ = _flags(k.keys[keep], k.asks[keep], np.zeros(int(keep.sum()), bool))
-                if any_around:
+            for node, k in zip(batch_nodes.tolist(), _keys(texts, percent, held.value), strict=True):
+                keep = shared.has(k.keys)
+                own, asks = k.keys[keep], k.asks[keep]  # distinct, by their salts
+                if shared.any_marks:
                     index = k.index_around()
-                    index = index[_has(around, index & np.uint64(AROUND_BITS - 1))]
-                    more = np.concatenate((index, k.around))
-                    both, wants, _ = _flags(more, np.arange(len(more)) >= len(index), np.zeros(len(more), bool))
+                    index = index[shared.marked(index)]
+                    both, wants, _ = flagged(np.concatenate((index, k.around)), np.arange(len(index) + len(k.around)) >= len(index))
                     own, asks = np.concatenate((own, both)), np.concatenate((asks, wants))
                 nodes.append(np.full(len(own), node))
                 buckets.append(own.view(np.int64))
@@ -340,50 +205,62 @@ def candidates(texts: DataFrame, keys: int, percent: int) -> DataFrame:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (buckets, nodes, asking)], ["bucket", "node", "asks"])
 
-    found = texts.mapInArrow(members, "bucket long, node long, asks boolean")
-    found = materialize(found, "gram-keys")
-    useful = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("bucket")
-    return materialize(found.select("bucket", "node").join(useful, "bucket", "left_semi"), "gram-members")
+    each = materialize(source.df.mapInArrow(members, "bucket long, node long, asks boolean"), "gram-keys")
+    useful = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("bucket")
+    return materialize(each.select("bucket", "node").join(useful, "bucket", "left_semi"), "gram-members")
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, __sw_file, __sw_row, d1 and d2 (digest of the set), n_shingles and keys (about how many it is indexed by)."""
+_ROWS = "doc_id long, __sw_file string, __sw_row long, row long, d1 long, d2 long, n_shingles long"
+_COUNTED = "part int, rows long, width int, counters binary"
+
+
+def _signed(docs: DataFrame, numbers, percent: int) -> DataFrame:
+    """Rows of _ROWS (row names the row, d1 and d2 are the digest of its set), and among them those of _COUNTED: counters of the keys of all rows in their own bands."""
+    names = [x.split()[0] for x in f"{_ROWS}, {_COUNTED}".split(", ")]
+    types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
         for b in batches:
             d1, d2, n = [], [], []
-            for items in sets_of(t.as_py() for t in b.column("text")):
+            for items in sets_of(b.column("text").to_pylist()):
                 d = xxhash.xxh3_128_intdigest(items.tobytes())
                 d1.append((d >> 64) - (1 << 63))
                 d2.append((d & (1 << 64) - 1) - (1 << 63))
                 n.append(len(items))
-            keep = ["doc_id", "__sw_file", "__sw_row"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (d1, d2, n))], [*keep, "d1", "d2", "n_shingles"])
+                if len(items):
+                    tally.add(Cut(items, band_of(len(items), percent), percent).keys)
+            tally.rows += len(n)
+            own = [*(b.column(c) for c in ("doc_id", "__sw_file", "__sw_row")), pa.array(nodes_of(b, numbers.value), pa.int64()), *(pa.array(x, pa.int64()) for x in (d1, d2, n))]
+            yield pa.RecordBatch.from_arrays(own + [pa.nulls(len(n), t) for t in types[len(own):]], names)
+        for part in tally.batches():
+            nulls = [pa.nulls(part.num_rows, t) for t in types[: len(types) - part.num_columns]]
+            yield pa.RecordBatch.from_arrays(nulls + part.columns, names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__sw_file", "__sw_row", text_of().alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, __sw_file string, __sw_row long, d1 long, d2 long, n_shingles long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__sw_file", "__sw_row", "text")
+    return rows.mapInArrow(sign, f"{_ROWS}, {_COUNTED}")
 
 
 def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, component_size, kept (the row that names its component), texts, __sw_file, __sw_row."""
-    docs = located(docs).select("doc_id", "text", "__sw_file", "__sw_row")
-    with workspace(docs.sparkSession, "gram"):
-        rows = materialize(_signed(docs).withColumn("row", F.monotonically_increasing_id()), "gram-rows")
+    spark = docs.sparkSession
+    docs = located(docs).select("doc_id", text_of().alias("text"), "__sw_file", "__sw_row")
+    with workspace(spark, "gram"):
+        numbers = spark.sparkContext.broadcast(file_numbers(docs))
+        signed = materialize(_signed(docs, numbers, percent), "gram-rows")
+        rows = signed.where("part is null").select(*(x.split()[0] for x in _ROWS.split(", ")))
+        n_rows, counted = summed(signed.where("part is not null").select(*(x.split()[0] for x in _COUNTED.split(", "))))
+        held = spark.sparkContext.broadcast(Held(counted))
         full = rows.where("n_shingles > 0")
         nodes = materialize(full.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.first("n_shingles").alias("n")), "gram-nodes")
         keys = nodes.agg(F.sum(F.col("n") * (4.4 * (100 - percent) / (100 + percent)) + 2)).first()[0]
-        places = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("__sw_file", "__sw_row", F.col("row").alias("node"))
-        texts = docs.select("__sw_file", "__sw_row", text_of().alias("text"))
-        single = only_places(texts, materialize(places, "gram-places")).select("node", "text")
-        members = candidates(single, int(keys or 0), percent)
-        met = materialize(members.select("node").distinct().join(rows, F.col("node") == F.col("row")).select("__sw_file", "__sw_row", "node"), "gram-met")
-
-        def collected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([s.tobytes() for s in sets_of(t.as_py() for t in b.column("text"))], pa.binary())], ["node", "items"])
-
-        sets = materialize(only_places(texts, met).select("node", "text").mapInArrow(collected, "node long, items binary"), "gram-sets")
-        labels = links(members, sets, percent / 100)
+
+        def wanted(chosen: DataFrame) -> Wanted:
+            return Wanted(docs, numbers, chosen, n_rows, lambda: rows.join(chosen, F.col("row") == F.col("node"), "left_semi").select("__sw_file", "__sw_row", F.col("row").alias("node")))
+
+        members = candidates(wanted(nodes.select("node")), int(keys or 0), percent, held)
+        mean = full.agg(F.avg("n_shingles")).first()[0] or 1.0
+        labels = links(members, Sets(wanted, sets_of), percent / 100, mean)
         found = named(full, nodes.drop("n"), labels, ["d1", "d2"])
         alone = rows.where("n_shingles = 0").select("doc_id", "__sw_file", "__sw_row", "n_shingles", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("texts"))
         return materialize(found.unionByName(alone).withColumnsRenamed({"class_id": "component_id", "class_size": "component_size"}), "gram-joined", outlives=True)
