@@ -9,8 +9,8 @@ Classes of similar texts come from partitions by set length: sets whose sizes ar
 of each other lie in the same or in neighbouring classes of the logarithm of the size, and within a
 partition sets meet on their rarest signatures only, as many as a set that reaches the threshold must
 share one of. A signature is the rarer, the fewer rows have the words of its chain, counted over all rows
-(counters.py): any order gives the same classes, and a rare one keeps unlike texts apart. What meets is
-compared by the link search of near_dedup.py, with its bounds, on the exact sets.
+(counters.py): any order gives the same classes, and a rare one keeps unlike texts apart. Signatures that only one
+set meets with are left behind before they move (sharing.py); what meets is compared on the exact sets (linking.py).
 
 Defined cases: null text is empty; a text without any signature has one, of all its words together, so
 that equal texts have equal fingerprints, and texts without words share one fingerprint; likeness of
@@ -34,10 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import located, materialize, only_nodes, only_places, table, text_of, workspace
+from sparkwell.llm.common import located, materialize, table, text_of, workspace
 from sparkwell.llm.counters import count_rows, counter_of
 from sparkwell.llm.hashing import mixed, word_hashes
-from sparkwell.llm.near_dedup import links, named
+from sparkwell.llm.linking import Sets, links
+from sparkwell.llm.near_dedup import named
+from sparkwell.llm.sharing import Wanted, file_numbers, nodes_of, shared_keys
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -192,66 +194,66 @@ def fingerprints(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     return dealt.sortWithinPartitions(*order).select("part", "guest", "doc_id", "text", "class_id", "class_size").mapInArrow(_prints, _FULL)
 
 
+def level_of(size: int, threshold: float) -> int:
+    """Sets that reach the threshold lie in one level or in neighbouring ones."""
+    return math.floor(math.log(size) / (-math.log(threshold) if threshold < 1 else 1.0))
+
+
+def meeting_keys(sigs: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
+    """Where a set meets its partners: its rarest signatures in the partition of its own level and, as the smaller of a pair, fewer of them in the next."""
+    n, level = len(sigs), level_of(len(sigs), threshold)
+    rarest = sigs[np.argsort(-weight, kind="stable")][: prefix_size(n, threshold)]
+    smaller = n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
+    salts = mixed(np.arange(level + 1, level + 3, dtype=np.uint64) * _F[0])
+    return mixed(np.concatenate((rarest + salts[0], rarest[:smaller] + salts[1])))
+
+
 def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, key, tie, class_id (smallest doc_id among texts linked by likeness of threshold or more), class_size, kept, texts, __sw_file, __sw_row."""
     spark = docs.sparkSession
     docs = located(docs)
+    texts = docs.select("__sw_file", "__sw_row", text_of().alias("text"))
     with workspace(spark, "spot"):
-        rows, counted = count_rows(docs.select(text_of().alias("text")), lambda texts: map(np.unique, word_hashes(texts)))
-        rarity = spark.sparkContext.broadcast(-np.log((counted + 1) / (rows + 1)).astype(np.float32))  # of the size of the counters
+        n_rows, counted = count_rows(texts.select("text"), lambda texts: map(np.unique, word_hashes(texts)))
+        rarity = spark.sparkContext.broadcast(-np.log((counted + 1) / (n_rows + 1)).astype(np.float32))  # of the size of the counters
+        numbers = spark.sparkContext.broadcast(file_numbers(docs))
 
         def sign(batches):
+            keep = ["doc_id", "__sw_file", "__sw_row", "key", "tie"]
             for b in batches:
-                d1, d2, size, prefix = [], [], [], []
-                for words in word_hashes(t.as_py() for t in b.column("text")):
-                    sigs, weight = signatures_of(words, rarity=rarity.value)
+                d1, d2, size = [], [], []
+                for sigs in signatures(b.column("text").to_pylist()):
                     d = xxhash.xxh3_128_intdigest(sigs.tobytes())
                     d1.append((d >> 64) - (1 << 63))
                     d2.append((d & (1 << 64) - 1) - (1 << 63))
                     size.append(len(sigs))
-                    rarest = sigs[np.argsort(-weight, kind="stable")]
-                    prefix.append(rarest[: prefix_size(len(sigs), threshold)].view(np.int64).tolist())
-                keep = ["doc_id", "__sw_file", "__sw_row", "key", "tie"]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], [*keep, "d1", "d2", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (d1, d2, size, nodes_of(b, numbers.value)))], [*keep, "d1", "d2", "size", "row"])
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__sw_file", "__sw_row", text_of().alias("text"), *(c.alias(n) for n, c in _order(docs).items()))
-        rows = rows.mapInArrow(sign, "doc_id long, __sw_file string, __sw_row long, key long, tie long, d1 long, d2 long, size long, prefix array<long>")
-        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "spot-rows")
-        nodes = materialize(rows.groupBy("d1", "d2").agg(F.min("row").alias("node")), "spot-nodes")
-        single = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "size", F.posexplode("prefix").alias("at", "sig"))
-        step = -math.log(threshold) if threshold < 1 else 1.0
-        level = F.floor(F.ln("size") / step)
-        # a set meets those of its own level, and, as the smaller of a pair, those of the next
-        small = F.col("at") < F.col("size") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("size") - 1e-9) + 1
-        levels = F.when(small, F.array(level, level + 1)).otherwise(F.array(level))
-        members = single.select(F.explode(levels).alias("level"), "sig", "node").select(F.xxhash64("level", "sig").alias("bucket"), "node")
+        rows = materialize(rows.mapInArrow(sign, "doc_id long, __sw_file string, __sw_row long, key long, tie long, d1 long, d2 long, size long, row long"), "spot-rows")
+        nodes = materialize(rows.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.first("size").alias("size")), "spot-nodes")
+        total, mean = nodes.agg(F.sum(F.ceil(F.col("size") * (1 - threshold) * 2) + 2), F.avg("size")).first()
+
+        def wanted(chosen: DataFrame) -> Wanted:
+            return Wanted(texts, numbers, chosen, n_rows, lambda: rows.join(chosen, F.col("row") == F.col("node"), "left_semi").select("__sw_file", "__sw_row", F.col("row").alias("node")))
+
+        def keys_of(some: list[str]) -> Iterator[np.ndarray]:
+            return (meeting_keys(*signatures_of(words, rarity=rarity.value), threshold) for words in word_hashes(some))
+
+        none = np.empty(0, np.uint64)
+        source = wanted(nodes.select("node"))
+        sent = spark.sparkContext.broadcast(shared_keys(source, lambda some: ((k, np.ones(len(k), bool), none) for k in keys_of(some)), int(total or 0)))
+
+        def meet(batches):
+            for found, some in source.texts(batches):
+                kept = [k[sent.value.has(k)] for k in keys_of(some)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *kept]).view(np.int64)), pa.array(np.repeat(found, [len(k) for k in kept]))], ["bucket", "node"])
+
+        members = materialize(source.df.mapInArrow(meet, "bucket long, node long").distinct(), "spot-keys")
         shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
         members = materialize(members.join(shared, "bucket", "left_semi"), "spot-members")
-        places = rows.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select("__sw_file", "__sw_row", F.col("row").alias("node"))
-        texts = only_places(docs.select("__sw_file", "__sw_row", text_of().alias("text")), materialize(places, "spot-places"))
-
-        def collected(batches):
-            for b in batches:
-                sets = [s.view(np.int64).tolist() for s in signatures(t.as_py() for t in b.column("text"))]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "sigs"])
-
-        sets = materialize(texts.select("node", "text").mapInArrow(collected, "node long, sigs array<long>"), "spot-sets")
-        both = F.size(F.array_intersect("sa", "sb"))
-        distance = 1 - both / (F.size("sa") + F.size("sb") - both)
-
-        def compare(pairs: DataFrame) -> DataFrame:
-            pairs = materialize(pairs, "spot-pairs")
-            near = only_nodes(sets, pairs)
-            full = pairs.join(near.withColumnsRenamed({"node": "a", "sigs": "sa"}), "a").join(near.withColumnsRenamed({"node": "b", "sigs": "sb"}), "b")
-            return materialize(full.select("a", "b", distance.alias("distance")), "spot-compared")
-
-        def own_weights(of: DataFrame) -> DataFrame:
-            part = sets.join(of, "node", "left_semi").select("node", F.explode("sigs").alias("sig"))
-            only = part.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-            return materialize(part.groupBy("node").agg(F.count(F.lit(1)).alias("all")).join(only, "node", "left").select("node", "all", F.coalesce("own", F.lit(0)).alias("own")), "spot-own")
-
-        labels = links(members, compare, own_weights, threshold)
-        return named(rows.drop("size"), nodes, labels, ["d1", "d2"])
+        labels = links(members, Sets(wanted, signatures), threshold, mean or 1.0)
+        return named(rows.drop("size"), nodes.drop("size"), labels, ["d1", "d2"])
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
