@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to function) and SQL (name to DuckDB text).
-MODULES: list[str] = ["operators.records", "functions.text", "operators.statistics", "operators.bootstrap", "operators.passages", "operators.intervals", "operators.retrieval", "sources.corpus", "sources.html_reader", "operators.sequences", "streaming.sessions", "streaming.utterances", "streaming.ledger", "operators.more", "operators.projections"]
+MODULES: list[str] = ["operators.records", "functions.text", "operators.statistics", "operators.bootstrap", "operators.passages", "operators.intervals", "operators.retrieval", "sources.corpus", "sources.html_reader", "operators.sequences", "operators.product_search", "streaming.sessions", "streaming.utterances", "streaming.ledger", "operators.more", "operators.projections"]
 
 
 def _gather(what: str) -> dict:

@@ -272,14 +272,6 @@ def fuz01_ratio(spark, sf_dir):
     return p.select("p_partkey", F.round(fuzzy_ratio("p_name", "other"), 4).alias("ratio"))
 
 
-def fuz02_product_search(spark, sf_dir):
-    """Parts for each of a few searches: exact 100, whole words 95, fuzzy from 70 on."""
-    asked = spark.sql("select * from (values (1, 'small ring'), (2, 'widget'), (3, 'red wdget')) as t(query_id, query)")
-    names = view(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("parts"))
-    score = F.when(F.col("query") == F.col("p_name"), 100.0).when(F.array_contains(F.split("p_name", " "), F.col("query")), 95.0).otherwise(fuzzy_ratio("query", "p_name"))
-    return names.join(F.broadcast(asked), F.lit(True)).withColumn("score", F.round(score, 4)).where("score >= 70").select("query_id", "p_name", "parts", "score")
-
-
 def flt19_budget(spark, sf_dir):
     d = view(spark, sf_dir, "conversations").withColumn("n", F.length("text"))
     return within_budget(d, "conv_id", "turn", "n", 2000)
