@@ -39,6 +39,13 @@ def nodes_of(batch: pa.RecordBatch, numbers: dict[str, int]) -> np.ndarray:
     return known[files.indices.to_numpy()] << ROW_BITS | batch.column("__sw_row").to_numpy()
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that only some of their texts are Python strings at once; workers keep the memory that they once had."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 class Wanted:
     """The texts of some nodes of a located table. df: what is to be read; texts() gives nodes and texts of its batches."""
 
@@ -55,7 +62,7 @@ class Wanted:
         return {"numbers": self.numbers, "bits": self.bits}  # what tasks need
 
     def texts(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
-        for b in batches:
+        for b in sliced(batches):
             if self.bits is None:
                 yield b.column("node").to_numpy(), b.column("text").to_pylist()
                 continue

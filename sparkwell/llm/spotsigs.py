@@ -30,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from sparkwell.llm.counters import count_rows, counter_of
 from sparkwell.llm.hashing import mixed, word_hashes
 from sparkwell.llm.linking import Sets, links
 from sparkwell.llm.near_dedup import named
-from sparkwell.llm.sharing import Wanted, file_numbers, nodes_of, shared_keys
+from sparkwell.llm.sharing import Wanted, file_numbers, nodes_of, shared_keys, sliced
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -127,6 +128,15 @@ _FULL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, ed
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
 
+def packed(texts: pa.Array) -> pa.Array:
+    """Texts as they are moved."""
+    return pa.array([pa.compress(t.as_buffer(), codec="zstd", asbytes=True) for t in texts.cast(pa.binary())], pa.binary())
+
+
+def unpacked(data: bytes, n_bytes: int) -> str:
+    return pa.decompress(data, n_bytes, codec="zstd", asbytes=True).decode()
+
+
 def _prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a part in order, each after the row of its class (no text), if there are classes, and before the one that follows it; guests are only followers."""
     names = [x.split()[0] for x in _FULL.split(", ")]
@@ -135,11 +145,13 @@ def _prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 512):
             rows = b.slice(at, 512).to_pylist()
-            texts = [r for r in rows if r["text"] is not None]
+            texts = [r for r in rows if r["packed"] is not None]
+            for r in texts:
+                r["text"] = unpacked(r["packed"], r["n_bytes"])
             prints = signatures([r["text"] for r in texts])
             changes = []  # pairs of rows that follow each other
             for r in rows:
-                if r["text"] is None:
+                if r["packed"] is None:
                     coming = r["class_id"], r["class_size"]
                     continue
                 sigs = next(prints)
@@ -160,7 +172,7 @@ def fingerprints(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
 
     Documents are dealt by ranges of (id, tie); the first of each range also goes to the range before
     it, as a guest, so that each document meets the next one without a global order in one task.
-    groups (key, tie, class_id, class_size) of the same rows are dealt alike, so that texts move once.
+    groups (key, tie, class_id, class_size) of the same rows are dealt alike, so that texts move once, each compressed.
     """
     spark = docs.sparkSession
     docs = located(docs)
@@ -171,27 +183,37 @@ def fingerprints(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     places = np.array(sorted((r.key, r.tie) for r in sample), [("key", "i8"), ("tie", "i8")])
     bounds = np.unique(places[[len(places) * k // parts for k in range(1, parts)]]) if len(places) else places
 
-    @F.pandas_udf("int")
-    def part_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+    def parts_of(keys, ties) -> np.ndarray:
         at = np.empty(len(keys), bounds.dtype)
         at["key"], at["tie"] = keys, ties
-        return pd.Series(len(bounds) - np.searchsorted(bounds, at, side="left").astype(np.int32))
+        return len(bounds) - np.searchsorted(bounds, at, side="left").astype(np.int32)
+
+    @F.pandas_udf("int")
+    def part_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(parts_of(keys, ties))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            own = pa.array(parts_of(b.column("key").to_numpy(), b.column("tie").to_numpy()), pa.int32())
+            part = pc.coalesce(b.column("part"), own)  # a guest comes with the part that it visits
+            yield pa.RecordBatch.from_arrays([part, *(b.column(c) for c in keep), packed(b.column("text"))], ["part", *keep, "packed"])
 
-    rows = rows.withColumn("part", part_of("key", "tie"))
-    heads = rows.groupBy("part").agg(F.max(F.struct("key", "tie")).alias("head")).orderBy("part").collect()  # one for each range
+    keep = ["guest", "key", "tie", "doc_id", "n_bytes"]
+    heads = rows.select("key", "tie", part_of("key", "tie").alias("part")).groupBy("part").agg(F.max(F.struct("key", "tie")).alias("head")).orderBy("part").collect()  # one for each range
     if not heads:
         return spark.createDataFrame([], _FULL)
     before = [(heads[k - 1].part, h.head.key, h.head.tie) for k, h in enumerate(heads)]  # the first range's head follows the last
     guests = F.broadcast(spark.createDataFrame(before, "part int, key long, tie long"))
-    guest = rows.drop("part").join(guests, ["key", "tie"]).dropDuplicates(["key", "tie", "part"]).select(*rows.columns, F.lit(True).alias("guest"))
+    guest = rows.join(guests, ["key", "tie"]).dropDuplicates(["key", "tie", "part"]).select(*rows.columns, "part", F.lit(True).alias("guest"))
     none = [F.lit(None).cast("long").alias(c) for c in ("class_id", "class_size")]
-    every = rows.withColumn("guest", F.lit(False)).unionByName(guest).select("*", *none)
+    every = rows.select("*", F.lit(None).cast("int").alias("part"), F.lit(False).alias("guest")).unionByName(guest)
+    every = every.withColumn("n_bytes", F.octet_length("text")).mapInArrow(deal, "part int, guest boolean, key long, tie long, doc_id long, n_bytes int, packed binary").select("*", *none)
     if groups is not None:
-        own = groups.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "key", "tie", part_of("key", "tie").alias("part"), F.lit(False).alias("guest"), "class_id", "class_size")
+        own = groups.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("n_bytes"), F.lit(None).cast("binary").alias("packed"), "key", "tie", part_of("key", "tie").alias("part"), F.lit(False).alias("guest"), "class_id", "class_size")
         every = every.unionByName(own)
     dealt = every.repartitionById(len(bounds) + 1, F.col("part"))
-    order = ["part", "guest", F.desc("key"), F.desc("tie"), F.col("text").isNotNull()]
-    return dealt.sortWithinPartitions(*order).select("part", "guest", "doc_id", "text", "class_id", "class_size").mapInArrow(_prints, _FULL)
+    order = ["part", "guest", F.desc("key"), F.desc("tie"), F.col("packed").isNotNull()]
+    return dealt.sortWithinPartitions(*order).select("part", "guest", "doc_id", "n_bytes", "packed", "class_id", "class_size").mapInArrow(_prints, _FULL)
 
 
 def level_of(size: int, threshold: float) -> int:
@@ -220,7 +242,7 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
         def sign(batches):
             keep = ["doc_id", "__sw_file", "__sw_row", "key", "tie"]
-            for b in batches:
+            for b in sliced(batches):
                 d1, d2, size = [], [], []
                 for sigs in signatures(b.column("text").to_pylist()):
                     d = xxhash.xxh3_128_intdigest(sigs.tobytes())

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import SMALL, database, rows_of_duckdb, rows_of_spark
 from pyspark.sql import functions as F
@@ -264,6 +265,29 @@ def test_spotsigs_follow_the_next_document(spark, odd, empty):
     assert spotsigs.fingerprints(one).first().edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def shuffled_bytes(plan):
+    """The largest number of bytes that one shuffle of a plan that has run wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_bytes(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled_bytes(plan.plan())
+    if name == "ShuffleExchangeExec":
+        return max(plan.metrics().apply("shuffleBytesWritten").value(), shuffled_bytes(plan.child()))
+    below = plan.children()
+    return max((shuffled_bytes(below.apply(k)) for k in range(below.size())), default=0)
+
+
+def test_spotsigs_move_each_text_once_and_packed(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    prints = spotsigs.fingerprints(docs)
+    assert len(prints.collect()) == docs.count()
+    texts = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 0 < shuffled_bytes(prints._jdf.queryExecution().executedPlan()) < 0.55 * texts
+    texts = [r.text or "" for r in odd.collect()]
+    assert [spotsigs.unpacked(p, len(t.encode())) for p, t in zip(spotsigs.packed(pa.array(texts)).to_pylist(), texts, strict=True)] == texts
+
+
 def test_signatures_against_plain_python():
     words = lambda t: WORD.findall(t.lower())
     texts = ["The cat and the dog sat on a mat of the house", "der Hund und die Katze gehen nach Hause", "no anchor", "", "the", "the the cat dog", "The Cat, and the DOG sat on a mat of the house!"]
