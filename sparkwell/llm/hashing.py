@@ -4,6 +4,8 @@ A word is a run of letters and digits of the lowered text. Its hash is a polynom
 points, found for all words of a block at once from running sums; no dictionary of words is kept, so
 that the memory of a worker doesn't depend on the texts it has seen. A text longer than a block is
 cut between words.
+
+Words that are what stands between blanks are hashed from their bytes (blank_word_blocks).
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 #: Code points that are hashed at once.
 BLOCK = 1 << 17
@@ -88,29 +91,35 @@ def word_hashes(texts: Iterable[str]) -> Iterator[np.ndarray]:
     yield from _hashed(block)
 
 
-#: Bytes of words: A to Z in lower case, plus one, so that only blanks (space and 0x09 to 0x0D) are 0.
-_LOWERED = np.array([0 if b in b" \t\n\x0b\x0c\r" else b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], np.uint64)
+#: Bytes of words: A to Z in lower case; only blanks (space and 0x09 to 0x0D) are 0, and 0 is a byte that UTF-8 doesn't have.
+_LOWERED = bytes(0 if b in b" \t\n\x0b\x0c\r" else 255 if b == 0 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: The first n of eight bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_EIGHTS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
 
 
-def _blank_hashed(block: list[bytes]) -> Iterator[np.ndarray]:
-    codes = _LOWERED[np.frombuffer(b"\n".join([*block, b""]), np.uint8)]
-    inside = codes != 0
+def _blank_hashed(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of a block, and how many each text has. Words are read in eights, those beyond two of them one by one."""
+    data = b"\n".join([*block, b"\n" * 8]).translate(_LOWERED)
+    inside = np.frombuffer(data, np.uint8) != 0
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if len(inside) and inside[0]:
+    if inside[0]:
         edges = np.append(0, edges)
     begin, end = edges[::2], edges[1::2]
-    power, inverse = _usual_powers() if len(codes) <= BLOCK else _powers(len(codes))
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * power[: len(codes)], out=sums[1:])
-    h = mixed((sums[end] - sums[begin]) * inverse[begin])
-    cuts = np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in block)]))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield h[a:b]
+    n = end - begin
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # those that begin at each byte
+    h = (eights[begin] & _FIRST[np.minimum(n, 8)]) * _EIGHTS[0]
+    more = np.flatnonzero(n > 8)
+    h[more] += (eights[begin[more] + 8] & _FIRST[np.minimum(n[more] - 8, 8)]) * _EIGHTS[1]
+    h = mixed(h)
+    for k in more[n[more] > 16].tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[begin[k]:end[k]])
+    return h, np.diff(np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in block)])))
 
 
 def _blank_parts(data: bytes) -> Iterator[bytes]:
     """Long data in parts of about BLOCK bytes, cut at blanks; a longer word is a part of its own."""
-    blank = np.flatnonzero(_LOWERED[np.frombuffer(data, np.uint8)] == 0)
+    blank = np.flatnonzero(np.frombuffer(data.translate(_LOWERED), np.uint8) == 0)
     at = 0
     while at < len(data):
         k = int(np.searchsorted(blank, at + BLOCK - 1, "right"))
@@ -120,18 +129,27 @@ def _blank_parts(data: bytes) -> Iterator[bytes]:
         at = to
 
 
-def blank_word_hashes(texts: Iterable[str]) -> Iterator[np.ndarray]:
-    """For each text the hashes of its words in order; a word is what stands between blanks, A to Z in lower case."""
+def blank_word_blocks(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of the words of texts in order, block by block, and how many each text has; a word is what stands between blanks, A to Z in lower case."""
     block: list[bytes] = []
     n = 0
     for t in texts:
         data = t.encode()
         if n + len(data) >= BLOCK:
-            yield from _blank_hashed(block)
+            if block:
+                yield _blank_hashed(block)
             block, n = [], 0
         if len(data) >= BLOCK:
-            yield np.concatenate([h for part in _blank_parts(data) for h in _blank_hashed([part])])
+            h = np.concatenate([_blank_hashed([part])[0] for part in _blank_parts(data)])
+            yield h, np.array([len(h)])
         else:
             block.append(data)
             n += len(data) + 1
-    yield from _blank_hashed(block)
+    if block:
+        yield _blank_hashed(block)
+
+
+def blank_word_hashes(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words in order, as blank_word_blocks() says."""
+    for h, counts in blank_word_blocks(texts):
+        yield from np.split(h, np.cumsum(counts)[:-1])

@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from sparkwell.llm.common import located, materialize, table, text_of, workspace
 from sparkwell.llm.counters import Tally, counter_of, summed
-from sparkwell.llm.hashing import blank_word_hashes, mixed
+from sparkwell.llm.hashing import blank_word_blocks, mixed
 from sparkwell.llm.linking import Sets, links
 from sparkwell.llm.near_dedup import named
-from sparkwell.llm.sharing import Wanted, file_numbers, flagged, nodes_of, shared_keys
+from sparkwell.llm.sharing import Wanted, file_numbers, nodes_of, shared_keys
 
 SHINGLE = 4
 #: Least similarity in hundredths.
@@ -47,22 +47,37 @@ _F = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 _WHOLE, _AROUND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def shingles_of(words: np.ndarray) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles, from the hashes of its words."""
-    if not len(words):
-        return words
-    k = min(SHINGLE, len(words))
-    n = len(words) - k + 1
-    h = words[:n] * _F[0] + np.uint64(k)
-    for j in range(1, k):
-        h += words[j:j + n] * _F[j]
-    h = mixed(h)
-    h.sort()
-    return h[np.append(True, h[1:] != h[:-1])]
+def blocks_of(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of the distinct shingles of texts, sorted for each text, block by block, and how many each text has."""
+    for words, counts in blank_word_blocks(texts):
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        h = np.append(words, np.zeros(SHINGLE - 1, np.uint64))
+        h = mixed(sum((h[j:j + len(words)] * _F[j] for j in range(1, SHINGLE)), h[:len(words)] * _F[0]) + np.uint64(SHINGLE))
+        for k in range(1, SHINGLE):  # texts of k words
+            at = begins[counts == k]
+            if len(at):
+                h[at] = mixed(sum((words[at + j] * _F[j] for j in range(k)), np.uint64(k)))
+        begun = np.ones(len(h), bool)
+        for j in range(1, SHINGLE):
+            begun[ends[counts > j] - j] = False
+        h = h[begun]
+        n = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
+        ends = np.cumsum(n)
+        for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+            h[a:b].sort()
+        new = np.append(True, h[1:] != h[:-1])[:len(h)]
+        new[(ends - n)[n > 0]] = True
+        upto = np.append(0, np.cumsum(new))
+        yield h[new], upto[ends] - upto[ends - n]
 
 
 def sets_of(texts: Iterable[str]) -> Iterator[np.ndarray]:
-    return map(shingles_of, blank_word_hashes(texts))
+    """The set of each text."""
+    for items, sizes in blocks_of(texts):
+        ends = np.cumsum(sizes)
+        for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            yield items[a:b]
 
 
 @lru_cache(maxsize=4)
@@ -74,98 +89,114 @@ def bounds(percent: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def most_apart(size: int, percent: int) -> int:
+def most_apart(size, percent: int):
     """In how many items a set of this size and a partner of at most its size differ at most."""
     return 2 * size * (100 - percent) // (100 + percent)
 
 
-def band_of(size: int, percent: int) -> int:
-    return int(np.searchsorted(bounds(percent), size, "right")) - 1
+def bands_of(sizes: np.ndarray, percent: int) -> np.ndarray:
+    return np.searchsorted(bounds(percent), sizes, "right") - 1
 
 
-def segments(band: int, percent: int) -> int:
-    return most_apart(int(bounds(percent)[band + 1]) - 1, percent) + 1
+def segments(bands: np.ndarray, percent: int) -> np.ndarray:
+    return most_apart(bounds(percent)[bands + 1] - 1, percent) + 1
 
 
 class Cut:
-    """A set cut into the segments of a band: size, content and key of each, and the items in the order of their segments."""
-
-    def __init__(self, items: np.ndarray, band: int, percent: int):
-        m = segments(band, percent)
-        salt = mixed(np.full(1, band + 1, np.uint64) * _F[1])
-        at = ((items * (salt | np.uint64(1)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.uint16 if m <= 1 << 16 else np.int64)
-        order = np.argsort(at, kind="stable")
-        self.items, self.at = items[order], at[order]
-        self.size = np.bincount(at, minlength=m)
-        sums = np.zeros(len(items) + 1, np.uint64)
-        np.cumsum(self.items, out=sums[1:])
-        ends = np.cumsum(self.size)
-        self.content = sums[ends] - sums[ends - self.size]
-        self.ends, self.salt = ends, np.arange(1, m + 1, dtype=np.uint64) * _F[3] + salt
+    """Sets, one after the other, cut into the segments of a band for each: size, content and key of all segments in turn, and the set of each."""
+
+    def __init__(self, items: np.ndarray, sizes: np.ndarray, bands: np.ndarray, percent: int):
+        m = segments(bands, percent)
+        salt = mixed((bands + 1).astype(np.uint64) * _F[1])
+        self.items, self.first, self.set = items, np.cumsum(m) - m, np.repeat(np.arange(len(m)), m)
+        at = items * np.repeat(salt | np.uint64(1), sizes) >> np.uint64(32)
+        at = (at * np.repeat(m.astype(np.uint64), sizes) >> np.uint64(32)).astype(np.int64)
+        self.at = at + np.repeat(self.first, sizes)
+        self.size = np.bincount(self.at, minlength=len(self.set))
+        self.content = np.zeros(len(self.set), np.uint64)
+        np.add.at(self.content, self.at, items)
+        self.salt = (np.arange(1, len(self.set) + 1) - np.repeat(self.first, m)).astype(np.uint64) * _F[3] + np.repeat(salt, m)
         self.keys = self.key(self.content, slice(None))
 
     def key(self, content: np.ndarray, segment, kind: np.uint64 = _WHOLE) -> np.ndarray:
         return mixed(mixed(content + self.salt[segment]) ^ kind)
 
-    def without_one(self, segment: int) -> np.ndarray:
-        """The contents of a segment without each of its items."""
-        end = self.ends[segment]
-        return self.content[segment] - self.items[end - self.size[segment]:end]
+    def without_one(self, chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The segment and its content without the item, for each item of the chosen segments."""
+        those = np.zeros(len(self.set), bool)
+        those[chosen] = True
+        those = np.flatnonzero(those[self.at])
+        return self.at[those], self.content[self.at[those]] - self.items[those]
 
     def around(self) -> np.ndarray:
-        """The neighbourhood keys of all segments: of each without each of its items."""
-        return self.key(self.content[self.at] - self.items, self.at, _AROUND)
+        """The neighbourhood keys of all segments, item by item: of each without each of its items."""
+        return mixed(mixed((self.content + self.salt)[self.at] - self.items) ^ _AROUND)
 
 
-def asked(cut: Cut, size: int, percent: int, held: np.ndarray | None) -> tuple[np.ndarray, list[int]]:
-    """Which segments a set asks for as a whole, and those that it asks for up to one item.
+def asked(cut: Cut, sizes: np.ndarray, percent: int, held: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Which segments sets ask for as a whole, and those that they ask for up to one item.
 
-    held: about how many sets each segment holds. Whatever it is, the segments asked for count for more, the
+    held: about how many sets each segment holds. Whatever it is, the segments that a set asks for count for more, the
     latter twice, than the set and a smaller partner can differ in.
     """
-    whole = np.ones(len(cut.size), bool)
-    slack = len(whole) - (most_apart(size, percent) + 1)
-    if held is None or not held.any():
-        whole[len(whole) - slack:] = False
-        return whole, []
-    costly = np.argsort(-held, kind="stable")
-    whole[costly[:slack]] = False
-    usual = float(np.median(held))
-    left, cheap = costly[slack:], None
+    m = np.diff(cut.first, append=len(cut.set))
+    slack = m - (most_apart(sizes, percent) + 1)
+    costly = np.argsort(cut.set * (held.max(initial=0) + 1.0) - held, kind="stable")  # of each set in turn
+    whole = np.ones(len(cut.set), bool)
+    whole[costly[np.arange(len(costly)) - cut.first[cut.set] < slack[cut.set]]] = False
+    usual = (held[costly[cut.first + m // 2]] + held[costly[cut.first + (m - 1) // 2]]) / 2
     more: list[int] = []
-    for segment in left:
-        if held[segment] <= STANDS_OUT * usual + 8:
-            break
-        if cheap is None:
-            cheap = sorted((int(s) for s in left if cut.size[s]), key=lambda s: (cut.size[s] + STANDS_OUT * held[s], s))
-            cheap.reverse()
-        while cheap and (not whole[cheap[-1]] or cheap[-1] == segment):
-            cheap.pop()
-        if not cheap or cheap[-1] in more or held[segment] <= held[cheap[-1]] + cut.size[cheap[-1]] + 1 or segment in more:
-            break
-        whole[segment] = False
-        more.append(cheap.pop())
+    for k in np.flatnonzero(held[costly[cut.first + slack]] > STANDS_OUT * usual + 8).tolist():
+        left = costly[cut.first[k] + slack[k]:cut.first[k] + m[k]]
+        filled = left[cut.size[left] > 0]
+        cheap = filled[np.lexsort((-filled, -(cut.size[filled] + STANDS_OUT * held[filled])))].tolist()
+        chosen: set[int] = set()
+        for segment in left.tolist():
+            if held[segment] <= STANDS_OUT * usual[k] + 8:
+                break
+            while cheap and (not whole[cheap[-1]] or cheap[-1] == segment):
+                cheap.pop()
+            if not cheap or held[segment] <= held[cheap[-1]] + cut.size[cheap[-1]] + 1 or segment in chosen:
+                break
+            whole[segment] = False
+            chosen.add(cheap.pop())
+        more += chosen
     return whole, more
 
 
 class Keys:
-    """What a set is indexed by and asks for: keys, and which of them it asks for; neighbourhoods it asks for."""
-
-    def __init__(self, items: np.ndarray, percent: int, held):
-        band = band_of(len(items), percent)
-        self.cuts = [Cut(items, band, percent), Cut(items, band + 1, percent)]
-        own = self.cuts[0]
-        whole, more = asked(own, len(items), percent, held(own.keys))
-        nearby = [own.key(own.without_one(s), s) for s in more]
-        self.keys = np.concatenate([own.keys, self.cuts[1].keys, *nearby])
-        self.asks = np.ones(len(self.keys), bool)
-        self.asks[:len(whole)] = whole
-        self.asks[len(whole):len(whole) + len(self.cuts[1].keys)] = False
-        self.around = own.key(own.content[more], more, _AROUND) if more else np.empty(0, np.uint64)
+    """What sets are indexed by and ask for: keys, which of them are asked for, and the set of each; neighbourhoods asked for, and the set of each.
+
+    items: the sets, none empty, one after the other; sizes: of each (None: one set).
+    """
+
+    def __init__(self, items: np.ndarray, percent: int, held, sizes: np.ndarray | None = None):
+        self.sizes = np.array([len(items)]) if sizes is None else sizes
+        bands = bands_of(self.sizes, percent)
+        self.cuts = [Cut(items, self.sizes, bands, percent), Cut(items, self.sizes, bands + 1, percent)]
+        own, below = self.cuts
+        whole, more = asked(own, self.sizes, percent, held(own.keys))
+        at, contents = own.without_one(more)
+        self.keys = np.concatenate([own.keys, below.keys, own.key(contents, at)])
+        self.asks = np.concatenate([whole, np.zeros(len(below.keys), bool), np.ones(len(at), bool)])
+        self.set = np.concatenate([own.set, below.set, own.set[at]])
+        self.around, self.around_set = own.key(own.content[more], more, _AROUND), own.set[more]
 
     def index_around(self) -> np.ndarray:
+        """The neighbourhood keys of all items, once for each band."""
         return np.concatenate([c.around() for c in self.cuts])
 
+    def around_of(self, marked) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct neighbourhood keys of each set that are asked for or marked, whether it asks for them, and the set."""
+        index = self.index_around()
+        found = np.flatnonzero(marked(index))
+        k = np.concatenate([self.around, index[found]])
+        of = np.concatenate([self.around_set, np.tile(np.repeat(np.arange(len(self.sizes)), self.sizes), 2)[found]])
+        order = np.lexsort((np.arange(len(k)) >= len(self.around), k, of))  # of equal keys one that asks comes first
+        k, of = k[order], of[order]
+        new = np.append(True, (k[1:] != k[:-1]) | (of[1:] != of[:-1]))[:len(k)]
+        return k[new], (order < len(self.around))[new], of[new]
+
 
 class Held:
     """About how many sets hold a key: its counter without what a counter usually holds of others."""
@@ -178,30 +209,34 @@ class Held:
         return self.most[counter_of(keys)]
 
 
-def _keys(texts: list[str], percent: int, held) -> Iterator[Keys]:
-    return (Keys(s, percent, held) for s in sets_of(texts) if len(s))
+def _keys(texts: list[str], percent: int, held) -> Iterator[tuple[Keys, np.ndarray]]:
+    """Keys of texts, block by block, and which of the texts the sets are."""
+    at = 0
+    for items, sizes in blocks_of(texts):
+        of = np.flatnonzero(sizes)
+        if len(of):
+            yield Keys(items, percent, held, sizes[of]), of + at
+        at += len(sizes)
 
 
 def candidates(source: Wanted, keys: int, percent: int, held) -> DataFrame:
     """bucket and node of the sets of source that meet in a key which one of them asks for. keys: about how many all have."""
-    found = shared_keys(source, lambda texts: ((k.keys, k.asks, k.around) for k in _keys(texts, percent, held.value)), keys)
+    found = shared_keys(source, lambda texts: ((k.keys, k.asks, k.around) for k, _ in _keys(texts, percent, held.value)), keys)
     sent = source.df.sparkSession.sparkContext.broadcast(found)
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = sent.value
         for batch_nodes, texts in source.texts(batches):
             nodes, buckets, asking = [], [], []
-            for node, k in zip(batch_nodes.tolist(), _keys(texts, percent, held.value), strict=True):
+            for k, of in _keys(texts, percent, held.value):
                 keep = shared.has(k.keys)
-                own, asks = k.keys[keep], k.asks[keep]  # distinct, by their salts
+                parts = [(k.keys[keep], k.asks[keep], k.set[keep])]  # distinct in a set, by their salts
                 if shared.any_marks:
-                    index = k.index_around()
-                    index = index[shared.marked(index)]
-                    both, wants, _ = flagged(np.concatenate((index, k.around)), np.arange(len(index) + len(k.around)) >= len(index))
-                    own, asks = np.concatenate((own, both)), np.concatenate((asks, wants))
-                nodes.append(np.full(len(own), node))
-                buckets.append(own.view(np.int64))
-                asking.append(asks)
+                    parts.append(k.around_of(shared.marked))
+                for own, asks, owners in parts:
+                    nodes.append(batch_nodes[of[owners]])
+                    buckets.append(own.view(np.int64))
+                    asking.append(asks)
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (buckets, nodes, asking)], ["bucket", "node", "asks"])
 
@@ -223,13 +258,15 @@ def _signed(docs: DataFrame, numbers, percent: int) -> DataFrame:
         tally = Tally()
         for b in batches:
             d1, d2, n = [], [], []
-            for items in sets_of(b.column("text").to_pylist()):
-                d = xxhash.xxh3_128_intdigest(items.tobytes())
-                d1.append((d >> 64) - (1 << 63))
-                d2.append((d & (1 << 64) - 1) - (1 << 63))
-                n.append(len(items))
-                if len(items):
-                    tally.add(Cut(items, band_of(len(items), percent), percent).keys)
+            for items, sizes in blocks_of(b.column("text").to_pylist()):
+                ends = np.cumsum(sizes)
+                for start, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                    d = xxhash.xxh3_128_intdigest(items[start:end].tobytes())
+                    d1.append((d >> 64) - (1 << 63))
+                    d2.append((d & (1 << 64) - 1) - (1 << 63))
+                n += sizes.tolist()
+                sizes = sizes[sizes > 0]
+                tally.add(Cut(items, sizes, bands_of(sizes, percent), percent).keys)
             tally.rows += len(n)
             own = [*(b.column(c) for c in ("doc_id", "__sw_file", "__sw_row")), pa.array(nodes_of(b, numbers.value), pa.int64()), *(pa.array(x, pa.int64()) for x in (d1, d2, n))]
             yield pa.RecordBatch.from_arrays(own + [pa.nulls(len(n), t) for t in types[len(own):]], names)

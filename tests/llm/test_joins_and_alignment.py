@@ -215,6 +215,41 @@ def test_ngram_pigeonhole_holds_for_any_costs():
     assert left_out > 50
 
 
+def test_ngram_keys_by_blocks(monkeypatch):
+    """Sets are cut block by block, a few cuts for hundreds of texts, and have the keys that each has alone."""
+    r = random.Random(4)
+    texts = [*family(r, 50), "", " ", "a", "A b", "a b c", "a b c d", "a b c d " * 30, " ".join(f"z{k}" for k in range(30_000)), ""]
+    sets = list(ngram_join.sets_of(texts))
+    assert [len(s) for s in sets] == [len(grams(t)) for t in texts]
+    assert all((s[1:] > s[:-1]).all() and s.tolist() == next(ngram_join.sets_of([t])).tolist() for s, t in zip(sets, texts, strict=True))
+
+    def held(keys):
+        return np.where(keys % np.uint64(7) == 0, 300.0, 0.0)
+
+    def marked(keys):
+        return keys % np.uint64(5) == 0
+
+    cuts, cut = [], ngram_join.Cut
+    monkeypatch.setattr(ngram_join, "Cut", lambda *a: cuts.append(1) or cut(*a))
+    together = defaultdict(lambda: (set(), set(), set()))
+    for k, of in ngram_join._keys(texts, 85, held):
+        for owner, key, asks in zip(of[k.set].tolist(), k.keys.tolist(), k.asks.tolist(), strict=True):
+            together[owner][0].add((key, asks))
+        for owner, key in zip(of[k.around_set].tolist(), k.around.tolist(), strict=True):
+            together[owner][1].add(key)
+        for key, asks, owner in zip(*(x.tolist() for x in k.around_of(marked)), strict=True):
+            together[int(of[owner])][2].add((key, asks))
+    assert len(cuts) < len(texts) // 10
+    for at, s in enumerate(sets):
+        if len(s):
+            k = ngram_join.Keys(s, 85, held)
+            index = k.index_around()
+            around = {*k.around.tolist()}
+            near = {(x, x in around) for x in {*index[marked(index)].tolist()} | around}
+            assert together[at] == ({*zip(k.keys.tolist(), k.asks.tolist(), strict=True)}, around, near)
+    assert {*together} == {at for at, s in enumerate(sets) if len(s)} and sum(len(x[1]) for x in together.values()) > 50
+
+
 def test_ngram_words_by_blanks():
     r = random.Random(2)
     texts = ["".join(r.choice("aAbÉ \t\n\x0b\x1f\u00a0") for _ in range(r.randrange(0, 60))) for _ in range(300)] + ["", "ab " * 90_000, "x" * 300_000 + " y", "x" * 300_000 + " y"]
