@@ -5,7 +5,8 @@ points, found for all words of a block at once from running sums; no dictionary
 that the memory of a worker doesn't depend on the texts it has seen. A text longer than a block is
 cut between words.
 
-Words that are what stands between blanks are hashed from their bytes (blank_word_blocks).
+Words that are what stands between blanks, and those of letters and digits where a block of texts is wanted at once, are
+hashed from their bytes (blank_word_blocks, word_blocks).
 """
 
 from __future__ import annotations
@@ -99,8 +100,12 @@ _EIGHTS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
 
 
 def _blank_hashed(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of a block, and how many each text has. Words are read in eights, those beyond two of them one by one."""
-    data = b"\n".join([*block, b"\n" * 8]).translate(_LOWERED)
+    """The hashes of all words of a block, and how many each text has."""
+    return _run_hashes(b"\n".join([*block, b"\n" * 8]).translate(_LOWERED), block)
+
+
+def _run_hashes(data: bytes, block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs of bytes other than 0, and how many each text of the block has. They are read in eights, those beyond two of them one by one."""
     inside = np.frombuffer(data, np.uint8) != 0
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
@@ -153,3 +158,50 @@ def blank_word_hashes(texts: Iterable[str]) -> Iterator[np.ndarray]:
     """For each text the hashes of its words in order, as blank_word_blocks() says."""
     for h, counts in blank_word_blocks(texts):
         yield from np.split(h, np.cumsum(counts)[:-1])
+
+
+#: Bytes of words of letters and digits: A to Z in lower case, other ASCII 0, what isn't ASCII as it is.
+_LETTERS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 0 for b in range(256))
+
+
+def _letters_hashed(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As _blank_hashed(), for words of letters and digits; of characters beyond ASCII their code points tell."""
+    data = b"\n".join([*block, b"\n" * 8]).translate(_LETTERS)
+    codes = np.frombuffer(data, np.uint8)
+    lead = np.flatnonzero(codes >= 0xC0)
+    begun = codes[lead]
+    blank = []  # bytes of other characters than letters and digits
+    for n, least, most in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        at = lead[(begun >= least) & (begun < most)]
+        if len(at):
+            point = codes[at].astype(np.int64) & (0xFF >> n + 1)
+            for k in range(1, n):
+                point = point << 6 | codes[at + k] & 63
+            at = at[~_alnum()[point]]
+            blank += [at + k for k in range(n)]
+    if sum(map(len, blank)):
+        changed = bytearray(data)
+        np.frombuffer(changed, np.uint8)[np.concatenate(blank)] = 0
+        data = bytes(changed)
+    return _run_hashes(data, block)
+
+
+def word_blocks(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashes of the words of texts in order, block by block, and how many each text has; a word is a run of letters and digits of the lowered text. Other hashes than those of word_hashes()."""
+    block: list[bytes] = []
+    n = 0
+    for t in texts:
+        t = t if t.isascii() else t.lower()  # ASCII is lowered with its block
+        data = t.encode("utf-8", "surrogatepass")
+        if n + len(data) >= BLOCK:
+            if block:
+                yield _letters_hashed(block)
+            block, n = [], 0
+        if len(data) >= BLOCK:
+            h = np.concatenate([_letters_hashed([part.encode("utf-8", "surrogatepass")])[0] for part in _parts(t)])
+            yield h, np.array([len(h)])
+        else:
+            block.append(data)
+            n += len(data) + 1
+    if block:
+        yield _letters_hashed(block)

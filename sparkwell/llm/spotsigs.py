@@ -28,7 +28,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -36,8 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwell.llm.common import located, materialize, table, text_of, workspace
-from sparkwell.llm.counters import count_rows, counter_of
-from sparkwell.llm.hashing import mixed, word_hashes
+from sparkwell.llm.counters import Tally, counter_of, summed
+from sparkwell.llm.hashing import mixed, word_blocks
 from sparkwell.llm.linking import Sets, links
 from sparkwell.llm.near_dedup import named
 from sparkwell.llm.sharing import Wanted, file_numbers, nodes_of, shared_keys, sliced
@@ -57,34 +56,79 @@ _F = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.u
 
 
 @lru_cache(maxsize=1)
-def _common() -> np.ndarray:
-    return np.sort(np.concatenate(list(word_hashes(COMMON))))
-
-
-def signatures_of(words: np.ndarray, chain: int = CHAIN, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct signatures of a text, from the hashes of its words, and the sum of the rarity of their chains' words (0 without rarity)."""
-    known = _common()
-    common = known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
-    content = np.flatnonzero(~common)
-    anchors = np.flatnonzero(common)
-    next_content = np.searchsorted(content, anchors)
-    ok = next_content + chain <= len(content)
-    anchors, next_content = anchors[ok], next_content[ok]
-    if not len(anchors):
-        return np.array([xxhash.xxh3_64_intdigest(words.tobytes())], np.uint64), np.zeros(1)
-    s = words[anchors] * _F[0]
-    weight = np.zeros(len(s))
+def _common() -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the common words, sorted, and which low bits they have."""
+    known = np.sort(np.concatenate([h for h, _ in word_blocks(COMMON)]))
+    low = np.zeros(1 << 16, bool)
+    low[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+    return known, low
+
+
+def _is_common(words: np.ndarray) -> np.ndarray:
+    known, low = _common()
+    common = low[(words & np.uint64(0xFFFF)).astype(np.int64)]
+    at = np.flatnonzero(common)
+    common[at] = known[np.minimum(np.searchsorted(known, words[at]), len(known) - 1)] == words[at]
+    return common
+
+
+def distinct(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of hashes, sorted for each text, differ from those before them in their text, and how many each text has."""
+    ends = np.cumsum(sizes)
+    new = np.append(True, h[1:] != h[:-1])[:len(h)]
+    new[(ends - sizes)[sizes > 0]] = True
+    upto = np.append(0, np.cumsum(new))
+    return new, upto[ends] - upto[ends - sizes]
+
+
+def spans(sizes: np.ndarray) -> list[tuple[int, int]]:
+    ends = np.cumsum(sizes)
+    return list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+
+
+def signed(words: np.ndarray, counts: np.ndarray, chain: int = CHAIN, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct signatures of each text of a block, from the hashes of its words and how many each text has; the sum of the
+    rarity of their chains' words (nothing without rarity), and how many signatures each text has, at least one."""
+    common = _is_common(words)
+    content, anchors = np.flatnonzero(~common), np.flatnonzero(common)
+    before = np.append(0, np.cumsum(~common))  # content words before each word
+    of = np.repeat(np.arange(len(counts)), counts)[anchors]
+    next_content = before[anchors]
+    ok = next_content + chain <= before[np.cumsum(counts)][of]
+    anchors, next_content, of = anchors[ok], next_content[ok], of[ok]
+    s, weight = words[anchors] * _F[0], np.zeros(len(anchors))
     for k in range(chain):
         w = words[content[next_content + k]]
         s = mixed(s * _F[1] + w * _F[2])
         if rarity is not None:
             weight += rarity[counter_of(w)]
-    s, first = np.unique(s, return_index=True)
-    return s, weight[first]
+    n = np.bincount(of, minlength=len(counts))
+    without = n == 0
+    sizes = np.maximum(n, 1)
+    if without.any():  # all words together
+        at = np.repeat(without, sizes)
+        some, s = s, np.empty(len(at), np.uint64)
+        s[~at] = some
+        s[at] = [xxhash.xxh3_64_intdigest(words[a:b].tobytes()) for (a, b), none in zip(spans(counts), without.tolist(), strict=True) if none]
+        some, weight = weight, np.zeros(len(at))
+        weight[~at] = some
+    if rarity is None:
+        for a, b in spans(sizes):
+            s[a:b].sort()
+        weight = None
+    else:
+        order = np.concatenate([a + np.argsort(s[a:b]) for a, b in spans(sizes)])
+        s, weight = s[order], weight[order]
+    new, sizes = distinct(s, sizes)
+    return s[new], weight if weight is None else weight[new], sizes
 
 
 def signatures(texts: Iterable[str]) -> Iterator[np.ndarray]:
-    return (signatures_of(words)[0] for words in word_hashes(texts))
+    """The sorted signatures of each text."""
+    for words, counts in word_blocks(texts):
+        s, _, sizes = signed(words, counts)
+        for a, b in spans(sizes):
+            yield s[a:b]
 
 
 def written(sigs: np.ndarray) -> str:
@@ -188,9 +232,9 @@ def fingerprints(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         at["key"], at["tie"] = keys, ties
         return len(bounds) - np.searchsorted(bounds, at, side="left").astype(np.int32)
 
-    @F.pandas_udf("int")
-    def part_of(keys: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series(parts_of(keys, ties))
+    @F.arrow_udf("int")
+    def part_of(keys: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array(parts_of(keys.to_numpy(), ties.to_numpy()), pa.int32())
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -221,13 +265,58 @@ def level_of(size: int, threshold: float) -> int:
     return math.floor(math.log(size) / (-math.log(threshold) if threshold < 1 else 1.0))
 
 
-def meeting_keys(sigs: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
-    """Where a set meets its partners: its rarest signatures in the partition of its own level and, as the smaller of a pair, fewer of them in the next."""
-    n, level = len(sigs), level_of(len(sigs), threshold)
-    rarest = sigs[np.argsort(-weight, kind="stable")][: prefix_size(n, threshold)]
-    smaller = n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1
-    salts = mixed(np.arange(level + 1, level + 3, dtype=np.uint64) * _F[0])
-    return mixed(np.concatenate((rarest + salts[0], rarest[:smaller] + salts[1])))
+def meeting_keys(sigs: np.ndarray, weight: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where sets meet their partners, and the set of each key: a set's rarest signatures in the partition of its own level and, as the smaller of a pair, fewer of them in the next."""
+    own, below, levels = [], [], []
+    for a, b in spans(sizes):
+        n = b - a
+        rarest = a + np.argsort(-weight[a:b], kind="stable")[: prefix_size(n, threshold)]
+        own.append(rarest)
+        below.append(rarest[: n - math.ceil(2 * threshold / (1 + threshold) * n - 1e-9) + 1])
+        levels.append(level_of(n, threshold) + 1)
+    sets = np.concatenate([np.repeat(np.arange(len(sizes)), [len(x) for x in some]) for some in (own, below)])
+    level = np.array(levels, np.uint64)[sets]
+    chosen = np.concatenate([*own, *below])
+    level[len(chosen) - sum(map(len, below)):] += np.uint64(1)
+    return mixed(sigs[chosen] + mixed(level * _F[0])), sets
+
+
+_ROWS = "doc_id long, __sw_file string, __sw_row long, key long, tie long, d1 long, d2 long, size long, row long"
+_COUNTED = "part int, rows long, width int, counters binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _rows(docs: DataFrame, numbers) -> DataFrame:
+    """Rows of _ROWS (row names the row, d1 and d2 are the digest of its signatures), and among them those of _COUNTED: counters of the words of all rows."""
+    names = _names(f"{_ROWS}, {_COUNTED}")
+    types = [pa.int64(), pa.string(), *[pa.int64()] * 7, pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for b in sliced(batches):
+            d1, d2, size = [], [], []
+            for words, counts in word_blocks(b.column("text").to_pylist()):
+                s, _, sizes = signed(words, counts)
+                for start, end in spans(sizes):
+                    d = xxhash.xxh3_128_intdigest(s[start:end].tobytes())
+                    d1.append((d >> 64) - (1 << 63))
+                    d2.append((d & (1 << 64) - 1) - (1 << 63))
+                size += sizes.tolist()
+                for start, end in spans(counts):
+                    words[start:end].sort()
+                tally.add(words[distinct(words, counts)[0]])
+            tally.rows += b.num_rows
+            own = [*(b.column(c) for c in ("doc_id", "__sw_file", "__sw_row", "key", "tie")), *(pa.array(x, pa.int64()) for x in (d1, d2, size, nodes_of(b, numbers.value)))]
+            yield pa.RecordBatch.from_arrays(own + [pa.nulls(b.num_rows, t) for t in types[len(own):]], names)
+        for part in tally.batches():
+            nulls = [pa.nulls(part.num_rows, t) for t in types[: len(types) - part.num_columns]]
+            yield pa.RecordBatch.from_arrays(nulls + part.columns, names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__sw_file", "__sw_row", text_of().alias("text"), *(c.alias(n) for n, c in _order(docs).items()))
+    return rows.mapInArrow(sign, f"{_ROWS}, {_COUNTED}")
 
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -236,42 +325,36 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = located(docs)
     texts = docs.select("__sw_file", "__sw_row", text_of().alias("text"))
     with workspace(spark, "spot"):
-        n_rows, counted = count_rows(texts.select("text"), lambda texts: map(np.unique, word_hashes(texts)))
-        rarity = spark.sparkContext.broadcast(-np.log((counted + 1) / (n_rows + 1)).astype(np.float32))  # of the size of the counters
         numbers = spark.sparkContext.broadcast(file_numbers(docs))
-
-        def sign(batches):
-            keep = ["doc_id", "__sw_file", "__sw_row", "key", "tie"]
-            for b in sliced(batches):
-                d1, d2, size = [], [], []
-                for sigs in signatures(b.column("text").to_pylist()):
-                    d = xxhash.xxh3_128_intdigest(sigs.tobytes())
-                    d1.append((d >> 64) - (1 << 63))
-                    d2.append((d & (1 << 64) - 1) - (1 << 63))
-                    size.append(len(sigs))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in (d1, d2, size, nodes_of(b, numbers.value)))], [*keep, "d1", "d2", "size", "row"])
-
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__sw_file", "__sw_row", text_of().alias("text"), *(c.alias(n) for n, c in _order(docs).items()))
-        rows = materialize(rows.mapInArrow(sign, "doc_id long, __sw_file string, __sw_row long, key long, tie long, d1 long, d2 long, size long, row long"), "spot-rows")
+        found = materialize(_rows(docs, numbers), "spot-rows")
+        rows = found.where("part is null").select(*_names(_ROWS))
+        n_rows, counted = summed(found.where("part is not null").select(*_names(_COUNTED)))
+        rarity = spark.sparkContext.broadcast(-np.log((counted + 1) / (n_rows + 1)).astype(np.float32))  # of the size of the counters
         nodes = materialize(rows.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.first("size").alias("size")), "spot-nodes")
         total, mean = nodes.agg(F.sum(F.ceil(F.col("size") * (1 - threshold) * 2) + 2), F.avg("size")).first()
 
         def wanted(chosen: DataFrame) -> Wanted:
             return Wanted(texts, numbers, chosen, n_rows, lambda: rows.join(chosen, F.col("row") == F.col("node"), "left_semi").select("__sw_file", "__sw_row", F.col("row").alias("node")))
 
-        def keys_of(some: list[str]) -> Iterator[np.ndarray]:
-            return (meeting_keys(*signatures_of(words, rarity=rarity.value), threshold) for words in word_hashes(some))
+        def keys_of(some: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Keys of texts, block by block, distinct in each text, and the text of each."""
+            at = 0
+            for words, counts in word_blocks(some):
+                keys, sets = meeting_keys(*signed(words, counts, rarity=rarity.value), threshold)
+                yield keys, sets + at
+                at += len(counts)
 
         none = np.empty(0, np.uint64)
         source = wanted(nodes.select("node"))
-        sent = spark.sparkContext.broadcast(shared_keys(source, lambda some: ((k, np.ones(len(k), bool), none) for k in keys_of(some)), int(total or 0)))
+        sent = spark.sparkContext.broadcast(shared_keys(source, lambda some: ((k, np.ones(len(k), bool), none) for k, _ in keys_of(some)), int(total or 0)))
 
         def meet(batches):
-            for found, some in source.texts(batches):
-                kept = [k[sent.value.has(k)] for k in keys_of(some)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *kept]).view(np.int64)), pa.array(np.repeat(found, [len(k) for k in kept]))], ["bucket", "node"])
+            for nodes_, some in source.texts(batches):
+                for keys, sets in keys_of(some):
+                    keep = sent.value.has(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(nodes_[sets[keep]])], ["bucket", "node"])
 
-        members = materialize(source.df.mapInArrow(meet, "bucket long, node long").distinct(), "spot-keys")
+        members = materialize(source.df.mapInArrow(meet, "bucket long, node long"), "spot-keys")
         shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
         members = materialize(members.join(shared, "bucket", "left_semi"), "spot-members")
         labels = links(members, Sets(wanted, signatures), threshold, mean or 1.0)

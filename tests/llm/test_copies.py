@@ -5,7 +5,10 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from sparkwell.llm import common, counters, exact_dedup, hashing, near_dedup, spotsigs
 from sparkwell.llm.common import scratch
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 def test_exact_query_matches_sql(spark):
     assert rows_of_spark(exact_dedup.op3_exact_dedup(spark, SMALL)) == rows_of_duckdb(database(SMALL), exact_dedup.ORACLE_SQL)
@@ -326,3 +331,52 @@ def test_spotsigs_classes_match_brute_force(spark, odd, empty):
     assert spotsigs.matches(empty).count() == 0
     by = Counter(r.class_id for r in spotsigs.matches(odd).collect())
     assert sum(by.values()) == odd.count() and by[1] == 4 and by[4] == 4
+
+
+def test_word_blocks_have_the_same_words(monkeypatch):
+    """Words by bytes are those of the lowered text, equal if and only if their hashes are, wherever they stand and however texts are cut into blocks."""
+    r, found = random.Random(3), {}
+    texts = ["".join(r.choice("abcABC _éÉß日0९𝒳😀—ΑΣ\x00 \n.,x▁") for _ in range(r.randrange(200))) for _ in range(200)] + ["a" * 500, "é" * 63, "b " * 200, "İİ İ", "", "x😀y" * 40, "donau" * 5 + "1", "donau" * 5 + "2"]
+    for block in (1 << 17, 64):
+        monkeypatch.setattr(hashing, "BLOCK", block)
+        made = [h[a:b] for h, counts in hashing.word_blocks(texts) for a, b in spotsigs.spans(counts)]
+        for t, h in zip(texts, made, strict=True):
+            for word, x in zip(WORD.findall(t.lower()), h.tolist(), strict=True):
+                assert found.setdefault(word, x) == x
+    assert len(set(found.values())) == len(found)
+
+
+def test_signatures_and_meeting_keys_by_blocks(monkeypatch):
+    """Signatures and keys are made block by block, a few calls for hundreds of texts, and are those that each text has alone."""
+    r = random.Random(6)
+    words = [*sorted(spotsigs.COMMON)[:30], *(f"w{k}" for k in range(200))]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(120))) for _ in range(300)] + ["", "the", "no anchor here", "the cat", "the cat sat", ""]
+    rarity = np.random.default_rng(1).random(counters.COUNTERS).astype(np.float32)
+    calls, one_call = [], spotsigs.signed
+    monkeypatch.setattr(spotsigs, "signed", lambda *a, **b: calls.append(1) or one_call(*a, **b))
+    together = list(spotsigs.signatures(texts))
+    assert len(calls) < len(texts) // 10
+    at, keys = 0, {}
+    for w, counts in hashing.word_blocks(texts):
+        own, sets = spotsigs.meeting_keys(*one_call(w, counts, rarity=rarity), 0.8)
+        for k, of in zip(own.tolist(), sets.tolist(), strict=True):
+            keys.setdefault(of + at, []).append(k)
+        at += len(counts)
+    for k, t in enumerate(texts):
+        (w, counts), = hashing.word_blocks([t])
+        s, weight, sizes = one_call(w, counts, rarity=rarity)
+        assert s.tolist() == together[k].tolist() == sorted({*s.tolist()}) and sizes.tolist() == [len(s)]
+        order = sorted(range(len(s)), key=lambda j: (-weight[j], s[j]))
+        alone = spotsigs.meeting_keys(s, weight, sizes, 0.8)[0].tolist()
+        assert sorted(keys[k]) == sorted(alone) and len({*alone}) == len(alone)
+        n, prefix = len(s), spotsigs.prefix_size(len(s), 0.8)
+        level = spotsigs.level_of(n, 0.8)
+        salt = lambda v: hashing.mixed(np.array([v], np.uint64) * spotsigs._F[0])
+        assert alone[:prefix] == hashing.mixed(s[order[:prefix]] + salt(level + 1)).tolist()
+        assert {*alone[prefix:]} <= {*hashing.mixed(s[order] + salt(level + 2)).tolist()}
+
+
+def test_spotsigs_workers_stay_small():
+    """Workers import what tasks name; pandas alone takes 27 MB in each."""
+    code = "import sys, sparkwell.llm.spotsigs; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT).returncode == 0
