@@ -146,14 +146,17 @@ def links(members: DataFrame, sets: Sets, threshold: float, mean_size: float = 5
         if state.isEmpty():
             return labels
         if "own" not in state.columns:
-            state = state.join(bounds, "node").withColumn("order", F.struct((F.col("own") / F.col("all")).alias("share"), "node"))
+            state = state.join(bounds.select("node", "all", "own"), "node").withColumn("order", F.struct((F.col("own") / F.col("all")).alias("share"), "node"))
         # only those stay that could reach the threshold with the one of their bucket that has least of its own
         least = state.groupBy("bucket").agg(F.min("own").alias("_least"))
         state = state.join(least, "bucket").where(F.col("all") - F.col("own") >= threshold * (F.col("all") + F.col("_least")) - 1e-9).drop("_least")
         state = materialize(state, "link-state")
         ranked = state.withColumn("_rank", F.row_number().over(W.partitionBy("bucket").orderBy("order"))).where(F.col("_rank") <= leaders).drop("_rank")
         lead = materialize(ranked.select(*(F.col(c).alias(f"{c}_b") for c in state.columns)), "link-leaders")
-        pairs = state.join(lead, (F.col("bucket") == F.col("bucket_b")) & (F.col("label") != F.col("label_b")) & (F.col("order") > F.col("order_b")) & may_link(threshold, F.col, b))
+        # sketches are wide: they are joined where pairs are bounded, and not kept with members
+        drawn = state.join(bounds.select("node", *_SKETCH), "node")
+        led = lead.join(of("_b").select("node_b", *(f"{c}_b" for c in _SKETCH)), "node_b")
+        pairs = drawn.join(led, (F.col("bucket") == F.col("bucket_b")) & (F.col("label") != F.col("label_b")) & (F.col("order") > F.col("order_b")) & may_link(threshold, F.col, b))
         found = sets.compared(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
         edges = found.where(F.col("distance") <= reach).select("a", "b")
         past = lead.groupBy(F.col("bucket_b").alias("bucket")).agg(F.max("order_b").alias("_last"))

@@ -11,7 +11,7 @@ import pytest
 from compare import SMALL, database, rows_of_duckdb, rows_of_spark
 from pyspark.sql import functions as F
 
-from sparkwell.llm import alignment, fill_middle, hashing, ngram_join
+from sparkwell.llm import alignment, fill_middle, hashing, linking, ngram_join
 from sparkwell.llm.common import vocabulary_path
 
 
@@ -188,6 +188,16 @@ def test_ngram_families_with_edits(spark, seed):
     assert components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == plain_components(docs)
 
 
+def test_links_keep_no_sketches_with_members(spark, monkeypatch):
+    """What is written for each member of a bucket stays narrow: sketches are written once for each node."""
+    written, one = [], linking.materialize
+    monkeypatch.setattr(linking, "materialize", lambda df, what: written.append((what, df.columns)) or one(df, what))
+    docs = list(enumerate(family(random.Random(0), 25)))
+    assert components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == plain_components(docs)
+    assert {"link-bounds", "link-state", "link-leaders"} <= {what for what, _ in written}
+    assert {what for what, columns in written if len({*columns} & {f"{c}{s}" for c in linking._SKETCH for s in ("", "_b")})} == {"link-bounds"}
+
+
 def test_ngram_pigeonhole_holds_for_any_costs():
     """Every pair of partners meets in a key that the larger one asks for, whatever segments are thought costly."""
     r = np.random.default_rng(1)
