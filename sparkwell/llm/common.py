@@ -41,6 +41,21 @@ def workspace(spark: SparkSession, what: str) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a shuffle's files go when the query that wrote them ends, not when the driver collects its garbage.
+
+    For jobs that materialize what they read again; a DataFrame that is run twice writes its shuffles twice.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, what: str, outlives: bool = False) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and survives lost executors."""
     at = _OPEN.get()

@@ -10,7 +10,7 @@ one item out. It leaves out what its band's slack allows and those segments that
 where the neighbourhood of a small segment costs less. How many sets of its band a segment holds is counted over all rows (counters.py).
 
 Keys that only one set has, or that none asks for, are left behind before any row moves, and texts don't move at all
-(sharing.py). Neighbourhoods are indexed only where some set asks for them, found by a bitmap of a fixed size. What meets
+(sharing.py). Neighbourhoods are indexed only where some set asks for them, found by a bitmap of a bounded size. What meets
 is verified on the exact sets (linking.py).
 
 Defined cases: null counts as empty; texts with fewer words than a shingle are one shingle of all of them; texts
@@ -30,18 +30,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwell.llm.common import located, materialize, table, text_of, workspace
+from sparkwell.llm.common import located, materialize, short_shuffles, table, text_of, workspace
 from sparkwell.llm.counters import Tally, counter_of, summed
 from sparkwell.llm.hashing import blank_word_blocks, mixed
 from sparkwell.llm.linking import Sets, links
 from sparkwell.llm.near_dedup import named
-from sparkwell.llm.sharing import Wanted, file_numbers, nodes_of, shared_keys
+from sparkwell.llm.sharing import MARK_BITS, Wanted, file_numbers, nodes_of, shared_keys
 
 SHINGLE = 4
 #: Least similarity in hundredths.
 PERCENT = 85
 #: A segment is left out for a neighbourhood if it holds so many times what the set's other segments hold.
 STANDS_OUT = 4
+#: Bits of the bitmap of neighbourhoods that are asked for at most, as a power of two.
+MOST_MARK_BITS = 27
+#: Sets of so many items have wide sketches: the parities of smaller ones tell unlike sets apart.
+WIDE_FROM = 2048
 
 _F = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _WHOLE, _AROUND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -221,7 +225,7 @@ def _keys(texts: list[str], percent: int, held) -> Iterator[tuple[Keys, np.ndarr
 
 def candidates(source: Wanted, keys: int, percent: int, held) -> DataFrame:
     """bucket and node of the sets of source that meet in a key which one of them asks for. keys: about how many all have."""
-    found = shared_keys(source, lambda texts: ((k.keys, k.asks, k.around) for k, _ in _keys(texts, percent, held.value)), keys)
+    found = shared_keys(source, lambda texts: ((k.keys, k.asks, k.around) for k, _ in _keys(texts, percent, held.value)), keys, max(MARK_BITS, min(MOST_MARK_BITS, keys.bit_length())))
     sent = source.df.sparkSession.sparkContext.broadcast(found)
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +245,7 @@ def candidates(source: Wanted, keys: int, percent: int, held) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (buckets, nodes, asking)], ["bucket", "node", "asks"])
 
     each = materialize(source.df.mapInArrow(members, "bucket long, node long, asks boolean"), "gram-keys")
+    sent.destroy()
     useful = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("bucket")
     return materialize(each.select("bucket", "node").join(useful, "bucket", "left_semi"), "gram-members")
 
@@ -282,7 +287,7 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, component_size, kept (the row that names its component), texts, __sw_file, __sw_row."""
     spark = docs.sparkSession
     docs = located(docs).select("doc_id", text_of().alias("text"), "__sw_file", "__sw_row")
-    with workspace(spark, "gram"):
+    with workspace(spark, "gram"), short_shuffles(spark):
         numbers = spark.sparkContext.broadcast(file_numbers(docs))
         signed = materialize(_signed(docs, numbers, percent), "gram-rows")
         rows = signed.where("part is null").select(*(x.split()[0] for x in _ROWS.split(", ")))
@@ -297,7 +302,7 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         members = candidates(wanted(nodes.select("node")), int(keys or 0), percent, held)
         mean = full.agg(F.avg("n_shingles")).first()[0] or 1.0
-        labels = links(members, Sets(wanted, sets_of), percent / 100, mean)
+        labels = links(members, Sets(wanted, sets_of, WIDE_FROM), percent / 100, mean)
         found = named(full, nodes.drop("n"), labels, ["d1", "d2"])
         alone = rows.where("n_shingles = 0").select("doc_id", "__sw_file", "__sw_row", "n_shingles", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("texts"))
         return materialize(found.unionByName(alone).withColumnsRenamed({"class_id": "component_id", "class_size": "component_size"}), "gram-joined", outlives=True)

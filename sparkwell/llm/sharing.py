@@ -7,6 +7,7 @@ MOST_ROWS rows); of larger tables the wanted rows are found by a shuffle.
 Keys (64 bits) that several nodes have are found by parts of the key space: tasks send their distinct keys in packed
 blocks, a part sorts those of all tasks, and its range of a bitmap says where some key is shared. The bitmap
 has BITS_A_KEY bits for each key, 2^MOST_BITS at most; what else falls on a bit that is set is only kept in vain.
+Marks set two bits each in a bitmap of their own: many more keys are looked up in it than are marked.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from sparkwell.llm.common import materialize, only_places
 
 ROW_BITS, CHUNK_BITS = 40, 16
 MOST_ROWS = 1 << 29
-#: Keys of a part, and those that a task holds before it sends them; bits of the bitmap for each key, and its bits at most as a power of two; bits of the bitmap of marks.
+#: Keys of a part, and those that a task holds before it sends them; bits of the bitmap for each key, and its bits at most as a power of two; the least bits of the bitmap of marks.
 PART_KEYS, HELD, BITS_A_KEY, MOST_BITS, MARK_BITS = 1 << 20, 1 << 21, 16, 28, 24
 _PACKED = 4  # bytes of a key within its part: two keys of a full part that agree in them (one in a thousand) are kept in vain
 _ZSTD = dict(codec="zstd", asbytes=True)
@@ -152,11 +153,22 @@ class Shared:
     def __init__(self, bitmap: np.ndarray, bits: int, marks: np.ndarray):
         self.bitmap, self.bits, self.marks, self.any_marks = bitmap, bits, marks, bool(marks.any())
 
+    def __getstate__(self) -> dict:
+        """Compressed: the driver and each executor write what is broadcast to their disks."""
+        return vars(self) | {k: (len(x), pa.compress(x, **_ZSTD)) for k, x in (("bitmap", self.bitmap), ("marks", self.marks))}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state | {k: np.frombuffer(pa.decompress(state[k][1], state[k][0], **_ZSTD), np.uint8) for k in ("bitmap", "marks")})
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         return _has(self.bitmap, keys >> np.uint64(64 - self.bits))
 
     def marked(self, keys: np.ndarray) -> np.ndarray:
-        return _has(self.marks, keys & np.uint64((1 << MARK_BITS) - 1))
+        first, second = _mark_places(keys, self.marks)
+        found = _has(self.marks, first)
+        some = np.flatnonzero(found)
+        found[some] = _has(self.marks, second[some])
+        return found
 
 
 def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -164,10 +176,21 @@ def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def shared_keys(source: Wanted, keys_of: Callable[[list[str]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], keys: int) -> Shared:
+def _mark_places(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = np.uint64(8 * len(marks) - 1)
+    return keys & last, keys >> np.uint64(32) & last
+
+
+def mark(keys: np.ndarray, marks: np.ndarray) -> None:
+    for at in _mark_places(keys, marks):
+        at = at.astype(np.int64)
+        np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def shared_keys(source: Wanted, keys_of: Callable[[list[str]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], keys: int, mark_bits: int = MARK_BITS) -> Shared:
     """The keys that several nodes of source have and one of them asks for.
 
-    keys_of gives for each text its distinct keys, which of them it asks for, and marks, which are gathered in a bitmap of their own. keys: about how many all have.
+    keys_of gives for each text its distinct keys, which of them it asks for, and marks, which are gathered in a bitmap of their own of 2^mark_bits bits. keys: about how many all have.
     """
     part_bits = max(0, (keys // PART_KEYS).bit_length())
     bits = max(12, min(MOST_BITS, (keys * BITS_A_KEY).bit_length()), part_bits + 3)
@@ -175,7 +198,7 @@ def shared_keys(source: Wanted, keys_of: Callable[[list[str]], Iterator[tuple[np
     slices = 16
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, pending, n = np.zeros(1 << (MARK_BITS - 3), np.uint8), [], 0
+        marks, pending, n = np.zeros(1 << (mark_bits - 3), np.uint8), [], 0
 
         def flushed():
             nonlocal pending, n
@@ -191,8 +214,7 @@ def shared_keys(source: Wanted, keys_of: Callable[[list[str]], Iterator[tuple[np
                     pending.append((ks, asks))
                     n += len(ks)
                     if len(marked):
-                        at = (marked & np.uint64((1 << MARK_BITS) - 1)).astype(np.int64)
-                        np.bitwise_or.at(marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                        mark(marked, marks)
                     if n >= HELD:
                         yield from flushed()
             yield from flushed()
@@ -232,7 +254,7 @@ def shared_keys(source: Wanted, keys_of: Callable[[list[str]], Iterator[tuple[np
 
     sent = source.df.mapInArrow(collect, _BLOCKS)
     found = sent.repartition(min(4096, (1 << part_bits) + slices), "part").sortWithinPartitions("part").mapInArrow(judge, _BLOCKS).collect()  # both bitmaps, of bounded sizes
-    shared, marks = np.zeros(1 << (bits - 3), np.uint8), np.zeros((slices, (1 << (MARK_BITS - 3)) // slices), np.uint8)
+    shared, marks = np.zeros(1 << (bits - 3), np.uint8), np.zeros((slices, (1 << (mark_bits - 3)) // slices), np.uint8)
     each = 1 << (bits - 3 - part_bits)
     for r in found:
         piece = np.frombuffer(pa.decompress(r.block, r.n, **_ZSTD), np.uint8)

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import pickle
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,8 +13,8 @@ import pytest
 from compare import SMALL, database, rows_of_duckdb, rows_of_spark
 from pyspark.sql import functions as F
 
-from sparkwell.llm import alignment, fill_middle, hashing, linking, ngram_join
-from sparkwell.llm.common import vocabulary_path
+from sparkwell.llm import alignment, fill_middle, hashing, linking, ngram_join, sharing
+from sparkwell.llm.common import located, vocabulary_path
 
 
 def test_fill_middle_query_matches_sql(spark):
@@ -198,6 +200,64 @@ def test_links_keep_no_sketches_with_members(spark, monkeypatch):
     assert {what for what, columns in written if len({*columns} & {f"{c}{s}" for c in linking._SKETCH for s in ("", "_b")})} == {"link-bounds"}
 
 
+def test_ngram_shuffles_go_with_their_queries(spark):
+    """No query leaves files of shuffles behind for the driver's garbage collection."""
+    docs = spark.createDataFrame(list(enumerate(family(random.Random(1), 10))), "doc_id long, text string").repartition(3)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk, before = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(name)
+
+    def files():
+        found = disk.getAllFiles()
+        return {f for f in (found.apply(k).getName() for k in range(found.size())) if f.startswith("shuffle_")}
+
+    docs = located(docs)
+    old = files()
+    joined = ngram_join.joined(docs)
+    for _ in range(50):  # they are removed by another thread
+        left = files() - old
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and joined.count() == 60 and spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("least,width", [(1, 64), (40, 1 << 12)])
+def test_ngram_wide_sketches_lose_no_link(spark, monkeypatch, least, width):
+    """With wide sketches for all sets or the larger ones, of few or many parities, the components are those of all pairs."""
+    monkeypatch.setattr(ngram_join, "WIDE_FROM", least)
+    monkeypatch.setattr(linking, "WIDE", width)
+    docs = list(enumerate(family(random.Random(5), 25)))
+    assert components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == plain_components(docs)
+
+
+def test_large_unlike_sets_are_not_moved(spark):
+    """Pairs of sets that SKETCH parities can't tell apart are ruled out by wide ones before sets move."""
+    r = np.random.default_rng(2)
+    sets = {k: np.unique(r.integers(0, 1 << 64, 7000, np.uint64)) for k in range(4)}
+    sets[4] = np.sort(np.append(sets[0][:-300], r.integers(0, 1 << 64, 300, np.uint64)))
+    small = {5: sets[1][:30]}
+    bounds = spark.createDataFrame([(k, len(s), bytearray(linking.sketch_of(s, linking.WIDE).tobytes())) for k, s in sets.items()] + [(k, len(s), None) for k, s in small.items()], "node long, all long, wide binary")
+    pairs = spark.createDataFrame([*itertools.combinations(range(6), 2)], "a long, b long")
+    found = linking.Sets(None, None, 2048).possible(pairs, bounds, 0.85)
+    assert {tuple(x) for x in found.collect()} == {(0, 4), *((k, 5) for k in range(5))}
+    narrow = {k: linking.sketch_of(s, linking.SKETCH) for k, s in sets.items()}
+    assert all(np.bitwise_count(narrow[a] ^ narrow[b]).sum() <= linking.most_apart(0.85, 14_000) for a, b in itertools.combinations(sets, 2))
+
+
+def test_marks_stay_rare_and_bitmaps_small():
+    """Of many keys that aren't marked few look as if they were; what is sent of bitmaps with few bits set is small."""
+    r = np.random.default_rng(3)
+    marked, others = (r.integers(0, 1 << 64, n, np.uint64) for n in (50_000, 2_000_000))
+    marks = np.zeros(1 << 21, np.uint8)
+    sharing.mark(marked, marks)
+    bitmap = np.zeros(1 << 21, np.uint8)
+    bitmap[::1000] = 1
+    sent = pickle.dumps(sharing.Shared(bitmap, 24, marks))
+    shared = pickle.loads(sent)
+    assert len(sent) < 400_000 and (shared.bitmap == bitmap).all() and (shared.marks == marks).all() and shared.any_marks
+    assert shared.marked(marked).all() and shared.marked(others).sum() < 300
+
+
 def test_ngram_pigeonhole_holds_for_any_costs():
     """Every pair of partners meets in a key that the larger one asks for, whatever segments are thought costly."""
     r = np.random.default_rng(1)
