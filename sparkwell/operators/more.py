@@ -203,9 +203,12 @@ def txt32_term_match(spark, sf_dir):
 
 
 def txt33_follow_up(spark, sf_dir):
-    """The lines of an order as a dialogue: the first asks in full, later ones name a category, a round, or neither."""
+    """The lines of an order as a dialogue: the first asks in full, later ones name a category, a round, or neither.
+
+    Lines of one number and amount come by their category, so that the questions don't depend on the order of the rows read (the SQL leaves these ties open).
+    """
     r = view(spark, sf_dir, "records")
-    w = W.partitionBy("evidence_id").orderBy("record_id", "amount")
+    w = W.partitionBy("evidence_id").orderBy("record_id", "amount", "seat_category")
     full = F.concat_ws(" ", F.lit("fee for"), "seat_category", F.lit("in round"), "round")
     now = F.when(F.col("record_id") % 3 == 0, full).when(F.col("record_id") % 3 == 1, F.concat(F.lit("and "), F.col("seat_category"), F.lit("?"))).otherwise(F.concat(F.lit("round "), F.col("round")))
     asked = r.select("record_id", "amount", F.lag(full).over(w).alias("before"), now.alias("now"))
