@@ -2,11 +2,13 @@
 
 An interval belongs to the level of its length, the least power of two that holds it, and lies in one or two bins of
 that size; a point lies in one bin of each level that occurs. They are joined by equal bins and then compared.
+Where only the number of points is asked for, no pair is made: it is a difference of two running counts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkwell.plans.views import oracle, view
@@ -31,6 +33,25 @@ def covering(points: DataFrame, intervals: DataFrame, at: str, start: str, stop:
     return dealt.join(binned, [*on, "_level", "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(stop))).drop("_level", "_bin")
 
 
+def counted(points: DataFrame, intervals: DataFrame, at: str, start: str, stop: str, on: list[str]) -> DataFrame:
+    """Each interval with inside, how many points it covers, both ends included; what covering() leaves out is left out, intervals that cover nothing have 0.
+
+    on: columns that both have and that must agree. Only the different values of a group are put in order, never its rows.
+    """
+    whole = [F.col(c).isNotNull() for c in on]
+    kept = intervals.where(F.col(start) <= F.col(stop))
+    for c in whole:
+        kept, points = kept.where(c), points.where(c)
+    places = points.where(F.col(at).isNotNull()).select(*on, F.col(at).cast("long").alias("_x"), F.lit(1).alias("_n"))
+    for end in (start, stop):
+        places = places.unionByName(kept.select(*on, F.col(end).cast("long").alias("_x"), F.lit(0).alias("_n")))
+    own = places.groupBy(*on, "_x").agg(F.sum("_n").alias("_n"))
+    upto = own.withColumn("_upto", F.sum("_n").over(W.partitionBy(*on).orderBy("_x").rowsBetween(W.unboundedPreceding, 0)))
+    before = upto.select(*on, F.col("_x").alias(start), (F.col("_upto") - F.col("_n")).alias("_before"))
+    met = kept.join(before, [*on, start]).join(upto.select(*on, F.col("_x").alias(stop), "_upto"), [*on, stop])
+    return met.select(*intervals.columns, (F.col("_upto") - F.col("_before")).alias("inside"))
+
+
 def overlapping(a: DataFrame, b: DataFrame, key_a: str, key_b: str, on: list[str] | None = None) -> DataFrame:
     """The keys of intervals (key, start, stop) that have a point in common: one of the two then begins inside the other."""
     on = on or []
@@ -57,9 +78,13 @@ def jn10_open_orders(spark, sf_dir):
     o = view(spark, sf_dir, "orders").join(view(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     orders = o.select("o_orderkey", F.col("c_nationkey").alias("nation"), F.col("o_orderpriority").alias("priority"), day("o_orderdate").alias("start"))
     intervals = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("nation", "priority", "o_orderkey", "start", "stop")
-    points = orders.select("nation", "priority", F.col("o_orderkey").alias("other"), F.col("start").alias("at"))
-    met = covering(points, intervals, "at", "start", "stop", ["nation", "priority"]).where("other <> o_orderkey")
-    return met.groupBy("nation", "priority").agg(F.count("*").alias("meetings"), F.countDistinct("o_orderkey").alias("orders"))
+    points = orders.where("o_orderkey is not null").select("nation", "priority", F.col("start").alias("at"))
+    # orders of the same number don't meet: their last day is the same, so those from a start on are the ones inside; the earliest start meets all that a later one does
+    same = W.partitionBy("nation", "priority", "o_orderkey").orderBy("start")
+    kept = intervals.where("start <= stop").withColumns({"own": F.count("*").over(same.rangeBetween(0, W.unboundedFollowing)), "nth": F.row_number().over(same)})
+    others = counted(points, kept, "at", "start", "stop", ["nation", "priority"]).withColumn("n", F.col("inside") - F.col("own"))
+    met = others.groupBy("nation", "priority").agg(F.sum("n").alias("meetings"), F.count_if((F.col("nth") == 1) & (F.col("n") > 0)).alias("orders"))
+    return met.where("meetings > 0")
 
 
 QUERIES = {"jn10_page_interval": jn10_page_interval, "jn10_open_orders": jn10_open_orders}

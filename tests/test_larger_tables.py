@@ -1,6 +1,7 @@
 """What showed only on larger tables: ties, groups that meet, stock of many sessions, passages in many texts."""
 
 import datetime
+import random
 
 import duckdb
 import pyarrow as pa
@@ -31,3 +32,56 @@ def test_follow_up_does_not_depend_on_the_order_of_tied_lines(spark, tmp_path):
     con.sql(f"create view lineitem as select * from '{tmp_path}/0/lineitem.parquet'")
     closed = catalog.oracle_sql()["txt33_follow_up"].replace("order by record_id, amount)", "order by record_id, amount, seat_category)")
     assert found[0] == found[1] == rows_of_duckdb(con, closed)
+
+
+def _orders(tmp_path, orders, lines, customers):
+    """Tables of orders (key, customer, day or None), lines (order, day or None) and customers (key, nation)."""
+    day = lambda n: None if n is None else datetime.datetime(1997, 1, 1) + datetime.timedelta(days=n)
+    stamp = pa.timestamp("us")
+    tables = {
+        "orders": pa.table({"o_orderkey": pa.array([o[0] for o in orders], pa.int64()), "o_custkey": pa.array([o[1] for o in orders], pa.int64()), "o_orderdate": pa.array([day(o[2]) for o in orders], stamp), "o_orderpriority": [("high", "low")[o[1] % 2] for o in orders]}),
+        "lineitem": pa.table({"l_orderkey": pa.array([x[0] for x in lines], pa.int64()), "l_shipdate": pa.array([day(x[1]) for x in lines], stamp)}),
+        "customer": pa.table({"c_custkey": pa.array([c[0] for c in customers], pa.int64()), "c_nationkey": pa.array([c[1] for c in customers], pa.int32())}),
+    }
+    con = duckdb.connect()
+    for name, table in tables.items():
+        pq.write_table(table, tmp_path / f"{name}.parquet")
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    return con
+
+
+def _largest_join(df):
+    """The most rows that a join of an executed plan made."""
+
+    def nodes(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            yield from nodes(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+            return
+        yield kind, plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    made = [m.get().value() for kind, p in nodes(df._jdf.queryExecution().executedPlan()) if "Join" in kind and (m := p.metrics().get("numOutputRows")).isDefined()]
+    assert made
+    return max(made)
+
+
+def test_open_orders_with_equal_numbers_nulls_and_reversed_days(spark, tmp_path):
+    r = random.Random(5)
+    some = lambda n, k: None if r.random() < 0.05 else r.randrange(n) - k
+    orders = [(some(60, 0), r.randrange(12), some(40, 0)) for _ in range(300)]
+    lines = [(some(70, 0), some(60, 10)) for _ in range(150)]
+    con = _orders(tmp_path, orders, lines, [(k, some(3, 0)) for k in range(12)] + [(3, 1), (4, 1)])
+    df = catalog.queries()["jn10_open_orders"](spark, str(tmp_path))
+    want = rows_of_duckdb(con, catalog.oracle_sql()["jn10_open_orders"])
+    assert rows_of_spark(df) == want and len(want[1]) > 4
+
+
+def test_open_orders_of_one_group_make_no_pairs(spark, tmp_path):
+    """n orders that are all open at once: n * (n - 1) meetings, of which none is a row."""
+    n = 3000
+    _orders(tmp_path, [(k, 0, 0) for k in range(n)], [(k, 5) for k in range(n)], [(0, 7)])
+    df = catalog.queries()["jn10_open_orders"](spark, str(tmp_path))
+    assert [(r.nation, r.priority, r.meetings, r.orders) for r in df.collect()] == [(7, "high", n * (n - 1), n)]
+    assert _largest_join(df) <= n
