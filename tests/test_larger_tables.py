@@ -1,14 +1,19 @@
 """What showed only on larger tables: ties, groups that meet, stock of many sessions, passages in many texts."""
 
 import datetime
+import json
 import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
-from compare import rows_of_duckdb, rows_of_spark
+from compare import SMALL, rows_of_duckdb, rows_of_spark
+from pyspark.sql import functions as F
 
 from sparkwell import catalog
+from sparkwell.streaming.ledger import ledger, preview_token
+from sparkwell.streaming.sessions import replay
+from sparkwell.streaming.utterances import STATE
 
 
 def _lines(rows):
@@ -85,3 +90,66 @@ def test_open_orders_of_one_group_make_no_pairs(spark, tmp_path):
     df = catalog.queries()["jn10_open_orders"](spark, str(tmp_path))
     assert [(r.nation, r.priority, r.meetings, r.orders) for r in df.collect()] == [(7, "high", n * (n - 1), n)]
     assert _largest_join(df) <= n
+
+
+class _Map:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.values[key]
+
+
+def test_buckets_keep_every_row_and_split_with_few_calls():
+    from sparkwell.streaming.ledger import Buckets
+
+    r, state, want, size = random.Random(3), _Map(), {}, 0
+    for n in (1, 40, 2, 3000, 5, 700, 20_000, 30):  # rows named in a call
+        now, before = Buckets(state, size), state.calls
+        for name in (f"s{r.randrange(4 * len(want) + 50)}" if r.random() < 0.7 else f"t{r.randrange(50)}" for _ in range(n)):
+            assert now.get(name) == want.get(name)
+            if now.get(name) is None or r.random() < 0.5:
+                want[name] = {"v": r.random()}
+                now.put(name, want[name])
+        size = now.store()
+        assert size == len(want)
+        assert state.calls - before < 100 + 20 * n and (n < 20_000 or state.calls - before < n)
+    stored = [json.loads(v[0]) for v in state.values.values()]
+    assert sum(map(len, stored)) == len(want) and {k: v for b in stored for k, v in b.items()} == want
+
+
+def test_ledger_does_not_depend_on_the_order_of_actions_of_one_time(spark, tmp_path):
+    """Two sessions take the last pieces of a product at one time."""
+    none = dict.fromkeys(("session", "turn", "product", "quantity", "unit", "price", "token"))
+    actions = [none | dict(shop=1, at=0, seq=None, name="restock", product="a", quantity=3, unit="box", price=5)]
+    for turn, at, name, rest in (("t", 1, "add", dict(product="a", quantity=2, unit="box")), ("u", 2, "checkout", {}), ("v", 3, "confirm", {})):
+        actions += [none | dict(shop=1, at=at, seq=None if at == 1 else 1, session=s, turn=turn, name=name, token=preview_token(s, "u") if name == "confirm" else None) | rest for s in ("x", "y", "z")]
+    actions.append(none | dict(shop=0, at=10**6, seq=0, name="checkout", session="end"))
+    kinds = dict(shop=pa.int64(), at=pa.timestamp("us", "UTC"), seq=pa.int64(), quantity=pa.int64(), price=pa.int64())
+    found = []
+    for k, order in enumerate((actions, actions[::-1])):
+        at = tmp_path / f"{k}"
+        at.mkdir()
+        pq.write_table(pa.table({c: pa.array([(a[c] + 9) * 10**6 if c == "at" else a[c] for a in order], kinds.get(c, pa.string())) for c in actions[0]}), at / "a.parquet")
+        done = replay(spark, str(at), lambda a: ledger(a, "2 seconds"), conf=STATE)
+        found.append(sorted(map(tuple, done.select("us", "session", "name", "outcome", "total").collect()), key=str))
+    assert found[0] == found[1] and [f[1] for f in found[0] if f[3] == "order"] == ["x"]
+
+
+def test_ledger_query_gives_an_outcome_to_every_action(spark):
+    """Those of the last hour, too."""
+    from sparkwell.streaming.ledger import actions_of_orders
+
+    done = catalog.queries()["str15_ledger"](spark, SMALL).groupBy("shop").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, actions_of_orders(spark, SMALL).groupBy("shop").count().collect()))
