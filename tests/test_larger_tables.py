@@ -11,6 +11,7 @@ from compare import SMALL, rows_of_duckdb, rows_of_spark
 from pyspark.sql import functions as F
 
 from sparkwell import catalog
+from sparkwell.operators import passages
 from sparkwell.streaming.ledger import ledger, preview_token
 from sparkwell.streaming.sessions import replay
 from sparkwell.streaming.utterances import STATE
@@ -55,8 +56,8 @@ def _orders(tmp_path, orders, lines, customers):
     return con
 
 
-def _largest_join(df):
-    """The most rows that a join of an executed plan made."""
+def _largest(df, kind_of, metric="numOutputRows"):
+    """The most rows that a node of a kind in an executed plan made."""
 
     def nodes(plan):
         kind = plan.getClass().getSimpleName()
@@ -67,7 +68,7 @@ def _largest_join(df):
         for k in range(plan.children().size()):
             yield from nodes(plan.children().apply(k))
 
-    made = [m.get().value() for kind, p in nodes(df._jdf.queryExecution().executedPlan()) if "Join" in kind and (m := p.metrics().get("numOutputRows")).isDefined()]
+    made = [m.get().value() for kind, p in nodes(df._jdf.queryExecution().executedPlan()) if kind_of in kind and (m := p.metrics().get(metric)).isDefined()]
     assert made
     return max(made)
 
@@ -89,7 +90,7 @@ def test_open_orders_of_one_group_make_no_pairs(spark, tmp_path):
     _orders(tmp_path, [(k, 0, 0) for k in range(n)], [(k, 5) for k in range(n)], [(0, 7)])
     df = catalog.queries()["jn10_open_orders"](spark, str(tmp_path))
     assert [(r.nation, r.priority, r.meetings, r.orders) for r in df.collect()] == [(7, "high", n * (n - 1), n)]
-    assert _largest_join(df) <= n
+    assert _largest(df, "Join") <= n
 
 
 class _Map:
@@ -153,3 +154,16 @@ def test_ledger_query_gives_an_outcome_to_every_action(spark):
 
     done = catalog.queries()["str15_ledger"](spark, SMALL).groupBy("shop").agg(F.sum("n").alias("n"))
     assert sorted(map(tuple, done.collect())) == sorted(map(tuple, actions_of_orders(spark, SMALL).groupBy("shop").count().collect()))
+
+
+def test_texts_give_only_grams_of_passages_when_there_are_many_passages(spark, monkeypatch):
+    """More passages than hashes are sent for: a text's other grams stay where they are."""
+    monkeypatch.setattr(passages, "SENT", 0)
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(5000)) for _ in range(20)]
+    quotes = [t[k:k + 60] for k, t in enumerate(texts)] + ["ab", "h" * 40, "never said: " + texts[0][:50]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = passages.contained(spark.createDataFrame(list(enumerate(quotes)), "passage_id long, passage string"), docs)
+    want = {(q, d, k, k + len(p)) for q, p in enumerate(quotes) for d, t in enumerate(texts) for k in range(len(t)) if t.startswith(p, k)}
+    assert set(map(tuple, found.select("passage_id", "doc_id", "start", "stop").collect())) == want and len(want) > 20
+    assert _largest(found, "MapInArrow", "pythonNumRowsReceived") < 2 * len(want) + 100
